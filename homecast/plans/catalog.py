@@ -237,3 +237,199 @@ def q_a22(spark, d):
 @query("A23")
 def q_a23(spark, d):
     return rounded(A.hierarchy_totals(P(spark, d).sold("all")), money=("total_sales",))
+
+
+# ---------------------------------------------------------------- series W1-W16, B7
+from ..operators import decompose as D  # noqa: E402
+from ..operators import forecast as FC  # noqa: E402
+from ..operators import regress as R  # noqa: E402
+from ..operators import series as S  # noqa: E402
+
+
+@query("B7")
+def q_b7(spark, d):
+    return rounded(P(spark, d).statewide_ts())
+
+
+@query("W2")
+def q_w2(spark, d):
+    return S.series_duplicates(A.mean_series(P(spark, d).sold("viz"), keys=["Region"]),
+                               ["Region"])
+
+
+def _county_ts(spark, d):
+    m = A.mean_series(P(spark, d).sold_complete(), keys=["County"])
+    return S.fill_gaps(m, keys=["County"], fill={"mean_sale": 0.0})
+
+
+@query("W4")
+def q_w4(spark, d):
+    return _county_ts(spark, d)
+
+
+@query("W5")
+def q_w5(spark, d):
+    si = A.by_period(P(spark, d).sold_complete(), period="year")
+    y = A.total_and_count(si, keys=["County"], index="year")
+    return S.fill_gaps(y, keys=["County"], index="year", step="year")
+
+
+@query("W8")
+def q_w8(spark, d):
+    return rounded(S.with_lags(P(spark, d).statewide_ts(), "mean_sale", lags=(1, 12), diff=True))
+
+
+@query("W9")
+def q_w9(spark, d):
+    return S.last_observation(_county_ts(spark, d), keys=["County"])
+
+
+@query("W13")
+def q_w13(spark, d):
+    return S.head(S.ordered(A.mean_series(P(spark, d).sold_complete())), 5)
+
+
+@query("W14")
+def q_w14(spark, d):
+    return S.page(A.mean_series(P(spark, d).sold_complete()), ["month"], page_no=2, page_size=10)
+
+
+@query("W15")
+def q_w15(spark, d):
+    return S.row_count(P(spark, d).sold("app"))
+
+
+# ---------------------------------------------------------------- decompositions M1-M4
+@query("M1")
+def q_m1(spark, d):
+    return rounded(D.classical(P(spark, d).report_ts("mean_sale"), "mean_sale"))
+
+
+@query("M1_count")
+def q_m1_count(spark, d):
+    return rounded(D.classical(P(spark, d).report_ts("count_sales"), "count_sales"))
+
+
+@query("M1_region")
+def q_m1_region(spark, d):
+    return rounded(D.classical(P(spark, d).region_ts(), "mean_sale", keys=["Region"]))
+
+
+@query("M2")
+def q_m2(spark, d):
+    return rounded(D.classical(P(spark, d).report_ts("mean_sale"), "mean_sale",
+                               kind="multiplicative"))
+
+
+@query("M2_pricesqft")
+def q_m2_psqft(spark, d):
+    return rounded(D.classical(P(spark, d).report_ts("mean_pricesqft"), "mean_pricesqft",
+                               kind="multiplicative"))
+
+
+@query("M3")
+def q_m3(spark, d):
+    return rounded(D.stl(P(spark, d).report_ts("mean_sale"), "mean_sale"))
+
+
+@query("M3_region")
+def q_m3_region(spark, d):
+    return rounded(D.stl(P(spark, d).region_ts(), "mean_sale", keys=["Region"]))
+
+
+@query("M3_yearly")
+def q_m3_yearly(spark, d):
+    # Annual totals have no season: trend + remainder only (STL on yearly data).
+    si = A.by_period(P(spark, d).sold_complete(), period="year")
+    y = S.fill_gaps(A.total_and_count(si, index="year"), index="year", step="year")
+    return rounded(D.stl(y, "total_sales", index="year", period=1))
+
+
+@query("M4")
+def q_m4(spark, d):
+    return rounded(D.x11(P(spark, d).report_ts("mean_sale"), "mean_sale"))
+
+
+# ---------------------------------------------------------------- linear models
+def _trend(spark, d):
+    return R.trend_fit(P(spark, d).report_ts("mean_sale"), "mean_sale")
+
+
+@query("M5")
+def q_m5(spark, d):
+    return rounded(_trend(spark, d).select("n", "intercept", "slope", "sigma"))
+
+
+@query("M18")
+def q_m18(spark, d):
+    return rounded(R.trend_report(_trend(spark, d)))
+
+
+@query("M13")
+def q_m13(spark, d):
+    # forecast(h = "10 months"): the horizon text goes through C18.
+    fit = _trend(spark, d).withColumn("h", T.horizon_months(F.lit("10 months")))
+    return rounded(FC.trend_forecast(fit, "h"))
+
+
+@query("M16")
+def q_m16(spark, d):
+    ts = P(spark, d).report_ts("mean_sale")
+    return rounded(R.trend_augment(ts, R.trend_fit(ts, "mean_sale"), "mean_sale"))
+
+
+@query("M17")
+def q_m17(spark, d):
+    ts = P(spark, d).report_ts("mean_sale")
+    aug = R.trend_augment(ts, R.trend_fit(ts, "mean_sale"), "mean_sale")
+    return rounded(R.acf(aug, max_lag=24))
+
+
+@query("M17_hist")
+def q_m17_hist(spark, d):
+    ts = P(spark, d).report_ts("mean_sale")
+    aug = R.trend_augment(ts, R.trend_fit(ts, "mean_sale"), "mean_sale")
+    return R.histogram(aug, "resid", bins=10)
+
+
+@query("M6")
+def q_m6(spark, d):
+    ts = S.with_position(P(spark, d).statewide_ts(), name="t")
+    return R.coefficients(R.ols(ts, "mean_sale", R.trend_season_terms()))
+
+
+MODEL_BEST_TERMS = {
+    "median_sqft": F.col("median_sqft"),
+    "median_beds:median_baths": T.interaction("median_beds", "median_baths"),
+    "median_beds:median_sqft": T.interaction("median_beds", "median_sqft"),
+}
+SUBSET_TERMS = {
+    "median_beds": F.col("median_beds"), "median_baths": F.col("median_baths"),
+    "median_sqft": F.col("median_sqft"),
+    "median_beds:median_baths": T.interaction("median_beds", "median_baths"),
+    "median_beds:median_sqft": T.interaction("median_beds", "median_sqft"),
+    "median_baths:median_sqft": T.interaction("median_baths", "median_sqft"),
+}
+
+
+@query("M7")
+def q_m7(spark, d):
+    return R.coefficients(R.ols(P(spark, d).median_ts(), "median_price", MODEL_BEST_TERMS))
+
+
+@query("M8")
+def q_m8(spark, d):
+    # Keyed OLS: price on size, beds and baths per Region, straight from the sales.
+    return R.coefficients(R.ols(P(spark, d).sold("viz"), "price", ["sqft", "beds", "baths"],
+                                keys=["Region"]), keys=["Region"])
+
+
+@query("M9")
+def q_m9(spark, d):
+    return R.best_subsets(P(spark, d).median_ts(), "median_price", SUBSET_TERMS)
+
+
+@query("M10")
+def q_m10(spark, d):
+    fit = R.ols(P(spark, d).median_ts(), "median_price", MODEL_BEST_TERMS)
+    return fit.select("n", "rss", "loglik", "aic", "aicc", "bic")

@@ -253,3 +253,167 @@ def sql(name: str) -> str:
 
 def all_sql() -> dict[str, str]:
     return {k: sql(k) for k in FINAL}
+
+
+# ------------------------------------------------------------------ series and models
+def _k(keys, prefix=""):
+    return "".join(f"{prefix}{k}, " for k in keys)
+
+
+def _part_by(keys):
+    return f"PARTITION BY {', '.join(keys)} " if keys else ""
+
+
+def gapfill(src: str, keys, measures, fill, index="month", step="month") -> str:
+    """fill_gaps over the CTE ``src``: calendar per key from first to last index."""
+    on = " AND ".join([f"c.{k} IS NOT DISTINCT FROM s.{k}" for k in keys]
+                      + [f"c.{index} = s.{index}"])
+    meas = ", ".join((f"coalesce(s.{m}, {fill}) AS {m}" if fill is not None else f"s.{m}")
+                     for m in measures)
+    if step == "year":
+        gen = f"CAST(unnest(generate_series(lo, hi)) AS INTEGER) AS {index}"
+    else:
+        gen = f"unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS {index}"
+    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return (f"SELECT {_k(keys, 'c.')}c.{index}, {meas} FROM ("
+            f"SELECT {_k(keys)}{gen} FROM (SELECT {_k(keys)}min({index}) AS lo, "
+            f"max({index}) AS hi FROM {src} {grp})) c LEFT JOIN {src} s ON {on}")
+
+
+def classical(src: str, keys, value: str, mult: bool) -> str:
+    """Classical decomposition of ``src`` (keys, month, value)."""
+    pb = _part_by(keys)
+    w = f"({pb}ORDER BY month)"
+    w13 = f"({pb}ORDER BY month ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)"
+    w11 = f"({pb}ORDER BY month ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
+    det = ("CASE WHEN trend = 0 THEN NULL ELSE y / trend END" if mult else "y - trend")
+    fig = ("CASE WHEN avg(f) OVER (" + pb + ") = 0 THEN NULL ELSE f / avg(f) OVER (" + pb + ") END"
+           if mult else f"f - avg(f) OVER ({pb})")
+    on = " AND ".join([f"d.{k} IS NOT DISTINCT FROM g.{k}" for k in keys] + ["d.pos = g.pos"])
+    tr = "CASE WHEN n >= 24 THEN trend END"
+    se = "CASE WHEN n >= 24 THEN fig END"
+    if mult:
+        rem = (f"CASE WHEN ({tr}) * ({se}) = 0 THEN NULL ELSE y / (({tr}) * ({se})) END")
+        adj = f"CASE WHEN ({se}) = 0 THEN NULL ELSE y / ({se}) END"
+    else:
+        rem = f"y - ({tr}) - ({se})"
+        adj = f"y - ({se})"
+    return f"""
+dd AS (
+  SELECT *, {det} AS det FROM (
+    SELECT {_k(keys)}month, CAST({value} AS DOUBLE) AS y,
+           (row_number() OVER {w} - 1) % 12 AS pos, count(*) OVER ({pb}) AS n,
+           CASE WHEN count({value}) OVER {w13} = 13
+                THEN (sum({value}) OVER {w13} + sum({value}) OVER {w11}) / 24 END AS trend
+    FROM {src})),
+gg AS (SELECT {_k(keys)}pos, {fig} AS fig FROM (
+         SELECT {_k(keys)}pos, avg(det) AS f FROM dd GROUP BY {_k(keys)}pos))
+SELECT {_k(keys, 'd.')}month, round(y, 4) AS y, round({tr}, 4) AS trend,
+       round({se}, 4) AS seasonal, round({rem}, 4) AS remainder,
+       round({adj}, 4) AS season_adjust
+FROM dd d LEFT JOIN gg g ON {on}"""
+
+
+SERIES = f"""
+m_rep AS (SELECT month, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / count(price) AS mean_sale
+          FROM si_cc GROUP BY month),
+c_rep AS (SELECT month, count(*) AS count_sales FROM si_cc GROUP BY month),
+p_rep AS (SELECT month, avg(price_sqft) AS mean_pricesqft FROM (
+            SELECT month, CASE WHEN sqft = 0 THEN NULL ELSE price / sqft END AS price_sqft
+            FROM si_cc) WHERE price_sqft <> 75000 GROUP BY month),
+m_region AS (SELECT month, Region, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / count(price)
+             AS mean_sale FROM si_viz GROUP BY month, Region),
+m_county AS (SELECT month, County, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / count(price)
+             AS mean_sale FROM si_cc GROUP BY month, County),
+y_county AS (SELECT County, CAST(year(month) AS INTEGER) AS year,
+             CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) AS total_sales,
+             count(*) AS count_sales FROM si_cc GROUP BY ALL),
+m_app AS (SELECT month, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / count(price) AS mean_sale,
+          avg(baths) AS mean_baths, avg(beds) AS mean_beds FROM si_app GROUP BY month),
+ts_mean AS ({gapfill('m_rep', [], ['mean_sale'], '0.0')}),
+ts_count AS ({gapfill('c_rep', [], ['count_sales'], '0')}),
+ts_psqft AS ({gapfill('p_rep', [], ['mean_pricesqft'], '0.0')}),
+ts_region AS ({gapfill('m_region', ['Region'], ['mean_sale'], '0.0')}),
+ts_county AS ({gapfill('m_county', ['County'], ['mean_sale'], '0.0')}),
+ts_app AS ({gapfill('m_app', [], ['mean_sale', 'mean_baths', 'mean_beds'], '0.0')}),
+tt AS (SELECT month, mean_sale AS y, row_number() OVER (ORDER BY month) AS t FROM ts_mean),
+fit AS (
+  SELECT n, intercept, slope, sxx, syy, sxy, tbar, last_index,
+         greatest(syy - sxy * sxy / sxx, 0.0) AS rss,
+         sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / (n - 2)) AS sigma
+  FROM (SELECT count(*) AS n, regr_intercept(y, t) AS intercept, regr_slope(y, t) AS slope,
+               regr_sxx(y, t) AS sxx, regr_syy(y, t) AS syy, regr_sxy(y, t) AS sxy,
+               avg(t) AS tbar, max(month) AS last_index FROM tt)),
+aug AS (SELECT tt.month, tt.t, tt.y, intercept + slope * t AS fitted,
+               tt.y - (intercept + slope * t) AS resid FROM tt, fit)"""
+
+_LL = "(-n / 2.0 * (ln(2 * pi()) + ln(rss / n) + 1))"
+_AIC = f"(-2 * {_LL} + 6)"
+
+MODEL_FINAL = {
+    "B7": ("", "SELECT month, mean_sale, round(mean_baths, 4) AS mean_baths, "
+               "round(mean_beds, 4) AS mean_beds FROM ts_app"),
+    "W2": ("", "SELECT Region, month, count(*) AS count FROM (SELECT month, Region FROM si_viz "
+               "GROUP BY month, Region) GROUP BY month, Region HAVING count(*) > 1"),
+    "W4": ("", "SELECT County, month, mean_sale FROM ts_county"),
+    "W5": ("", gapfill("y_county", ["County"], ["total_sales", "count_sales"], None, "year", "year")),
+    "W8": ("", "SELECT month, mean_sale, round(mean_baths, 4) AS mean_baths, "
+               "round(mean_beds, 4) AS mean_beds, "
+               "round(mean_sale - lag(mean_sale, 1) OVER (ORDER BY month), 4) AS mean_sale_d1, "
+               "round(mean_sale - lag(mean_sale, 12) OVER (ORDER BY month), 4) AS mean_sale_d12 "
+               "FROM ts_app"),
+    "W9": ("", "SELECT County, month, mean_sale FROM (SELECT *, max(month) OVER "
+               "(PARTITION BY County) AS mx FROM ts_county) WHERE month = mx"),
+    "W13": ("", "SELECT month, mean_sale FROM m_rep ORDER BY month LIMIT 5"),
+    "W14": ("", "SELECT month, mean_sale FROM m_rep ORDER BY month LIMIT 10 OFFSET 10"),
+    "W15": ("", "SELECT count(*) AS n FROM si_app"),
+    "M1": ("," + classical("ts_mean", [], "mean_sale", False).split("\nSELECT", 1)[0],
+           "SELECT" + classical("ts_mean", [], "mean_sale", False).split("\nSELECT", 1)[1]),
+    "M1_count": ("," + classical("ts_count", [], "count_sales", False).split("\nSELECT", 1)[0],
+                 "SELECT" + classical("ts_count", [], "count_sales", False).split("\nSELECT", 1)[1]),
+    "M1_region": ("," + classical("ts_region", ["Region"], "mean_sale", False).split("\nSELECT", 1)[0],
+                  "SELECT" + classical("ts_region", ["Region"], "mean_sale", False).split("\nSELECT", 1)[1]),
+    "M2": ("," + classical("ts_mean", [], "mean_sale", True).split("\nSELECT", 1)[0],
+           "SELECT" + classical("ts_mean", [], "mean_sale", True).split("\nSELECT", 1)[1]),
+    "M2_pricesqft": ("," + classical("ts_psqft", [], "mean_pricesqft", True).split("\nSELECT", 1)[0],
+                     "SELECT" + classical("ts_psqft", [], "mean_pricesqft", True).split("\nSELECT", 1)[1]),
+    "M5": ("", "SELECT n, round(intercept, 4) AS intercept, round(slope, 4) AS slope, "
+               "round(sigma, 4) AS sigma FROM fit"),
+    "M18": ("", f"SELECT n, round(intercept, 4) AS intercept, round(slope, 4) AS slope, "
+                f"round(sigma * sigma, 4) AS sigma2, round(sxy * sxy / (sxx * syy), 4) AS r2, "
+                f"round(1 - (1 - sxy * sxy / (sxx * syy)) * (n - 1) / (n - 2), 4) AS adj_r2, "
+                f"round({_LL}, 4) AS loglik, round({_AIC}, 4) AS aic, "
+                f"round({_AIC} + 24.0 / (n - 4), 4) AS aicc, "
+                f"round(-2 * {_LL} + ln(n) * 3, 4) AS bic FROM fit"),
+    "M13": ("", "SELECT (last_index + to_months(CAST(step AS INTEGER)))::DATE AS month, "
+                "round(intercept + slope * (n + step), 4) AS mean, "
+                "round(sigma * sqrt(1 + 1.0 / n + ((n + step) - tbar) ^ 2 / sxx), 4) AS sigma, "
+                "round(intercept + slope * (n + step) - 1.2815515655446004 * sigma * sqrt(1 + 1.0 / n + ((n + step) - tbar) ^ 2 / sxx), 4) AS lo80, "
+                "round(intercept + slope * (n + step) + 1.2815515655446004 * sigma * sqrt(1 + 1.0 / n + ((n + step) - tbar) ^ 2 / sxx), 4) AS hi80, "
+                "round(intercept + slope * (n + step) - 1.959963984540054 * sigma * sqrt(1 + 1.0 / n + ((n + step) - tbar) ^ 2 / sxx), 4) AS lo95, "
+                "round(intercept + slope * (n + step) + 1.959963984540054 * sigma * sqrt(1 + 1.0 / n + ((n + step) - tbar) ^ 2 / sxx), 4) AS hi95 "
+                "FROM (SELECT *, unnest(generate_series(1, 10)) AS step FROM fit)"),
+    "M16": ("", "SELECT month, round(y, 4) AS y, round(fitted, 4) AS fitted, "
+                "round(resid, 4) AS resid FROM aug"),
+    "M17": (", r AS (SELECT t, resid - avg(resid) OVER () AS d FROM aug)",
+            "SELECT CAST(a.k AS INTEGER) AS lag, round(sum(a.d * b.d) / "
+            "(SELECT sum(d * d) FROM r), 4) AS acf FROM "
+            "(SELECT r.*, unnest(generate_series(1, 24)) AS k FROM r) a "
+            "JOIN r b ON a.t - a.k = b.t GROUP BY a.k"),
+    "M17_hist": ("", "SELECT CAST(CASE WHEN hi > lo THEN least(floor((resid - lo) / (hi - lo) * 10) "
+                     "+ 1, 10) ELSE 1 END AS INTEGER) AS bin, count(*) AS n FROM "
+                     "(SELECT resid, min(resid) OVER () AS lo, max(resid) OVER () AS hi FROM aug) "
+                     "GROUP BY ALL"),
+}
+
+
+def sql(name: str) -> str:  # noqa: F811 - extends the base definition
+    if name in MODEL_FINAL:
+        extra, final = MODEL_FINAL[name]
+        return ("WITH " + BASE.strip() + ",\n" + SERIES.strip() + extra + "\n"
+                + _decimal_round(final))
+    return "WITH " + BASE.strip() + "\n" + _decimal_round(FINAL[name])
+
+
+def all_sql() -> dict[str, str]:  # noqa: F811
+    return {k: sql(k) for k in [*FINAL, *MODEL_FINAL]}

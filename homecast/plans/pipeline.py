@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clean, enrich
+from ..operators import aggregate, clean, enrich, series
 from ..sources import standin
 from ..sources.tables import table
 
@@ -90,3 +90,39 @@ class Pipeline:
     def sold_complete(self) -> DataFrame:
         """Report form with ``filter(complete.cases(si))``."""
         return clean.complete_rows(self.sold("report"))
+
+    # --- series -----------------------------------------------------------
+    def statewide_ts(self) -> DataFrame:
+        """The app's model input: monthly means of price, baths and beds,
+        calendar gaps filled with 0."""
+        m = aggregate.means(self.sold("app"), {"mean_sale": "price", "mean_baths": "baths",
+                                                "mean_beds": "beds"})
+        return series.fill_gaps(m, fill={"mean_sale": 0.0, "mean_baths": 0.0, "mean_beds": 0.0})
+
+    def report_ts(self, measure: str = "mean_sale") -> DataFrame:
+        """Report series: monthly mean sale (or count / price per sqft) of
+        complete sold rows, gaps filled with 0."""
+        si = self.sold_complete()
+        if measure == "mean_sale":
+            m = aggregate.mean_series(si)
+        elif measure == "count_sales":
+            m = aggregate.count_series(si)
+        elif measure == "mean_pricesqft":
+            m = aggregate.price_per_sqft_series(si)
+        else:
+            raise ValueError(measure)
+        return series.fill_gaps(m, fill={measure: 0})
+
+    def median_ts(self) -> DataFrame:
+        """Medians of size, price, baths and beds per month, gaps filled with 0
+        (input of the regression reports)."""
+        m = aggregate.medians(self.sold_complete(), {
+            "median_sqft": "sqft", "median_price": "price", "median_baths": "baths",
+            "median_beds": "beds"})
+        return series.fill_gaps(m, fill={c: 0.0 for c in (
+            "median_sqft", "median_price", "median_baths", "median_beds")})
+
+    def region_ts(self) -> DataFrame:
+        """Monthly mean sale per Region (visualisation form), gaps filled with 0."""
+        m = aggregate.mean_series(self.sold("viz"), keys=["Region"])
+        return series.fill_gaps(m, keys=["Region"], fill={"mean_sale": 0.0})
