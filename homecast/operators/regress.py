@@ -185,20 +185,20 @@ def ols(df: DataFrame, y: str, terms: dict[str, Column] | list[str], keys=()) ->
     def fn(it):
         for pdf in it:
             rows = []
-            for r in pdf.itertuples(index=False):
-                n = int(r.n)
-                gm = _unpack(r.gram, k1)
+            for r in pdf.to_dict("records"):
+                n = int(r["n"])
+                gm = _unpack(r["gram"], k1)
                 idx = list(range(1, k1))
-                beta, icpt, rss, syy, sxx = _solve(gm, list(r.means), n, idx)
+                beta, icpt, rss, syy, sxx = _solve(gm, list(r["means"]), n, idx)
                 st = _stats(n, len(idx) + 1, rss, syy)
                 try:
                     inv = np.linalg.inv(sxx)
                     se = [math.sqrt(max(st["sigma2"] * v, 0.0)) for v in np.diag(inv)]
-                    xm = np.array([r.means[i] for i in idx])
+                    xm = np.array([r["means"][i] for i in idx])
                     se0 = math.sqrt(max(st["sigma2"] * (1.0 / n + xm @ inv @ xm), 0.0))
                 except np.linalg.LinAlgError:
                     se, se0 = [float("nan")] * len(idx), float("nan")
-                row = {k: getattr(r, k) for k in keys}
+                row = {k: r[k] for k in keys}
                 row.update(n=n, terms=["(Intercept)", *names], coef=[icpt, *beta.tolist()],
                            se=[se0, *se], **st)
                 rows.append(row)
@@ -243,16 +243,16 @@ def best_subsets(df: DataFrame, y: str, terms: dict[str, Column], keys=()) -> Da
     def fn(it):
         for pdf in it:
             rows = []
-            for r in pdf.itertuples(index=False):
-                n = int(r.n)
-                gm = _unpack(r.gram, k1)
-                full = _solve(gm, list(r.means), n, list(range(1, k1)))
+            for r in pdf.to_dict("records"):
+                n = int(r["n"])
+                gm = _unpack(r["gram"], k1)
+                full = _solve(gm, list(r["means"]), n, list(range(1, k1)))
                 s2 = full[2] / (n - k1) if n > k1 else float("nan")
                 for size in range(1, k1):
                     for sub in itertools.combinations(range(1, k1), size):
-                        _, _, rss, syy, _ = _solve(gm, list(r.means), n, list(sub))
+                        _, _, rss, syy, _ = _solve(gm, list(r["means"]), n, list(sub))
                         st = _stats(n, size + 1, rss, syy)
-                        row = {k: getattr(r, k) for k in keys}
+                        row = {k: r[k] for k in keys}
                         row.update(size=size, terms=[names[i - 1] for i in sub], rss=rss,
                                    r2=st["r2"], adj_r2=st["adj_r2"],
                                    cp=rss / s2 - n + 2 * (size + 1) if s2 > 0 else float("nan"),

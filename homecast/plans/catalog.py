@@ -398,23 +398,25 @@ def q_m6(spark, d):
     return R.coefficients(R.ols(ts, "mean_sale", R.trend_season_terms()))
 
 
-MODEL_BEST_TERMS = {
-    "median_sqft": F.col("median_sqft"),
-    "median_beds:median_baths": T.interaction("median_beds", "median_baths"),
-    "median_beds:median_sqft": T.interaction("median_beds", "median_sqft"),
-}
-SUBSET_TERMS = {
-    "median_beds": F.col("median_beds"), "median_baths": F.col("median_baths"),
-    "median_sqft": F.col("median_sqft"),
-    "median_beds:median_baths": T.interaction("median_beds", "median_baths"),
-    "median_beds:median_sqft": T.interaction("median_beds", "median_sqft"),
-    "median_baths:median_sqft": T.interaction("median_baths", "median_sqft"),
-}
+def model_best_terms():
+    """median_price ~ median_sqft + median_beds:median_baths + median_beds:median_sqft"""
+    return {"median_sqft": F.col("median_sqft"),
+            "median_beds:median_baths": T.interaction("median_beds", "median_baths"),
+            "median_beds:median_sqft": T.interaction("median_beds", "median_sqft")}
+
+
+def subset_terms():
+    """The six candidate terms of the best-subset search."""
+    return {"median_beds": F.col("median_beds"), "median_baths": F.col("median_baths"),
+            "median_sqft": F.col("median_sqft"),
+            "median_beds:median_baths": T.interaction("median_beds", "median_baths"),
+            "median_beds:median_sqft": T.interaction("median_beds", "median_sqft"),
+            "median_baths:median_sqft": T.interaction("median_baths", "median_sqft")}
 
 
 @query("M7")
 def q_m7(spark, d):
-    return R.coefficients(R.ols(P(spark, d).median_ts(), "median_price", MODEL_BEST_TERMS))
+    return R.coefficients(R.ols(P(spark, d).median_ts(), "median_price", model_best_terms()))
 
 
 @query("M8")
@@ -426,10 +428,10 @@ def q_m8(spark, d):
 
 @query("M9")
 def q_m9(spark, d):
-    return R.best_subsets(P(spark, d).median_ts(), "median_price", SUBSET_TERMS)
+    return R.best_subsets(P(spark, d).median_ts(), "median_price", subset_terms())
 
 
 @query("M10")
 def q_m10(spark, d):
-    fit = R.ols(P(spark, d).median_ts(), "median_price", MODEL_BEST_TERMS)
+    fit = R.ols(P(spark, d).median_ts(), "median_price", model_best_terms())
     return fit.select("n", "rss", "loglik", "aic", "aicc", "bic")
