@@ -435,3 +435,55 @@ def q_m9(spark, d):
 def q_m10(spark, d):
     fit = R.ols(P(spark, d).median_ts(), "median_price", model_best_terms())
     return fit.select("n", "rss", "loglik", "aic", "aicc", "bic")
+
+
+# ---------------------------------------------------------------- views Q1-Q7
+from .views import App  # noqa: E402
+
+VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT = "NATION_3", "3 beds, 1.5 baths", (1000.0, 5000.0)
+
+
+def _app(spark, d):
+    p = P(spark, d)
+    return App(p.sold("app"), p.statewide_ts())
+
+
+@query("Q1")
+def q_q1(spark, d):
+    return _app(spark, d).county_menu()
+
+
+@query("Q2")
+def q_q2(spark, d):
+    return _app(spark, d).bed_bath_menu(VIEW_COUNTY)
+
+
+@query("Q3")
+def q_q3(spark, d):
+    return _app(spark, d).resolve(VIEW_COUNTY, VIEW_LABEL)
+
+
+@query("Q4")
+def q_q4(spark, d):
+    return _app(spark, d).size_slider(VIEW_COUNTY, VIEW_LABEL)
+
+
+@query("Q5")
+def q_q5(spark, d):
+    return _app(spark, d).history(VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT)
+
+
+@query("Q6")
+def q_q6(spark, d):
+    return rounded(_app(spark, d).forecast("1 year"))
+
+
+@query("Q6_selection")
+def q_q6_sel(spark, d):
+    return rounded(_app(spark, d).forecast("3 years", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT,
+                                           scope="selection"))
+
+
+@query("Q7")
+def q_q7(spark, d):
+    return rounded(_app(spark, d).forecast_table("1 year", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT))

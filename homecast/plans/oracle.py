@@ -417,3 +417,63 @@ def sql(name: str) -> str:  # noqa: F811 - extends the base definition
 
 def all_sql() -> dict[str, str]:  # noqa: F811
     return {k: sql(k) for k in [*FINAL, *MODEL_FINAL]}
+
+
+# ------------------------------------------------------------------ views Q1-Q7
+def _trend_fit(src: str, value: str) -> str:
+    return f"""SELECT n, intercept, slope, sxx, syy, sxy, tbar, last_index,
+         sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / (n - 2)) AS sigma
+  FROM (SELECT count(*) AS n, regr_intercept(y, t) AS intercept, regr_slope(y, t) AS slope,
+               regr_sxx(y, t) AS sxx, regr_syy(y, t) AS syy, regr_sxy(y, t) AS sxy,
+               avg(t) AS tbar, max(month) AS last_index
+        FROM (SELECT month, {value} AS y, row_number() OVER (ORDER BY month) AS t FROM {src}))"""
+
+
+def _trend_fc(fit: str, h: int) -> str:
+    mean = "(intercept + slope * (n + step))"
+    sd = "(sigma * sqrt(1 + 1.0 / n + ((n + step) - tbar) ^ 2 / sxx))"
+    return (f"SELECT (last_index + to_months(CAST(step AS INTEGER)))::DATE AS month, "
+            f"{mean} AS mean, {sd} AS sigma, "
+            f"{mean} - 1.2815515655446004 * {sd} AS lo80, {mean} + 1.2815515655446004 * {sd} AS hi80, "
+            f"{mean} - 1.959963984540054 * {sd} AS lo95, {mean} + 1.959963984540054 * {sd} AS hi95 "
+            f"FROM (SELECT *, unnest(generate_series(1, {h})) AS step FROM {fit})")
+
+
+def _dollar(x: str) -> str:
+    return (f"(CASE WHEN round({x}, 0) < 0 THEN '-' ELSE '' END || '$' || "
+            f"format('{{:,.0f}}', abs(round({x}, 0))))")
+
+
+_VIEW = f"""
+, options AS ({_OPTIONS}),
+q3 AS (SELECT County, TRY_CAST(beds AS INTEGER) AS beds, TRY_CAST(baths AS DOUBLE) AS baths
+       FROM options WHERE County = 'NATION_3' AND bdba = '3 beds, 1.5 baths'),
+sel AS (SELECT * FROM si_app s WHERE EXISTS (SELECT 1 FROM q3 WHERE q3.County = s.County
+        AND q3.beds = s.beds AND q3.baths = s.baths)),
+sel_m AS (SELECT month, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / count(price) AS mean_sale
+          FROM sel WHERE sqft BETWEEN 1000 AND 5000 GROUP BY month),
+sel_ts AS ({gapfill('sel_m', [], ['mean_sale'], '0.0')}),
+gfit AS ({_trend_fit('ts_app', 'mean_sale')}),
+sfit AS ({_trend_fit('sel_ts', 'mean_sale')}),
+last_sale AS (SELECT month AS base_month, mean_sale AS last_sale FROM sel_m
+              WHERE month = (SELECT max(month) FROM sel_m))"""
+
+_FC_COLS = ("month, round(mean, 4) AS mean, round(sigma, 4) AS sigma, round(lo80, 4) AS lo80, "
+            "round(hi80, 4) AS hi80, round(lo95, 4) AS lo95, round(hi95, 4) AS hi95")
+
+MODEL_FINAL.update({
+    "Q1": (_VIEW, "SELECT DISTINCT County FROM options ORDER BY County"),
+    "Q2": (_VIEW, "SELECT bdba FROM options WHERE County = 'NATION_3' ORDER BY bdba"),
+    "Q3": (_VIEW, "SELECT * FROM q3"),
+    "Q4": (_VIEW, "SELECT min(sqft) AS mini, max(sqft) AS maxi FROM sel"),
+    "Q5": (_VIEW, f"SELECT month, mean_sale, strftime(month, '%Y %b') AS \"Date\", "
+                  f"{_dollar('mean_sale')} AS mean_sale_text FROM sel_m"),
+    "Q6": (_VIEW, f"SELECT {_FC_COLS} FROM ({_trend_fc('gfit', 12)})"),
+    "Q6_selection": (_VIEW, f"SELECT {_FC_COLS} FROM ({_trend_fc('sfit', 36)})"),
+    "Q7": (_VIEW, f"SELECT month, strftime(month, '%Y %b') AS \"Date\", "
+                  f"round(mean - last_sale, 4) AS price_diff, "
+                  f"{_dollar('mean - last_sale')} AS price_diff_text, "
+                  f"round(mean, 4) AS total_sale, {_dollar('mean')} AS total_sale_text, "
+                  f"strftime(base_month, '%Y %b') AS base_month "
+                  f"FROM ({_trend_fc('gfit', 12)}) f, last_sale"),
+})
