@@ -487,3 +487,92 @@ def q_q6_sel(spark, d):
 @query("Q7")
 def q_q7(spark, d):
     return rounded(_app(spark, d).forecast_table("1 year", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT))
+
+
+# ---------------------------------------------------------------- page extraction E1-E17
+from ..operators import extract as E  # noqa: E402
+from ..sources import standin as SI  # noqa: E402
+from ..sources.tables import table as _table  # noqa: E402
+
+# Link predicates are parameters: the stored pages use their own vocabulary.
+E_WORD, E_CAPITAL, E_URL_DIGITS = "/the", "/[A-Z]", 3
+
+
+def _links(spark, d):
+    return E.links(_table(spark, d, "pages", "page_id", "url", "html"))
+
+
+def _listing_pages(spark, d):
+    p = P(spark, d)
+    return SI.listing_pages(p.orders, p.customer)
+
+
+@query("E1")
+def q_e1(spark, d):
+    return _links(spark, d).select("page_id", "pos", "href")
+
+
+@query("E2")
+def q_e2(spark, d):
+    return _links(spark, d).filter(E.newest(pattern=E_WORD)).select("page_id", "pos", "href")
+
+
+@query("E3")
+def q_e3(spark, d):
+    return _links(spark, d).filter(E.other(pattern=E_WORD)).select("page_id", "pos", "href")
+
+
+@query("E4")
+def q_e4(spark, d):
+    return _links(spark, d).filter(E.other_county(pattern=E_WORD, county=E_CAPITAL)) \
+        .select("page_id", "pos", "href")
+
+
+@query("E5")
+def q_e5(spark, d):
+    pages = _table(spark, d, "pages", "page_id", "url")
+    return pages.filter(E.has_zip("url", E_URL_DIGITS))
+
+
+@query("E6")
+def q_e6(spark, d):
+    pages = _table(spark, d, "pages", "page_id", "url")
+    return pages.filter(E.address_link("url"))
+
+
+@query("E7")
+def q_e7(spark, d):
+    return _listing_pages(spark, d).filter(E.home_link("url")).select("page_id", "url")
+
+
+@query("E8")
+def q_e8(spark, d):
+    return _links(spark, d).filter(E.newest(pattern=E_WORD)).select(
+        "page_id", "pos", E.absolute("href").alias("link"))
+
+
+@query("E12")
+def q_e12(spark, d):
+    return E.listing_history(_listing_pages(spark, d))
+
+
+@query("E16")
+def q_e16(spark, d):
+    return E.listing_info(_listing_pages(spark, d))
+
+
+@query("E17")
+def q_e17(spark, d):
+    return E.listing_rejects(_listing_pages(spark, d))
+
+
+@query("W11")
+def q_w11(spark, d):
+    return S.shuffled(_links(spark, d).select("page_id", "pos", "href"), "href")
+
+
+@query("W12")
+def q_w12(spark, d):
+    # At most 3 links per page, chosen by a seeded hash (the reference samples 200).
+    return S.sample_per_group(_links(spark, d).select("page_id", "pos", "href"), "page_id", 3,
+                              "pos")

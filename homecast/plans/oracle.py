@@ -477,3 +477,41 @@ MODEL_FINAL.update({
                   f"strftime(base_month, '%Y %b') AS base_month "
                   f"FROM ({_trend_fc('gfit', 12)}) f, last_sale"),
 })
+
+
+# ------------------------------------------------------------------ pages E1-E17
+_LINKS = ("SELECT page_id, url, CAST(unnest(generate_series(0, len(h) - 1)) AS INTEGER) AS pos, "
+          "unnest(h) AS href FROM (SELECT page_id, url, "
+          "regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages)")
+_LISTING = """
+, lp AS (
+  SELECT o.o_orderkey AS page_id, '/homedetails/' || CAST(p.c_custkey AS VARCHAR) || '_zpid/' AS url,
+         CASE WHEN o.o_orderkey % 101 = 7 THEN NULL
+              ELSE p.street || ', ' || p.city || ', ' || p.state || ' ' || p.zip END AS address,
+         strftime(o.o_orderdate, '%-m/%-d/%Y') AS "Date",
+         CASE o.o_orderstatus WHEN 'F' THEN 'Sold' WHEN 'O' THEN 'Listed for sale'
+              WHEN 'P' THEN 'Price change' END AS Event,
+         '$' || format('{:,.2f}', o.o_totalprice) AS Price,
+         CAST(p.c_custkey % 6 AS INTEGER) AS beds,
+         CAST(p.c_custkey % 4 AS DOUBLE) * 0.5 + 1.0 AS baths,
+         TRY_CAST(regexp_replace(format('{:,.0f}', abs(p.c_acctbal)), '[^0-9]', '', 'g') AS DOUBLE)
+           AS sqft
+  FROM orders o JOIN props p ON o.o_custkey = p.c_custkey)"""
+
+MODEL_FINAL.update({
+    "E1": ("", f"SELECT page_id, pos, href FROM ({_LINKS})"),
+    "E2": ("", f"SELECT page_id, pos, href FROM ({_LINKS}) WHERE regexp_matches(href, '/the')"),
+    "E3": ("", f"SELECT page_id, pos, href FROM ({_LINKS}) WHERE NOT regexp_matches(href, '/the')"),
+    "E4": ("", f"SELECT page_id, pos, href FROM ({_LINKS}) WHERE NOT regexp_matches(href, '/the') "
+               f"AND regexp_matches(href, '/[A-Z]')"),
+    "E5": ("", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '[0-9]{3}')"),
+    "E6": ("", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '[0-9]/') "
+               "AND NOT regexp_matches(url, '[a-zA-Z]')"),
+    "E7": (_LISTING, "SELECT page_id, url FROM lp WHERE regexp_matches(url, '/homedetails|/home\\-details/')"),
+    "E8": ("", f"SELECT page_id, pos, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS link "
+               f"FROM ({_LINKS}) WHERE regexp_matches(href, '/the')"),
+    "E12": (_LISTING, "SELECT page_id, address, \"Date\", Event, Price FROM lp"),
+    "E16": (_LISTING, "SELECT page_id, url AS link, address, beds, baths, sqft FROM lp "
+                      "WHERE address IS NOT NULL"),
+    "E17": (_LISTING, "SELECT page_id, url FROM lp WHERE address IS NULL"),
+})
