@@ -1,0 +1,282 @@
+"""Automatic seasonal ARIMA per key (M11) and its forecasts.
+
+Spark plan:
+
+1. ``applyInPandas`` per key chooses the differencing orders d (KPSS) and D
+   (seasonal strength of an STL fit), both on one monthly series;
+2. the series rows are replicated over the candidate orders with
+   ``explode`` of a literal array (no join) and every (key, order) group is
+   fitted by conditional sum of squares in its own task, so keys *and*
+   candidate orders run in parallel;
+3. a window keeps the order with the lowest AICc per key;
+4. a second ``applyInPandas`` per key refits the chosen order and forecasts.
+
+Fits are by CSS with a Nelder-Mead search, not exact maximum likelihood, so
+coefficients are close to but not bit-equal with R's optimiser.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import tsmodels as K
+from .decompose import stl_numpy
+from .forecast import with_bands
+
+PERIOD = 12
+# Candidate orders: p, q in 0..2; P, Q in 0..1 when the series is seasonal.
+MAX_PQ, MAX_SPQ = 2, 1
+
+
+def candidate_orders(seasonal: bool = True):
+    out = []
+    for p in range(MAX_PQ + 1):
+        for q in range(MAX_PQ + 1):
+            for sp in range(MAX_SPQ + 1 if seasonal else 1):
+                for sq in range(MAX_SPQ + 1 if seasonal else 1):
+                    out.append((p, q, sp, sq))
+    return out
+
+
+def choose_differencing(y, m: int = PERIOD) -> tuple[int, int]:
+    y = np.asarray(y, dtype=float)
+    D = 0
+    if m > 1 and len(y) >= 2 * m + 1:
+        comp = stl_numpy(y, m)
+        r, s = comp["remainder"], comp["seasonal"]
+        vsr = np.var(s + r)
+        strength = max(0.0, 1 - np.var(r) / vsr) if vsr > 0 else 0.0
+        if strength > K.SEASONAL_STRENGTH_LIMIT:
+            D = 1
+    w = K.difference(y, 0, D, m)
+    d = 0
+    while d < 2 and len(w) > 3 and K.kpss_stat(w) > K.KPSS_5PCT:
+        w = w[1:] - w[:-1]
+        d += 1
+    return d, D
+
+
+def _unpack(x, p, q, P, Q, mean):
+    i = 0
+    phi = x[i:i + p]; i += p
+    theta = x[i:i + q]; i += q
+    sphi = x[i:i + P]; i += P
+    stheta = x[i:i + Q]; i += Q
+    mu = x[i] if mean else 0.0
+    return phi, theta, sphi, stheta, mu
+
+
+def css_residuals(w, ar, ma, mu):
+    """Conditional residuals: AR part as a convolution, MA part recursive
+    (errors before the first usable step are zero)."""
+    z = np.asarray(w, dtype=float) - mu
+    start = len(ar) - 1
+    if len(z) <= start:
+        return np.zeros(0)
+    v = np.convolve(z, ar)[start:len(z)]
+    q = len(ma) - 1
+    if q <= 0:
+        return v
+    e = np.zeros(len(v) + q)
+    mr = np.asarray(ma[1:], dtype=float)[::-1]
+    for i in range(len(v)):
+        e[i + q] = v[i] - mr @ e[i:i + q]
+    return e[q:]
+
+
+def fit_css(y, order, m: int = PERIOD):
+    """Fit ARIMA(p,d,q)(P,D,Q)_m by CSS.  Returns a dict with the
+    coefficients, sigma2, log-likelihood and AICc (inf when it cannot fit)."""
+    p, d, q, P, D, Q = order
+    w = K.difference(y, d, D, m)
+    mean = d + D == 0 or (d + D == 1)
+    k = p + q + P + Q + (1 if mean else 0)
+    bad = {"coef": [], "sigma2": float("nan"), "loglik": float("nan"), "aicc": float("inf"),
+           "mean": mean}
+    if len(w) <= p + q + m * (P + Q) + k + 3:
+        return bad
+    scale = float(np.std(w)) or 1.0
+    ws = w / scale
+
+    def obj(x):
+        phi, theta, sphi, stheta, mu = _unpack(x, p, q, P, Q, mean)
+        ar = K.ar_poly(phi, sphi, m)
+        ma = K.ma_poly(theta, stheta, m)
+        if not K.roots_outside(ar) or not K.roots_outside(ma):
+            return 1e10
+        e = css_residuals(ws, ar, ma, mu)
+        return float(np.sum(e * e)) if len(e) else 1e10
+
+    x0 = np.zeros(k)
+    if mean:
+        x0[-1] = float(np.mean(ws))
+    x, _ = K.nelder_mead(obj, x0, step=0.1, iters=150 * max(k, 1))
+    phi, theta, sphi, stheta, mu = _unpack(x, p, q, P, Q, mean)
+    ar = K.ar_poly(phi, sphi, m)
+    ma = K.ma_poly(theta, stheta, m)
+    e = css_residuals(ws, ar, ma, mu) * scale
+    ne = len(e)
+    sigma2 = float(np.sum(e * e) / ne)
+    if not np.isfinite(sigma2) or sigma2 <= 0:
+        return bad
+    ll = -ne / 2 * (math.log(2 * math.pi * sigma2) + 1)
+    npar = k + 1
+    aic = -2 * ll + 2 * npar
+    aicc = aic + 2 * npar * (npar + 1) / (ne - npar - 1) if ne - npar - 1 > 0 else float("inf")
+    coef = list(phi) + list(theta) + list(sphi) + list(stheta) + ([mu * scale] if mean else [])
+    return {"coef": [float(c) for c in coef], "sigma2": sigma2, "loglik": ll, "aicc": aicc,
+            "aic": aic, "mean": mean, "resid": e}
+
+
+def forecast_arima(y, order, coef, sigma2, h: int, m: int = PERIOD):
+    """Point forecasts and standard errors h steps ahead."""
+    p, d, q, P, D, Q = order
+    mean = d + D <= 1
+    k = p + q + P + Q + (1 if mean else 0)
+    phi, theta, sphi, stheta, mu = _unpack(np.asarray(coef + [0.0] * (k - len(coef))),
+                                           p, q, P, Q, mean)
+    ar = K.ar_poly(phi, sphi, m)
+    ma = K.ma_poly(theta, stheta, m)
+    y = np.asarray(y, dtype=float)
+    w = K.difference(y, d, D, m)
+    e_hist = np.zeros(len(w))
+    start = len(ar) - 1
+    e_fit = css_residuals(w, ar, ma, mu)
+    e_hist[start:] = e_fit
+    z = list(w - mu)
+    e = list(e_hist)
+    for _ in range(h):
+        t = len(z)
+        v = 0.0
+        for kk in range(1, len(ar)):
+            v -= ar[kk] * z[t - kk] if t - kk >= 0 else 0.0
+        for kk in range(1, len(ma)):
+            v += ma[kk] * e[t - kk] if t - kk >= 0 else 0.0
+        z.append(v)
+        e.append(0.0)
+    wf = np.array(z[len(w):]) + mu
+    # Integrate back: regular differences, then seasonal ones.
+    levels = []
+    series = [y.copy()]
+    for _ in range(D):
+        series.append(series[-1][m:] - series[-1][:-m])
+    for _ in range(d):
+        series.append(series[-1][1:] - series[-1][:-1])
+    fc = wf
+    for lvl in range(len(series) - 2, -1, -1):
+        base = series[lvl]
+        lag = 1 if lvl >= D else m
+        ext = list(base)
+        for v in fc:
+            ext.append(v + ext[-lag])
+        fc = np.array(ext[len(base):])
+    full_ar = ar.copy()
+    for _ in range(d):
+        full_ar = K.poly_mul(full_ar, [1.0, -1.0])
+    for _ in range(D):
+        s = np.zeros(m + 1)
+        s[0], s[m] = 1.0, -1.0
+        full_ar = K.poly_mul(full_ar, s)
+    psi = K.psi_weights(full_ar, ma, h)
+    se = np.sqrt(sigma2 * np.cumsum(psi ** 2))
+    return fc, se
+
+
+def _ddl(df: DataFrame, cols) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
+def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
+               period: int = PERIOD) -> DataFrame:
+    """M11 ``model(ARIMA(y))``: one row per key with the chosen order
+    (p, d, q)(sp, sd, sq)_12, coefficients, sigma2, log-likelihood and AICc."""
+    keys = list(keys)
+    d0 = series.select(*keys, index, F.col(value).cast("double").alias("y"))
+    if not keys:
+        d0 = d0.withColumn("_k", F.lit(0))
+        keys_i = ["_k"]
+    else:
+        keys_i = keys
+    kd = _ddl(d0, keys_i)
+
+    def diffs(pdf):
+        pdf = pdf.sort_values(index)
+        d, D = choose_differencing(pdf["y"].to_numpy(), period)
+        out = pdf[keys_i].iloc[:1].copy()
+        out["d"], out["sd"], out["n"] = d, D, len(pdf)
+        return out
+
+    dd = d0.groupBy(*keys_i).applyInPandas(diffs, f"{kd}, d int, sd int, n long")
+    seasonal_ok = F.col("n") >= 2 * period + 1
+    cands = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(sp).alias("sp"),
+                               F.lit(sq).alias("sq")) for p, q, sp, sq in candidate_orders()])
+    rows = d0.join(dd, keys_i).select(*keys_i, index, "y", "d", "sd", "n",
+                                      F.explode(cands).alias("o"))
+    rows = rows.filter(seasonal_ok | ((F.col("o.sp") == 0) & (F.col("o.sq") == 0)))
+    rows = rows.select(*keys_i, index, "y", "d", "sd", "o.p", "o.q", "o.sp", "o.sq")
+
+    def fit(pdf):
+        pdf = pdf.sort_values(index)
+        r = pdf.iloc[0]
+        order = (int(r.p), int(r.d), int(r.q), int(r.sp), int(r.sd), int(r.sq))
+        res = fit_css(pdf["y"].to_numpy(), order, period)
+        out = pdf[keys_i].iloc[:1].copy()
+        for nme, v in zip(("p", "d", "q", "sp", "sd", "sq"), order):
+            out[nme] = v
+        out["include_mean"] = bool(res["mean"])
+        out["coef"] = [res["coef"]]
+        out["sigma2"] = res["sigma2"]
+        out["loglik"] = res["loglik"]
+        out["aicc"] = res["aicc"]
+        return out
+
+    schema = (f"{kd}, p int, d int, q int, sp int, sd int, sq int, include_mean boolean, "
+              "coef array<double>, sigma2 double, loglik double, aicc double")
+    fits = rows.groupBy(*keys_i, "p", "d", "q", "sp", "sd", "sq").applyInPandas(fit, schema)
+    w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "sp", "sq")
+    best = fits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return best.drop("_k") if not keys else best
+
+
+def arima_forecast(series: DataFrame, model: DataFrame, value: str, h, keys=(),
+                   index: str = "month", period: int = PERIOD) -> DataFrame:
+    """M13 + M14 for a fitted ``auto_arima`` model: keys, month, mean,
+    sigma and 80/95% bands.  ``h`` is an int or a column holding months."""
+    keys = list(keys)
+    s = series.select(*keys, index, F.col(value).cast("double").alias("y"))
+    mdl = model
+    if not keys:
+        s = s.withColumn("_k", F.lit(0))
+        mdl = model.withColumn("_k", F.lit(0))
+        keys_i = ["_k"]
+    else:
+        keys_i = keys
+    hcol = F.lit(h) if isinstance(h, int) else (F.col(h) if isinstance(h, str) else h)
+    mdl = mdl.withColumn("_h", hcol.cast("int"))
+    j = s.join(mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "coef", "sigma2", "_h"),
+               keys_i)
+    kd = _ddl(s, keys_i)
+
+    def fc(pdf):
+        pdf = pdf.sort_values(index)
+        r = pdf.iloc[0]
+        order = (int(r.p), int(r.d), int(r.q), int(r.sp), int(r.sd), int(r.sq))
+        hh = int(r["_h"])
+        mean, se = forecast_arima(pdf["y"].to_numpy(), order, list(r.coef), float(r.sigma2),
+                                  hh, period)
+        last = pd.Timestamp(pdf[index].iloc[-1])
+        months = [(last + pd.DateOffset(months=i)).date() for i in range(1, hh + 1)]
+        out = pd.DataFrame({index: months, "mean": mean, "sigma": se})
+        for kk in keys_i:
+            out[kk] = r[kk]
+        return out[[*keys_i, index, "mean", "sigma"]]
+
+    out = j.groupBy(*keys_i).applyInPandas(
+        fc, f"{kd}, `{index}` date, mean double, sigma double")
+    out = with_bands(out)
+    return out.drop("_k") if not keys else out

@@ -11,11 +11,19 @@ from .clean import ADDRESS_KEYS, EVENT_SOLD, complete_rows
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+_SIZE_CHECKS: dict[tuple[int, int], bool] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only after checking the row count; beyond the bound the
-    plain DataFrame is returned and the planner (AQE) picks a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    plain DataFrame is returned and the planner (AQE) picks a shuffle join.
+    The check runs once per distinct plan (``semanticHash``) and session."""
+    key = (df.semanticHash(), max_rows)
+    small = _SIZE_CHECKS.get(key)
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        _SIZE_CHECKS[key] = small
+    return F.broadcast(df) if small else df
 
 
 LOOKUP_MODES = ("first_zip", "zip_region", "all")

@@ -1,0 +1,116 @@
+"""Small numpy kernels shared by the per-key model fits (ARIMA, ETS).
+
+They only ever see one aggregated series (one value per month) or a few
+parameters, never raw sales.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+
+def nelder_mead(f, x0, step=0.1, iters=400, tol=1e-8):
+    """Minimise ``f`` from ``x0`` with the Nelder-Mead simplex (Nelder and Mead 1965)."""
+    x0 = np.asarray(x0, dtype=float)
+    k = len(x0)
+    if k == 0:
+        return x0, f(x0)
+    pts = [x0] + [x0 + step * np.eye(k)[i] for i in range(k)]
+    vals = [f(p) for p in pts]
+    for _ in range(iters):
+        order = np.argsort(vals)
+        pts = [pts[i] for i in order]
+        vals = [vals[i] for i in order]
+        if abs(vals[-1] - vals[0]) <= tol * (abs(vals[0]) + tol):
+            break
+        c = np.mean(pts[:-1], axis=0)
+        xr = c + (c - pts[-1])
+        fr = f(xr)
+        if fr < vals[0]:
+            xe = c + 2 * (c - pts[-1])
+            fe = f(xe)
+            pts[-1], vals[-1] = (xe, fe) if fe < fr else (xr, fr)
+        elif fr < vals[-2]:
+            pts[-1], vals[-1] = xr, fr
+        else:
+            xc = c + 0.5 * (pts[-1] - c)
+            fc = f(xc)
+            if fc < vals[-1]:
+                pts[-1], vals[-1] = xc, fc
+            else:
+                pts = [pts[0] + 0.5 * (p - pts[0]) for p in pts]
+                vals = [f(p) for p in pts]
+    i = int(np.argmin(vals))
+    return pts[i], vals[i]
+
+
+def kpss_stat(y) -> float:
+    """KPSS level-stationarity statistic (Kwiatkowski et al. 1992) with a
+    Bartlett long-run variance of lag floor(3 sqrt(n) / 13)."""
+    y = np.asarray(y, dtype=float)
+    n = len(y)
+    e = y - y.mean()
+    s = np.cumsum(e)
+    lags = int(math.floor(3 * math.sqrt(n) / 13))
+    lr = np.sum(e * e) / n
+    for j in range(1, lags + 1):
+        lr += 2 * (1 - j / (lags + 1)) * np.sum(e[j:] * e[:-j]) / n
+    return float(np.sum(s * s) / (n * n * lr)) if lr > 0 else 0.0
+
+
+KPSS_5PCT = 0.463
+SEASONAL_STRENGTH_LIMIT = 0.64
+
+
+def poly_mul(a, b):
+    return np.convolve(a, b)
+
+
+def ar_poly(phi, sphi, m):
+    """Coefficients of (1 - sum phi B^i)(1 - sum Phi B^{mi}) as [1, c1, c2, ...]."""
+    a = np.r_[1.0, -np.asarray(phi, dtype=float)]
+    s = np.zeros(m * len(sphi) + 1)
+    s[0] = 1.0
+    for j, v in enumerate(sphi, 1):
+        s[m * j] = -v
+    return poly_mul(a, s)
+
+
+def ma_poly(theta, stheta, m):
+    a = np.r_[1.0, np.asarray(theta, dtype=float)]
+    s = np.zeros(m * len(stheta) + 1)
+    s[0] = 1.0
+    for j, v in enumerate(stheta, 1):
+        s[m * j] = v
+    return poly_mul(a, s)
+
+
+def roots_outside(poly) -> bool:
+    """True when every root of the lag polynomial lies outside the unit circle."""
+    c = np.trim_zeros(np.asarray(poly, dtype=float), "b")
+    if len(c) <= 1:
+        return True
+    r = np.roots(c[::-1])
+    return bool(np.all(np.abs(r) > 1.0 + 1e-6))
+
+
+def difference(y, d: int, D: int, m: int):
+    w = np.asarray(y, dtype=float)
+    for _ in range(D):
+        w = w[m:] - w[:-m]
+    for _ in range(d):
+        w = w[1:] - w[:-1]
+    return w
+
+
+def psi_weights(ar_full, ma_full, h: int):
+    """MA(infinity) weights of ma(B) / ar(B) for j = 0..h-1 (ar includes differencing)."""
+    psi = np.zeros(h)
+    for j in range(h):
+        v = ma_full[j] if j < len(ma_full) else 0.0
+        for i in range(1, min(j, len(ar_full) - 1) + 1):
+            v -= ar_full[i] * psi[j - i]
+        psi[j] = v
+    return psi

@@ -576,3 +576,41 @@ def q_w12(spark, d):
     # At most 3 links per page, chosen by a seeded hash (the reference samples 200).
     return S.sample_per_group(_links(spark, d).select("page_id", "pos", "href"), "page_id", 3,
                               "pos")
+
+
+# ---------------------------------------------------------------- ARIMA M11
+from ..operators import arima as AR  # noqa: E402
+
+
+@query("M11")
+def q_m11(spark, d):
+    # fit <- ts %>% model(ARIMA(mean_sale)) on the statewide series.
+    return rounded(AR.auto_arima(P(spark, d).statewide_ts(), "mean_sale"))
+
+
+@query("M11_region")
+def q_m11_region(spark, d):
+    return rounded(AR.auto_arima(P(spark, d).region_ts(), "mean_sale", keys=["Region"]))
+
+
+@query("M11_medians")
+def q_m11_medians(spark, d):
+    # fit_arima <- ts %>% model(ARIMA(median_price)) on the median series.
+    return rounded(AR.auto_arima(P(spark, d).median_ts(), "median_price"))
+
+
+@query("M13_arima")
+def q_m13_arima(spark, d):
+    ts = P(spark, d).statewide_ts()
+    return rounded(AR.arima_forecast(ts, AR.auto_arima(ts, "mean_sale"), "mean_sale", 12))
+
+
+@query("Q6_arima")
+def q_q6_arima(spark, d):
+    return rounded(_app(spark, d).forecast("3 years", model="arima"))
+
+
+@query("Q7_arima")
+def q_q7_arima(spark, d):
+    return rounded(_app(spark, d).forecast_table("1 year", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT,
+                                                 model="arima"))

@@ -22,8 +22,8 @@ class Pipeline:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def t(self, name: str, *cols: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name, *cols)
+    def t(self, name: str, *cols: str, parallel: bool = False) -> DataFrame:
+        return table(self.spark, self.sf_dir, name, *cols, parallel=parallel)
 
     # --- raw stand-ins -------------------------------------------------
     @property
@@ -33,7 +33,7 @@ class Pipeline:
     @property
     def orders(self) -> DataFrame:
         return self.t("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                      "o_orderdate", "o_orderpriority")
+                      "o_orderdate", "o_orderpriority", parallel=True)
 
     @property
     def history_raw(self) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregate as A
+from ..operators import arima as AR
 from ..operators import forecast as FC
 from ..operators import regress as R
 from ..operators import series as S
@@ -68,26 +69,32 @@ class App:
 
     # Q6
     def forecast(self, horizon: str, county=None, bdba=None, sqft_range=None,
-                 scope: str = "global") -> DataFrame:
+                 scope: str = "global", model: str = "trend") -> DataFrame:
         """Forecast of the mean sale price ``horizon`` ahead ('1 year' ...).
         ``global`` fits the statewide series, as the app does; ``selection``
-        fits the selected series itself."""
+        fits the selected series itself.  ``model`` is 'arima' (the app's
+        automatic ARIMA) or 'trend' (linear trend)."""
         if scope == "global":
             series = self.ts.select("month", "mean_sale")
         else:
             series = S.fill_gaps(A.mean_series(self.selected(county, bdba, sqft_range)),
                                  fill={"mean_sale": 0.0})
+        if model == "arima":
+            fit = AR.auto_arima(series, "mean_sale").withColumn(
+                "h", T.horizon_months(F.lit(horizon)))
+            return AR.arima_forecast(series, fit, "mean_sale", "h")
         fit = R.trend_fit(series, "mean_sale").withColumn("h", T.horizon_months(F.lit(horizon)))
         return FC.trend_forecast(fit, "h")
 
     # Q7
     def forecast_table(self, horizon: str, county: str, bdba: str, sqft_range=None,
-                       scope: str = "global") -> DataFrame:
+                       scope: str = "global", model: str = "trend") -> DataFrame:
         """Projected month, difference from the selection's last sale, price."""
         last = S.last_observation(A.mean_series(self.selected(county, bdba, sqft_range)))
         last = last.select(F.lit(1).alias("_one"), F.col("month").alias("base_month"),
                            F.col("mean_sale").alias("last_sale"))
-        fc = self.forecast(horizon, county, bdba, sqft_range, scope).withColumn("_one", F.lit(1))
+        fc = self.forecast(horizon, county, bdba, sqft_range, scope, model) \
+            .withColumn("_one", F.lit(1))
         j = fc.join(F.broadcast(last), "_one")
         diff = F.col("mean") - F.col("last_sale")
         return j.select("month", T.month_label("month").alias("Date"),

@@ -10,11 +10,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer input splits than the cluster has task
+    slots (e.g. one large row group) over all slots with a round-robin
+    repartition, so per-row parsing runs in parallel.  A big table already has
+    thousands of splits and is returned unchanged (no extra shuffle)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
+          parallel: bool = False) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return ensure_parallelism(df) if parallel else df
 
 
 class Tables:
