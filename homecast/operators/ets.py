@@ -1,0 +1,197 @@
+"""Exponential smoothing per key (M12) with forecasts.
+
+Additive-error state-space models (Hyndman et al. 2008) with additive or
+damped trend and additive season: ANN, AAN, AAdN, ANA, AAA, AAdA.
+Multiplicative forms need a strictly positive series, which zero-filled
+gaps break, so they are not offered.  Like ARIMA, every (key, model)
+pair is one ``applyInPandas`` group; a window keeps the lowest AICc per key.
+The chosen model row carries its final states, so forecasting is a
+``mapInPandas`` over model rows (no second pass over the series).
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import tsmodels as K
+from .forecast import with_bands
+
+PERIOD = 12
+# name -> (trend: N/A/Ad, season: N/A)
+MODELS = {"ANN": ("N", "N"), "AAN": ("A", "N"), "AAdN": ("Ad", "N"),
+          "ANA": ("N", "A"), "AAA": ("A", "A"), "AAdA": ("Ad", "A")}
+
+
+def _init_states(y, trend, season, m):
+    n = len(y)
+    if season == "A" and n >= 2 * m:
+        l0 = float(np.mean(y[:m]))
+        b0 = float((np.mean(y[m:2 * m]) - np.mean(y[:m])) / m) if trend != "N" else 0.0
+        s = np.asarray(y[:m], dtype=float) - l0
+        s = s - s.mean()
+    else:
+        l0 = float(y[0])
+        b0 = float(y[1] - y[0]) if trend != "N" and n > 1 else 0.0
+        s = np.zeros(m)
+    return l0, b0, s
+
+
+def _run(y, params, trend, season, m, l0, b0, s0):
+    """One pass of the recursions: residuals and final states."""
+    alpha, beta, gamma, phi = params
+    l, b = l0, b0
+    s = list(s0)          # s[-m] is the seasonal state m steps back
+    e = np.empty(len(y))
+    for t, yt in enumerate(y):
+        sm = s[-m] if season == "A" else 0.0
+        damp = phi * b if trend != "N" else 0.0
+        yhat = l + damp + sm
+        err = yt - yhat
+        e[t] = err
+        l_new = l + damp + alpha * err
+        b = (damp + beta * err) if trend != "N" else 0.0
+        l = l_new
+        if season == "A":
+            s.append(sm + gamma * err)
+    return e, l, b, np.asarray(s[-m:] if season == "A" else np.zeros(m))
+
+
+def fit_ets(y, name: str, m: int = PERIOD) -> dict:
+    trend, season = MODELS[name]
+    y = np.asarray(y, dtype=float)
+    n = len(y)
+    if season == "A" and n < 2 * m + 2:
+        return {"aicc": float("inf")}
+    l0, b0, s0 = _init_states(y, trend, season, m)
+    scale = float(np.std(y)) or 1.0
+
+    def unpack(x):
+        alpha = x[0]
+        beta = x[1] if trend != "N" else 0.0
+        gamma = x[2] if season == "A" else 0.0
+        phi = x[3] if trend == "Ad" else 1.0
+        return alpha, beta, gamma, phi, l0 + x[4] * scale, b0 + x[5] * scale / max(n, 1)
+
+    def obj(x):
+        alpha, beta, gamma, phi, l, b = unpack(x)
+        if not (0 < alpha < 1) or (trend != "N" and not (0 < beta < alpha)) \
+                or (season == "A" and not (0 < gamma < 1 - alpha)) \
+                or (trend == "Ad" and not (0.8 <= phi <= 0.98)):
+            return 1e12
+        e, *_ = _run(y, (alpha, beta, gamma, phi), trend, season, m, l, b, s0)
+        return float(np.sum((e / scale) ** 2))
+
+    x0 = np.array([0.3, 0.05, 0.05, 0.9, 0.0, 0.0])
+    x, _ = K.nelder_mead(obj, x0, step=0.05, iters=800)
+    alpha, beta, gamma, phi, l, b = unpack(x)
+    e, lf, bf, sf = _run(y, (alpha, beta, gamma, phi), trend, season, m, l, b, s0)
+    sse = float(np.sum(e * e))
+    sigma2 = sse / n
+    if not np.isfinite(sigma2) or sigma2 <= 0:
+        return {"aicc": float("inf")}
+    ll = -0.5 * n * (math.log(2 * math.pi * sigma2) + 1)
+    k = 1 + (trend != "N") + (season == "A") + (trend == "Ad") + 1 + (trend != "N") \
+        + (m - 1 if season == "A" else 0) + 1
+    aic = -2 * ll + 2 * k
+    aicc = aic + 2 * k * (k + 1) / (n - k - 1) if n - k - 1 > 0 else float("inf")
+    return {"alpha": alpha, "beta": beta, "gamma": gamma, "phi": phi, "sigma2": sigma2,
+            "loglik": ll, "aic": aic, "aicc": aicc, "level": lf, "slope": bf,
+            "season": [float(v) for v in sf], "resid": [float(v) for v in e]}
+
+
+def forecast_ets(name: str, p: dict, h: int, m: int = PERIOD):
+    """Mean and standard error h steps ahead from the final states."""
+    trend, season = MODELS[name]
+    alpha, beta, gamma, phi = p["alpha"], p["beta"], p["gamma"], p["phi"]
+
+    def path(l, b, s, shock):
+        out = []
+        s = list(s)
+        for j in range(h):
+            sm = s[-m] if season == "A" else 0.0
+            damp = phi * b if trend != "N" else 0.0
+            yhat = l + damp + sm
+            out.append(yhat)
+            err = shock if j == 0 else 0.0
+            l, b = l + damp + alpha * err, (damp + beta * err) if trend != "N" else 0.0
+            if season == "A":
+                s.append(sm + gamma * err)
+        return np.array(out)
+
+    s0 = p["season"] if season == "A" else [0.0] * m
+    mean = path(p["level"], p["slope"], s0, 0.0)
+    # c_j: response of the (j+1)-step forecast to a unit error now.
+    resp = path(p["level"], p["slope"], s0, 1.0) - mean
+    c = np.r_[1.0, resp[1:]]
+    se = np.sqrt(p["sigma2"] * np.cumsum(c ** 2))
+    return mean, se
+
+
+def _ddl(df: DataFrame, cols) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
+MODEL_COLS = ("model string, alpha double, beta double, gamma double, phi double, "
+              "sigma2 double, loglik double, aicc double, level double, slope double, "
+              "season array<double>, resid array<double>, last_index date")
+
+
+def auto_ets(series: DataFrame, value: str, keys=(), index: str = "month",
+             models=tuple(MODELS), period: int = PERIOD) -> DataFrame:
+    """M12 ``model(ETS(y))``: best additive model per key by AICc."""
+    keys = list(keys)
+    d0 = series.select(*keys, index, F.col(value).cast("double").alias("y"))
+    if not keys:
+        d0 = d0.withColumn("_k", F.lit(0))
+    keys_i = keys or ["_k"]
+    rows = d0.select(*keys_i, index, "y",
+                     F.explode(F.array(*[F.lit(mn) for mn in models])).alias("model"))
+
+    def fit(pdf):
+        pdf = pdf.sort_values(index)
+        name = pdf["model"].iloc[0]
+        res = fit_ets(pdf["y"].to_numpy(), name, period)
+        out = pdf[keys_i].iloc[:1].copy()
+        out["model"] = name
+        for c in ("alpha", "beta", "gamma", "phi", "sigma2", "loglik", "aicc", "level", "slope"):
+            out[c] = res.get(c, float("nan"))
+        out["season"] = [res.get("season", [])]
+        out["resid"] = [res.get("resid", [])]
+        out["last_index"] = pd.Timestamp(pdf[index].iloc[-1]).date()
+        return out
+
+    fits = rows.groupBy(*keys_i, "model").applyInPandas(fit, f"{_ddl(d0, keys_i)}, {MODEL_COLS}")
+    w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "model")
+    best = fits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return best.drop("_k") if not keys else best
+
+
+def ets_forecast(model: DataFrame, h, keys=(), index: str = "month",
+                 period: int = PERIOD) -> DataFrame:
+    """M13 + M14 for ``auto_ets`` rows: keys, month, mean, sigma, bands."""
+    keys = list(keys)
+    hcol = F.lit(h) if isinstance(h, int) else (F.col(h) if isinstance(h, str) else h)
+    mdl = model.withColumn("_h", hcol.cast("int"))
+    kd = _ddl(mdl, keys) + ", " if keys else ""
+
+    def fc(it):
+        for pdf in it:
+            rows = []
+            for r in pdf.to_dict("records"):
+                hh = int(r["_h"])
+                mean, se = forecast_ets(r["model"], r, hh, period)
+                last = pd.Timestamp(r["last_index"])
+                for j in range(hh):
+                    row = {k: r[k] for k in keys}
+                    row.update({index: (last + pd.DateOffset(months=j + 1)).date(),
+                                "mean": float(mean[j]), "sigma": float(se[j])})
+                    rows.append(row)
+            yield pd.DataFrame(rows, columns=[*keys, index, "mean", "sigma"])
+
+    out = mdl.mapInPandas(fc, f"{kd}`{index}` date, mean double, sigma double")
+    return with_bands(out)

@@ -614,3 +614,39 @@ def q_q6_arima(spark, d):
 def q_q7_arima(spark, d):
     return rounded(_app(spark, d).forecast_table("1 year", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT,
                                                  model="arima"))
+
+
+# ---------------------------------------------------------------- ETS M12, reconciliation M15
+from ..operators import ets as ETS  # noqa: E402
+from ..operators import reconcile as REC  # noqa: E402
+
+
+@query("M12")
+def q_m12(spark, d):
+    # reg %>% model(base = ETS(mean_sale)) per Region.
+    return rounded(ETS.auto_ets(P(spark, d).region_ts(), "mean_sale", keys=["Region"])
+                   .drop("season", "resid"))
+
+
+@query("M12_forecast")
+def q_m12_fc(spark, d):
+    fit = ETS.auto_ets(P(spark, d).region_ts(), "mean_sale", keys=["Region"])
+    return rounded(ETS.ets_forecast(fit.withColumn("h", T.horizon_months(F.lit("5 months"))),
+                                    "h", keys=["Region"]))
+
+
+def _hierarchy_fit(spark, d):
+    si = P(spark, d).sold("viz")
+    nodes = REC.hierarchy_series(si, "Region", "price")
+    nodes = S.fill_gaps(nodes, keys=["node"], fill={"price": 0.0})
+    return ETS.auto_ets(nodes, "price", keys=["node"])
+
+
+@query("M15")
+def q_m15(spark, d):
+    # Hierarchy total -> Region of monthly sales totals; ETS base forecasts
+    # reconciled bottom-up, by OLS and by MinT-shrink, 5 months ahead.
+    fit = _hierarchy_fit(spark, d)
+    fc = ETS.ets_forecast(fit, 5, keys=["node"]).select("node", "month", "mean")
+    res = fit.select("node", F.posexplode("resid").alias("t", "resid"))
+    return rounded(REC.reconcile(fc, res))
