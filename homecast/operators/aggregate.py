@@ -50,9 +50,13 @@ def by_period(df: DataFrame, keys=(), period: str = "month", index: str = "month
 
 
 def mean_series(df: DataFrame, keys=(), value: str = "price", name: str = "mean_sale",
-                index: str = "month") -> DataFrame:
-    """Mean of ``value`` per (index, keys)."""
-    return df.groupBy(index, *keys).agg(_mean(value).alias(name))
+                index: str = "month", na_rm: bool = True) -> DataFrame:
+    """Mean of ``value`` per (index, keys).  With
+    ``na_rm=False`` a group holding a NULL gets a NULL mean, as R's ``mean``."""
+    m = _mean(value)
+    if not na_rm:
+        m = F.when(F.count(F.lit(1)) == F.count(value), m)
+    return df.groupBy(index, *keys).agg(m.alias(name))
 
 
 def means(df: DataFrame, measures: dict[str, str], keys=(), index: str = "month") -> DataFrame:

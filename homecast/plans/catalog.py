@@ -650,3 +650,85 @@ def q_m15(spark, d):
     fc = ETS.ets_forecast(fit, 5, keys=["node"]).select("node", "month", "mean")
     res = fit.select("node", F.posexplode("resid").alias("t", "resid"))
     return rounded(REC.reconcile(fc, res))
+
+
+# ---------------------------------------------------------------- joins, set operations, sources
+import uuid  # noqa: E402
+
+from ..operators import enrich as EN  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..streaming import ingest as ING  # noqa: E402
+
+
+@query("J4")
+def q_j4(spark, d):
+    # reg <- si %>% left_join(county_region, by = "County") %>% group_by(Date, Region)
+    p = P(spark, d)
+    si = p.sold("report").join(EN.bounded_broadcast(p.county_regions), "County", "left")
+    m = A.mean_series(si, keys=["Region"], na_rm=False)
+    return clean.complete_rows(m)
+
+
+@query("J6")
+def q_j6(spark, d):
+    si = P(spark, d).sold("viz")
+    return rounded(EN.natural_full_join(A.mean_series(si), A.median_series(si)))
+
+
+@query("J6_region")
+def q_j6_region(spark, d):
+    si = P(spark, d).sold("viz")
+    j = EN.natural_full_join(A.mean_series(si, keys=["Region"]),
+                             A.median_series(si, keys=["Region"]))
+    return rounded(A.unpivot_measures(j, ["month", "Region"], ["mean_sale", "median_sale"],
+                                      "measure", "price"))
+
+
+@query("J7")
+def q_j7(spark, d):
+    # County pages paired with the ZIP pages of the same county (equi-join).
+    p = P(spark, d)
+    counties = p.county_zips.select("County").distinct().withColumn(
+        "county_link", F.concat(F.lit("/"), F.lower("County"), F.lit("-county/")))
+    pairs = EN.pair_by_key(counties, p.county_zips, "County")
+    return pairs.select("County", "zip", F.concat("county_link", "zip").alias("link"))
+
+
+@query("J8")
+def q_j8(spark, d):
+    # Work list: home links not yet visited (visited = homes with a stored page of a sale).
+    p = P(spark, d)
+    homes = p.info_raw.select("link")
+    pages = E.listing_history(_listing_pages(spark, d)).filter(F.col("Event") == "Sold")
+    visited = _listing_pages(spark, d).join(pages.select("page_id"), "page_id", "left_semi") \
+        .select(F.col("url").alias("link"))
+    return EN.remove_visited(homes, visited, "link")
+
+
+@query("X2")
+def q_x2(spark, d):
+    # Info rows from stored pages appended to the scraped info table (list_price only there).
+    p = P(spark, d)
+    scraped = E.listing_info(_listing_pages(spark, d)).drop("page_id")
+    return EN.append_rows(p.info_raw, scraped)
+
+
+@query("X4")
+def q_x4(spark, d):
+    h = P(spark, d).h
+    return EN.bag_difference(h, clean.events(h, clean.EVENT_SOLD))
+
+
+@query("S1")
+def q_s1(spark, d):
+    # S6 then S1: the history table written as CSV into the shared checkpoint
+    # folder and read back with its explicit schema, then cleaned (B1).
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    FS.write_csv(P(spark, d).history_raw, folder)
+    return clean.clean_history(FS.read_history(spark, folder))
+
+
+@query("U1")
+def q_u1(spark, d):
+    return ING.ingest_batch(_table(spark, d, "events"))

@@ -515,3 +515,31 @@ MODEL_FINAL.update({
                       "WHERE address IS NOT NULL"),
     "E17": (_LISTING, "SELECT page_id, url FROM lp WHERE address IS NULL"),
 })
+
+
+MODEL_FINAL.update({
+    "J4": ("", "SELECT month, Region, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / count(price) "
+               "AS mean_sale FROM si_rep s LEFT JOIN county_regions USING (County) "
+               "WHERE month IS NOT NULL AND Region IS NOT NULL GROUP BY month, Region "
+               "HAVING count(price) = count(*)"),
+    "J6": ("", "SELECT month, mean_sale, round(median_sale, 4) AS median_sale FROM "
+               "(SELECT month, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / count(price) AS mean_sale "
+               "FROM si_viz GROUP BY month) FULL JOIN (SELECT month, median(price) AS median_sale "
+               "FROM si_viz GROUP BY month) USING (month)"),
+    "J6_region": ("", "SELECT month, Region, measure, CASE WHEN measure = 'mean_sale' THEN price "
+                      "ELSE round(price, 4) END AS price FROM (SELECT month, Region, 'mean_sale' "
+                      "AS measure, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / count(price) AS price "
+                      "FROM si_viz GROUP BY ALL UNION ALL SELECT month, Region, 'median_sale', "
+                      "median(price) FROM si_viz GROUP BY ALL)"),
+    "J7": ("", "SELECT c.County, z.zip, '/' || lower(c.County) || '-county/' || z.zip AS link "
+               "FROM (SELECT DISTINCT County FROM county_zips) c JOIN county_zips z USING (County)"),
+    "X4": ("", "SELECT * FROM h EXCEPT ALL SELECT * FROM h WHERE Event = 'Sold'"),
+    "S1": ("", "SELECT * FROM h"),
+    "U1": ("", "SELECT DISTINCT ts, user_id, event_type, value, props FROM events"),
+})
+MODEL_FINAL["J8"] = (MODEL_FINAL["E12"][0], "SELECT link FROM info_raw WHERE link NOT IN "
+                     "(SELECT url FROM lp WHERE Event = 'Sold')")
+MODEL_FINAL["X2"] = (MODEL_FINAL["E12"][0],
+                     "SELECT link, address, '$' || format('{:,.0f}', abs(sqft) * 100) AS list_price, "
+                     "beds, baths, sqft FROM info_raw UNION ALL SELECT url AS link, address, "
+                     "NULL AS list_price, beds, baths, sqft FROM lp WHERE address IS NOT NULL")
