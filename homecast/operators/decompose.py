@@ -79,28 +79,44 @@ def henderson_weights(terms: int) -> list[float]:
     return out
 
 
-def _weighted(y: str, weights, w: Window) -> Column:
-    """Centred weighted moving sum; NULL unless every term exists."""
+def _weighted(y: str, weights, w: Window, truncate: bool = False) -> Column:
+    """Centred weighted moving sum.  Without ``truncate`` it is NULL unless
+    every term exists; with it, missing terms at the ends are dropped and the
+    remaining weights renormalised (a simple asymmetric end filter)."""
     h = (len(weights) - 1) // 2
     terms = [F.lag(y, h - i).over(w) if i < h else
              (F.col(y) if i == h else F.lead(y, i - h).over(w)) for i in range(len(weights))]
-    acc = None
-    for wt, t in zip(weights, terms):
-        acc = t * wt if acc is None else acc + t * wt
-    return acc
+    if not truncate:
+        acc = None
+        for wt, t in zip(weights, terms):
+            acc = t * wt if acc is None else acc + t * wt
+        return acc
+    num = sum((F.coalesce(t * wt, F.lit(0.0)) for wt, t in zip(weights, terms)), F.lit(0.0))
+    den = sum((F.when(t.isNotNull(), F.lit(wt)).otherwise(F.lit(0.0))
+               for wt, t in zip(weights, terms)), F.lit(0.0))
+    return F.when(F.col(y).isNotNull() & (den > 0.25), num / den)
 
 
 def _seasonal_ma(si: str, keys, index, weights) -> Column:
     """Seasonal moving average across years at the same cycle position."""
     w = Window.partitionBy(*keys, "_pos").orderBy(index)
-    return _weighted(si, weights, w)
+    return _weighted(si, weights, w, truncate=True)
+
+
+def _trend_ma(y: str, keys, index, period: int) -> Column:
+    """2x12 centred moving average with truncated ends (X-11 only)."""
+    h = period // 2
+    wts = [0.5 / period] + [1.0 / period] * (period - 1) + [0.5 / period]
+    assert len(wts) == 2 * h + 1
+    return _weighted(y, wts, _w(keys, index), truncate=True)
 
 
 def x11(df: DataFrame, value: str, keys=(), index: str = "month",
         period: int = PERIOD) -> DataFrame:
     """M4: the additive X-11 cascade without ARIMA end extension:
     2x12 trend -> 3x3 seasonal -> Henderson-13 trend -> 3x5 seasonal ->
-    Henderson-13 trend.  Ends that lack a full window stay NULL."""
+    Henderson-13 trend.  At the ends every filter is truncated and its
+    weights renormalised instead of X-11's tabulated asymmetric weights."""
     keys = list(keys)
     w = _w(keys, index)
     s33 = [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9]
@@ -108,17 +124,17 @@ def x11(df: DataFrame, value: str, keys=(), index: str = "month",
     h13 = henderson_weights(13)
     d = df.select(*keys, index, F.col(value).cast("double").alias("y"))
     d = d.withColumn("_pos", (F.row_number().over(w) - 1) % period)
-    d = d.withColumn("_t1", centred_ma("y", keys, index, period))
+    d = d.withColumn("_t1", _trend_ma("y", keys, index, period))
     d = d.withColumn("_si1", F.col("y") - F.col("_t1"))
     d = d.withColumn("_s1", _seasonal_ma("_si1", keys, index, s33))
-    d = d.withColumn("_s1", F.col("_s1") - centred_ma("_s1", keys, index, period))
+    d = d.withColumn("_s1", F.col("_s1") - _trend_ma("_s1", keys, index, period))
     d = d.withColumn("_a1", F.col("y") - F.col("_s1"))
-    d = d.withColumn("_t2", _weighted("_a1", h13, w))
+    d = d.withColumn("_t2", _weighted("_a1", h13, w, truncate=True))
     d = d.withColumn("_si2", F.col("y") - F.col("_t2"))
     d = d.withColumn("_s2", _seasonal_ma("_si2", keys, index, s35))
-    d = d.withColumn("seasonal", F.col("_s2") - centred_ma("_s2", keys, index, period))
+    d = d.withColumn("seasonal", F.col("_s2") - _trend_ma("_s2", keys, index, period))
     d = d.withColumn("season_adjust", F.col("y") - F.col("seasonal"))
-    d = d.withColumn("trend", _weighted("season_adjust", h13, w))
+    d = d.withColumn("trend", _weighted("season_adjust", h13, w, truncate=True))
     return d.select(*keys, index, "y", "trend", "seasonal",
                     (F.col("season_adjust") - F.col("trend")).alias("remainder"),
                     "season_adjust")

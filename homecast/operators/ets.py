@@ -28,17 +28,21 @@ MODELS = {"ANN": ("N", "N"), "AAN": ("A", "N"), "AAdN": ("Ad", "N"),
 
 
 def _init_states(y, trend, season, m):
+    """Initial level, slope and seasonal states from a linear fit to the
+    first (up to) three cycles and the mean de-trended value per position."""
     n = len(y)
+    k = min(n, 3 * m if season == "A" else 10)
+    t = np.arange(1, k + 1, dtype=float)
+    slope, icpt = np.polyfit(t, y[:k], 1) if k > 1 else (0.0, float(y[0]))
+    s = np.zeros(m)
     if season == "A" and n >= 2 * m:
-        l0 = float(np.mean(y[:m]))
-        b0 = float((np.mean(y[m:2 * m]) - np.mean(y[:m])) / m) if trend != "N" else 0.0
-        s = np.asarray(y[:m], dtype=float) - l0
+        dev = y[:k] - (icpt + slope * t)
+        s = np.array([dev[j::m].mean() for j in range(m)])
         s = s - s.mean()
-    else:
-        l0 = float(y[0])
-        b0 = float(y[1] - y[0]) if trend != "N" and n > 1 else 0.0
-        s = np.zeros(m)
-    return l0, b0, s
+        # the state m steps before the first observation holds position 0
+    if trend == "N":
+        return float(np.mean(y[:k] - (s[np.arange(k) % m] if season == "A" else 0))), 0.0, s
+    return float(icpt), float(slope), s
 
 
 def _run(y, params, trend, season, m, l0, b0, s0):
@@ -70,24 +74,29 @@ def fit_ets(y, name: str, m: int = PERIOD) -> dict:
     l0, b0, s0 = _init_states(y, trend, season, m)
     scale = float(np.std(y)) or 1.0
 
+    def sig(u):
+        return 1.0 / (1.0 + math.exp(-max(min(u, 50.0), -50.0)))
+
     def unpack(x):
-        alpha = x[0]
-        beta = x[1] if trend != "N" else 0.0
-        gamma = x[2] if season == "A" else 0.0
-        phi = x[3] if trend == "Ad" else 1.0
+        # Bounded parameters through logistic maps: 0<alpha<1, 0<beta<alpha,
+        # 0<gamma<1-alpha, 0.8<phi<0.98.
+        alpha = sig(x[0])
+        beta = alpha * sig(x[1]) if trend != "N" else 0.0
+        gamma = (1 - alpha) * sig(x[2]) if season == "A" else 0.0
+        phi = 0.8 + 0.18 * sig(x[3]) if trend == "Ad" else 1.0
         return alpha, beta, gamma, phi, l0 + x[4] * scale, b0 + x[5] * scale / max(n, 1)
 
     def obj(x):
         alpha, beta, gamma, phi, l, b = unpack(x)
-        if not (0 < alpha < 1) or (trend != "N" and not (0 < beta < alpha)) \
-                or (season == "A" and not (0 < gamma < 1 - alpha)) \
-                or (trend == "Ad" and not (0.8 <= phi <= 0.98)):
-            return 1e12
         e, *_ = _run(y, (alpha, beta, gamma, phi), trend, season, m, l, b, s0)
         return float(np.sum((e / scale) ** 2))
 
-    x0 = np.array([0.3, 0.05, 0.05, 0.9, 0.0, 0.0])
-    x, _ = K.nelder_mead(obj, x0, step=0.05, iters=800)
+    best = None
+    for start in ([-1.0, -2.0, -2.0, 1.0, 0.0, 0.0], [1.0, -1.0, -1.0, 0.0, 0.0, 0.0]):
+        cand = K.nelder_mead(obj, np.array(start), step=0.5, iters=1000)
+        if best is None or cand[1] < best[1]:
+            best = cand
+    x = best[0]
     alpha, beta, gamma, phi, l, b = unpack(x)
     e, lf, bf, sf = _run(y, (alpha, beta, gamma, phi), trend, season, m, l, b, s0)
     sse = float(np.sum(e * e))
