@@ -211,7 +211,8 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
         out["d"], out["sd"], out["n"] = d, D, len(pdf)
         return out
 
-    dd = d0.groupBy(*keys_i).applyInPandas(diffs, f"{kd}, d int, sd int, n long")
+    dd = K.spread_groups(d0, keys_i).groupBy(*keys_i).applyInPandas(
+        diffs, f"{kd}, d int, sd int, n long")
     seasonal_ok = F.col("n") >= 2 * period + 1
     cands = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(sp).alias("sp"),
                                F.lit(sq).alias("sq")) for p, q, sp, sq in candidate_orders()])
@@ -237,7 +238,8 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
 
     schema = (f"{kd}, p int, d int, q int, sp int, sd int, sq int, include_mean boolean, "
               "coef array<double>, sigma2 double, loglik double, aicc double")
-    fits = rows.groupBy(*keys_i, "p", "d", "q", "sp", "sd", "sq").applyInPandas(fit, schema)
+    order_keys = [*keys_i, "p", "d", "q", "sp", "sd", "sq"]
+    fits = K.spread_groups(rows, order_keys).groupBy(*order_keys).applyInPandas(fit, schema)
     w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "sp", "sq")
     best = fits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     return best.drop("_k") if not keys else best
@@ -276,7 +278,7 @@ def arima_forecast(series: DataFrame, model: DataFrame, value: str, h, keys=(),
             out[kk] = r[kk]
         return out[[*keys_i, index, "mean", "sigma"]]
 
-    out = j.groupBy(*keys_i).applyInPandas(
+    out = K.spread_groups(j, keys_i).groupBy(*keys_i).applyInPandas(
         fc, f"{kd}, `{index}` date, mean double, sigma double")
     out = with_bands(out)
     return out.drop("_k") if not keys else out

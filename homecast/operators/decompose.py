@@ -243,6 +243,7 @@ def stl(df: DataFrame, value: str, keys=(), index: str = "month", period: int =
         return out
 
     if keys:
-        return d.groupBy(*keys).applyInPandas(fn, schema)
+        from .tsmodels import spread_groups
+        return spread_groups(d, keys).groupBy(*keys).applyInPandas(fn, schema)
     # A single (statewide) series: one group of at most a few hundred months.
     return d.groupBy(F.lit(0).alias("_k")).applyInPandas(fn, schema)

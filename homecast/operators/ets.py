@@ -174,7 +174,8 @@ def auto_ets(series: DataFrame, value: str, keys=(), index: str = "month",
         out["last_index"] = pd.Timestamp(pdf[index].iloc[-1]).date()
         return out
 
-    fits = rows.groupBy(*keys_i, "model").applyInPandas(fit, f"{_ddl(d0, keys_i)}, {MODEL_COLS}")
+    fits = K.spread_groups(rows, [*keys_i, "model"]).groupBy(*keys_i, "model").applyInPandas(
+        fit, f"{_ddl(d0, keys_i)}, {MODEL_COLS}")
     w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "model")
     best = fits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     return best.drop("_k") if not keys else best

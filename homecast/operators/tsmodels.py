@@ -114,3 +114,12 @@ def psi_weights(ar_full, ma_full, h: int):
             v -= ar_full[i] * psi[j - i]
         psi[j] = v
     return psi
+
+
+def spread_groups(df, keys, per_slot: int = 2):
+    """Hash-partition the rows of CPU-heavy per-group fits on their group keys
+    with an explicit partition count.  The following ``groupBy(keys)`` reuses
+    this partitioning, and adaptive execution does not merge it back into a
+    single task (which it would do for a few KB of monthly series)."""
+    n = df.sparkSession.sparkContext.defaultParallelism * per_slot
+    return df.repartition(n, *keys)

@@ -10,15 +10,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
+_SPLITS: dict[tuple, int] = {}
+
+
+def ensure_parallelism(df: DataFrame, source: str | None = None) -> DataFrame:
     """Spread a scan that has fewer input splits than the cluster has task
     slots (e.g. one large row group) over all slots with a round-robin
     repartition, so per-row parsing runs in parallel.  A big table already has
-    thousands of splits and is returned unchanged (no extra shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots)
+    thousands of splits and is returned unchanged (no extra shuffle).  The
+    split count of a source is looked up once per session."""
+    sc = df.sparkSession.sparkContext
+    slots = sc.defaultParallelism
+    key = (sc.applicationId, source) if source else None
+    n = _SPLITS.get(key) if key else None
+    if n is None:
+        n = df.rdd.getNumPartitions()
+        if key:
+            _SPLITS[key] = n
+    return df if n >= slots else df.repartition(slots)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
@@ -27,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
         raise ValueError(f"unknown table {name}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     df = df.select(*columns) if columns else df
-    return ensure_parallelism(df) if parallel else df
+    return ensure_parallelism(df, f"{sf_dir}/{name}") if parallel else df
 
 
 class Tables:
