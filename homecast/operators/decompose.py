@@ -38,31 +38,40 @@ def classical(df: DataFrame, value: str, keys=(), index: str = "month",
               kind: str = "additive", period: int = PERIOD) -> DataFrame:
     """M1 / M2 classical decomposition (moving-average trend, seasonal figure
     per cycle position counted from each series' first observation, centred
-    to sum 0 or average 1).  Series shorter than two periods get NULLs."""
+    to sum 0 or average 1).  Series shorter than two periods get NULLs.
+
+    All windows partition by the series keys (the per-position windows by
+    keys and position, which the keys' hash partitioning already satisfies),
+    so the series is read once and shuffled once."""
     keys = list(keys)
     mult = kind == "multiplicative"
     w = _w(keys, index)
+    wk = Window.partitionBy(*keys)
+    wkp = Window.partitionBy(*keys, "_pos")
     d = df.select(*keys, index, F.col(value).cast("double").alias("y"))
-    d = d.withColumn("_pos", (F.row_number().over(w) - 1) % period) \
-         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))) \
-         .withColumn("trend", centred_ma("y", keys, index, period))
+    d = d.select(*keys, index, "y", ((F.row_number().over(w) - 1) % period).alias("_pos"),
+                 F.count(F.lit(1)).over(wk).alias("_n"),
+                 centred_ma("y", keys, index, period).alias("trend"))
     d = d.withColumn("_det", F.try_divide("y", "trend") if mult else F.col("y") - F.col("trend"))
-    fig = d.groupBy(*keys, "_pos").agg(F.avg("_det").alias("_fig"))
-    wk = Window.partitionBy(*keys)
-    fig = fig.withColumn("_fig", F.try_divide(F.col("_fig"), F.avg("_fig").over(wk)) if mult
-                         else F.col("_fig") - F.avg("_fig").over(wk))
-    d = d.join(fig, [*keys, "_pos"], "left") if keys else d.join(fig, "_pos", "left")
+    # Mean detrended value per position; the mean over positions weighs each
+    # position once: sum over rows of fig / rows-at-position, divided by the
+    # number of positions.
+    d = d.select("*", F.avg("_det").over(wkp).alias("_fig"),
+                 F.count(F.lit(1)).over(wkp).alias("_np"))
+    npos = F.least(F.col("_n"), F.lit(period))
+    fig_mean = F.sum(F.col("_fig") / F.col("_np")).over(wk) / npos
+    seasonal0 = F.try_divide(F.col("_fig"), fig_mean) if mult else F.col("_fig") - fig_mean
     short = F.col("_n") < 2 * period
-    seasonal = F.when(~short, F.col("_fig"))
-    trend = F.when(~short, F.col("trend"))
+    d = d.select(*keys, index, "y", F.when(~short, F.col("trend")).alias("trend"),
+                 F.when(~short, seasonal0).alias("seasonal"))
     if mult:
-        rem = F.try_divide(F.col("y"), trend * seasonal)
-        adj = F.try_divide(F.col("y"), seasonal)
+        rem = F.try_divide(F.col("y"), F.col("trend") * F.col("seasonal"))
+        adj = F.try_divide(F.col("y"), F.col("seasonal"))
     else:
-        rem = F.col("y") - trend - seasonal
-        adj = F.col("y") - seasonal
-    return d.select(*keys, index, "y", trend.alias("trend"), seasonal.alias("seasonal"),
-                    rem.alias("remainder"), adj.alias("season_adjust"))
+        rem = F.col("y") - F.col("trend") - F.col("seasonal")
+        adj = F.col("y") - F.col("seasonal")
+    return d.select(*keys, index, "y", "trend", "seasonal", rem.alias("remainder"),
+                    adj.alias("season_adjust"))
 
 
 # --------------------------------------------------------------------- X-11 (M4)

@@ -60,42 +60,39 @@ def trend_report(fit: DataFrame, keys=()) -> DataFrame:
         (-2 * ll + F.log(n) * (k + 1)).alias("bic"))
 
 
-def trend_augment(series: DataFrame, fit: DataFrame, value: str, keys=(),
-                  index: str = "month") -> DataFrame:
-    """M16 ``augment``: fitted values and residuals of the trend model."""
-    series, keys, dummy = _keyed(series, keys)
-    fit = fit.withColumn("_k", F.lit(0)) if dummy else fit
+def trend_augment(series: DataFrame, value: str, keys=(), index: str = "month") -> DataFrame:
+    """M16 ``augment``: fitted values and residuals of the trend model.  The
+    ``regr_*`` aggregates run as window functions over each key, so the
+    series is read once (no join back to a separate fit)."""
+    keys = list(keys)
     s = with_position(series, keys, index, "t")
-    j = s.join(fit.select(*keys, "intercept", "slope"), keys)
-    fitted = F.col("intercept") + F.col("slope") * F.col("t")
-    out = j.select(*keys, index, F.col(value).cast("double").alias("y"),
-                   fitted.alias("fitted"), (F.col(value) - fitted).alias("resid"))
-    return out.drop("_k") if dummy else out
+    wk = Window.partitionBy(*keys)
+    y, t = F.col(value).cast("double"), F.col("t").cast("double")
+    fitted = F.regr_intercept(y, t).over(wk) + F.regr_slope(y, t).over(wk) * t
+    d = s.select(*keys, index, y.alias("y"), fitted.alias("fitted"))
+    return d.withColumn("resid", F.col("y") - F.col("fitted"))
 
 
 # ------------------------------------------------------------------ M17 diagnostics
 def acf(resid: DataFrame, keys=(), index: str = "month", value: str = "resid",
         max_lag: int = 24) -> DataFrame:
-    """M17 autocorrelation of a series for lags 1..max_lag: every row meets
-    its k-th predecessor through an equi-join on (keys, position), so the
-    work is n x max_lag rows (never all pairs)."""
-    resid, keys, dummy = _keyed(resid, keys)
-    s = with_position(resid.select(*keys, index, value), keys, index, "t")
+    """M17 autocorrelation for lags 1..max_lag:
+    sum_t (e_t - mean)(e_{t-k} - mean) / sum_t (e_t - mean)^2.
+    ``lag`` windows over each key's ordered rows, then one aggregate on the
+    same keys (the window's partitioning is reused)."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(index)
     wk = Window.partitionBy(*keys)
-    s = s.withColumn("d", F.col(value) - F.avg(value).over(wk))
-    den = s.groupBy(*keys).agg(F.sum(F.col("d") * F.col("d")).alias("den"))
-    lagged = s.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("k"),
-                      "t", "d")
-    other = s.select(*[F.col(k).alias("_o_" + k) for k in keys], F.col("t").alias("_o_t"),
-                     F.col("d").alias("d_lag"))
-    cond = (F.col("t") - F.col("k") == F.col("_o_t"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col("_o_" + k))
-    num = lagged.join(other, cond).groupBy(*keys, "k").agg(
-        F.sum(F.col("d") * F.col("d_lag")).alias("num"))
-    out = num.join(den, keys).select(*keys, F.col("k").alias("lag"),
-                                     F.try_divide(F.col("num"), F.col("den")).alias("acf"))
-    return out.drop("_k") if dummy else out
+    d = resid.select(*keys, index, (F.col(value) - F.avg(value).over(wk)).alias("d"))
+    prods = [(F.col("d") * F.lag("d", k).over(w)).alias(f"_p{k}") for k in range(1, max_lag + 1)]
+    p = d.select(*keys, "d", *prods)
+    g = p.groupBy(*keys).agg(F.sum(F.col("d") * F.col("d")).alias("_den"),
+                             *[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, max_lag + 1)])
+    long = g.select(*keys, "_den", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("lag"), F.col(f"_p{k}").alias("num"))
+        for k in range(1, max_lag + 1)])).alias("_a"))
+    return long.select(*keys, F.col("_a.lag").alias("lag"),
+                       F.try_divide(F.col("_a.num"), F.col("_den")).alias("acf"))
 
 
 def histogram(df: DataFrame, value: str, keys=(), bins: int = 10) -> DataFrame:
@@ -112,9 +109,11 @@ def histogram(df: DataFrame, value: str, keys=(), bins: int = 10) -> DataFrame:
 def _gram(df: DataFrame, y: str, xs: list[str], keys: list[str]) -> DataFrame:
     """Centred Gram sums per key in one aggregate after one mean pass."""
     cols = [y, *xs]
-    means = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                  *[F.avg(c).alias("m_" + c) for c in cols])
-    j = df.join(means, keys)
+    wk = Window.partitionBy(*keys)
+    # Means as window aggregates over the key: one pass, and the following
+    # aggregate on the same keys reuses the window's partitioning.
+    j = df.select(*keys, *cols, F.count(F.lit(1)).over(wk).alias("n"),
+                  *[F.avg(c).over(wk).alias("m_" + c) for c in cols])
     cen = {c: F.col(c) - F.col("m_" + c) for c in cols}
     sums = []
     for a, b in itertools.combinations_with_replacement(range(len(cols)), 2):

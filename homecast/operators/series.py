@@ -8,8 +8,6 @@ a key holds at most one row per month.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +27,35 @@ def assert_series(df: DataFrame, keys=(), index: str = "month") -> DataFrame:
     return df
 
 
-def _ns_cond(left: DataFrame, right: DataFrame, cols) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def fill_gaps(df: DataFrame, keys=(), index: str = "month", step: str = "month",
               fill: dict | None = None) -> DataFrame:
     """W4 / W5 ``fill_gaps``: one row per key and step from the key's first to
     last index.  Missing rows get ``fill`` values (W4) or NULLs (W5).
-    ``step`` is 'month', 'quarter' or 'year' (integer index)."""
+    ``step`` is 'month', 'quarter' or 'year' (integer index).
+
+    Single pass: each row looks at the next index of its key (``lead``) and
+    expands to itself plus the missing steps before it, so the series is
+    read once and no calendar is joined back."""
     keys = list(keys)
-    bounds = df.groupBy(*keys).agg(F.min(index).alias("_lo"), F.max(index).alias("_hi"))
+    fill = fill or {}
+    w = Window.partitionBy(*keys).orderBy(index)
+    df = df.withColumn("_next", F.lead(index).over(w))
+    nxt = F.col("_next")
     if step == "year":
-        seq = F.sequence(F.col("_lo"), F.col("_hi"))
+        seq = F.sequence(F.col(index), F.coalesce(nxt - 1, F.col(index)))
     else:
-        seq = F.sequence(F.col("_lo"), F.col("_hi"), F.expr(STEPS[step]))
-    cal = bounds.select(*keys, F.explode(seq).alias(index))
-    measures = [c for c in df.columns if c not in set(keys) | {index}]
-    right = df.select(*[F.col(c).alias("_r_" + c) for c in [*keys, index]], *measures)
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(c).eqNullSafe(F.col("_r_" + c)) for c in [*keys, index]])
-    out = cal.join(right, cond, "left").drop(*["_r_" + c for c in [*keys, index]])
-    fill = fill or {}
-    return out.select(*keys, index, *[
-        (F.coalesce(F.col(m), F.lit(fill[m])) if m in fill else F.col(m)).alias(m)
-        for m in measures])
+        months = 3 if step == "quarter" else 1
+        last = F.coalesce(F.add_months(nxt, -months), F.col(index))
+        seq = F.sequence(F.col(index), last, F.expr(STEPS[step]))
+    measures = [c for c in df.columns if c not in set(keys) | {index, "_next"}]
+    g = df.select(*keys, *measures, F.posexplode(seq).alias("_pos", "_idx"))
+    first = F.col("_pos") == 0
+    cols = []
+    for m in measures:
+        typ = df.schema[m].dataType
+        gap = F.lit(fill[m]).cast(typ) if m in fill else F.lit(None).cast(typ)
+        cols.append(F.when(first, F.col(m)).otherwise(gap).alias(m))
+    return g.select(*keys, F.col("_idx").alias(index), *cols)
 
 
 def with_position(df: DataFrame, keys=(), index: str = "month", name: str = "t") -> DataFrame:

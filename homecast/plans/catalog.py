@@ -374,21 +374,18 @@ def q_m13(spark, d):
 
 @query("M16")
 def q_m16(spark, d):
-    ts = P(spark, d).report_ts("mean_sale")
-    return rounded(R.trend_augment(ts, R.trend_fit(ts, "mean_sale"), "mean_sale"))
+    return rounded(R.trend_augment(P(spark, d).report_ts("mean_sale"), "mean_sale"))
 
 
 @query("M17")
 def q_m17(spark, d):
-    ts = P(spark, d).report_ts("mean_sale")
-    aug = R.trend_augment(ts, R.trend_fit(ts, "mean_sale"), "mean_sale")
+    aug = R.trend_augment(P(spark, d).report_ts("mean_sale"), "mean_sale")
     return rounded(R.acf(aug, max_lag=24))
 
 
 @query("M17_hist")
 def q_m17_hist(spark, d):
-    ts = P(spark, d).report_ts("mean_sale")
-    aug = R.trend_augment(ts, R.trend_fit(ts, "mean_sale"), "mean_sale")
+    aug = R.trend_augment(P(spark, d).report_ts("mean_sale"), "mean_sale")
     return R.histogram(aug, "resid", bins=10)
 
 

@@ -109,7 +109,7 @@ def test_trend_fit_and_acf(spark):
     df = spark.createDataFrame([(m, 10.0 + 2.0 * i) for i, m in enumerate(months)], "month date, y double")
     fit = R.trend_fit(df, "y").first()
     assert abs(fit.slope - 2) < 1e-9 and abs(fit.intercept - 8) < 1e-9
-    aug = R.trend_augment(df, R.trend_fit(df, "y"), "y")
+    aug = R.trend_augment(df, "y")
     assert max(abs(r.resid) for r in aug.collect()) < 1e-9
     noise = spark.createDataFrame([(m, float(np.sin(i))) for i, m in enumerate(months)], "month date, e double")
     acf = {r.lag: r.acf for r in R.acf(noise, value="e", max_lag=3).collect()}
