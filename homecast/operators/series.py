@@ -87,9 +87,15 @@ def ordered(df: DataFrame, keys=(), index: str = "month") -> DataFrame:
     return df.orderBy(*keys, index)
 
 
+def seeded_hash(column: str, seed: int = 42) -> Column:
+    """Repeatable pseudo-random sort key: md5 of the value and the seed (the
+    same digest in any engine, so samples can be checked independently)."""
+    return F.md5(F.concat(F.col(column).cast("string"), F.lit(f"#{seed}")))
+
+
 def shuffled(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
     """W11 ``random.shuffle``: a repeatable random order."""
-    return df.orderBy(F.xxhash64(F.col(column), F.lit(seed)))
+    return df.orderBy(seeded_hash(column, seed), column)
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, order_col: str,
@@ -98,7 +104,7 @@ def sample_per_group(df: DataFrame, group: str, n: int, order_col: str,
     operator: the cap is the feature).  ``row_number() <= n`` lets Spark plan a
     partial WindowGroupLimit before the shuffle, so no task receives more than
     ``n`` rows per group from each map task."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(order_col), F.lit(seed)), order_col)
+    w = Window.partitionBy(group).orderBy(seeded_hash(order_col, seed), order_col)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 

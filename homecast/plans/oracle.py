@@ -543,3 +543,10 @@ MODEL_FINAL["X2"] = (MODEL_FINAL["E12"][0],
                      "SELECT link, address, '$' || format('{:,.0f}', abs(sqft) * 100) AS list_price, "
                      "beds, baths, sqft FROM info_raw UNION ALL SELECT url AS link, address, "
                      "NULL AS list_price, beds, baths, sqft FROM lp WHERE address IS NOT NULL")
+
+
+MODEL_FINAL.update({
+    "W11": ("", f"SELECT page_id, pos, href FROM ({_LINKS}) ORDER BY md5(href || '#42'), href"),
+    "W12": ("", f"SELECT page_id, pos, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id "
+                f"ORDER BY md5(CAST(pos AS VARCHAR) || '#42'), pos) AS rn FROM ({_LINKS})) WHERE rn <= 3"),
+})

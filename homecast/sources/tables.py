@@ -30,11 +30,21 @@ def ensure_parallelism(df: DataFrame, source: str | None = None) -> DataFrame:
     return df if n >= slots else df.repartition(slots)
 
 
+_SCANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
-          parallel: bool = False) -> DataFrame:
+          parallel: bool = False, fresh: bool = False) -> DataFrame:
+    """Scan of a driver table.  The base scan (file listing and footer read)
+    is reused within a session; ``fresh=True`` lists the files again."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = None if fresh else _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _SCANS[key] = df
     df = df.select(*columns) if columns else df
     return ensure_parallelism(df, f"{sf_dir}/{name}") if parallel else df
 
