@@ -20,6 +20,15 @@ def _w(keys, index="month"):
     return Window.partitionBy(*keys).orderBy(index)
 
 
+def _with_key(df: DataFrame, keys) -> tuple[DataFrame, list[str], bool]:
+    """A single series gets a constant key so the windows by index and by
+    (key, cycle position) share one hash partitioning (no re-shuffles)."""
+    keys = list(keys)
+    if keys:
+        return df, keys, False
+    return df.withColumn("_k", F.lit(0)), ["_k"], True
+
+
 def centred_ma(y: str, keys, index: str = "month", period: int = PERIOD) -> Column:
     """Centred moving average of order ``period`` (2x12 for even periods);
     NULL unless the full window exists."""
@@ -43,7 +52,7 @@ def classical(df: DataFrame, value: str, keys=(), index: str = "month",
     All windows partition by the series keys (the per-position windows by
     keys and position, which the keys' hash partitioning already satisfies),
     so the series is read once and shuffled once."""
-    keys = list(keys)
+    df, keys, dummy = _with_key(df, keys)
     mult = kind == "multiplicative"
     w = _w(keys, index)
     wk = Window.partitionBy(*keys)
@@ -70,8 +79,9 @@ def classical(df: DataFrame, value: str, keys=(), index: str = "month",
     else:
         rem = F.col("y") - F.col("trend") - F.col("seasonal")
         adj = F.col("y") - F.col("seasonal")
-    return d.select(*keys, index, "y", "trend", "seasonal", rem.alias("remainder"),
-                    adj.alias("season_adjust"))
+    out = d.select(*keys, index, "y", "trend", "seasonal", rem.alias("remainder"),
+                   adj.alias("season_adjust"))
+    return out.drop("_k") if dummy else out
 
 
 # --------------------------------------------------------------------- X-11 (M4)
@@ -126,7 +136,7 @@ def x11(df: DataFrame, value: str, keys=(), index: str = "month",
     2x12 trend -> 3x3 seasonal -> Henderson-13 trend -> 3x5 seasonal ->
     Henderson-13 trend.  At the ends every filter is truncated and its
     weights renormalised instead of X-11's tabulated asymmetric weights."""
-    keys = list(keys)
+    df, keys, dummy = _with_key(df, keys)
     w = _w(keys, index)
     s33 = [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9]
     s35 = [1 / 15, 2 / 15, 3 / 15, 3 / 15, 3 / 15, 2 / 15, 1 / 15]
@@ -144,9 +154,9 @@ def x11(df: DataFrame, value: str, keys=(), index: str = "month",
     d = d.withColumn("seasonal", F.col("_s2") - _trend_ma("_s2", keys, index, period))
     d = d.withColumn("season_adjust", F.col("y") - F.col("seasonal"))
     d = d.withColumn("trend", _weighted("season_adjust", h13, w, truncate=True))
-    return d.select(*keys, index, "y", "trend", "seasonal",
-                    (F.col("season_adjust") - F.col("trend")).alias("remainder"),
-                    "season_adjust")
+    out = d.select(*keys, index, "y", "trend", "seasonal",
+                   (F.col("season_adjust") - F.col("trend")).alias("remainder"), "season_adjust")
+    return out.drop("_k") if dummy else out
 
 
 # --------------------------------------------------------------------- STL (M3)
