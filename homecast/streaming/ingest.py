@@ -51,8 +51,11 @@ def append_new(batch: DataFrame, sink_dir: str, keys=RECORD_KEYS) -> None:
     new = dedup_records(batch, keys).select(*keys).withColumn(
         PART, F.date_format(F.col("ts"), "yyyy-MM"))
     if _sink_exists(spark, sink_dir):
-        old = spark.read.parquet(sink_dir).select(*[F.col(k).alias("_o_" + k) for k in keys],
-                                                  F.col(PART).alias("_o_" + PART))
+        # The months of one micro-batch are few (bounded by the calendar):
+        # list them so the sink scan is pruned to those partitions.
+        months = [r[0] for r in new.select(PART).distinct().collect()]
+        old = spark.read.parquet(sink_dir).filter(F.col(PART).isin(months)) \
+            .select(*[F.col(k).alias("_o_" + k) for k in keys], F.col(PART).alias("_o_" + PART))
         cond = reduce(lambda a, b: a & b,
                       [F.col(k).eqNullSafe(F.col("_o_" + k)) for k in keys]
                       + [F.col(PART) == F.col("_o_" + PART)])
