@@ -282,3 +282,46 @@ def arima_forecast(series: DataFrame, model: DataFrame, value: str, h, keys=(),
         fc, f"{kd}, `{index}` date, mean double, sigma double")
     out = with_bands(out)
     return out.drop("_k") if not keys else out
+
+
+def arima_augment(series: DataFrame, model: DataFrame, value: str, keys=(),
+                  index: str = "month", period: int = PERIOD) -> DataFrame:
+    """M16 for an ``auto_arima`` model: keys, month, y, fitted, resid (the
+    one-step CSS residuals; NULL for the first observations that the
+    differencing and AR lags consume)."""
+    keys = list(keys)
+    s = series.select(*keys, index, F.col(value).cast("double").alias("y"))
+    mdl = model
+    if not keys:
+        s = s.withColumn("_k", F.lit(0))
+        mdl = model.withColumn("_k", F.lit(0))
+    keys_i = keys or ["_k"]
+    j = s.join(mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "coef"), keys_i)
+    kd = _ddl(s, keys_i)
+
+    def fn(pdf):
+        pdf = pdf.sort_values(index)
+        r = pdf.iloc[0]
+        p, d, q, sp, sd, sq = (int(r[c]) for c in ("p", "d", "q", "sp", "sd", "sq"))
+        mean = d + sd <= 1
+        k = p + q + sp + sq + (1 if mean else 0)
+        coef = list(r["coef"]) + [0.0] * max(0, k - len(r["coef"]))
+        phi, theta, sphi, stheta, mu = _unpack(np.asarray(coef), p, q, sp, sq, mean)
+        ar = K.ar_poly(phi, sphi, period)
+        ma = K.ma_poly(theta, stheta, period)
+        y = pdf["y"].to_numpy(dtype=float)
+        w = K.difference(y, d, sd, period)
+        e = css_residuals(w, ar, ma, mu)
+        resid = np.full(len(y), np.nan)
+        if len(e):
+            resid[len(y) - len(e):] = e
+        out = pdf[[*keys_i, index, "y"]].copy()
+        out["fitted"] = y - resid
+        out["resid"] = resid
+        return out
+
+    out = K.spread_groups(j, keys_i).groupBy(*keys_i).applyInPandas(
+        fn, f"{kd}, `{index}` date, y double, fitted double, resid double")
+    out = out.withColumn("fitted", F.nanvl("fitted", F.lit(None))) \
+             .withColumn("resid", F.nanvl("resid", F.lit(None)))
+    return out.drop("_k") if not keys else out

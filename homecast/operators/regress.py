@@ -265,3 +265,25 @@ def best_subsets(df: DataFrame, y: str, terms: dict[str, Column], keys=()) -> Da
     w = Window.partitionBy(*keys, "size").orderBy("rss")
     out = all_subsets.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     return out.drop("_k") if dummy else out
+
+
+def ols_augment(df: DataFrame, fit: DataFrame, y: str, terms: dict[str, Column] | list[str],
+                keys=(), index: str = "month") -> DataFrame:
+    """M16 for an ``ols`` fit: fitted values and residuals per row.  The fit
+    has one row per key, so the join back is on the keys (broadcast when the
+    number of keys is small, a shuffle join otherwise)."""
+    keys = list(keys)
+    if not isinstance(terms, dict):
+        terms = {t: F.col(t) for t in terms}
+    xs = [c.cast("double") for c in terms.values()]
+    coef = fit.select(*keys, "coef") if keys else fit.select("coef")
+    if keys:
+        from .enrich import bounded_broadcast
+        j = df.join(bounded_broadcast(coef), keys)
+    else:
+        j = df.withColumn("_k", F.lit(0)).join(coef.withColumn("_k", F.lit(0)), "_k")
+    fitted = F.get(F.col("coef"), 0)
+    for i, x in enumerate(xs, start=1):
+        fitted = fitted + F.get(F.col("coef"), i) * x
+    out = j.select(*keys, index, F.col(y).cast("double").alias("y"), fitted.alias("fitted"))
+    return out.withColumn("resid", F.col("y") - F.col("fitted"))

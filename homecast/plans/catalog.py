@@ -729,3 +729,34 @@ def q_s1(spark, d):
 @query("U1")
 def q_u1(spark, d):
     return ING.ingest_batch(_table(spark, d, "events"))
+
+
+# ---------------------------------------------------------------- residual diagnostics of the fits
+@query("M16_ols")
+def q_m16_ols(spark, d):
+    # augment(fit_nick): fitted and residuals of the best-subset regression.
+    ts = P(spark, d).median_ts()
+    fit = R.ols(ts, "median_price", model_best_terms())
+    return rounded(R.ols_augment(ts, fit, "median_price", model_best_terms()))
+
+
+@query("M17_ols")
+def q_m17_ols(spark, d):
+    # gg_tsresiduals(fit_nick): residual ACF of the regression.
+    ts = P(spark, d).median_ts()
+    fit = R.ols(ts, "median_price", model_best_terms())
+    return rounded(R.acf(R.ols_augment(ts, fit, "median_price", model_best_terms()), max_lag=24))
+
+
+@query("M16_arima")
+def q_m16_arima(spark, d):
+    # augment(fit_arima) on the median-price series.
+    ts = P(spark, d).median_ts()
+    return rounded(AR.arima_augment(ts, AR.auto_arima(ts, "median_price"), "median_price"))
+
+
+@query("M17_arima")
+def q_m17_arima(spark, d):
+    ts = P(spark, d).median_ts()
+    aug = AR.arima_augment(ts, AR.auto_arima(ts, "median_price"), "median_price")
+    return rounded(R.acf(aug.filter(F.col("resid").isNotNull()), max_lag=24))
