@@ -82,6 +82,15 @@ def css_residuals(w, ar, ma, mu):
     q = len(ma) - 1
     if q <= 0:
         return v
+    n = len(v)
+    if n <= 200:
+        # The MA recursion is a unit lower-triangular banded system M e = v.
+        m_ = np.eye(n)
+        idx = np.arange(n)
+        for k in range(1, min(q, n - 1) + 1):
+            if ma[k] != 0.0:
+                m_[idx[k:], idx[:-k]] = ma[k]
+        return np.linalg.solve(m_, v)
     e = np.zeros(len(v) + q)
     mr = np.asarray(ma[1:], dtype=float)[::-1]
     for i in range(len(v)):
@@ -105,10 +114,12 @@ def fit_css(y, order, m: int = PERIOD):
 
     def obj(x):
         phi, theta, sphi, stheta, mu = _unpack(x, p, q, P, Q, mean)
+        # The product polynomial's roots are those of its factors.
+        if not (K.stationary(phi) and K.stationary(sphi) and K.invertible(theta)
+                and K.invertible(stheta)):
+            return 1e10
         ar = K.ar_poly(phi, sphi, m)
         ma = K.ma_poly(theta, stheta, m)
-        if not K.roots_outside(ar) or not K.roots_outside(ma):
-            return 1e10
         e = css_residuals(ws, ar, ma, mu)
         return float(np.sum(e * e)) if len(e) else 1e10
 

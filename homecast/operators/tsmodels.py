@@ -96,6 +96,24 @@ def roots_outside(poly) -> bool:
     return bool(np.all(np.abs(r) > 1.0 + 1e-6))
 
 
+def stationary(coefs) -> bool:
+    """Roots of 1 - c1 B - c2 B^2 - ... outside the unit circle (closed form
+    for one or two coefficients, companion roots beyond)."""
+    c = [float(v) for v in coefs]
+    if not c:
+        return True
+    if len(c) == 1:
+        return abs(c[0]) < 1.0
+    if len(c) == 2:
+        return c[1] + c[0] < 1.0 and c[1] - c[0] < 1.0 and abs(c[1]) < 1.0
+    return roots_outside(np.r_[1.0, -np.asarray(c)])
+
+
+def invertible(coefs) -> bool:
+    """Roots of 1 + c1 B + c2 B^2 + ... outside the unit circle."""
+    return stationary([-float(v) for v in coefs])
+
+
 def difference(y, d: int, D: int, m: int):
     w = np.asarray(y, dtype=float)
     for _ in range(D):
