@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits_only, squish
+from .text import digits_only, squish, strip
 
 # The page markup the listing pages use.
 ADDRESS_PROP = "og:zillow_fb:address"
@@ -50,8 +50,8 @@ def label_entries(label) -> Column:
     are stripped."""
     parts = F.filter(F.split(_c(label), ", "), lambda p: p.contains(":"))
     return F.transform(parts, lambda p: F.struct(
-        F.trim(F.substring_index(p, ":", 1)).alias("key"),
-        F.trim(F.get(F.split(p, ":", 2), 1)).alias("value")))
+        strip(F.substring_index(p, ":", 1)).alias("key"),
+        strip(F.get(F.split(p, ":", 2), 1)).alias("value")))
 
 
 def label_value(entries, key: str) -> Column:

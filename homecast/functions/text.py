@@ -119,6 +119,11 @@ def digits_only(text) -> Column:
     return F.regexp_replace(_c(text), "[^0-9]", "").try_cast("double")
 
 
+def strip(text) -> Column:
+    """Python's ``str.strip``: remove leading and trailing whitespace of any kind."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
 def squish(text) -> Column:
     """Collapse whitespace runs and trim."""
     return F.trim(F.regexp_replace(_c(text), r"\s+", " "))
@@ -150,4 +155,4 @@ def split_once(text, sep: str = ":") -> list[Column]:
     """C17: split at the first separator, strip both halves; no separator -> NULLs."""
     parts = F.split(_c(text), sep, 2)
     has = F.size(parts) == 2
-    return [F.when(has, F.trim(F.get(parts, 0))), F.when(has, F.trim(F.get(parts, 1)))]
+    return [F.when(has, strip(F.get(parts, 0))), F.when(has, strip(F.get(parts, 1)))]

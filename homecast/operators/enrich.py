@@ -119,3 +119,17 @@ def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """X4 for bags: each row of ``b`` removes one copy from ``a``."""
     return a.exceptAll(b)
+
+
+def lookup_fanout(df: DataFrame, zr: DataFrame, key: str = "zip") -> DataFrame:
+    """How much a lookup join multiplies rows: rows_in (rows with a key),
+    rows_out (rows after the inner join = sum of matches per key), the
+    fan-out factor and the rows whose key has no match.  One pass over
+    ``df``: the per-key match counts are a small, size-checked table."""
+    matches = zr.groupBy(key).agg(F.count(F.lit(1)).alias("_m"))
+    j = df.filter(F.col(key).isNotNull()).select(key).join(bounded_broadcast(matches), key, "left")
+    m = F.coalesce(F.col("_m"), F.lit(0))
+    out = j.agg(F.count(F.lit(1)).alias("rows_in"), F.sum(m).alias("rows_out"),
+                F.sum(F.when(m == 0, 1).otherwise(0)).alias("rows_unmatched"))
+    return out.withColumn("fanout", F.try_divide(F.col("rows_out").cast("double"),
+                                                 F.col("rows_in")))

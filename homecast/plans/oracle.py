@@ -594,3 +594,18 @@ x7 AS (SELECT *, {_trunc_filter('sa', h13, w)} AS trend FROM (SELECT *, y - seas
 
 
 MODEL_FINAL["M4"] = _x11_sql("ts_mean", "mean_sale")
+
+
+def _fanout(zr: str, mode: str) -> str:
+    return (f"SELECT count(*) AS rows_in, sum(coalesce(m, 0)) AS rows_out, "
+            f"sum(CASE WHEN coalesce(m, 0) = 0 THEN 1 ELSE 0 END) AS rows_unmatched, "
+            f"round(sum(coalesce(m, 0))::DOUBLE / count(*), 4) AS fanout, '{mode}' AS mode "
+            f"FROM (SELECT b.zip FROM h b JOIN i_app i ON b.zip = i.zip AND b.street = i.street "
+            f"AND b.city = i.city AND b.state = i.state WHERE b.month IS NOT NULL AND "
+            f"b.zip IS NOT NULL AND b.street IS NOT NULL AND b.city IS NOT NULL AND "
+            f"b.state IS NOT NULL AND b.Event IS NOT NULL AND b.price IS NOT NULL) x "
+            f"LEFT JOIN (SELECT zip, count(*) AS m FROM {zr} GROUP BY zip) z USING (zip)")
+
+
+MODEL_FINAL["B4_fanout"] = ("", " UNION ALL ".join([
+    _fanout("zr_app", "first_zip"), _fanout("zr_viz", "zip_region"), _fanout("zr_all", "all")]))
