@@ -6,10 +6,8 @@ reuse it (the app does: history view, menus, model input).
 
 from __future__ import annotations
 
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregate, clean, enrich, series

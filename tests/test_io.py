@@ -74,3 +74,21 @@ def test_ingest_rerun_is_idempotent(spark):
     n2 = ING.run_ingest(spark, landing + "/*", events.schema, sink, ckpt)   # nothing new
     ING.append_new(events, sink)                                          # a replayed batch
     assert n1 == n2 == ING.read_sink(spark, sink).count() == ING.ingest_batch(events).count()
+
+
+def test_more_readers_and_parquet_sink(spark):
+    d = tempfile.mkdtemp(prefix="hc-more-", dir="/tmp")
+    with open(os.path.join(d, "cpi.csv"), "w") as f:
+        f.write("Date,Index\n2022-04-01,289.1\n2022-05-01,NA\n")
+    with open(os.path.join(d, "regions.csv"), "w") as f:
+        f.write("County,Region\nAdams,N\n")
+    with open(os.path.join(d, "info.csv"), "w") as f:
+        f.write("link,address,list_price,beds,baths,sqft\n/h/1,\"1 A St, B, IN 46001\",,3,2.5,1500\n")
+    cpi = FS.read_cpi(spark, os.path.join(d, "cpi.csv")).collect()
+    assert cpi[0]["Index"] == 289.1 and cpi[1]["Index"] is None
+    assert FS.read_county_regions(spark, os.path.join(d, "regions.csv")).first().Region == "N"
+    info = FS.read_info(spark, os.path.join(d, "info.csv")).first()
+    assert info.list_price is None and info.beds == 3 and info.sqft == 1500.0
+    out = os.path.join(d, "pq")
+    FS.write_parquet(FS.read_cpi(spark, os.path.join(d, "cpi.csv")), out, partition_by=["Date"])
+    assert spark.read.parquet(out).count() == 2

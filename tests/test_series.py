@@ -143,3 +143,20 @@ def test_smoke_entry(spark):
     from __spark_entry__ import entry
     assert entry(spark).count() > 0
     assert SF_SMALL.endswith("0.001")
+
+
+def test_assert_series_first_per_group_and_split_once(spark):
+    from homecast.functions import text as T
+    from homecast.operators import enrich as EN
+    df = spark.createDataFrame([("a", dt.date(2020, 1, 1)), ("a", dt.date(2020, 1, 1))],
+                               "k string, month date")
+    try:
+        S.assert_series(df, ["k"])
+        raise AssertionError("duplicates not detected")
+    except ValueError:
+        pass
+    z = spark.createDataFrame([("C1", "47106"), ("C1", "47001"), ("C2", "47106")], "County string, zip string")
+    first = {r.County: r.zip for r in EN.first_per_group(z, ["County"], ["zip"]).collect()}
+    assert first == {"C1": "47001", "C2": "47106"}
+    kv = spark.createDataFrame([(" T : a:b ",), ("junk",)], "s string").select(*T.split_once("s"))
+    assert [tuple(r) for r in kv.collect()] == [("T", "a:b"), (None, None)]
