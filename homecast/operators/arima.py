@@ -106,7 +106,7 @@ def fit_css(y, order, m: int = PERIOD):
     mean = d + D == 0 or (d + D == 1)
     k = p + q + P + Q + (1 if mean else 0)
     bad = {"coef": [], "sigma2": float("nan"), "loglik": float("nan"), "aicc": float("inf"),
-           "mean": mean}
+           "aic": float("nan"), "bic": float("nan"), "mean": mean}
     if len(w) <= p + q + m * (P + Q) + k + 3:
         return bad
     scale = float(np.std(w)) or 1.0
@@ -140,8 +140,9 @@ def fit_css(y, order, m: int = PERIOD):
     aic = -2 * ll + 2 * npar
     aicc = aic + 2 * npar * (npar + 1) / (ne - npar - 1) if ne - npar - 1 > 0 else float("inf")
     coef = list(phi) + list(theta) + list(sphi) + list(stheta) + ([mu * scale] if mean else [])
+    bic = -2 * ll + math.log(ne) * npar
     return {"coef": [float(c) for c in coef], "sigma2": sigma2, "loglik": ll, "aicc": aicc,
-            "aic": aic, "mean": mean, "resid": e}
+            "aic": aic, "bic": bic, "mean": mean, "resid": e}
 
 
 def forecast_arima(y, order, coef, sigma2, h: int, m: int = PERIOD):
@@ -244,11 +245,14 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
         out["coef"] = [res["coef"]]
         out["sigma2"] = res["sigma2"]
         out["loglik"] = res["loglik"]
+        out["aic"] = res["aic"]
         out["aicc"] = res["aicc"]
+        out["bic"] = res["bic"]
         return out
 
     schema = (f"{kd}, p int, d int, q int, sp int, sd int, sq int, include_mean boolean, "
-              "coef array<double>, sigma2 double, loglik double, aicc double")
+              "coef array<double>, sigma2 double, loglik double, aic double, aicc double, "
+              "bic double")
     order_keys = [*keys_i, "p", "d", "q", "sp", "sd", "sq"]
     fits = K.spread_groups(rows, order_keys).groupBy(*order_keys).applyInPandas(fit, schema)
     w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "sp", "sq")

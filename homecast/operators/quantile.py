@@ -35,7 +35,7 @@ from ..session import cut_lineage
 BUCKETS = 4096
 BAND_MAX = 200_000
 MAX_PASSES = 24
-BROADCAST_TARGETS_MAX = 1_000_000
+BROADCAST_TARGETS_MAX = 250_000
 APPROX_ACCURACY = 100_000
 
 

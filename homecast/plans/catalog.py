@@ -770,3 +770,14 @@ def q_b4_fanout(spark, d):
     outs = [EN.lookup_fanout(base, p.zr(m)).withColumn("mode", F.lit(m))
             for m in EN.LOOKUP_MODES]
     return rounded(outs[0].unionByName(outs[1]).unionByName(outs[2]))
+
+
+@query("U1_stream")
+def q_u1_stream(spark, d):
+    # The streaming ingest itself: an availableNow run over the events files
+    # into a fresh sink (and checkpoint) in the shared checkpoint folder.
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    events = _table(spark, d, "events")
+    ING.run_ingest(spark, f"{d.rstrip('/')}/events*.parquet", events.schema,
+                   f"{root}/sink", f"{root}/checkpoint")
+    return ING.read_sink(spark, f"{root}/sink")

@@ -609,3 +609,5 @@ def _fanout(zr: str, mode: str) -> str:
 
 MODEL_FINAL["B4_fanout"] = ("", " UNION ALL ".join([
     _fanout("zr_app", "first_zip"), _fanout("zr_viz", "zip_region"), _fanout("zr_all", "all")]))
+
+MODEL_FINAL["U1_stream"] = MODEL_FINAL["U1"]
