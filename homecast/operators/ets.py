@@ -93,7 +93,7 @@ def fit_ets(y, name: str, m: int = PERIOD) -> dict:
 
     best = None
     for start in ([-1.0, -2.0, -2.0, 1.0, 0.0, 0.0], [1.0, -1.0, -1.0, 0.0, 0.0, 0.0]):
-        cand = K.nelder_mead(obj, np.array(start), step=0.5, iters=1000)
+        cand = K.nelder_mead(obj, np.array(start), step=0.5, iters=600)
         if best is None or cand[1] < best[1]:
             best = cand
     x = best[0]

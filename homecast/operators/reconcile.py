@@ -1,15 +1,19 @@
 """Forecast reconciliation across a hierarchy (M15, with A23).
 
-Nodes are the leaves (e.g. regions) and every aggregate of them (the
-total).  Reconciliation needs additive quantities (sums or counts), never
+Nodes are the leaves (e.g. counties), every aggregate of them (regions) and
+the total.  Reconciliation needs additive quantities (sums or counts), never
 means.  Base forecasts and in-sample residuals come from any per-node model
-(ETS here).  The reconciliation itself works on the hierarchy, whose size is
-nodes x horizon (not data), in one ``applyInPandas`` group per hierarchy:
+(ETS here).
 
-* bottom-up: every node is the sum of its leaves' base forecasts;
-* OLS:       y~ = S (S'S)^-1 S' y^;
-* MinT:      y~ = S (S'W^-1 S)^-1 S'W^-1 y^ with W the one-step residual
-             covariance shrunk toward its diagonal (Schafer and Strimmer 2005).
+* node series: one ROLLUP over the levels (A23);
+* mapping: (node, leaf) for every leaf and each of its ancestors;
+* bottom-up: leaf forecasts joined to the mapping and summed per node, a
+  plain Spark join + aggregate;
+* OLS:  y~ = S (S'S)^-1 S' y^;
+* MinT: y~ = S (S'W^-1 S)^-1 S'W^-1 y^ with W the one-step residual
+  covariance shrunk toward its diagonal (Schafer and Strimmer 2005).
+  These two need the whole (small) hierarchy: nodes x horizon forecasts and
+  nodes x months residuals, one ``applyInPandas`` group per hierarchy.
 """
 
 from __future__ import annotations
@@ -20,16 +24,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOTAL = "<total>"
+SEP = "/"
 
 
-def hierarchy_series(df: DataFrame, leaf: str, value: str, index: str = "month",
+def _path(levels, upto: int):
+    return F.concat_ws(SEP, *[F.col(c) for c in levels[:upto]])
+
+
+def hierarchy_series(df: DataFrame, levels, value: str, index: str = "month",
                      total: str = TOTAL) -> DataFrame:
-    """(node, index, value) for every leaf and the total in one ROLLUP."""
-    g = df.rollup(index, leaf).agg(F.sum(value).alias(value),
-                                   F.grouping(index).alias("_gi"), F.grouping(leaf).alias("_gl"))
+    """(node, index, value) for every node in one ROLLUP.  A node is
+    named by its path ('AFRICA/NATION_0'); the root is ``total``."""
+    levels = list(levels) if not isinstance(levels, str) else [levels]
+    g = df.rollup(index, *levels).agg(F.sum(value).alias(value), F.grouping(index).alias("_gi"),
+                                      *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(levels)])
     g = g.filter(F.col("_gi") == 0)
-    return g.select(F.when(F.col("_gl") == 1, F.lit(total)).otherwise(F.col(leaf)).alias("node"),
-                    index, value)
+    node = F.lit(total)
+    for i in range(len(levels)):
+        node = F.when(F.col(f"_g{i}") == 0, _path(levels, i + 1)).otherwise(node)
+    return g.select(node.alias("node"), index, value)
+
+
+def hierarchy_mapping(df: DataFrame, levels, total: str = TOTAL) -> DataFrame:
+    """(node, leaf) for each leaf path and each of its ancestors."""
+    levels = list(levels) if not isinstance(levels, str) else [levels]
+    leaves = df.select(*levels).dropna().distinct()
+    anc = F.array(F.lit(total), *[_path(levels, i + 1) for i in range(len(levels))])
+    return leaves.select(_path(levels, len(levels)).alias("leaf"),
+                         F.explode(anc).alias("node"))
+
+
+def bottom_up(forecasts: DataFrame, mapping: DataFrame, index: str = "month") -> DataFrame:
+    """Every node = sum of its leaves' base forecasts (join + aggregate)."""
+    leaf_fc = forecasts.select(F.col("node").alias("leaf"), index, "mean")
+    return leaf_fc.join(mapping, "leaf").groupBy("node", index).agg(
+        F.sum("mean").alias("mean")).withColumn("method", F.lit("bu"))
 
 
 def _shrunk_cov(res: np.ndarray) -> np.ndarray:
@@ -53,19 +82,21 @@ def _shrunk_cov(res: np.ndarray) -> np.ndarray:
     return shrunk * np.outer(sd, sd)
 
 
-def reconcile_frame(fc: pd.DataFrame, resid: pd.DataFrame, total: str = TOTAL,
+def reconcile_frame(fc: pd.DataFrame, resid: pd.DataFrame, mapping: pd.DataFrame,
                     index: str = "month") -> pd.DataFrame:
-    """fc: node, month, mean; resid: node, t, resid.  Two-level hierarchy."""
-    leaves = sorted(n for n in fc["node"].unique() if n != total)
-    nodes = [total, *leaves]
-    S = np.vstack([np.ones(len(leaves)), np.eye(len(leaves))])
+    """fc: node, month, mean; resid: node, t, resid; mapping: node, leaf."""
+    leaves = sorted(mapping["leaf"].unique())
+    nodes = sorted(mapping["node"].unique())
+    S = np.zeros((len(nodes), len(leaves)))
+    ni = {n: i for i, n in enumerate(nodes)}
+    li = {x: j for j, x in enumerate(leaves)}
+    for r in mapping.itertuples(index=False):
+        S[ni[r.node], li[r.leaf]] = 1.0
     Y = fc.pivot(index=index, columns="node", values="mean").reindex(columns=nodes)
     R = resid.pivot(index="t", columns="node", values="resid").reindex(columns=nodes).to_numpy()
-    yhat = Y.to_numpy().T                             # nodes x h
-    out = {"base": yhat, "bu": S @ yhat[1:, :]}
-    out["ols"] = S @ np.linalg.solve(S.T @ S, S.T @ yhat)
-    W = _shrunk_cov(R)
-    Wi = np.linalg.pinv(W)
+    yhat = np.nan_to_num(Y.to_numpy().T)                 # nodes x h
+    out = {"base": Y.to_numpy().T, "ols": S @ np.linalg.solve(S.T @ S, S.T @ yhat)}
+    Wi = np.linalg.pinv(_shrunk_cov(R))
     out["mint"] = S @ np.linalg.solve(S.T @ Wi @ S, S.T @ Wi @ yhat)
     rows = []
     for method, mat in out.items():
@@ -75,22 +106,28 @@ def reconcile_frame(fc: pd.DataFrame, resid: pd.DataFrame, total: str = TOTAL,
     return pd.DataFrame(rows, columns=["node", index, "method", "mean"])
 
 
-def reconcile(forecasts: DataFrame, residuals: DataFrame, index: str = "month",
-              total: str = TOTAL) -> DataFrame:
-    """forecasts: node, month, mean; residuals: node, t, resid (one hierarchy).
-    Returns node, month, method (base, bu, ols, mint), mean."""
-    f = forecasts.select(F.lit(0).alias("_h"), F.lit("f").alias("_kind"), "node",
+def reconcile(forecasts: DataFrame, residuals: DataFrame, mapping: DataFrame,
+              index: str = "month") -> DataFrame:
+    """forecasts: node, month, mean; residuals: node, t, resid; mapping:
+    node, leaf (one hierarchy).  Returns node, month, method (base, bu, ols,
+    mint), mean."""
+    f = forecasts.select(F.lit("f").alias("_kind"), "node", F.lit(None).cast("string").alias("leaf"),
                          F.col(index).alias("_m"), F.lit(None).cast("long").alias("t"),
                          F.col("mean").alias("v"))
-    r = residuals.select(F.lit(0).alias("_h"), F.lit("r").alias("_kind"), "node",
+    r = residuals.select(F.lit("r").alias("_kind"), "node", F.lit(None).cast("string").alias("leaf"),
                          F.lit(None).cast("date").alias("_m"), F.col("t").cast("long"),
                          F.col("resid").alias("v"))
+    m = mapping.select(F.lit("m").alias("_kind"), "node", "leaf", F.lit(None).cast("date").alias("_m"),
+                       F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("v"))
 
     def fn(pdf):
         fc = pdf[pdf["_kind"] == "f"].rename(columns={"_m": index, "v": "mean"})
         rs = pdf[pdf["_kind"] == "r"].rename(columns={"v": "resid"})
+        mp = pdf[pdf["_kind"] == "m"]
         return reconcile_frame(fc[["node", index, "mean"]], rs[["node", "t", "resid"]],
-                               total, index)
+                               mp[["node", "leaf"]], index)
 
-    return f.unionByName(r).groupBy("_h").applyInPandas(
-        fn, f"node string, `{index}` date, method string, mean double")
+    matrix = f.unionByName(r).unionByName(m).withColumn("_h", F.lit(0)).groupBy("_h") \
+        .applyInPandas(fn, f"node string, `{index}` date, method string, mean double")
+    return matrix.unionByName(bottom_up(forecasts, mapping, index).select(
+        "node", index, "method", "mean"))

@@ -28,33 +28,45 @@ def assert_series(df: DataFrame, keys=(), index: str = "month") -> DataFrame:
 
 
 def fill_gaps(df: DataFrame, keys=(), index: str = "month", step: str = "month",
-              fill: dict | None = None) -> DataFrame:
+              fill: dict | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """W4 / W5 ``fill_gaps``: one row per key and step from the key's first to
     last index.  Missing rows get ``fill`` values (W4) or NULLs (W5).
-    ``step`` is 'month', 'quarter' or 'year' (integer index).
+    ``step`` is 'month', 'quarter' or 'year' (integer index).  With
+    ``bounds`` (a one-row DataFrame with columns ``lo`` and ``hi``) every key
+    spans that common range instead, as a hierarchy needs.
 
-    Single pass: each row looks at the next index of its key (``lead``) and
-    expands to itself plus the missing steps before it, so the series is
-    read once and no calendar is joined back."""
+    Single pass: each row looks at its neighbours (``lag``/``lead``) and
+    expands to itself plus the missing steps up to the next row, so the
+    series is read once and no calendar is joined back."""
     keys = list(keys)
     fill = fill or {}
+    measures = [c for c in df.columns if c not in set(keys) | {index}]
     w = Window.partitionBy(*keys).orderBy(index)
-    df = df.withColumn("_next", F.lead(index).over(w))
-    nxt = F.col("_next")
+    df = df.select("*", F.lag(index).over(w).alias("_prev"), F.lead(index).over(w).alias("_next"))
+    if bounds is not None:
+        b = bounds.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(1).alias("_one"))
+        # one row by contract: broadcasting it is bounded
+        df = df.withColumn("_one", F.lit(1)).join(F.broadcast(b), "_one").drop("_one")
+        lo, hi = F.col("_lo"), F.col("_hi")
+    else:
+        lo = hi = F.col(index)
+    start = F.when(F.col("_prev").isNull(), F.least(lo, F.col(index))).otherwise(F.col(index))
     if step == "year":
-        seq = F.sequence(F.col(index), F.coalesce(nxt - 1, F.col(index)))
+        end = F.when(F.col("_next").isNull(), F.greatest(hi, F.col(index))) \
+            .otherwise(F.col("_next") - 1)
+        seq = F.sequence(start, end)
     else:
         months = 3 if step == "quarter" else 1
-        last = F.coalesce(F.add_months(nxt, -months), F.col(index))
-        seq = F.sequence(F.col(index), last, F.expr(STEPS[step]))
-    measures = [c for c in df.columns if c not in set(keys) | {index, "_next"}]
-    g = df.select(*keys, *measures, F.posexplode(seq).alias("_pos", "_idx"))
-    first = F.col("_pos") == 0
+        end = F.when(F.col("_next").isNull(), F.greatest(hi, F.col(index))) \
+            .otherwise(F.add_months(F.col("_next"), -months))
+        seq = F.sequence(start, end, F.expr(STEPS[step]))
+    g = df.select(*keys, index, *measures, F.explode(seq).alias("_idx"))
+    own = F.col("_idx") == F.col(index)
     cols = []
     for m in measures:
         typ = df.schema[m].dataType
         gap = F.lit(fill[m]).cast(typ) if m in fill else F.lit(None).cast(typ)
-        cols.append(F.when(first, F.col(m)).otherwise(gap).alias(m))
+        cols.append(F.when(own, F.col(m)).otherwise(gap).alias(m))
     return g.select(*keys, F.col("_idx").alias(index), *cols)
 
 

@@ -632,21 +632,28 @@ def q_m12_fc(spark, d):
                                     "h", keys=["Region"]))
 
 
-def _hierarchy_fit(spark, d):
-    si = P(spark, d).sold("viz")
-    nodes = REC.hierarchy_series(si, "Region", "price")
-    nodes = S.fill_gaps(nodes, keys=["node"], fill={"price": 0.0})
-    return ETS.auto_ets(nodes, "price", keys=["node"])
+HIERARCHY = ["Region", "County"]
+
+
+def _hierarchy(spark, d):
+    si = P(spark, d).sold("all")
+    # Node series are small (nodes x months); persisting them lets the common
+    # calendar bounds and the gap fill share one computation.
+    nodes = REC.hierarchy_series(si, HIERARCHY, "price").persist()
+    bounds = nodes.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    nodes = S.fill_gaps(nodes, keys=["node"], fill={"price": 0.0}, bounds=bounds)
+    return nodes, REC.hierarchy_mapping(si, HIERARCHY)
 
 
 @query("M15")
 def q_m15(spark, d):
-    # Hierarchy total -> Region of monthly sales totals; ETS base forecasts
-    # reconciled bottom-up, by OLS and by MinT-shrink, 5 months ahead.
-    fit = _hierarchy_fit(spark, d)
+    # Hierarchy total -> Region -> County of monthly sales totals; ETS base
+    # forecasts reconciled bottom-up, by OLS and by MinT-shrink, 5 months ahead.
+    nodes, mapping = _hierarchy(spark, d)
+    fit = ETS.auto_ets(nodes, "price", keys=["node"])
     fc = ETS.ets_forecast(fit, 5, keys=["node"]).select("node", "month", "mean")
     res = fit.select("node", F.posexplode("resid").alias("t", "resid"))
-    return rounded(REC.reconcile(fc, res))
+    return rounded(REC.reconcile(fc, res, mapping))
 
 
 # ---------------------------------------------------------------- joins, set operations, sources

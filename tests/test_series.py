@@ -35,6 +35,9 @@ def test_fill_gaps_contiguous_unique(spark):
                  (dt.date(2021, 1, 1), 0.0), (dt.date(2021, 2, 1), 2.0)]
     assert len([r for r in out if r.k is None]) == 3     # NULL key is a key too
     assert S.series_duplicates(S.fill_gaps(df, keys=["k"]), ["k"]).count() == 0
+    bounds = spark.createDataFrame([(dt.date(2020, 10, 1), dt.date(2021, 3, 1))], "lo date, hi date")
+    common = S.fill_gaps(df, keys=["k"], fill={"v": 0.0}, bounds=bounds).groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in common} == {"a": 6, "b": 6, None: 6}
 
 
 def _seasonal_frame(spark, n=60, keys=("x", "y")):
@@ -117,18 +120,27 @@ def test_trend_fit_and_acf(spark):
     assert abs(acf[1] - (d[1:] @ d[:-1]) / (d @ d)) < 1e-12
 
 
-def test_reconciled_children_sum_to_parent():
+def test_reconciled_children_sum_to_parent(spark):
     rng = np.random.default_rng(3)
+    rows = [(r, c, float(rng.normal(100, 10))) for r in ("N", "S") for c in ("a", "b", "c")
+            for _ in range(3)]
+    sales = spark.createDataFrame(rows, "Region string, County string, price double")
+    mapping = REC.hierarchy_mapping(sales, ["Region", "County"]).toPandas()
+    assert len(mapping) == 6 * 3                       # every leaf with 3 ancestors incl. itself
     months = pd.date_range("2020-01-01", periods=3, freq="MS").date
-    fc = pd.DataFrame([(n, m, v) for n, base in [("<total>", 100), ("a", 40), ("b", 55)]
-                       for m, v in zip(months, base + rng.normal(size=3))],
+    nodes = sorted(mapping.node.unique())
+    fc = pd.DataFrame([(n, m, float(rng.normal(50, 5))) for n in nodes for m in months],
                       columns=["node", "month", "mean"])
-    res = pd.DataFrame([(n, t, float(rng.normal())) for n in ("<total>", "a", "b") for t in range(30)],
+    res = pd.DataFrame([(n, t, float(rng.normal())) for n in nodes for t in range(40)],
                        columns=["node", "t", "resid"])
-    out = REC.reconcile_frame(fc, res)
-    for method in ("bu", "ols", "mint"):
+    out = REC.reconcile_frame(fc, res, mapping)
+    for method in ("ols", "mint"):
         sub = out[out.method == method].pivot(index="month", columns="node", values="mean")
-        assert np.allclose(sub["<total>"], sub["a"] + sub["b"])
+        assert np.allclose(sub["<total>"], sub["N"] + sub["S"])
+        assert np.allclose(sub["N"], sub["N/a"] + sub["N/b"] + sub["N/c"])
+    bu = REC.bottom_up(spark.createDataFrame(fc), spark.createDataFrame(mapping)).toPandas()
+    bu = bu.pivot(index="month", columns="node", values="mean")
+    assert np.allclose(bu["<total>"], bu["N"] + bu["S"])
 
 
 def test_sample_per_group_caps_rows(spark):
