@@ -87,3 +87,15 @@ def rename_by_position(df: DataFrame, position: int, name: str) -> DataFrame:
     names = list(df.columns)
     names[position - 1] = name
     return df.toDF(*names)
+
+
+def history_rejects(h: DataFrame) -> DataFrame:
+    """Per event type: rows and rows whose month, price or address failed to
+    parse (what ``complete.cases`` later drops), in one aggregate."""
+    def bad(c):
+        return F.sum(F.when(c, 1).otherwise(0))
+    return h.groupBy("Event").agg(
+        F.count(F.lit(1)).alias("rows"), bad(F.col("month").isNull()).alias("bad_date"),
+        bad(F.col("price").isNull()).alias("bad_price"),
+        bad(F.col("zip").isNull() | F.col("state").isNull() | F.col("city").isNull()
+            | F.col("street").isNull()).alias("bad_address"))

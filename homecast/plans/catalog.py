@@ -788,3 +788,8 @@ def q_u1_stream(spark, d):
     ING.run_ingest(spark, f"{d.rstrip('/')}/events*.parquet", events.schema,
                    f"{root}/sink", f"{root}/checkpoint")
     return ING.read_sink(spark, f"{root}/sink")
+
+
+@query("B1_rejects")
+def q_b1_rejects(spark, d):
+    return clean.history_rejects(P(spark, d).h)

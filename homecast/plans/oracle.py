@@ -597,8 +597,8 @@ MODEL_FINAL["M4"] = _x11_sql("ts_mean", "mean_sale")
 
 
 def _fanout(zr: str, mode: str) -> str:
-    return (f"SELECT count(*) AS rows_in, sum(coalesce(m, 0)) AS rows_out, "
-            f"sum(CASE WHEN coalesce(m, 0) = 0 THEN 1 ELSE 0 END) AS rows_unmatched, "
+    return (f"SELECT count(*) AS rows_in, CAST(sum(coalesce(m, 0)) AS BIGINT) AS rows_out, "
+            f"CAST(sum(CASE WHEN coalesce(m, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS rows_unmatched, "
             f"round(sum(coalesce(m, 0))::DOUBLE / count(*), 4) AS fanout, '{mode}' AS mode "
             f"FROM (SELECT b.zip FROM h b JOIN i_app i ON b.zip = i.zip AND b.street = i.street "
             f"AND b.city = i.city AND b.state = i.state WHERE b.month IS NOT NULL AND "
@@ -611,3 +611,9 @@ MODEL_FINAL["B4_fanout"] = ("", " UNION ALL ".join([
     _fanout("zr_app", "first_zip"), _fanout("zr_viz", "zip_region"), _fanout("zr_all", "all")]))
 
 MODEL_FINAL["U1_stream"] = MODEL_FINAL["U1"]
+
+MODEL_FINAL["B1_rejects"] = ("", "SELECT Event, count(*) AS rows, "
+    "CAST(sum(CASE WHEN month IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS bad_date, "
+    "CAST(sum(CASE WHEN price IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS bad_price, "
+    "CAST(sum(CASE WHEN zip IS NULL OR state IS NULL OR city IS NULL OR street IS NULL THEN 1 ELSE 0 "
+    "END) AS BIGINT) AS bad_address FROM h GROUP BY Event")

@@ -49,7 +49,18 @@ def canon(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
-def compare(spark, sf_dir, names=None, verbose=True):
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT", "float": "FLOAT"}
+
+
+def _duck_type(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        return _duck_type(spark_type[6:-1]) + "[]"
+    return SPARK_TO_DUCK.get(spark_type, spark_type.upper())
+
+
+def compare(spark, sf_dir, names=None, verbose=True, strict_types=True):
     from __spark_entry__ import oracle_sql, queries
     qs, sqls = queries(), oracle_sql()
     con = duck(sf_dir)
@@ -64,7 +75,9 @@ def compare(spark, sf_dir, names=None, verbose=True):
             scols = df.columns
             rel = con.sql(sqls[name])
             dcols = rel.columns
+            dtypes = [str(t) for t in rel.types]
             drows = rel.fetchall()
+            stypes = [_duck_type(f.dataType.simpleString()) for f in df.schema.fields]
         except Exception as e:  # noqa: BLE001
             results[name] = f"ERROR {type(e).__name__}: {str(e)[:300]}"
             if verbose:
@@ -72,8 +85,12 @@ def compare(spark, sf_dir, names=None, verbose=True):
             continue
         sc, sr = canon(scols, srows)
         dc, dr = canon(dcols, drows)
-        ok = sc == dc and len(sr) == len(dr) and sr == dr
+        types_ok = (not strict_types) or \
+            sorted(zip(scols, stypes)) == sorted(zip(dcols, dtypes))
+        ok = sc == dc and len(sr) == len(dr) and sr == dr and types_ok
         msg = "OK" if ok else "MISMATCH"
+        if not types_ok:
+            msg += f" types {sorted(zip(scols, stypes))} vs {sorted(zip(dcols, dtypes))}"
         if not ok:
             msg += f" cols {sc} vs {dc}; rows {len(sr)} vs {len(dr)}"
             diff = [r for r in sr if r not in set(dr)][:3]
