@@ -49,12 +49,18 @@ def _ns_join(left: DataFrame, right: DataFrame, keys, broadcast_right: bool = Fa
     return left.join(r, cond).drop(*["_r_" + k for k in keys])
 
 
+def _value(col: str):
+    """The measure as a double; NaN counts as missing, like NULL."""
+    v = F.col(col).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def _long_input(df: DataFrame, keys, measures: dict) -> DataFrame:
     items = list(measures.items())
     if len(items) == 1:
         name, col = items[0]
-        return df.select(*keys, F.lit(name).alias("_m"), F.col(col).cast("double").alias("_v"))
-    s = F.explode(F.array(*[F.struct(F.lit(n).alias("_m"), F.col(c).cast("double").alias("_v"))
+        return df.select(*keys, F.lit(name).alias("_m"), _value(col).alias("_v"))
+    s = F.explode(F.array(*[F.struct(F.lit(n).alias("_m"), _value(c).alias("_v"))
                             for n, c in items])).alias("_s")
     return df.select(*keys, s).select(*keys, "_s._m", "_s._v")
 
@@ -92,10 +98,11 @@ def exact_quantile_long(x: DataFrame, keys, q: float = 0.5, buckets: int = BUCKE
             "fin", F.lit(True) if last else (F.col("cnt") <= band_max))
         xj = _ns_join(x, todo, keys, broadcast_right=n_active <= BROADCAST_TARGETS_MAX)
         xj = xj.filter(F.col("_v").between(F.col("lo"), F.col("hi")))
-        width = F.col("hi") - F.col("lo")
+        # Halves keep hi - lo finite for any pair of finite doubles.
+        width = F.col("hi") * 0.5 - F.col("lo") * 0.5
+        rel = (F.col("_v") * 0.5 - F.col("lo") * 0.5) / width
         b = F.when(F.col("fin"), F.lit(-1)).otherwise(
-            F.least(F.lit(buckets - 1),
-                    F.floor((F.col("_v") - F.col("lo")) / width * buckets).cast("int")))
+            F.least(F.lit(buckets - 1), F.floor(rel * buckets).cast("int")))
         agg = xj.groupBy(*keys, b.alias("b")).agg(
             F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"),
             F.collect_list(F.when(F.col("fin"), F.col("_v"))).alias("vals"))

@@ -12,7 +12,7 @@ def test_exact_median_multi_pass(spark):
     rng = np.random.default_rng(7)
     hot = rng.lognormal(12, 1, 30000)                 # one hot group
     ties = np.repeat([5.0, 7.0], 500)                 # many equal values
-    spread = np.r_[rng.normal(0, 1, 999), 1e300]      # extreme outlier
+    spread = np.r_[rng.normal(0, 1, 998), 1e300, -1.7e308]      # extreme values
     pdf = pd.concat([pd.DataFrame({"g": "hot", "v": hot}),
                      pd.DataFrame({"g": "ties", "v": ties}),
                      pd.DataFrame({"g": "spread", "v": spread}),
