@@ -164,7 +164,15 @@ def auto_ets(series: DataFrame, value: str, keys=(), index: str = "month",
     def fit(pdf):
         pdf = pdf.sort_values(index)
         name = pdf["model"].iloc[0]
-        res = fit_ets(pdf["y"].to_numpy(), name, period)
+        y = pdf["y"].to_numpy(dtype=float)
+        res = fit_ets(y, name, period)
+        if "level" not in res:
+            # Too short to fit: a naive model (last value, no trend or season)
+            # that forecasting can still use; its AICc keeps it last in line.
+            res = {"alpha": 0.0, "beta": 0.0, "gamma": 0.0, "phi": 1.0, "aicc": float("inf"),
+                   "sigma2": float(np.var(y)) if len(y) else float("nan"),
+                   "loglik": float("nan"), "level": float(y[-1]) if len(y) else float("nan"),
+                   "slope": 0.0, "season": [0.0] * period, "resid": [0.0] * len(y)}
         out = pdf[keys_i].iloc[:1].copy()
         out["model"] = name
         for c in ("alpha", "beta", "gamma", "phi", "sigma2", "loglik", "aicc", "level", "slope"):

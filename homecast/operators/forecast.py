@@ -26,7 +26,8 @@ def trend_forecast(fit: DataFrame, h, keys=(), index: str = "month") -> DataFram
     f = fit.select(*keys, "n", "intercept", "slope", "sigma", "sxx", "tbar", "last_index",
                    F.explode(F.sequence(F.lit(1), _h(h))).alias("step"))
     t0 = F.col("n") + F.col("step")
-    se = F.col("sigma") * F.sqrt(1 + 1 / F.col("n") + (t0 - F.col("tbar")) ** 2 / F.col("sxx"))
+    se = F.col("sigma") * F.sqrt(1 + 1 / F.col("n")
+                                 + F.try_divide((t0 - F.col("tbar")) ** 2, F.col("sxx")))
     out = f.select(*keys, F.add_months(F.col("last_index"), F.col("step")).alias(index),
                    (F.col("intercept") + F.col("slope") * t0).alias("mean"), se.alias("sigma"))
     return with_bands(out)

@@ -40,7 +40,8 @@ def trend_fit(series: DataFrame, value: str, keys=(), index: str = "month") -> D
         F.regr_slope(y, t).alias("slope"), F.regr_sxx(y, t).alias("sxx"),
         F.regr_syy(y, t).alias("syy"), F.regr_sxy(y, t).alias("sxy"),
         F.avg(t).alias("tbar"), F.max(index).alias("last_index"))
-    rss = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
+    rss = F.greatest(F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx")),
+                     F.lit(0.0))
     return g.withColumn("rss", rss).withColumn(
         "sigma", F.sqrt(F.try_divide(F.col("rss"), F.col("n") - 2)))
 
@@ -54,9 +55,9 @@ def trend_report(fit: DataFrame, keys=()) -> DataFrame:
     r2 = F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy"))
     return fit.select(
         *keys, "n", "intercept", "slope", (F.col("sigma") * F.col("sigma")).alias("sigma2"),
-        r2.alias("r2"), (1 - (1 - r2) * (n - 1) / (n - k)).alias("adj_r2"),
+        r2.alias("r2"), (1 - F.try_divide((1 - r2) * (n - 1), n - k)).alias("adj_r2"),
         ll.alias("loglik"), aic.alias("aic"),
-        (aic + F.lit(2 * (k + 1) * (k + 2)) / (n - k - 2)).alias("aicc"),
+        (aic + F.try_divide(F.lit(2.0 * (k + 1) * (k + 2)), n - k - 2)).alias("aicc"),
         (-2 * ll + F.log(n) * (k + 1)).alias("bic"))
 
 
