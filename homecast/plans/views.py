@@ -22,9 +22,14 @@ HORIZONS = ("1 year", "3 years", "6 years")
 
 class App:
     """``si`` is the sold-home fact (app form); ``ts`` the statewide model
-    input (B7).  Cache ``si`` when several views are served from one session."""
-
-    def __init__(self, si: DataFrame, ts: DataFrame | None = None):
+    input (B7).  With ``cache=True`` the fact is persisted once (memory, then
+    disk), as an interactive session serving many views should do; lost
+    blocks are recomputed from lineage."""
+
+    def __init__(self, si: DataFrame, ts: DataFrame | None = None, cache: bool = False):
+        if cache:
+            from pyspark import StorageLevel
+            si = si.persist(StorageLevel.MEMORY_AND_DISK)
         self.si = si
         self.ts = ts
         self.options = A.menu_options(si)

@@ -14,7 +14,6 @@ after a lost executor or driver neither lose nor duplicate records.
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,5 +82,4 @@ def run_ingest(spark, landing_dir, schema, sink_dir, checkpoint_dir) -> int:
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return read_sink(spark, sink_dir).count() if os.path.exists(sink_dir) or "://" in sink_dir \
-        else 0
+    return read_sink(spark, sink_dir).count() if _sink_exists(spark, sink_dir) else 0
