@@ -99,11 +99,31 @@ def bed_bath_label(beds="beds", baths="baths") -> Column:
 
 
 def dollar(x) -> Column:
-    """C11: '$1,234' / '-$1,234' (rounded to whole dollars)."""
-    v = F.round(_c(x), 0)
+    """C11 for one value: '$1,234' / '-$1,234' (rounded to whole dollars)."""
+    v = F.round(_c(x).cast("decimal(38,10)"), 0).cast("double")
     return F.concat(F.when(v < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(v), 0))
 
 
+# Fixed value: the largest amount still printed with cents by the money formatter.
+LARGEST_WITH_CENTS = 100000
+
+
+def dollar_column(x, over=None) -> Column:
+    """C11 applied to a whole column, like the money formatter of the reports:
+    cents are shown only when every value is at most 100,000 and not all
+    values are whole dollars.  ``over`` is the window spanning the column
+    (default: the whole result, meant for small view tables)."""
+    from pyspark.sql import Window
+    w = over if over is not None else Window.partitionBy()
+    v = _c(x)
+    cents = (F.max(F.abs(v)).over(w) <= LARGEST_WITH_CENTS) & \
+        (F.max(F.when(v != F.floor(v), 1).otherwise(0)).over(w) == 1)
+    r2 = F.round(v.cast("decimal(38,10)"), 2)
+    with_cents = F.concat(F.when(r2 < 0, "-").otherwise(""), F.lit("$"),
+                          F.format_number(F.abs(r2).cast("double"), 2))
+    return F.when(cents, with_cents).otherwise(dollar(v))
+
+
 def price_per_sqft(price="price", sqft="sqft") -> Column:
     """Guarded division (NULL for a zero or NULL size)."""
     return F.try_divide(_c(price), _c(sqft))

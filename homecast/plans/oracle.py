@@ -440,8 +440,14 @@ def _trend_fc(fit: str, h: int) -> str:
 
 
 def _dollar(x: str) -> str:
-    return (f"(CASE WHEN round({x}, 0) < 0 THEN '-' ELSE '' END || '$' || "
-            f"format('{{:,.0f}}', abs(round({x}, 0))))")
+    """Whole dollars unless every value is <= 100,000 and some are not whole."""
+    whole = (f"(CASE WHEN round({x}, 0) < 0 THEN '-' ELSE '' END || '$' || "
+             f"format('{{:,.0f}}', abs(round({x}, 0))))")
+    cents = (f"(CASE WHEN round({x}, 2) < 0 THEN '-' ELSE '' END || '$' || "
+             f"format('{{:,.2f}}', abs(round({x}, 2))))")
+    rule = (f"(max(abs({x})) OVER () <= 100000 AND "
+            f"max(CASE WHEN {x} <> floor({x}) THEN 1 ELSE 0 END) OVER () = 1)")
+    return f"(CASE WHEN {rule} THEN {cents} ELSE {whole} END)"
 
 
 _VIEW = f"""

@@ -66,7 +66,7 @@ class App:
         """Monthly mean of the selection with its display columns."""
         m = A.mean_series(self.selected(county, bdba, sqft_range))
         return m.select("month", "mean_sale", T.month_label("month").alias("Date"),
-                        T.dollar("mean_sale").alias("mean_sale_text"))
+                        T.dollar_column("mean_sale").alias("mean_sale_text"))
 
     def history_page(self, county, bdba, sqft_range=None, page_no=1, page_size=10):
         """One page of the history table sorted by month."""
@@ -103,6 +103,7 @@ class App:
         j = fc.join(F.broadcast(last), "_one")
         diff = F.col("mean") - F.col("last_sale")
         return j.select("month", T.month_label("month").alias("Date"),
-                        diff.alias("price_diff"), T.dollar(diff).alias("price_diff_text"),
-                        F.col("mean").alias("total_sale"), T.dollar("mean").alias("total_sale_text"),
+                        diff.alias("price_diff"), T.dollar_column(diff).alias("price_diff_text"),
+                        F.col("mean").alias("total_sale"),
+                        T.dollar_column("mean").alias("total_sale_text"),
                         T.month_label("base_month").alias("base_month"))

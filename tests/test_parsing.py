@@ -79,3 +79,12 @@ def test_projection_helpers(spark):
     assert clean.select_range(df, "b", "d", drop=["c"]).columns == ["b", "d"]
     assert clean.relocate(df, "d", before="b").columns == ["a", "d", "b", "c"]
     assert clean.rename_by_position(df, 2, "County").columns == ["a", "County", "c", "d"]
+
+
+def test_dollar_column_rule(spark):
+    cases = [([1234.5, 99.0], ["$1,234.50", "$99.00"]), ([1234.0, 5.0], ["$1,234", "$5"]),
+             ([250000.4, 3.5], ["$250,000", "$4"]), ([-12.345, 7.0], ["-$12.35", "$7.00"])]
+    for vals, want in cases:
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+        got = [r[1] for r in df.select("i", T.dollar_column("x")).orderBy("i").collect()]
+        assert got == want, (vals, got)
