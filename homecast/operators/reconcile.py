@@ -82,9 +82,11 @@ def _shrunk_cov(res: np.ndarray) -> np.ndarray:
     return shrunk * np.outer(sd, sd)
 
 
-def reconcile_frame(fc: pd.DataFrame, resid: pd.DataFrame, mapping: pd.DataFrame,
-                    index: str = "month") -> pd.DataFrame:
-    """fc: node, month, mean; resid: node, t, resid; mapping: node, leaf."""
+def reconciliation_weights(resid: pd.DataFrame, mapping: pd.DataFrame) -> pd.DataFrame:
+    """Projection weights P (nodes x nodes) per method, y~ = P y^:
+    bu = S [0 I], ols = S (S'S)^-1 S', mint = S (S'W^-1 S)^-1 S'W^-1.
+    ``resid``: node, t, resid; ``mapping``: node, leaf.  Returns method,
+    node, src, weight (non-zero weights only)."""
     leaves = sorted(mapping["leaf"].unique())
     nodes = sorted(mapping["node"].unique())
     S = np.zeros((len(nodes), len(leaves)))
@@ -92,42 +94,55 @@ def reconcile_frame(fc: pd.DataFrame, resid: pd.DataFrame, mapping: pd.DataFrame
     li = {x: j for j, x in enumerate(leaves)}
     for r in mapping.itertuples(index=False):
         S[ni[r.node], li[r.leaf]] = 1.0
-    Y = fc.pivot(index=index, columns="node", values="mean").reindex(columns=nodes)
+    J = np.zeros((len(leaves), len(nodes)))            # picks the leaves' own forecasts
+    for leaf, j in li.items():
+        J[j, ni[leaf]] = 1.0
     R = resid.pivot(index="t", columns="node", values="resid").reindex(columns=nodes).to_numpy()
-    yhat = np.nan_to_num(Y.to_numpy().T)                 # nodes x h
-    out = {"base": Y.to_numpy().T, "ols": S @ np.linalg.solve(S.T @ S, S.T @ yhat)}
     Wi = np.linalg.pinv(_shrunk_cov(R))
-    out["mint"] = S @ np.linalg.solve(S.T @ Wi @ S, S.T @ Wi @ yhat)
-    rows = []
-    for method, mat in out.items():
-        for i, node in enumerate(nodes):
-            for j, month in enumerate(Y.index):
-                rows.append((node, month, method, float(mat[i, j])))
-    return pd.DataFrame(rows, columns=["node", index, "method", "mean"])
+    mats = {"bu": S @ J,
+            "ols": S @ np.linalg.solve(S.T @ S, S.T),
+            "mint": S @ np.linalg.solve(S.T @ Wi @ S, S.T @ Wi)}
+    rows = [(m, nodes[i], nodes[j], float(P[i, j])) for m, P in mats.items()
+            for i in range(len(nodes)) for j in range(len(nodes)) if abs(P[i, j]) > 1e-15]
+    return pd.DataFrame(rows, columns=["method", "node", "src", "weight"])
+
+
+def reconcile_frame(fc: pd.DataFrame, resid: pd.DataFrame, mapping: pd.DataFrame,
+                    index: str = "month") -> pd.DataFrame:
+    """Local form of ``reconcile`` (used in tests): fc: node, month, mean."""
+    w = reconciliation_weights(resid, mapping)
+    j = w.merge(fc.rename(columns={"node": "src"}), on="src")
+    j["mean"] = j["weight"] * j["mean"]
+    out = j.groupby(["method", "node", index], as_index=False)["mean"].sum()
+    base = fc.assign(method="base")
+    return pd.concat([base[["node", index, "method", "mean"]],
+                      out[["node", index, "method", "mean"]]], ignore_index=True)
 
 
 def reconcile(forecasts: DataFrame, residuals: DataFrame, mapping: DataFrame,
               index: str = "month") -> DataFrame:
     """forecasts: node, month, mean; residuals: node, t, resid; mapping:
     node, leaf (one hierarchy).  Returns node, month, method (base, bu, ols,
-    mint), mean."""
-    f = forecasts.select(F.lit("f").alias("_kind"), "node", F.lit(None).cast("string").alias("leaf"),
-                         F.col(index).alias("_m"), F.lit(None).cast("long").alias("t"),
-                         F.col("mean").alias("v"))
+    mint), mean.
+
+    Only the residuals and the mapping (hierarchy-sized) meet in one group to
+    build the weight matrices; the forecasts are reconciled by a join with
+    the (size-checked) weights and a grouped sum."""
+    from .enrich import bounded_broadcast
     r = residuals.select(F.lit("r").alias("_kind"), "node", F.lit(None).cast("string").alias("leaf"),
-                         F.lit(None).cast("date").alias("_m"), F.col("t").cast("long"),
-                         F.col("resid").alias("v"))
-    m = mapping.select(F.lit("m").alias("_kind"), "node", "leaf", F.lit(None).cast("date").alias("_m"),
-                       F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("v"))
+                         F.col("t").cast("long"), F.col("resid").cast("double").alias("v"))
+    m = mapping.select(F.lit("m").alias("_kind"), "node", "leaf", F.lit(None).cast("long").alias("t"),
+                       F.lit(None).cast("double").alias("v"))
 
     def fn(pdf):
-        fc = pdf[pdf["_kind"] == "f"].rename(columns={"_m": index, "v": "mean"})
         rs = pdf[pdf["_kind"] == "r"].rename(columns={"v": "resid"})
         mp = pdf[pdf["_kind"] == "m"]
-        return reconcile_frame(fc[["node", index, "mean"]], rs[["node", "t", "resid"]],
-                               mp[["node", "leaf"]], index)
-
-    matrix = f.unionByName(r).unionByName(m).withColumn("_h", F.lit(0)).groupBy("_h") \
-        .applyInPandas(fn, f"node string, `{index}` date, method string, mean double")
-    return matrix.unionByName(bottom_up(forecasts, mapping, index).select(
-        "node", index, "method", "mean"))
+        return reconciliation_weights(rs[["node", "t", "resid"]], mp[["node", "leaf"]])
+
+    weights = r.unionByName(m).withColumn("_h", F.lit(0)).groupBy("_h").applyInPandas(
+        fn, "method string, node string, src string, weight double")
+    fc = forecasts.select(F.col("node").alias("src"), index, "mean")
+    rec = fc.join(bounded_broadcast(weights), "src").groupBy("method", "node", index).agg(
+        F.sum(F.col("weight") * F.col("mean")).alias("mean"))
+    base = forecasts.select("node", index, F.lit("base").alias("method"), "mean")
+    return base.unionByName(rec.select("node", index, "method", "mean"))

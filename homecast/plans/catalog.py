@@ -655,6 +655,7 @@ def _hierarchy(spark, d):
 def q_m15(spark, d):
     # Hierarchy total -> Region -> County of monthly sales totals; ETS base
     # forecasts reconciled bottom-up, by OLS and by MinT-shrink, 5 months ahead.
+    # (bottom_up() is also available as a plain join + aggregate.)
     nodes, mapping = _hierarchy(spark, d)
     fit = ETS.auto_ets(nodes, "price", keys=["node"])
     fc = ETS.ets_forecast(fit, 5, keys=["node"]).select("node", "month", "mean")

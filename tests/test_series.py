@@ -138,9 +138,18 @@ def test_reconciled_children_sum_to_parent(spark):
         sub = out[out.method == method].pivot(index="month", columns="node", values="mean")
         assert np.allclose(sub["<total>"], sub["N"] + sub["S"])
         assert np.allclose(sub["N"], sub["N/a"] + sub["N/b"] + sub["N/c"])
+    for method in ("bu", "ols", "mint"):
+        sub = out[out.method == method].pivot(index="month", columns="node", values="mean")
+        assert np.allclose(sub["N"], sub["N/a"] + sub["N/b"] + sub["N/c"])
     bu = REC.bottom_up(spark.createDataFrame(fc), spark.createDataFrame(mapping)).toPandas()
     bu = bu.pivot(index="month", columns="node", values="mean")
     assert np.allclose(bu["<total>"], bu["N"] + bu["S"])
+    local_bu = out[out.method == "bu"].pivot(index="month", columns="node", values="mean")
+    assert np.allclose(local_bu[bu.columns].to_numpy(), bu.to_numpy())
+    dist = REC.reconcile(spark.createDataFrame(fc), spark.createDataFrame(res),
+                         spark.createDataFrame(mapping)).toPandas()
+    merged = dist.merge(out, on=["node", "month", "method"])
+    assert len(merged) == len(out) and np.allclose(merged.mean_x, merged.mean_y)
 
 
 def test_sample_per_group_caps_rows(spark):
