@@ -1,9 +1,12 @@
 """Exponential smoothing per key (M12) with forecasts.
 
-Additive-error state-space models (Hyndman et al. 2008) with additive or
-damped trend and additive season: ANN, AAN, AAdN, ANA, AAA, AAdA.
-Multiplicative forms need a strictly positive series, which zero-filled
-gaps break, so they are not offered.  Like ARIMA, every (key, model)
+State-space ETS models (Hyndman et al. 2008) over the default automatic
+space: additive or multiplicative error, none / additive / damped trend,
+none / additive / multiplicative season (15 models; no multiplicative trend
+and no additive error with multiplicative season).  Multiplicative forms are
+fitted only when the series is strictly positive (zero-filled gaps rule them
+out).  Fits minimise the likelihood with a Nelder-Mead search; initial
+states come from the first cycles.  Like ARIMA, every (key, model)
 pair is one ``applyInPandas`` group; a window keeps the lowest AICc per key.
 The chosen model row carries its final states, so forecasting is a
 ``mapInPandas`` over model rows (no second pass over the series).
@@ -22,54 +25,89 @@ from . import tsmodels as K
 from .forecast import with_bands
 
 PERIOD = 12
-# name -> (trend: N/A/Ad, season: N/A)
-MODELS = {"ANN": ("N", "N"), "AAN": ("A", "N"), "AAdN": ("Ad", "N"),
-          "ANA": ("N", "A"), "AAA": ("A", "A"), "AAdA": ("Ad", "A")}
+# name -> (error, trend, season); the default automatic space: no
+# multiplicative trend, and no additive error with multiplicative season.
+MODELS = {"ANN": ("A", "N", "N"), "AAN": ("A", "A", "N"), "AAdN": ("A", "Ad", "N"),
+          "ANA": ("A", "N", "A"), "AAA": ("A", "A", "A"), "AAdA": ("A", "Ad", "A"),
+          "MNN": ("M", "N", "N"), "MAN": ("M", "A", "N"), "MAdN": ("M", "Ad", "N"),
+          "MNA": ("M", "N", "A"), "MAA": ("M", "A", "A"), "MAdA": ("M", "Ad", "A"),
+          "MNM": ("M", "N", "M"), "MAM": ("M", "A", "M"), "MAdM": ("M", "Ad", "M")}
+MULTIPLICATIVE = {k for k, v in MODELS.items() if "M" in (v[0], v[2])}
 
 
 def _init_states(y, trend, season, m):
     """Initial level, slope and seasonal states from a linear fit to the
-    first (up to) three cycles and the mean de-trended value per position."""
+    first (up to) three cycles and the mean de-trended value (difference or
+    ratio) per position."""
     n = len(y)
-    k = min(n, 3 * m if season == "A" else 10)
+    k = min(n, 3 * m if season != "N" else 10)
     t = np.arange(1, k + 1, dtype=float)
     slope, icpt = np.polyfit(t, y[:k], 1) if k > 1 else (0.0, float(y[0]))
-    s = np.zeros(m)
+    fit = icpt + slope * t
     if season == "A" and n >= 2 * m:
-        dev = y[:k] - (icpt + slope * t)
+        dev = y[:k] - fit
         s = np.array([dev[j::m].mean() for j in range(m)])
         s = s - s.mean()
-        # the state m steps before the first observation holds position 0
+    elif season == "M" and n >= 2 * m:
+        ratio = y[:k] / np.where(fit == 0, 1e-9, fit)
+        s = np.array([ratio[j::m].mean() for j in range(m)])
+        s = s / s.mean()
+    else:
+        s = np.zeros(m) if season != "M" else np.ones(m)
     if trend == "N":
-        return float(np.mean(y[:k] - (s[np.arange(k) % m] if season == "A" else 0))), 0.0, s
+        if season == "A":
+            level = np.mean(y[:k] - s[np.arange(k) % m])
+        elif season == "M":
+            level = np.mean(y[:k] / s[np.arange(k) % m])
+        else:
+            level = np.mean(y[:k])
+        return float(level), 0.0, s
     return float(icpt), float(slope), s
 
 
 def _run(y, params, trend, season, m, l0, b0, s0):
-    """One pass of the recursions: residuals and final states."""
+    """One pass of the state recursions (Hyndman et al. 2008).  With the raw
+    error r = y - mu the updates are the same for additive and multiplicative
+    error; returns raw errors, one-step means and the final states."""
     alpha, beta, gamma, phi = params
     l, b = l0, b0
     s = list(s0)          # s[-m] is the seasonal state m steps back
     e = np.empty(len(y))
+    mu = np.empty(len(y))
     for t, yt in enumerate(y):
-        sm = s[-m] if season == "A" else 0.0
-        damp = phi * b if trend != "N" else 0.0
-        yhat = l + damp + sm
-        err = yt - yhat
-        e[t] = err
-        l_new = l + damp + alpha * err
-        b = (damp + beta * err) if trend != "N" else 0.0
-        l = l_new
+        base = l + (phi * b if trend != "N" else 0.0)
         if season == "A":
-            s.append(sm + gamma * err)
-    return e, l, b, np.asarray(s[-m:] if season == "A" else np.zeros(m))
+            sm = s[-m]
+            yhat = base + sm
+        elif season == "M":
+            sm = s[-m]
+            yhat = base * sm
+        else:
+            yhat = base
+        r = yt - yhat
+        e[t] = r
+        mu[t] = yhat
+        if season == "M":
+            l_new = base + alpha * r / sm
+            b = (phi * b + beta * r / sm) if trend != "N" else 0.0
+            s.append(sm + gamma * r / base if base != 0 else sm)
+        else:
+            l_new = base + alpha * r
+            b = (phi * b + beta * r) if trend != "N" else 0.0
+            if season == "A":
+                s.append(sm + gamma * r)
+        l = l_new
+    final_s = np.asarray(s[-m:]) if season != "N" else np.zeros(m)
+    return e, mu, l, b, final_s
 
 
 def fit_ets(y, name: str, m: int = PERIOD) -> dict:
-    trend, season = MODELS[name]
+    error, trend, season = MODELS[name]
     y = np.asarray(y, dtype=float)
     n = len(y)
-    if season == "A" and n < 2 * m + 2:
+    if season != "N" and n < 2 * m + 2:
+        return {"aicc": float("inf")}
+    if (error == "M" or season == "M") and not np.all(y > 0):
         return {"aicc": float("inf")}
     l0, b0, s0 = _init_states(y, trend, season, m)
     scale = float(np.std(y)) or 1.0
@@ -82,14 +120,20 @@ def fit_ets(y, name: str, m: int = PERIOD) -> dict:
         # 0<gamma<1-alpha, 0.8<phi<0.98.
         alpha = sig(x[0])
         beta = alpha * sig(x[1]) if trend != "N" else 0.0
-        gamma = (1 - alpha) * sig(x[2]) if season == "A" else 0.0
+        gamma = (1 - alpha) * sig(x[2]) if season != "N" else 0.0
         phi = 0.8 + 0.18 * sig(x[3]) if trend == "Ad" else 1.0
         return alpha, beta, gamma, phi, l0 + x[4] * scale, b0 + x[5] * scale / max(n, 1)
 
     def obj(x):
         alpha, beta, gamma, phi, l, b = unpack(x)
-        e, *_ = _run(y, (alpha, beta, gamma, phi), trend, season, m, l, b, s0)
-        return float(np.sum((e / scale) ** 2))
+        e, mu, *_ = _run(y, (alpha, beta, gamma, phi), trend, season, m, l, b, s0)
+        if error == "A":
+            return float(np.sum((e / scale) ** 2))
+        if np.any(mu <= 0) or not np.all(np.isfinite(mu)):
+            return 1e12
+        rel = e / mu
+        # -2 log-likelihood up to constants, relative errors plus the Jacobian.
+        return float(n * math.log(max(np.sum(rel * rel), 1e-300)) + 2 * np.sum(np.log(mu)))
 
     best = None
     for start in ([-1.0, -2.0, -2.0, 1.0, 0.0, 0.0], [1.0, -1.0, -1.0, 0.0, 0.0, 0.0]):
@@ -98,14 +142,21 @@ def fit_ets(y, name: str, m: int = PERIOD) -> dict:
             best = cand
     x = best[0]
     alpha, beta, gamma, phi, l, b = unpack(x)
-    e, lf, bf, sf = _run(y, (alpha, beta, gamma, phi), trend, season, m, l, b, s0)
-    sse = float(np.sum(e * e))
-    sigma2 = sse / n
+    e, mu, lf, bf, sf = _run(y, (alpha, beta, gamma, phi), trend, season, m, l, b, s0)
+    if error == "A":
+        sigma2 = float(np.sum(e * e)) / n
+        jac = 0.0
+    else:
+        if np.any(mu <= 0):
+            return {"aicc": float("inf")}
+        rel = e / mu
+        sigma2 = float(np.sum(rel * rel)) / n
+        jac = float(np.sum(np.log(mu)))
     if not np.isfinite(sigma2) or sigma2 <= 0:
         return {"aicc": float("inf")}
-    ll = -0.5 * n * (math.log(2 * math.pi * sigma2) + 1)
-    k = 1 + (trend != "N") + (season == "A") + (trend == "Ad") + 1 + (trend != "N") \
-        + (m - 1 if season == "A" else 0) + 1
+    ll = -0.5 * n * (math.log(2 * math.pi * sigma2) + 1) - jac
+    k = 1 + (trend != "N") + (season != "N") + (trend == "Ad") + 1 + (trend != "N") \
+        + (m - 1 if season != "N" else 0) + 1
     aic = -2 * ll + 2 * k
     aicc = aic + 2 * k * (k + 1) / (n - k - 1) if n - k - 1 > 0 else float("inf")
     return {"alpha": alpha, "beta": beta, "gamma": gamma, "phi": phi, "sigma2": sigma2,
@@ -114,31 +165,48 @@ def fit_ets(y, name: str, m: int = PERIOD) -> dict:
 
 
 def forecast_ets(name: str, p: dict, h: int, m: int = PERIOD):
-    """Mean and standard error h steps ahead from the final states."""
-    trend, season = MODELS[name]
+    """Mean and standard error h steps ahead from the final states.  Additive
+    error: sigma^2 * sum c_j^2 with c_j the response to a unit error;
+    multiplicative error: the class-2 recursion of Hyndman et al. (2008)
+    with relative responses (exact for MNN/MAN/MAdN, approximate with a
+    seasonal component)."""
+    error, trend, season = MODELS[name]
     alpha, beta, gamma, phi = p["alpha"], p["beta"], p["gamma"], p["phi"]
 
     def path(l, b, s, shock):
+        """One-step means for h steps; ``shock`` is a raw error at step 1."""
         out = []
         s = list(s)
         for j in range(h):
-            sm = s[-m] if season == "A" else 0.0
-            damp = phi * b if trend != "N" else 0.0
-            yhat = l + damp + sm
+            base = l + (phi * b if trend != "N" else 0.0)
+            sm = s[-m] if season != "N" else (1.0 if season == "M" else 0.0)
+            yhat = base + sm if season == "A" else (base * sm if season == "M" else base)
             out.append(yhat)
-            err = shock if j == 0 else 0.0
-            l, b = l + damp + alpha * err, (damp + beta * err) if trend != "N" else 0.0
-            if season == "A":
-                s.append(sm + gamma * err)
+            r = shock if j == 0 else 0.0
+            if season == "M":
+                l, b = base + alpha * r / sm, ((phi * b + beta * r / sm) if trend != "N" else 0.0)
+                s.append(sm + gamma * r / base if base != 0 else sm)
+            else:
+                l, b = base + alpha * r, ((phi * b + beta * r) if trend != "N" else 0.0)
+                if season == "A":
+                    s.append(sm + gamma * r)
         return np.array(out)
 
-    s0 = p["season"] if season == "A" else [0.0] * m
+    s0 = p["season"] if season != "N" else [0.0] * m
     mean = path(p["level"], p["slope"], s0, 0.0)
-    # c_j: response of the (j+1)-step forecast to a unit error now.
-    resp = path(p["level"], p["slope"], s0, 1.0) - mean
-    c = np.r_[1.0, resp[1:]]
-    se = np.sqrt(p["sigma2"] * np.cumsum(c ** 2))
-    return mean, se
+    sigma2 = p["sigma2"]
+    if error == "A":
+        resp = path(p["level"], p["slope"], s0, 1.0) - mean
+        c = np.r_[1.0, resp[1:]]
+        return mean, np.sqrt(sigma2 * np.cumsum(c ** 2))
+    # Relative responses to a relative error of one at the first step.
+    resp = (path(p["level"], p["slope"], s0, mean[0]) - mean) / np.where(mean == 0, 1e-12, mean)
+    c = resp                                # c[0] = 1 by construction
+    theta = np.zeros(h)
+    for j in range(h):
+        theta[j] = mean[j] ** 2 + sigma2 * sum(c[i] ** 2 * theta[j - i] for i in range(1, j + 1))
+    var = (1 + sigma2) * theta - mean ** 2
+    return mean, np.sqrt(np.maximum(var, 0.0))
 
 
 def _ddl(df: DataFrame, cols) -> str:
@@ -172,7 +240,8 @@ def auto_ets(series: DataFrame, value: str, keys=(), index: str = "month",
             res = {"alpha": 0.0, "beta": 0.0, "gamma": 0.0, "phi": 1.0, "aicc": float("inf"),
                    "sigma2": float(np.var(y)) if len(y) else float("nan"),
                    "loglik": float("nan"), "level": float(y[-1]) if len(y) else float("nan"),
-                   "slope": 0.0, "season": [0.0] * period, "resid": [0.0] * len(y)}
+                   "slope": 0.0, "resid": [0.0] * len(y),
+                   "season": [1.0 if MODELS[name][2] == "M" else 0.0] * period}
         out = pdf[keys_i].iloc[:1].copy()
         out["model"] = name
         for c in ("alpha", "beta", "gamma", "phi", "sigma2", "loglik", "aicc", "level", "slope"):

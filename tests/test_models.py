@@ -43,7 +43,20 @@ def test_ets_holt_trend_and_forecast(spark):
     y = 200 + 1.5 * i + 6 * np.sin(2 * np.pi * i / 12) + rng.normal(0, 0.5, n)
     fit = ETS.auto_ets(_frame(spark, {"s": y}), "y", keys=["k"])
     row = fit.first()
-    assert row.model in ("AAA", "AAdA")
+    assert row.model[1:] in ("AA", "AdA", "AM", "AdM")      # trend and season found
     fc = ETS.ets_forecast(fit, 12, keys=["k"]).orderBy("month").toPandas()
     truth = 200 + 1.5 * np.arange(n, n + 12) + 6 * np.sin(2 * np.pi * np.arange(n, n + 12) / 12)
     assert np.max(np.abs(fc["mean"] - truth)) < 6
+
+
+def test_ets_multiplicative_season_selected(spark):
+    rng = np.random.default_rng(6)
+    n = 96
+    i = np.arange(n)
+    y = (200 + 1.5 * i) * (1 + 0.1 * np.sin(2 * np.pi * i / 12)) * (1 + rng.normal(0, 0.01, n))
+    fit = ETS.auto_ets(_frame(spark, {"s": y}), "y", keys=["k"])
+    assert fit.first().model.endswith("M")
+    fc = ETS.ets_forecast(fit, 6, keys=["k"]).orderBy("month").toPandas()
+    j = np.arange(n, n + 6)
+    truth = (200 + 1.5 * j) * (1 + 0.1 * np.sin(2 * np.pi * j / 12))
+    assert np.max(np.abs(fc["mean"] - truth) / truth) < 0.03
