@@ -1,0 +1,307 @@
+"""M12 fitted with Spark expressions only: a state-space recursion folded over
+each key's series with the ``aggregate`` higher-order function, evaluated for
+every (key, model, parameters) row of a grid, best by AICc.
+
+Plan:
+
+1. per key, the gap-free monthly series is collected into an array (one
+   value per month, bounded by the calendar) together with the initial
+   states (linear fit over the first cycles, seasonal deviations/ratios);
+2. candidate rows come from ``explode`` of per-model parameter grids
+   (no join); each row folds the recursion over the series array;
+3. a window keeps the lowest AICc per key; a second, finer grid around each
+   key's best parameters refines the fit;
+4. one more fold for the winner records its residuals and final states.
+
+Same model space and likelihood as ``ets.fit_ets`` (which optimises
+continuously with Nelder-Mead in Python); here the search is a grid.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .ets import MODELS, PERIOD
+
+LOG2PI = math.log(2 * math.pi)
+# Fixed grid of the first stage: alpha, beta/alpha, gamma/(1-alpha), phi.
+ALPHAS = (0.02, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.95)
+FRACTIONS = (0.05, 0.2, 0.5, 0.9)
+PHIS = (0.85, 0.98)
+
+
+def _grid(trend: str, season: str, alphas=ALPHAS, fb=FRACTIONS, fg=FRACTIONS, phis=PHIS):
+    rows = []
+    for a in alphas:
+        for b in (fb if trend != "N" else (0.0,)):
+            for g in (fg if season != "N" else (0.0,)):
+                for p in (phis if trend == "Ad" else (1.0,)):
+                    rows.append((a, a * b, (1 - a) * g, p))
+    return rows
+
+
+def _lit_grid(rows) -> Column:
+    return F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"),
+                              F.lit(float(g)).alias("gamma"), F.lit(float(p)).alias("phi"),
+                              F.lit(0.0).alias("dl"), F.lit(0.0).alias("db"))
+                     for a, b, g, p in rows])
+
+
+def _initial_states(y: Column, n: Column, m: int) -> Column:
+    """Struct of initial states for every trend/season combination."""
+    k_s = F.least(n, F.lit(3 * m))
+    k_n = F.least(n, F.lit(10))
+
+    def linfit(k):
+        idx = F.sequence(F.lit(1), k)
+        sums = F.aggregate(idx, F.struct(F.lit(0.0).alias("st"), F.lit(0.0).alias("sy"),
+                                         F.lit(0.0).alias("stt"), F.lit(0.0).alias("sty")),
+                           lambda acc, t: F.struct(
+                               (acc["st"] + t).alias("st"),
+                               (acc["sy"] + F.element_at(y, t)).alias("sy"),
+                               (acc["stt"] + t * t).alias("stt"),
+                               (acc["sty"] + t * F.element_at(y, t)).alias("sty")))
+        kd = k.cast("double")
+        slope = F.coalesce(F.try_divide(kd * sums["sty"] - sums["st"] * sums["sy"],
+                                        kd * sums["stt"] - sums["st"] * sums["st"]), F.lit(0.0))
+        icpt = (sums["sy"] - slope * sums["st"]) / kd
+        return icpt, slope
+
+    def seasonal(k, icpt, slope, mult: bool):
+        def per_pos(j):
+            ts = F.filter(F.sequence(F.lit(1), k), lambda t: (t - 1) % m == j)
+            dev = F.aggregate(ts, F.lit(0.0), lambda acc, t: acc + (
+                F.try_divide(F.element_at(y, t), icpt + slope * t) if mult
+                else F.element_at(y, t) - (icpt + slope * t)))
+            return F.try_divide(dev, F.size(ts).cast("double"))
+        raw = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), per_pos)
+        mean = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v) / m
+        return F.transform(raw, lambda v: F.try_divide(v, mean) if mult else v - mean)
+
+    icpt_s, slope_s = linfit(k_s)
+    icpt_n, slope_n = linfit(k_n)
+    return F.struct(icpt_s.alias("icpt_s"), slope_s.alias("slope_s"),
+                    icpt_n.alias("icpt_n"), slope_n.alias("slope_n"),
+                    seasonal(k_s, icpt_s, slope_s, False).alias("s_add"),
+                    seasonal(k_s, icpt_s, slope_s, True).alias("s_mul"))
+
+
+def _start(init: Column, y: Column, n: Column, trend: str, season: str, m: int):
+    """(level, slope, seasonal array) at the start for one model."""
+    if season == "N":
+        s0 = F.array_repeat(F.lit(0.0), m)
+    else:
+        s0 = init["s_add"] if season == "A" else init["s_mul"]
+    if trend != "N":
+        if season == "N":
+            return init["icpt_n"], init["slope_n"], s0
+        return init["icpt_s"], init["slope_s"], s0
+    k = F.least(n, F.lit(3 * m if season != "N" else 10))
+    idx = F.sequence(F.lit(1), k)
+
+    def deseason(t):
+        v = F.element_at(y, t)
+        if season == "A":
+            return v - F.element_at(s0, ((t - 1) % m) + 1)
+        if season == "M":
+            return F.try_divide(v, F.element_at(s0, ((t - 1) % m) + 1))
+        return v
+    level = F.aggregate(idx, F.lit(0.0), lambda a, t: a + deseason(t)) / k.cast("double")
+    return level, F.lit(0.0), s0
+
+
+def _fold(y: Column, l0, b0, s0, p: Column, error: str, trend: str, season: str, m: int,
+          keep_resid: bool = False) -> Column:
+    """The state recursion as an ``aggregate`` over the series array."""
+    alpha, beta, gamma, phi = p["alpha"], p["beta"], p["gamma"], p["phi"]
+    init = [(l0 + p["dl"]).alias("l"), (b0 + p["db"]).alias("b"), s0.alias("s"),
+            F.lit(0.0).alias("sse"),
+            F.lit(0.0).alias("slog"), F.lit(True).alias("ok")]
+    if keep_resid:
+        init.append(F.array().cast("array<double>").alias("res"))
+
+    def step(acc, v):
+        base = acc["l"] + phi * acc["b"] if trend != "N" else acc["l"]
+        sm = F.element_at(acc["s"], 1)
+        yhat = base + sm if season == "A" else (base * sm if season == "M" else base)
+        r = v - yhat
+        scaled = F.try_divide(r, sm) if season == "M" else r
+        level = base + alpha * scaled
+        slope = (phi * acc["b"] + beta * scaled) if trend != "N" else F.lit(0.0)
+        if season == "N":
+            s_new = acc["s"]
+        else:
+            upd = sm + gamma * (F.try_divide(r, base) if season == "M" else r)
+            s_new = F.concat(F.slice(acc["s"], 2, m - 1), F.array(upd))
+        if error == "A":
+            sse = acc["sse"] + r * r
+            slog = acc["slog"]
+        else:
+            rel = F.try_divide(r, yhat)
+            sse = acc["sse"] + rel * rel
+            slog = acc["slog"] + F.log(yhat)
+        ok = acc["ok"] & (yhat > 0 if (error == "M" or season == "M") else F.lit(True)) \
+            & ~F.isnan(level)
+        fields = [level.alias("l"), slope.alias("b"), s_new.alias("s"), sse.alias("sse"),
+                  slog.alias("slog"), F.coalesce(ok, F.lit(False)).alias("ok")]
+        if keep_resid:
+            fields.append(F.concat(acc["res"], F.array(r)).alias("res"))
+        return F.struct(*fields)
+
+    return F.aggregate(y, F.struct(*init), step)
+
+
+def _n_params(trend: str, season: str, m: int) -> int:
+    return 1 + (trend != "N") + (season != "N") + (trend == "Ad") + 1 + (trend != "N") \
+        + (m - 1 if season != "N" else 0) + 1
+
+
+def _score(fold: Column, n: Column, error: str, trend: str, season: str, m: int):
+    k = _n_params(trend, season, m)
+    nd = n.cast("double")
+    sigma2 = fold["sse"] / nd
+    ll = -0.5 * nd * (F.lit(LOG2PI) + F.log(sigma2) + 1) - (fold["slog"] if error == "M" else 0)
+    aic = -2 * ll + 2 * k
+    aicc = aic + F.try_divide(F.lit(2.0 * k * (k + 1)), nd - k - 1)
+    good = fold["ok"] & (sigma2 > 0) & (nd - k - 1 > 0)
+    return sigma2, ll, F.when(good, aicc)
+
+
+def _series_arrays(series: DataFrame, value: str, keys, index: str, m: int) -> DataFrame:
+    pts = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"),
+                                               F.col(value).cast("double").alias("v"))))
+    per = series.groupBy(*keys).agg(pts.alias("_pts"),
+                                    F.coalesce(F.stddev_pop(value), F.lit(1.0)).alias("scale"))
+    per = per.select(*keys, F.transform("_pts", lambda p: p["v"]).alias("y"),
+                     F.element_at("_pts", -1)["i"].alias("last_index"),
+                     F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0)).alias("scale"))
+    per = per.withColumn("n", F.size("y"))
+    per = per.withColumn("positive", F.aggregate("y", F.lit(True), lambda a, v: a & (v > 0)))
+    return per.withColumn("init", _initial_states(F.col("y"), F.col("n"), m))
+
+
+def auto_ets(series: DataFrame, value: str, keys=(), index: str = "month",
+             models=tuple(MODELS), period: int = PERIOD, refine: bool = True) -> DataFrame:
+    """M12 ``model(ETS(y))`` with Spark expressions only; same output columns
+    as ``ets.auto_ets`` (model, parameters, sigma2, loglik, aicc, final
+    states, residuals, last_index)."""
+    from ..session import cut_lineage
+    keys = list(keys)
+    m = period
+    d = series if keys else series.withColumn("_k", F.lit(0))
+    keys_i = keys or ["_k"]
+    # One row per key (arrays bounded by the calendar); checkpointed so the
+    # upstream series is computed once for every stage below.
+    per = cut_lineage(_series_arrays(d, value, keys_i, index, m))
+    slots = series.sparkSession.sparkContext.defaultParallelism * 2
+    pstruct = "struct<alpha:double,beta:double,gamma:double,phi:double,dl:double,db:double>"
+
+    def candidates(base: DataFrame, grid_for) -> DataFrame:
+        parts = []
+        for name in models:
+            error, trend, season = MODELS[name]
+            cond = F.lit(True)
+            if season != "N":
+                cond = cond & (F.col("n") >= 2 * m + 2)
+            if error == "M" or season == "M":
+                cond = cond & F.col("positive")
+            rows = base.filter(cond).select(*keys_i, "y", "n", "init",
+                                            F.explode(grid_for(name, trend, season)).alias("p"))
+            rows = rows.filter(F.col("p").isNotNull())
+            # Spread the grid over all slots before the folds run.
+            rows = rows.repartition(slots, *keys_i, "p")
+            l0, b0, s0 = _start(F.col("init"), F.col("y"), F.col("n"), trend, season, m)
+            # The fold is computed once per row; the scores read its result.
+            folded = rows.select(*keys_i, "n", "p", _fold(F.col("y"), l0, b0, s0, F.col("p"),
+                                                          error, trend, season, m).alias("_f"))
+            sigma2, ll, aicc = _score(F.col("_f"), F.col("n"), error, trend, season, m)
+            parts.append(folded.select(*keys_i, F.lit(name).alias("model"), "p",
+                                       sigma2.alias("sigma2"), ll.alias("loglik"),
+                                       aicc.alias("aicc")))
+        out = parts[0]
+        for q in parts[1:]:
+            out = out.unionByName(q)
+        return out
+
+    w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "model")
+
+    def keep_best(df):
+        return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+    best = cut_lineage(keep_best(candidates(per, lambda n_, t, s_: _lit_grid(_grid(t, s_)))))
+
+    def around_best():
+        b = best.select(*keys_i, F.col("model").alias("best_model"), F.col("p").alias("bp"))
+        return per.join(b, keys_i)
+
+    def only(name, g):
+        return F.when(F.col("best_model") == name, g).otherwise(
+            F.array().cast(f"array<{pstruct}>"))
+
+    def params_grid(name, trend, season):
+        """Finer smoothing parameters around the best, same initial states."""
+        a = F.col("bp.alpha")
+        fa = F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda i: F.least(
+            F.greatest(a + i * 0.02, F.lit(0.001)), F.lit(0.999)))
+        rel = F.array(*[F.lit(x) for x in (0.6, 0.8, 1.0, 1.25, 1.6)])
+        fb = F.transform(rel, lambda x: F.coalesce(F.try_divide(F.col("bp.beta"), a),
+                                                   F.lit(0.0)) * x) \
+            if trend != "N" else F.array(F.lit(0.0))
+        fg = F.transform(rel, lambda x: F.coalesce(F.try_divide(F.col("bp.gamma"), 1 - a),
+                                                   F.lit(0.0)) * x) \
+            if season != "N" else F.array(F.lit(0.0))
+        ph = F.transform(F.array(*[F.lit(x) for x in (-0.03, 0.0, 0.03)]), lambda x: F.least(
+            F.greatest(F.col("bp.phi") + x, F.lit(0.8)), F.lit(0.98))) \
+            if trend == "Ad" else F.array(F.lit(1.0))
+        g = F.flatten(F.transform(fa, lambda av: F.flatten(F.transform(fb, lambda bv: F.flatten(
+            F.transform(fg, lambda gv: F.transform(ph, lambda pv: F.struct(
+                av.alias("alpha"), F.least(av * bv, av * 0.999).alias("beta"),
+                F.least((1 - av) * gv, (1 - av) * 0.999).alias("gamma"),
+                pv.alias("phi"), F.col("bp.dl").alias("dl"), F.col("bp.db").alias("db")))))))))
+        return only(name, g)
+
+    def init_grid(name, trend, season):
+        """Offsets of the initial level and slope, best smoothing parameters."""
+        dls = F.transform(F.array(*[F.lit(x) for x in (-0.6, -0.3, -0.15, -0.05, 0.0, 0.05,
+                                                        0.15, 0.3, 0.6)]),
+                          lambda x: F.col("bp.dl") + x * F.col("scale"))
+        dbs = F.transform(F.array(*[F.lit(x) for x in (-3.0, -1.0, -0.3, 0.0, 0.3, 1.0, 3.0)]),
+                          lambda x: F.col("bp.db") + x * F.col("scale") / F.col("n")) \
+            if trend != "N" else F.array(F.col("bp.db"))
+        g = F.flatten(F.transform(dls, lambda lv: F.transform(dbs, lambda bv: F.struct(
+            F.col("bp.alpha").alias("alpha"), F.col("bp.beta").alias("beta"),
+            F.col("bp.gamma").alias("gamma"), F.col("bp.phi").alias("phi"),
+            lv.alias("dl"), bv.alias("db")))))
+        return only(name, g)
+
+    def coarse_grid(name, trend, season):
+        """The first-stage grid again, with the best initial-state offsets."""
+        g = F.transform(_lit_grid(_grid(trend, season)), lambda e: F.struct(
+            e["alpha"].alias("alpha"), e["beta"].alias("beta"), e["gamma"].alias("gamma"),
+            e["phi"].alias("phi"), F.col("bp.dl").alias("dl"), F.col("bp.db").alias("db")))
+        return only(name, g)
+
+    if refine:
+        for stage in (params_grid, init_grid, coarse_grid, params_grid, init_grid):
+            best = cut_lineage(keep_best(best.unionByName(candidates(around_best(), stage))))
+    # One last fold for the winner: residuals and final states.
+    j = per.join(best, keys_i)
+    outs = []
+    for name in models:
+        error, trend, season = MODELS[name]
+        l0, b0, s0 = _start(F.col("init"), F.col("y"), F.col("n"), trend, season, m)
+        fold = _fold(F.col("y"), l0, b0, s0, F.col("p"), error, trend, season, m,
+                     keep_resid=True)
+        sel = j.filter(F.col("model") == name).select("*", fold.alias("_f"))
+        outs.append(sel.select(
+            *keys_i, "model", F.col("p.alpha").alias("alpha"), F.col("p.beta").alias("beta"),
+            F.col("p.gamma").alias("gamma"), F.col("p.phi").alias("phi"), "sigma2", "loglik",
+            "aicc", F.col("_f.l").alias("level"), F.col("_f.b").alias("slope"),
+            F.col("_f.s").alias("season"), F.col("_f.res").alias("resid"), "last_index"))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out.drop("_k") if not keys else out
