@@ -54,6 +54,18 @@ def hierarchy_mapping(df: DataFrame, levels, total: str = TOTAL) -> DataFrame:
                          F.explode(anc).alias("node"))
 
 
+def mapping_from_nodes(nodes: DataFrame, depth: int, total: str = TOTAL) -> DataFrame:
+    """(node, leaf) from the node names of ``hierarchy_series``: the leaves are
+    the paths with ``depth`` parts, their ancestors the path prefixes.  Reads
+    only the (small) node series, not the facts."""
+    leaves = nodes.select("node").distinct().filter(
+        (F.col("node") != total) & (F.size(F.split("node", SEP)) == depth))
+    parts = F.split(F.col("node"), SEP)
+    anc = F.array(F.lit(total), *[F.array_join(F.slice(parts, 1, i), SEP)
+                                  for i in range(1, depth + 1)])
+    return leaves.select(F.col("node").alias("leaf"), F.explode(anc).alias("node"))
+
+
 def bottom_up(forecasts: DataFrame, mapping: DataFrame, index: str = "month") -> DataFrame:
     """Every node = sum of its leaves' base forecasts (join + aggregate)."""
     leaf_fc = forecasts.select(F.col("node").alias("leaf"), index, "mean")
@@ -99,7 +111,7 @@ def reconciliation_weights(resid: pd.DataFrame, mapping: pd.DataFrame) -> pd.Dat
         J[j, ni[leaf]] = 1.0
     R = resid.pivot(index="t", columns="node", values="resid").reindex(columns=nodes).to_numpy()
     Wi = np.linalg.pinv(_shrunk_cov(R))
-    mats = {"bu": S @ J,
+    mats = {"base": np.eye(len(nodes)), "bu": S @ J,
             "ols": S @ np.linalg.solve(S.T @ S, S.T),
             "mint": S @ np.linalg.solve(S.T @ Wi @ S, S.T @ Wi)}
     rows = [(m, nodes[i], nodes[j], float(P[i, j])) for m, P in mats.items()
@@ -114,9 +126,7 @@ def reconcile_frame(fc: pd.DataFrame, resid: pd.DataFrame, mapping: pd.DataFrame
     j = w.merge(fc.rename(columns={"node": "src"}), on="src")
     j["mean"] = j["weight"] * j["mean"]
     out = j.groupby(["method", "node", index], as_index=False)["mean"].sum()
-    base = fc.assign(method="base")
-    return pd.concat([base[["node", index, "method", "mean"]],
-                      out[["node", index, "method", "mean"]]], ignore_index=True)
+    return out[["node", index, "method", "mean"]]
 
 
 def reconcile(forecasts: DataFrame, residuals: DataFrame, mapping: DataFrame,
@@ -128,6 +138,7 @@ def reconcile(forecasts: DataFrame, residuals: DataFrame, mapping: DataFrame,
     Only the residuals and the mapping (hierarchy-sized) meet in one group to
     build the weight matrices; the forecasts are reconciled by a join with
     the (size-checked) weights and a grouped sum."""
+    from ..session import cut_lineage
     from .enrich import bounded_broadcast
     r = residuals.select(F.lit("r").alias("_kind"), "node", F.lit(None).cast("string").alias("leaf"),
                          F.col("t").cast("long"), F.col("resid").cast("double").alias("v"))
@@ -139,10 +150,12 @@ def reconcile(forecasts: DataFrame, residuals: DataFrame, mapping: DataFrame,
         mp = pdf[pdf["_kind"] == "m"]
         return reconciliation_weights(rs[["node", "t", "resid"]], mp[["node", "leaf"]])
 
-    weights = r.unionByName(m).withColumn("_h", F.lit(0)).groupBy("_h").applyInPandas(
-        fn, "method string, node string, src string, weight double")
+    # Small (methods x nodes^2); written once so the size check and the join
+    # read the same result.
+    weights = cut_lineage(r.unionByName(m).withColumn("_h", F.lit(0)).groupBy("_h").applyInPandas(
+        fn, "method string, node string, src string, weight double"))
+    # "base" is the identity matrix, so one join + grouped sum yields all methods.
     fc = forecasts.select(F.col("node").alias("src"), index, "mean")
     rec = fc.join(bounded_broadcast(weights), "src").groupBy("method", "node", index).agg(
         F.sum(F.col("weight") * F.col("mean")).alias("mean"))
-    base = forecasts.select("node", index, F.lit("base").alias("method"), "mean")
-    return base.unionByName(rec.select("node", index, "method", "mean"))
+    return rec.select("node", index, "method", "mean")

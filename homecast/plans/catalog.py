@@ -647,8 +647,9 @@ def _hierarchy(spark, d):
     # calendar bounds and the gap fill share one computation.
     nodes = REC.hierarchy_series(si, HIERARCHY, "price").persist()
     bounds = nodes.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    mapping = REC.mapping_from_nodes(nodes, len(HIERARCHY))
     nodes = S.fill_gaps(nodes, keys=["node"], fill={"price": 0.0}, bounds=bounds)
-    return nodes, REC.hierarchy_mapping(si, HIERARCHY)
+    return nodes, mapping
 
 
 @query("M15")

@@ -127,6 +127,11 @@ def test_reconciled_children_sum_to_parent(spark):
     sales = spark.createDataFrame(rows, "Region string, County string, price double")
     mapping = REC.hierarchy_mapping(sales, ["Region", "County"]).toPandas()
     assert len(mapping) == 6 * 3                       # every leaf with 3 ancestors incl. itself
+    nodes = REC.hierarchy_series(sales.withColumn("month", F.lit("2020-01-01").cast("date")),
+                                 ["Region", "County"], "price")
+    from_nodes = REC.mapping_from_nodes(nodes, 2).toPandas()
+    assert sorted(map(tuple, from_nodes[["node", "leaf"]].values)) == \
+        sorted(map(tuple, mapping[["node", "leaf"]].values))
     months = pd.date_range("2020-01-01", periods=3, freq="MS").date
     nodes = sorted(mapping.node.unique())
     fc = pd.DataFrame([(n, m, float(rng.normal(50, 5))) for n in nodes for m in months],
