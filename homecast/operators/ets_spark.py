@@ -196,7 +196,8 @@ def auto_ets(series: DataFrame, value: str, keys=(), index: str = "month",
     # One row per key (arrays bounded by the calendar); checkpointed so the
     # upstream series is computed once for every stage below.
     per = cut_lineage(_series_arrays(d, value, keys_i, index, m))
-    slots = series.sparkSession.sparkContext.defaultParallelism * 2
+    from ..session import parallelism
+    slots = parallelism(series.sparkSession) * 2
     pstruct = "struct<alpha:double,beta:double,gamma:double,phi:double,dl:double,db:double>"
 
     def candidates(base: DataFrame, grid_for) -> DataFrame:

@@ -139,5 +139,6 @@ def spread_groups(df, keys, per_slot: int = 2):
     with an explicit partition count.  The following ``groupBy(keys)`` reuses
     this partitioning, and adaptive execution does not merge it back into a
     single task (which it would do for a few KB of monthly series)."""
-    n = df.sparkSession.sparkContext.defaultParallelism * per_slot
+    from ..session import parallelism
+    n = parallelism(df.sparkSession) * per_slot
     return df.repartition(n, *keys)

@@ -37,10 +37,31 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def parallelism(spark: SparkSession, default: int = 8) -> int:
+    """Task slots of the cluster (``defaultParallelism``; a session without a
+    local SparkContext, e.g. Spark Connect, reads the configuration)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext on this client
+        v = spark.conf.get("spark.default.parallelism", None)
+        return int(v) if v else default
+
+
+def session_key(spark: SparkSession) -> str:
+    """Identifies the running application, for per-session memos."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return f"session-{id(spark)}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local tests) fall back to a fresh scratch folder."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -19,12 +19,15 @@ def ensure_parallelism(df: DataFrame, source: str | None = None) -> DataFrame:
     repartition, so per-row parsing runs in parallel.  A big table already has
     thousands of splits and is returned unchanged (no extra shuffle).  The
     split count of a source is looked up once per session."""
-    sc = df.sparkSession.sparkContext
-    slots = sc.defaultParallelism
-    key = (sc.applicationId, source) if source else None
+    from ..session import parallelism, session_key
+    slots = parallelism(df.sparkSession)
+    key = (session_key(df.sparkSession), source) if source else None
     n = _SPLITS.get(key) if key else None
     if n is None:
-        n = df.rdd.getNumPartitions()
+        try:
+            n = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 - no RDD API on this client
+            return df
         if key:
             _SPLITS[key] = n
     return df if n >= slots else df.repartition(slots)
@@ -40,7 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    from ..session import session_key
+    key = (session_key(spark), path)
     df = None if fresh else _SCANS.get(key)
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(path)

@@ -37,6 +37,14 @@ def ingest_batch(events: DataFrame) -> DataFrame:
 
 
 def _sink_exists(spark: SparkSession, sink_dir: str) -> bool:
+    try:
+        spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: probe by reading
+        try:
+            spark.read.parquet(sink_dir).limit(0).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(sink_dir)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
