@@ -146,19 +146,22 @@ def median_by(df: DataFrame, keys, measures: dict, method: str = "exact",
     if method == "builtin":
         return df.groupBy(*keys).agg(*[
             F.percentile(F.col(c).cast("double"), F.lit(q)).alias(n) for n, c in measures.items()])
-    x = _long_input(df, keys, measures)
+    # The (keys, measure, value) projection is read by every pass: persist it
+    # so the upstream plan (parsing, joins, de-duplication) runs once.
+    x = _long_input(df, keys, measures).persist(StorageLevel.MEMORY_AND_DISK)
     g = keys + ["_m"]
     # One pass for the largest group; when every group is within the band
     # bound, a single exact percentile aggregate is already bounded per task.
     largest = x.groupBy(*g).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= BAND_MAX:
-        res = x.groupBy(*g).agg(F.percentile("_v", F.lit(q)).alias("_q"))
-    else:
-        x = x.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+    try:
+        if largest <= BAND_MAX:
+            # Small result (one row per group), written once so the persisted
+            # projection can be released before returning.
+            res = cut_lineage(x.groupBy(*g).agg(F.percentile("_v", F.lit(q)).alias("_q")))
+        else:
             res = cut_lineage(exact_quantile_long(x, g, q))
-        finally:
-            x.unpersist()
+    finally:
+        x.unpersist()
     if len(measures) == 1:
         (name, _), = measures.items()
         return res.select(*keys, F.col("_q").alias(name))
