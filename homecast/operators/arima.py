@@ -98,12 +98,12 @@ def css_residuals(w, ar, ma, mu):
     return e[q:]
 
 
-def fit_css(y, order, m: int = PERIOD):
+def fit_css(y, order, m: int = PERIOD, include_mean: bool | None = None):
     """Fit ARIMA(p,d,q)(P,D,Q)_m by CSS.  Returns a dict with the
     coefficients, sigma2, log-likelihood and AICc (inf when it cannot fit)."""
     p, d, q, P, D, Q = order
     w = K.difference(y, d, D, m)
-    mean = d + D == 0 or (d + D == 1)
+    mean = (d + D <= 1) if include_mean is None else (include_mean and d + D <= 1)
     k = p + q + P + Q + (1 if mean else 0)
     bad = {"coef": [], "sigma2": float("nan"), "loglik": float("nan"), "aicc": float("inf"),
            "aic": float("nan"), "bic": float("nan"), "mean": mean}
@@ -145,10 +145,11 @@ def fit_css(y, order, m: int = PERIOD):
             "aic": aic, "bic": bic, "mean": mean, "resid": e}
 
 
-def forecast_arima(y, order, coef, sigma2, h: int, m: int = PERIOD):
+def forecast_arima(y, order, coef, sigma2, h: int, m: int = PERIOD,
+                   include_mean: bool | None = None):
     """Point forecasts and standard errors h steps ahead."""
     p, d, q, P, D, Q = order
-    mean = d + D <= 1
+    mean = (d + D <= 1) if include_mean is None else (include_mean and d + D <= 1)
     k = p + q + P + Q + (1 if mean else 0)
     phi, theta, sphi, stheta, mu = _unpack(np.asarray(coef + [0.0] * (k - len(coef))),
                                            p, q, P, Q, mean)
@@ -231,13 +232,18 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
     rows = d0.join(dd, keys_i).select(*keys_i, index, "y", "d", "sd", "n",
                                       F.explode(cands).alias("o"))
     rows = rows.filter(seasonal_ok | ((F.col("o.sp") == 0) & (F.col("o.sq") == 0)))
-    rows = rows.select(*keys_i, index, "y", "d", "sd", "o.p", "o.q", "o.sp", "o.sq")
+    # With one difference the constant (drift) is itself a choice: both
+    # variants compete on AICc; undifferenced series keep their mean.
+    consts = F.when(F.col("d") + F.col("sd") == 1, F.array(F.lit(True), F.lit(False))) \
+        .otherwise(F.array(F.lit(True)))
+    rows = rows.select(*keys_i, index, "y", "d", "sd", "o.p", "o.q", "o.sp", "o.sq",
+                       F.explode(consts).alias("c"))
 
     def fit(pdf):
         pdf = pdf.sort_values(index)
         r = pdf.iloc[0]
         order = (int(r.p), int(r.d), int(r.q), int(r.sp), int(r.sd), int(r.sq))
-        res = fit_css(pdf["y"].to_numpy(), order, period)
+        res = fit_css(pdf["y"].to_numpy(), order, period, include_mean=bool(r.c))
         out = pdf[keys_i].iloc[:1].copy()
         for nme, v in zip(("p", "d", "q", "sp", "sd", "sq"), order):
             out[nme] = v
@@ -253,7 +259,7 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
     schema = (f"{kd}, p int, d int, q int, sp int, sd int, sq int, include_mean boolean, "
               "coef array<double>, sigma2 double, loglik double, aic double, aicc double, "
               "bic double")
-    order_keys = [*keys_i, "p", "d", "q", "sp", "sd", "sq"]
+    order_keys = [*keys_i, "p", "d", "q", "sp", "sd", "sq", "c"]
     fits = K.spread_groups(rows, order_keys).groupBy(*order_keys).applyInPandas(fit, schema)
     w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "sp", "sq")
     best = fits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
@@ -275,8 +281,8 @@ def arima_forecast(series: DataFrame, model: DataFrame, value: str, h, keys=(),
         keys_i = keys
     hcol = F.lit(h) if isinstance(h, int) else (F.col(h) if isinstance(h, str) else h)
     mdl = mdl.withColumn("_h", hcol.cast("int"))
-    j = s.join(mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "coef", "sigma2", "_h"),
-               keys_i)
+    j = s.join(mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "include_mean", "coef",
+                          "sigma2", "_h"), keys_i)
     kd = _ddl(s, keys_i)
 
     def fc(pdf):
@@ -285,7 +291,7 @@ def arima_forecast(series: DataFrame, model: DataFrame, value: str, h, keys=(),
         order = (int(r.p), int(r.d), int(r.q), int(r.sp), int(r.sd), int(r.sq))
         hh = int(r["_h"])
         mean, se = forecast_arima(pdf["y"].to_numpy(), order, list(r.coef), float(r.sigma2),
-                                  hh, period)
+                                  hh, period, include_mean=bool(r["include_mean"]))
         last = pd.Timestamp(pdf[index].iloc[-1])
         months = [(last + pd.DateOffset(months=i)).date() for i in range(1, hh + 1)]
         out = pd.DataFrame({index: months, "mean": mean, "sigma": se})
@@ -311,14 +317,15 @@ def arima_augment(series: DataFrame, model: DataFrame, value: str, keys=(),
         s = s.withColumn("_k", F.lit(0))
         mdl = model.withColumn("_k", F.lit(0))
     keys_i = keys or ["_k"]
-    j = s.join(mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "coef"), keys_i)
+    j = s.join(mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "include_mean", "coef"),
+               keys_i)
     kd = _ddl(s, keys_i)
 
     def fn(pdf):
         pdf = pdf.sort_values(index)
         r = pdf.iloc[0]
         p, d, q, sp, sd, sq = (int(r[c]) for c in ("p", "d", "q", "sp", "sd", "sq"))
-        mean = d + sd <= 1
+        mean = bool(r["include_mean"]) and d + sd <= 1
         k = p + q + sp + sq + (1 if mean else 0)
         coef = list(r["coef"]) + [0.0] * max(0, k - len(r["coef"]))
         phi, theta, sphi, stheta, mu = _unpack(np.asarray(coef), p, q, sp, sq, mean)

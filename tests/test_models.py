@@ -83,3 +83,14 @@ def test_spark_fold_reproduces_numpy_recursion(spark):
         e, mu, *_ = ETS._run(y, (params["alpha"], params["beta"], params["gamma"], params["phi"]),
                              trend, season, 12, row.l0, row.b0, np.asarray(row.s0))
         assert np.allclose(row.f.res, e, rtol=1e-9, atol=1e-9), name
+
+
+def test_arima_drift_is_a_choice():
+    rng = np.random.default_rng(12)
+    rw = np.cumsum(rng.normal(0.0, 1.0, 150))          # random walk without drift
+    with_c = AR.fit_css(rw, (0, 1, 0, 0, 0, 0), 12, include_mean=True)
+    without = AR.fit_css(rw, (0, 1, 0, 0, 0, 0), 12, include_mean=False)
+    assert len(with_c["coef"]) == 1 and len(without["coef"]) == 0
+    fc, _ = AR.forecast_arima(rw, (0, 1, 0, 0, 0, 0), [], without["sigma2"], 3, 12,
+                              include_mean=False)
+    assert np.allclose(fc, rw[-1])                     # no drift: flat forecast
