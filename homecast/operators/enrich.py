@@ -11,14 +11,15 @@ from .clean import ADDRESS_KEYS, EVENT_SOLD, complete_rows
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-_SIZE_CHECKS: dict[tuple[int, int], bool] = {}
+_SIZE_CHECKS: dict[tuple, bool] = {}
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only after checking the row count; beyond the bound the
     plain DataFrame is returned and the planner (AQE) picks a shuffle join.
-    The check runs once per distinct plan (``semanticHash``) and session."""
-    key = (df.semanticHash(), max_rows)
+    The check runs once per distinct plan (``semanticHash``) per session."""
+    from ..session import session_key
+    key = (session_key(df.sparkSession), df.semanticHash(), max_rows)
     small = _SIZE_CHECKS.get(key)
     if small is None:
         small = df.limit(max_rows + 1).count() <= max_rows
