@@ -135,11 +135,22 @@ def fit_ets(y, name: str, m: int = PERIOD) -> dict:
         # -2 log-likelihood up to constants, relative errors plus the Jacobian.
         return float(n * math.log(max(np.sum(rel * rel), 1e-300)) + 2 * np.sum(np.log(mu)))
 
+    # Search only the parameters the model uses (alpha and the level offset
+    # always; beta, slope offset and phi with a trend; gamma with a season).
+    active = [0, 4] + ([1, 5] if trend != "N" else []) + ([2] if season != "N" else []) \
+        + ([3] if trend == "Ad" else [])
+
+    def full(z, start):
+        x = np.array(start, dtype=float)
+        x[active] = z
+        return x
+
     best = None
     for start in ([-1.0, -2.0, -2.0, 1.0, 0.0, 0.0], [1.0, -1.0, -1.0, 0.0, 0.0, 0.0]):
-        cand = K.nelder_mead(obj, np.array(start), step=0.5, iters=600)
-        if best is None or cand[1] < best[1]:
-            best = cand
+        z, v = K.nelder_mead(lambda z: obj(full(z, start)), np.array(start)[active], step=0.5,
+                             iters=100 * len(active))
+        if best is None or v < best[1]:
+            best = (full(z, start), v)
     x = best[0]
     alpha, beta, gamma, phi, l, b = unpack(x)
     e, mu, lf, bf, sf = _run(y, (alpha, beta, gamma, phi), trend, season, m, l, b, s0)
