@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pages as PG
+
 # Fixed values of the stand-in encoding.
 EVENT_NAMES = {"F": "Sold", "O": "Listed for sale", "P": "Price change"}
 STATE = "IN"
@@ -132,17 +134,17 @@ def listing_pages(orders: DataFrame, customer: DataFrame) -> DataFrame:
                      F.lit(", Price: $"), F.format_number("o_totalprice", 2))
     sqft_text = F.concat(F.format_number(F.abs(F.col("c_acctbal")), 0), F.lit(" sqft"))
     spans = F.concat(
-        F.lit('<span data-testid="bed-bath-beyond">'),
+        F.lit(f'<span data-testid="{PG.SIZE_BLOCK}">'),
         F.lit("<span>"), (k % 6).cast("string"), F.lit("</span><span>bd</span>"),
         F.lit("<span>|</span><span>"), ((k % 4) * 0.5 + 1.0).cast("string"),
         F.lit("</span><span>ba</span><span>|</span><span>"), sqft_text,
         F.lit("</span><span>sqft</span></span>"))
     meta_addr = F.when(F.col("o_orderkey") % BREAK_MOD == BREAK_NO_ZIP, F.lit("")).otherwise(
-        F.concat(F.lit('<meta property="og:zillow_fb:address" content="'), addr, F.lit('">')))
+        F.concat(F.lit(f'<meta property="{PG.ADDRESS_PROP}" content="'), addr, F.lit('">')))
     html = F.concat(
         F.lit("<html><head>"), meta_addr,
-        F.lit('<meta property="zillow_fb:beds" content="'), (k % 6).cast("string"),
-        F.lit('"><meta property="zillow_fb:baths" content="'), ((k % 4) * 0.5 + 1.0).cast("string"),
+        F.lit(f'<meta property="{PG.BEDS_PROP}" content="'), (k % 6).cast("string"),
+        F.lit(f'"><meta property="{PG.BATHS_PROP}" content="'), ((k % 4) * 0.5 + 1.0).cast("string"),
         F.lit('"></head><body><table><tr label="'), label,
         F.lit('"><td>event</td></tr><tr><td>no label</td></tr></table>'), spans,
         F.lit("</body></html>"))
