@@ -801,3 +801,12 @@ def q_u1_stream(spark, d):
 @query("B1_rejects")
 def q_b1_rejects(spark, d):
     return clean.history_rejects(P(spark, d).h)
+
+
+@query("S6")
+def q_s6(spark, d):
+    # The app's sold fact materialised as Parquet partitioned by sale year,
+    # then one year's monthly means read back: the scan prunes to the
+    # sale_year=1998 partition (PartitionFilters in the plan).
+    si = P(spark, d).materialized_sold("app")
+    return A.mean_series(si.filter(F.col("sale_year") == 1998), keys=["Region"])

@@ -623,3 +623,7 @@ MODEL_FINAL["B1_rejects"] = ("", "SELECT Event, count(*) AS rows, "
     "CAST(sum(CASE WHEN price IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS bad_price, "
     "CAST(sum(CASE WHEN zip IS NULL OR state IS NULL OR city IS NULL OR street IS NULL THEN 1 ELSE 0 "
     "END) AS BIGINT) AS bad_address FROM h GROUP BY Event")
+
+MODEL_FINAL["S6"] = ("", "SELECT month, Region, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / "
+                         "count(price) AS mean_sale FROM si_app WHERE year(month) = 1998 "
+                         "GROUP BY month, Region")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregate, clean, enrich, series
@@ -85,6 +86,22 @@ class Pipeline:
         mode = {"app": "first_zip", "viz": "zip_region", "all": "all"}[form]
         return enrich.sold_homes(self.h, self.i(require_sqft=(form != "viz")), self.zr(mode))
 
+    def materialized_sold(self, form: str = "app", path: str | None = None) -> DataFrame:
+        """The sold fact written once as Parquet partitioned by sale year
+        and read back: later queries on a period read only its partitions and
+        never recompute the pipeline.  ``path`` defaults to a fresh folder
+        under the shared checkpoint directory."""
+        import uuid
+
+        from ..session import ensure_checkpoint_dir
+        from ..sources.files import write_parquet
+        if path is None:
+            path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/sold-{form}-{uuid.uuid4().hex}"
+        si = self.sold(form)
+        write_parquet(si.withColumn("sale_year", F.year("month")), path,
+                      partition_by=["sale_year"])
+        return self.spark.read.parquet(path)
+
     def sold_complete(self) -> DataFrame:
         """Report form with ``filter(complete.cases(si))``."""
         return clean.complete_rows(self.sold("report"))
