@@ -43,6 +43,18 @@ def candidate_orders(seasonal: bool = True):
     return out
 
 
+_DIFF_MEMO: dict = {}
+
+
+def _differencing_memo(y, m: int):
+    key = (m, np.asarray(y, dtype=float).tobytes())
+    if key not in _DIFF_MEMO:
+        if len(_DIFF_MEMO) > 4096:
+            _DIFF_MEMO.clear()
+        _DIFF_MEMO[key] = choose_differencing(y, m)
+    return _DIFF_MEMO[key]
+
+
 def choose_differencing(y, m: int = PERIOD) -> tuple[int, int]:
     y = np.asarray(y, dtype=float)
     D = 0
@@ -216,34 +228,28 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
     else:
         keys_i = keys
     kd = _ddl(d0, keys_i)
-
-    def diffs(pdf):
-        pdf = pdf.sort_values(index)
-        d, D = choose_differencing(pdf["y"].to_numpy(), period)
-        out = pdf[keys_i].iloc[:1].copy()
-        out["d"], out["sd"], out["n"] = d, D, len(pdf)
-        return out
-
-    dd = K.spread_groups(d0, keys_i).groupBy(*keys_i).applyInPandas(
-        diffs, f"{kd}, d int, sd int, n long")
-    seasonal_ok = F.col("n") >= 2 * period + 1
     cands = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(sp).alias("sp"),
                                F.lit(sq).alias("sq")) for p, q, sp, sq in candidate_orders()])
-    rows = d0.join(dd, keys_i).select(*keys_i, index, "y", "d", "sd", "n",
-                                      F.explode(cands).alias("o"))
-    rows = rows.filter(seasonal_ok | ((F.col("o.sp") == 0) & (F.col("o.sq") == 0)))
-    # With one difference the constant (drift) is itself a choice: both
-    # variants compete on AICc; undifferenced series keep their mean.
-    consts = F.when(F.col("d") + F.col("sd") == 1, F.array(F.lit(True), F.lit(False))) \
-        .otherwise(F.array(F.lit(True)))
-    rows = rows.select(*keys_i, index, "y", "d", "sd", "o.p", "o.q", "o.sp", "o.sq",
-                       F.explode(consts).alias("c"))
+    # Every (key, order, constant) candidate is one group; the differencing
+    # orders are chosen inside the group from the same series (memoised in
+    # the worker), so no per-key table has to be joined back.
+    rows = d0.select(*keys_i, index, "y", F.explode(cands).alias("o"),
+                     F.explode(F.array(F.lit(True), F.lit(False))).alias("c"))
+    rows = rows.select(*keys_i, index, "y", "o.p", "o.q", "o.sp", "o.sq", "c")
 
     def fit(pdf):
         pdf = pdf.sort_values(index)
         r = pdf.iloc[0]
-        order = (int(r.p), int(r.d), int(r.q), int(r.sp), int(r.sd), int(r.sq))
-        res = fit_css(pdf["y"].to_numpy(), order, period, include_mean=bool(r.c))
+        y = pdf["y"].to_numpy(dtype=float)
+        d, sd = _differencing_memo(y, period)
+        order = (int(r.p), d, int(r.q), int(r.sp), sd, int(r.sq))
+        seasonal_ok = len(y) >= 2 * period + 1
+        if (not seasonal_ok and (order[3] or order[5])) or (not bool(r.c) and d + sd != 1):
+            res = {"coef": [], "sigma2": float("nan"), "loglik": float("nan"),
+                   "aic": float("nan"), "aicc": float("inf"), "bic": float("nan"),
+                   "mean": bool(r.c) and d + sd <= 1}
+        else:
+            res = fit_css(y, order, period, include_mean=bool(r.c))
         out = pdf[keys_i].iloc[:1].copy()
         for nme, v in zip(("p", "d", "q", "sp", "sd", "sq"), order):
             out[nme] = v
@@ -259,9 +265,10 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
     schema = (f"{kd}, p int, d int, q int, sp int, sd int, sq int, include_mean boolean, "
               "coef array<double>, sigma2 double, loglik double, aic double, aicc double, "
               "bic double")
-    order_keys = [*keys_i, "p", "d", "q", "sp", "sd", "sq", "c"]
+    order_keys = [*keys_i, "p", "q", "sp", "sq", "c"]
     fits = K.spread_groups(rows, order_keys).groupBy(*order_keys).applyInPandas(fit, schema)
-    w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "sp", "sq")
+    w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "sp", "sq",
+                                            F.col("include_mean").desc())
     best = fits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     return best.drop("_k") if not keys else best
 
@@ -280,14 +287,15 @@ def arima_forecast(series: DataFrame, model: DataFrame, value: str, h, keys=(),
     else:
         keys_i = keys
     hcol = F.lit(h) if isinstance(h, int) else (F.col(h) if isinstance(h, str) else h)
-    mdl = mdl.withColumn("_h", hcol.cast("int"))
-    j = s.join(mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "include_mean", "coef",
-                          "sigma2", "_h"), keys_i)
+    mdl = mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "include_mean", "coef", "sigma2",
+                     hcol.cast("int").alias("_h"))
     kd = _ddl(s, keys_i)
 
-    def fc(pdf):
+    def fc(pdf, mpdf):
+        if pdf.empty or mpdf.empty:
+            return pd.DataFrame(columns=[*keys_i, index, "mean", "sigma"])
         pdf = pdf.sort_values(index)
-        r = pdf.iloc[0]
+        r = mpdf.iloc[0]
         order = (int(r.p), int(r.d), int(r.q), int(r.sp), int(r.sd), int(r.sq))
         hh = int(r["_h"])
         mean, se = forecast_arima(pdf["y"].to_numpy(), order, list(r.coef), float(r.sigma2),
@@ -299,8 +307,9 @@ def arima_forecast(series: DataFrame, model: DataFrame, value: str, h, keys=(),
             out[kk] = r[kk]
         return out[[*keys_i, index, "mean", "sigma"]]
 
-    out = K.spread_groups(j, keys_i).groupBy(*keys_i).applyInPandas(
-        fc, f"{kd}, `{index}` date, mean double, sigma double")
+    # Series and model meet by key in a cogroup (no join).
+    out = K.spread_groups(s, keys_i).groupBy(*keys_i).cogroup(mdl.groupBy(*keys_i)) \
+        .applyInPandas(fc, f"{kd}, `{index}` date, mean double, sigma double")
     out = with_bands(out)
     return out.drop("_k") if not keys else out
 
@@ -317,13 +326,14 @@ def arima_augment(series: DataFrame, model: DataFrame, value: str, keys=(),
         s = s.withColumn("_k", F.lit(0))
         mdl = model.withColumn("_k", F.lit(0))
     keys_i = keys or ["_k"]
-    j = s.join(mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "include_mean", "coef"),
-               keys_i)
+    mdl = mdl.select(*keys_i, "p", "d", "q", "sp", "sd", "sq", "include_mean", "coef")
     kd = _ddl(s, keys_i)
 
-    def fn(pdf):
+    def fn(pdf, mpdf):
+        if pdf.empty or mpdf.empty:
+            return pd.DataFrame(columns=[*keys_i, index, "y", "fitted", "resid"])
         pdf = pdf.sort_values(index)
-        r = pdf.iloc[0]
+        r = mpdf.iloc[0]
         p, d, q, sp, sd, sq = (int(r[c]) for c in ("p", "d", "q", "sp", "sd", "sq"))
         mean = bool(r["include_mean"]) and d + sd <= 1
         k = p + q + sp + sq + (1 if mean else 0)
@@ -342,8 +352,8 @@ def arima_augment(series: DataFrame, model: DataFrame, value: str, keys=(),
         out["resid"] = resid
         return out
 
-    out = K.spread_groups(j, keys_i).groupBy(*keys_i).applyInPandas(
-        fn, f"{kd}, `{index}` date, y double, fitted double, resid double")
+    out = K.spread_groups(s, keys_i).groupBy(*keys_i).cogroup(mdl.groupBy(*keys_i)) \
+        .applyInPandas(fn, f"{kd}, `{index}` date, y double, fitted double, resid double")
     out = out.withColumn("fitted", F.nanvl("fitted", F.lit(None))) \
              .withColumn("resid", F.nanvl("resid", F.lit(None)))
     return out.drop("_k") if not keys else out

@@ -277,14 +277,19 @@ def ols_augment(df: DataFrame, fit: DataFrame, y: str, terms: dict[str, Column]
     if not isinstance(terms, dict):
         terms = {t: F.col(t) for t in terms}
     xs = [c.cast("double") for c in terms.values()]
-    coef = fit.select(*keys, "coef") if keys else fit.select("coef")
     if keys:
+        # One coefficient row per key, joined on the keys (size-checked broadcast).
         from .enrich import bounded_broadcast
-        j = df.join(bounded_broadcast(coef), keys)
+        j = df.join(bounded_broadcast(fit.select(*keys, "coef")), keys)
+        fitted = F.get(F.col("coef"), 0)
+        for i, x in enumerate(xs, start=1):
+            fitted = fitted + F.get(F.col("coef"), i) * x
     else:
-        j = df.withColumn("_k", F.lit(0)).join(coef.withColumn("_k", F.lit(0)), "_k")
-    fitted = F.get(F.col("coef"), 0)
-    for i, x in enumerate(xs, start=1):
-        fitted = fitted + F.get(F.col("coef"), i) * x
+        # A single fit is k + 1 numbers: they enter the plan as literals.
+        c = fit.select("coef").first()[0]
+        j = df
+        fitted = F.lit(float(c[0]))
+        for i, x in enumerate(xs, start=1):
+            fitted = fitted + F.lit(float(c[i])) * x
     out = j.select(*keys, index, F.col(y).cast("double").alias("y"), fitted.alias("fitted"))
     return out.withColumn("resid", F.col("y") - F.col("fitted"))

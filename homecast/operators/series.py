@@ -28,12 +28,12 @@ def assert_series(df: DataFrame, keys=(), index: str = "month") -> DataFrame:
 
 
 def fill_gaps(df: DataFrame, keys=(), index: str = "month", step: str = "month",
-              fill: dict | None = None, bounds: DataFrame | None = None) -> DataFrame:
+              fill: dict | None = None, bounds: tuple | None = None) -> DataFrame:
     """W4 / W5 ``fill_gaps``: one row per key and step from the key's first to
     last index.  Missing rows get ``fill`` values (W4) or NULLs (W5).
     ``step`` is 'month', 'quarter' or 'year' (integer index).  With
-    ``bounds`` (a one-row DataFrame with columns ``lo`` and ``hi``) every key
-    spans that common range instead, as a hierarchy needs.
+    ``bounds`` (two values: first and last index) every key spans that
+    common range instead, as a hierarchy needs.
 
     Single pass: each row looks at its neighbours (``lag``/``lead``) and
     expands to itself plus the missing steps up to the next row, so the
@@ -44,10 +44,7 @@ def fill_gaps(df: DataFrame, keys=(), index: str = "month", step: str = "month",
     w = Window.partitionBy(*keys).orderBy(index)
     df = df.select("*", F.lag(index).over(w).alias("_prev"), F.lead(index).over(w).alias("_next"))
     if bounds is not None:
-        b = bounds.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(1).alias("_one"))
-        # one row by contract: broadcasting it is bounded
-        df = df.withColumn("_one", F.lit(1)).join(F.broadcast(b), "_one").drop("_one")
-        lo, hi = F.col("_lo"), F.col("_hi")
+        lo, hi = F.lit(bounds[0]), F.lit(bounds[1])
     else:
         lo = hi = F.col(index)
     start = F.when(F.col("_prev").isNull(), F.least(lo, F.col(index))).otherwise(F.col(index))

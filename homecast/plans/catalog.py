@@ -646,7 +646,7 @@ def _hierarchy(spark, d):
     # Node series are small (nodes x months); persisting them lets the common
     # calendar bounds and the gap fill share one computation.
     nodes = REC.hierarchy_series(si, HIERARCHY, "price").persist()
-    bounds = nodes.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    bounds = tuple(nodes.agg(F.min("month"), F.max("month")).first())   # two scalars
     mapping = REC.mapping_from_nodes(nodes, len(HIERARCHY))
     nodes = S.fill_gaps(nodes, keys=["node"], fill={"price": 0.0}, bounds=bounds)
     return nodes, mapping

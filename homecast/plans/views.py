@@ -7,7 +7,7 @@ with the menu table, not by pulling values to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -96,11 +96,18 @@ class App:
                        scope: str = "global", model: str = "trend") -> DataFrame:
         """Projected month, difference from the selection's last sale, price."""
         last = S.last_observation(A.mean_series(self.selected(county, bdba, sqft_range)))
-        last = last.select(F.lit(1).alias("_one"), F.col("month").alias("base_month"),
-                           F.col("mean_sale").alias("last_sale"))
-        fc = self.forecast(horizon, county, bdba, sqft_range, scope, model) \
-            .withColumn("_one", F.lit(1))
-        j = fc.join(F.broadcast(last), "_one")
+        fc = self.forecast(horizon, county, bdba, sqft_range, scope, model)
+        # The last sale (one row) reaches the forecast rows through a window
+        # over the horizon-sized union, not a join.
+        u = fc.select("month", "mean", F.lit(None).cast("date").alias("base_month"),
+                      F.lit(None).cast("double").alias("last_sale")).unionByName(
+            last.select(F.lit(None).cast("date").alias("month"),
+                        F.lit(None).cast("double").alias("mean"),
+                        F.col("month").alias("base_month"), F.col("mean_sale").alias("last_sale")))
+        wall = Window.partitionBy()
+        j = u.select("month", "mean", F.max("base_month").over(wall).alias("base_month"),
+                     F.max("last_sale").over(wall).alias("last_sale")).filter(
+            F.col("month").isNotNull())
         diff = F.col("mean") - F.col("last_sale")
         return j.select("month", T.month_label("month").alias("Date"),
                         diff.alias("price_diff"), T.dollar_column(diff).alias("price_diff_text"),

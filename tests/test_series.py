@@ -35,7 +35,7 @@ def test_fill_gaps_contiguous_unique(spark):
                  (dt.date(2021, 1, 1), 0.0), (dt.date(2021, 2, 1), 2.0)]
     assert len([r for r in out if r.k is None]) == 3     # NULL key is a key too
     assert S.series_duplicates(S.fill_gaps(df, keys=["k"]), ["k"]).count() == 0
-    bounds = spark.createDataFrame([(dt.date(2020, 10, 1), dt.date(2021, 3, 1))], "lo date, hi date")
+    bounds = (dt.date(2020, 10, 1), dt.date(2021, 3, 1))
     common = S.fill_gaps(df, keys=["k"], fill={"v": 0.0}, bounds=bounds).groupBy("k").count().collect()
     assert {r.k: r["count"] for r in common} == {"a": 6, "b": 6, None: 6}
 
