@@ -230,12 +230,12 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
     kd = _ddl(d0, keys_i)
     cands = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(sp).alias("sp"),
                                F.lit(sq).alias("sq")) for p, q, sp, sq in candidate_orders()])
-    # Every (key, order, constant) candidate is one group; the differencing
-    # orders are chosen inside the group from the same series (memoised in
-    # the worker), so no per-key table has to be joined back.
-    rows = d0.select(*keys_i, index, "y", F.explode(cands).alias("o"),
-                     F.explode(F.array(F.lit(True), F.lit(False))).alias("c"))
-    rows = rows.select(*keys_i, index, "y", "o.p", "o.q", "o.sp", "o.sq", "c")
+    # Every (key, order) candidate is one group; the differencing orders are
+    # chosen inside the group from the same series (memoised in the worker),
+    # so no per-key table has to be joined back.  With one difference the
+    # group fits with and without drift and keeps the better AICc.
+    rows = d0.select(*keys_i, index, "y", F.explode(cands).alias("o"))
+    rows = rows.select(*keys_i, index, "y", "o.p", "o.q", "o.sp", "o.sq")
 
     def fit(pdf):
         pdf = pdf.sort_values(index)
@@ -244,12 +244,16 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
         d, sd = _differencing_memo(y, period)
         order = (int(r.p), d, int(r.q), int(r.sp), sd, int(r.sq))
         seasonal_ok = len(y) >= 2 * period + 1
-        if (not seasonal_ok and (order[3] or order[5])) or (not bool(r.c) and d + sd != 1):
+        if not seasonal_ok and (order[3] or order[5]):
             res = {"coef": [], "sigma2": float("nan"), "loglik": float("nan"),
                    "aic": float("nan"), "aicc": float("inf"), "bic": float("nan"),
-                   "mean": bool(r.c) and d + sd <= 1}
+                   "mean": d + sd <= 1}
         else:
-            res = fit_css(y, order, period, include_mean=bool(r.c))
+            res = fit_css(y, order, period, include_mean=True)
+            if d + sd == 1:
+                alt = fit_css(y, order, period, include_mean=False)
+                if alt["aicc"] < res["aicc"]:
+                    res = alt
         out = pdf[keys_i].iloc[:1].copy()
         for nme, v in zip(("p", "d", "q", "sp", "sd", "sq"), order):
             out[nme] = v
@@ -265,7 +269,7 @@ def auto_arima(series: DataFrame, value: str, keys=(), index: str = "month",
     schema = (f"{kd}, p int, d int, q int, sp int, sd int, sq int, include_mean boolean, "
               "coef array<double>, sigma2 double, loglik double, aic double, aicc double, "
               "bic double")
-    order_keys = [*keys_i, "p", "q", "sp", "sq", "c"]
+    order_keys = [*keys_i, "p", "q", "sp", "sq"]
     fits = K.spread_groups(rows, order_keys).groupBy(*order_keys).applyInPandas(fit, schema)
     w = Window.partitionBy(*keys_i).orderBy(F.col("aicc").asc_nulls_last(), "p", "q", "sp", "sq",
                                             F.col("include_mean").desc())
