@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, line_quality
+from . import chunk_dedup, line_quality, mixing, secret_scan
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,48 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 @query("op2_chunk_dedup", OP2_SQL)
 def op2(spark, sf_dir):
     return chunk_dedup.duplicates(documents(spark, sf_dir, "doc_id", "text")).drop("n_chunks")
+
+
+@query("op5_source_mix")
+def op5(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text")).drop("pieces")
+
+
+def _op6_kind(no: int, kind: str, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, owner, repo, {no} AS kn, '{kind}' AS kind, vs[i] AS v,
+  list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s,
+  length(ms[i]) AS n
+FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+  SELECT doc_id, owner, repo, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs,
+    string_split_regex(t, '{p}') AS ps FROM d))
+WHERE length(vs[i]) >= {least}"""
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS repo
+           FROM documents),
+hits AS ({" UNION ALL ".join(_op6_kind(no, *kind) for no, kind in enumerate(secret_scan.KINDS))}),
+good AS (SELECT *, s + n AS e FROM hits WHERE kn < 3 OR (regexp_matches(v, '[0-9]')
+         AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]'))),
+own AS (SELECT v, count(DISTINCT owner) AS owners FROM good GROUP BY v),
+j AS (SELECT good.*, owners FROM good JOIN own USING (v)),
+keep AS (SELECT * FROM j WHERE kn < 3 OR (owners = 1 AND NOT EXISTS (
+         SELECT 1 FROM j b WHERE b.doc_id = j.doc_id AND b.kn < 3 AND b.s < j.e AND j.s < b.e))),
+per AS (SELECT doc_id, count(*) FILTER (kn = 0) AS n_assign, count(*) FILTER (kn = 1) AS n_access,
+          count(*) FILTER (kn = 2) AS n_hex, count(*) FILTER (owners = 1) AS n_live,
+          count(*) FILTER (owners >= 3) AS n_example,
+          string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, kn) AS spans,
+          string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, kn)
+            FILTER (kn < 3) AS base FROM keep GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+
+@query("op6_secret_owners", OP6_SQL)
+def op6(spark, sf_dir):
+    return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir, "doc_id", "text", "source", "lang")))
