@@ -13,7 +13,7 @@ from ..session import ensure_checkpoint_dir
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 #: Rows of one bucket of a distributed running sum (one task sorts one bucket).
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 20_000
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -75,3 +75,13 @@ def running_start(df: DataFrame, keys: list[str], tie: list[str], value: str, ou
     local = df.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)).cast("long"))
     return local.join(sums, on).withColumn(out, F.col("_base") + F.col("_local")).drop(
         "_b", "_bucket", "_base", "_local", *[f"_k{i}" for i in range(len(keys))])
+
+
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """The place of a public tokenizer file: in ``folder``, or where the installed
+    ``public_tokenizers`` has it (the same on the driver and the executors)."""
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

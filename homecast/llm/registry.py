@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, line_quality, mixing, secret_scan
-from .common import documents
+from . import best_fit, chunk_dedup, line_quality, mixing, secret_scan
+from .common import documents, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,8 @@ FROM documents LEFT JOIN per USING (doc_id)
 @query("op6_secret_owners", OP6_SQL)
 def op6(spark, sf_dir):
     return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir, "doc_id", "text", "source", "lang")))
+
+
+@query("op9_best_fit_pack")
+def op9(spark, sf_dir):
+    return best_fit.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
