@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, chunk_dedup, line_quality, mixing, secret_scan
+from . import best_fit, chunk_dedup, line_quality, minhash_bayes, mixing, secret_scan
 from .common import documents, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op6(spark, sf_dir):
 @query("op9_best_fit_pack")
 def op9(spark, sf_dir):
     return best_fit.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op4_minhash_bayes")
+def op4(spark, sf_dir):
+    return minhash_bayes.linked(documents(spark, sf_dir, "doc_id", "text"))
