@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, chunk_dedup, line_quality, minhash_bayes, mixing, secret_scan
+from . import (
+    best_fit, chunk_dedup, context_mixing, line_quality, minhash_bayes, mixing, secret_scan, trie_tokens,
+)
 from .common import documents, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +135,13 @@ def op9(spark, sf_dir):
 @query("op4_minhash_bayes")
 def op4(spark, sf_dir):
     return minhash_bayes.linked(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op7_context_mixing")
+def op7(spark, sf_dir):
+    return context_mixing.score(documents(spark, sf_dir, "doc_id", "text", "lang"), group="lang")
+
+
+@query("op10_trie_tokens")
+def op10(spark, sf_dir):
+    return trie_tokens.token_counts(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
