@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    best_fit, chunk_dedup, context_mixing, line_quality, minhash_bayes, mixing, secret_scan, trie_tokens,
+    best_fit, chunk_dedup, context_mixing, line_quality, minhash_bayes, mixing, pii_crf, secret_scan,
+    trie_tokens,
 )
 from .common import documents, tokenizer_path
 
@@ -145,3 +146,8 @@ def op7(spark, sf_dir):
 @query("op10_trie_tokens")
 def op10(spark, sf_dir):
     return trie_tokens.token_counts(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op8_skip_chain_pii")
+def op8(spark, sf_dir):
+    return pii_crf.digest(pii_crf.scan(documents(spark, sf_dir, "doc_id", "text")))
