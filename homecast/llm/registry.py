@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    best_fit, chunk_dedup, context_mixing, line_quality, minhash_bayes, mixing, pii_crf, secret_scan,
+    best_fit, chunk_dedup, context_mixing, license_scan, line_quality, minhash_bayes, mixing, pii_crf, secret_scan,
     trie_tokens,
 )
 from .common import documents, tokenizer_path
@@ -151,3 +151,57 @@ def op10(spark, sf_dir):
 @query("op8_skip_chain_pii")
 def op8(spark, sf_dir):
     return pii_crf.digest(pii_crf.scan(documents(spark, sf_dir, "doc_id", "text")))
+
+
+def _op3_templates() -> str:
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''"))
+                     for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    return f"(VALUES {rows}) AS t(template, licence, text)"
+
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source || '/' || CAST(doc_id // 1000 AS VARCHAR) || '/' ||
+             CAST(doc_id // 50 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents),
+n AS (SELECT count(*) AS n FROM d),
+df AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(
+         regexp_extract_all(lower(t), '[a-z0-9]+(?:\.[0-9]+)*'))) AS term FROM d) GROUP BY term),
+tv AS (SELECT template, licence, term, count(*) * (ln((1.0 + max(n.n)) / (1.0 + coalesce(max(df.df), 0))) + 1) AS w
+       FROM (SELECT template, licence, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*')) AS term
+             FROM {_op3_templates()}) LEFT JOIN df USING (term), n GROUP BY 1, 2, 3),
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tv GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line FROM d),
+lv AS (SELECT doc_id, line, term, count(*) * (ln((1.0 + max(n.n)) / (1.0 + max(df.df))) + 1) AS w
+       FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(l), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM l)
+       JOIN df USING (term), n GROUP BY 1, 2, 3),
+ln AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM lv GROUP BY 1, 2),
+dot AS (SELECT doc_id, line, template, licence, sum(lv.w * tv.w) AS dot FROM lv JOIN tv USING (term) GROUP BY 1, 2, 3, 4),
+sc AS (SELECT doc_id, line, licence, round(dot / (ln.norm * tn.norm), 6) AS score FROM dot
+       JOIN ln USING (doc_id, line) JOIN tn USING (template)),
+note AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC, licence) AS rn
+         FROM sc WHERE score >= 0.7) WHERE rn = 1),
+own AS (SELECT doc_id, first(licence ORDER BY score DESC, licence) AS own_licence, max(score) AS own_score,
+          count(*) AS n_notices, min(line) AS first_line FROM note GROUP BY doc_id),
+a AS (SELECT d.doc_id, path, own_licence, own_score, coalesce(n_notices, 0) AS n_notices, first_line,
+        regexp_replace(path, '/[^/]*$', '') AS dir FROM d LEFT JOIN own USING (doc_id)),
+file AS (SELECT dir, first(own_licence ORDER BY own_score DESC, doc_id) AS licence FROM a
+         WHERE first_line = 0 AND own_licence IS NOT NULL GROUP BY dir),
+dirs AS (SELECT DISTINCT dir FROM a),
+up AS (SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS above
+       FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM dirs)),
+near AS (SELECT up.dir, first(licence ORDER BY k DESC) AS inherited_licence, first(above ORDER BY k DESC) AS inherited_from
+         FROM up JOIN file ON up.above = file.dir GROUP BY up.dir)
+SELECT doc_id, path, own_licence, own_score, n_notices, inherited_licence, inherited_from,
+  coalesce(own_licence, inherited_licence) AS licence FROM a LEFT JOIN near USING (dir)
+"""
+
+
+@query("op3_license_paths", OP3_SQL)
+def op3(spark, sf_dir):
+    """The documents have no path: it is derived as source/<id div 1000>/<id div 50>/<id>; a
+    document that opens with a notice is its directory's licence file."""
+    from pyspark.sql import functions as F
+
+    part = lambda n: F.expr(f"doc_id div {n}").cast("string")
+    path = F.concat_ws("/", "source", part(1000), part(50), F.col("doc_id").cast("string"))
+    docs = documents(spark, sf_dir, "doc_id", "source", "text")
+    return license_scan.scan(docs, path, F.col("first_line") == 0)
