@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_RUN, materialize, text_or_empty
+from .common import WHITE_RUN, materialize, rows_with_ids, text_or_empty
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
 #: A boundary: a character of the first class and one of the second (about 1 pair in 100
@@ -102,4 +102,4 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay (one row per distinct normalised text)."""
     kept = duplicates(docs, **options).filter("kept").select(
         F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return rows_with_ids(docs, kept)

@@ -85,3 +85,21 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows as one struct column, so that no name of theirs can clash in a join."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
+def field(name: str) -> Column:
+    return F.col(f"_doc.`{name}`")
+
+
+def unpacked(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    return df.select(*[replaced.get(c, field(c)).alias(c) for c in columns])
+
+
+def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids(_id)``, null ids included."""
+    return unpacked(packed(docs).join(ids, field(id_col).eqNullSafe(F.col("_id")), "left_semi"), docs.columns)

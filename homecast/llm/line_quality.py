@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WHITE_RUN, materialize, text_or_empty, words
+from .common import WHITE, WHITE_RUN, field, materialize, packed, text_or_empty, unpacked, words
 
 #: Fixed limits of the base rules.
 MIN_WORDS = 50
@@ -122,9 +122,8 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their common lines removed and n_chars to match."""
     v = verdicts(docs, **options).filter("kept").select(
         F.col("doc_id").alias("_id"), "removed_lines").dropDuplicates(["_id"])
-    out = docs.join(v, F.col("doc_id").eqNullSafe(F.col("_id")))
-    out = out.withColumn("text", without_lines(F.col("text"), F.col("removed_lines")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_lines").isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    out = packed(docs).join(v, field("doc_id").eqNullSafe(F.col("_id")))
+    out = out.withColumn("_text", without_lines(field("text"), F.col("removed_lines")))
+    n_chars = F.when(F.col("removed_lines").isNotNull(), F.length("_text").cast("long")) \
+        .otherwise(field("n_chars")) if "n_chars" in docs.columns else None
+    return unpacked(out, docs.columns, text=F.col("_text"), n_chars=n_chars)

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, rows_with_ids
 from .components import components
 
 #: Words of a shingle.
@@ -254,4 +254,4 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col:
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, the one with the smallest id."""
     kept = linked(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return rows_with_ids(docs, kept)

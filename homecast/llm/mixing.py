@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, running_start, text_or_empty, unit_interval
+from .common import (
+    field, materialize, n_words, packed, running_start, text_or_empty, unit_interval, unpacked,
+)
 
 BLOCK = 64
 SHARD_SLOTS = 65_536
@@ -175,19 +177,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     m = mix(docs, **options).filter("taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"),
         F.col("pieces").alias("_pieces")).dropDuplicates(["_id"])
-    out = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_id")))
+    out = packed(docs).join(m, field("doc_id").eqNullSafe(F.col("_id")))
     out = out.withColumn("_tokens", F.regexp_extract_all(
-        "text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+        field("text"), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)))
 
     def one_pass(k: int) -> Column:
         parts = F.transform(F.filter("_pieces", lambda p: p["times"] >= k), lambda p: F.array_join(
             F.slice(F.col("_tokens"), (p["word"] + 1).cast("int"), p["n"].cast("int")), ""))
         return F.array_join(parts, "")
 
-    text = F.concat(one_pass(1), F.lit("\n"), one_pass(2))
-    text = F.when(F.col("_taken") == F.col("_size"), F.when(
-        F.forall("_pieces", lambda p: p["times"] == 1), F.col("text")).otherwise(text)).otherwise(text)
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    whole = (F.col("_taken") == F.col("_size")) & F.forall("_pieces", lambda p: p["times"] == 1)
+    out = out.withColumn("_text", F.when(whole, field("text")).otherwise(
+        F.concat(one_pass(1), F.lit("\n"), one_pass(2))))
+    return unpacked(out, docs.columns, text=F.col("_text"), n_chars=F.length("_text").cast("long"))
