@@ -16,13 +16,35 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Rows and bytes per word of the table that every task gets.
-FREQUENT, FREQUENT_BYTES = 100_000, 64
+FREQUENT, FREQUENT_BYTES = 200_000, 64
 #: Distinct words that a task gathers before it hands them on.
-GATHERED = 500_000
+GATHERED = 150_000
 
 Split = Callable[[str | None], list[bytes]]
 
 
+class _Places(dict):
+    """Row numbers by word, -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+def larger(batches: Iterator, rows: int = 50_000) -> Iterator:
+    """The batches put together to about ``rows`` rows each."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def count_words(docs: DataFrame, text: str, split: Split, learn: Column | None = None,
                 groups: int = 1) -> DataFrame:
     """word, total, learned: occurrences in all documents, and in those of each group (an
@@ -31,25 +53,22 @@ def count_words(docs: DataFrame, text: str, split: Split, learn: Column | None =
     def gather(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def out(total: Counter, learned: list[Counter]):
-            words = list(total)
+        def out(seen: list[Counter]):
+            words = list(set().union(*seen))
+            counts = [np.fromiter((c.get(w, 0) for w in words), np.int64, len(words)) for c in seen]
             return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array([total[w] for w in words], pa.int64()),
-                 *[pa.array([c.get(w, 0) for w in words], pa.int64()) for c in learned]],
+                [pa.array(words, pa.binary()), pa.array(sum(counts)), *map(pa.array, counts[:groups])],
                 ["word", "total", *[f"g{k}" for k in range(groups)]])
 
-        total, learned = Counter(), [Counter() for _ in range(groups)]
+        seen = [Counter() for _ in range(groups + 1)]  # the last: documents of no group
         for batch in batches:
             for s, group in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = Counter(split(s.as_py()))
-                total.update(words)
-                if group >= 0:
-                    learned[group].update(words)
-                if len(total) >= GATHERED:
-                    yield out(total, learned)
-                    total, learned = Counter(), [Counter() for _ in range(groups)]
-        if total:
-            yield out(total, learned)
+                seen[group].update(split(s.as_py()))
+                if sum(map(len, seen)) >= GATHERED:
+                    yield out(seen)
+                    seen = [Counter() for _ in range(groups + 1)]
+        if any(seen):
+            yield out(seen)
 
     names = [f"g{k}" for k in range(groups)]
     learn = F.lit(0) if learn is None else learn.cast("int")
@@ -60,14 +79,29 @@ def count_words(docs: DataFrame, text: str, split: Split, learn: Column | None =
         "word", "total", F.array(*names).alias("learned"))
 
 
+def frequent(values: DataFrame) -> DataFrame:
+    """The words that occur most, ``FREQUENT`` at most: those of the highest classes of
+    ``total`` (eight to a doubling) that fit.  Only the classes' sizes are collected."""
+    level = F.floor(F.log2("total") * 8)
+    short = values.filter((F.length("word") <= FREQUENT_BYTES) & (F.col("total") > 0))
+    sizes = sorted(((r["level"], r["n"]) for r in short.groupBy(level.alias("level")).agg(
+        F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for k, n in sizes:
+        held += n
+        if held > FREQUENT:
+            break
+        least = k
+    return short.filter(F.lit(False) if least is None else level >= least)
+
+
 def add_up(docs: DataFrame, text: str, split: Split, values: DataFrame, names: list[str],
            keep: list[str]) -> DataFrame:
     """The ``keep`` columns of every document with n_words and, for each of ``names``, the sum
     of ``values``' column of this name over the document's words (as doubles).
 
     values: word, total and the columns ``names``; it must hold every word."""
-    top = values.filter(F.length("word") <= FREQUENT_BYTES).orderBy(F.desc("total"), "word").limit(
-        FREQUENT).select("word", *names).toPandas()
+    top = frequent(values).select("word", *names).toPandas()
     words = {bytes(w): i for i, w in enumerate(top["word"])}
     known = docs.sparkSession.sparkContext.broadcast(
         (words, top[names].to_numpy(dtype=np.float64).reshape(len(top), len(names))))
@@ -76,20 +110,27 @@ def add_up(docs: DataFrame, text: str, split: Split, values: DataFrame, names: l
         import pyarrow as pa
 
         at, table = known.value
+        find = _Places(at).__getitem__
+        item = pa.struct([("word", pa.binary()), ("n", pa.int64())])
         for batch in batches:
-            n, sums, rare = [], [], []
+            n, sums, rare, rare_n, ends = [], [], [], [], [0]
             for s in batch.column(batch.num_columns - 1):
                 count = Counter(split(s.as_py()))
-                rows = np.fromiter((at.get(w, -1) for w in count), np.int64, len(count))
-                times = np.fromiter(count.values(), np.float64, len(count))
+                rows = np.fromiter(map(find, count), np.int64, len(count))
+                times = np.fromiter(count.values(), np.int64, len(count))
+                held = rows >= 0
                 n.append(int(times.sum()))
-                sums.append(times[rows >= 0] @ table[rows[rows >= 0]])
-                rare.append([{"word": w, "n": t} for w, t in count.items() if w not in at])
+                sums.append(times[held] @ table[rows[held]])
+                if not held.all():
+                    rare.extend(w for w in count if w not in at)
+                    rare_n.append(times[~held])
+                ends.append(len(rare))
             sums = np.array(sums).reshape(-1, len(names))
+            flat = pa.StructArray.from_arrays(
+                [pa.array(rare, pa.binary()), pa.array(np.concatenate([*rare_n, np.zeros(0, np.int64)]))], fields=list(item))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(n, pa.int64()), *[pa.array(sums[:, i]) for i in range(len(names))],
-                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                [*keep, "n_words", *names, "rare"])
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*keep, "n_words", *names, "rare"])
 
     src = docs.select(*keep, F.col(text).alias("_text"))
     schema = src.select(*keep).schema.simpleString()[7:-1]

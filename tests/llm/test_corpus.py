@@ -380,20 +380,21 @@ def test_spelling_is_a_distribution():
     s = context_mixing.Spelled(known)
     for o in range(len(context_mixing.ORDERS)):
         for k in range(8):
-            np.add.at(counts[o], (s.slots(o, k), s.bit(k)), 1)
+            np.add.at(counts[o], (s.slots(o, k), s.bit(k)), s.times)
     mixer = context_mixing.fit_mixer(known, counts)
     plain = context_mixing.spelling(new, np.zeros_like(counts), context_mixing.Mixer())
     assert context_mixing.spelling(new, counts, mixer).sum() > 0.6 * plain.sum() / 1.0
     total = 0.0
     for byte in range(256):  # the first byte, whatever follows: leave the closing byte's cost out
         one = context_mixing.Spelled([bytes([byte])])
+        first = np.flatnonzero(one.case == np.uint64(byte))[:1]
         p = 1.0
         for k in range(8):
-            at = [one.slots(o, k)[:1] for o in range(len(context_mixing.ORDERS))]
+            at = [one.slots(o, k)[first] for o in range(len(context_mixing.ORDERS))]
             c = np.stack([counts[o, a] for o, a in enumerate(at)], axis=1)
             x, gate = mixer.inputs(c[..., 0], c[..., 1], k)
             q = mixer.combine(x, gate)[1][0]
-            p *= q if one.bit(k)[0] else 1 - q
+            p *= q if (byte >> (7 - k)) & 1 else 1 - q
         total += p
     assert total == pytest.approx(1.0)
 
