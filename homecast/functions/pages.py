@@ -1,47 +1,66 @@
 """Column expressions that read stored HTML pages.
 
-Pages are parsed with Spark's regex functions, one row at a time inside
-whole-stage codegen; no Python parser is involved.
+Pages are parsed with Spark's string and array functions, one row at a time; no Python parser
+is involved.  Tag and attribute names match in any case, attributes in any order and with
+either quote, and text may span lines and child tags.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import digits_only, squish, strip
-
-# The page markup the listing pages use.
-ADDRESS_PROP = "og:zillow_fb:address"
-BEDS_PROP = "zillow_fb:beds"
-BATHS_PROP = "zillow_fb:baths"
-SIZE_BLOCK = "bed-bath-beyond"
-SIZE_SPAN = 6
-HREF_RE = r'href="([^"]*)"'
-SPAN_RE = r"<span[^>]*>([^<]*)</span>"
-TR_LABEL_RE = r'<tr[^>]*\blabel="([^"]*)"'
+from .text import squish, strip
+
+# Names in the stored pages' markup; pass others for other pages.
+ADDRESS_PROP, BEDS_PROP, BATHS_PROP = "home:address", "home:beds", "home:baths"
+SIZE_BLOCK, SIZE_SPAN = "size-block", 6
+SUMMARY_CLASS, SUMMARY_SPANS = "summary-row", {"list_price": 2, "beds": 5, "baths": 9, "sqft": 13}
+ADDRESS_ID = "summary-address"
 BASE_RE = r"^(https?://[^/]+)"
+TAG_RE = r"""(?is)<{name}\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+ATTRIBUTE_RE = r"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+TOKEN_RE = r"""(?s)<(?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+"""
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def unescape(text: Column) -> Column:
+    for entity, character in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return text
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The attribute's value; NULL if the tag has none of this name."""
+    pattern = ATTRIBUTE_RE.format(name=name)
+    value = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
+    return F.when(tag.rlike(pattern), unescape(value))
+
+
+def tags(html, name: str) -> Column:
+    return F.regexp_extract_all(_c(html), F.lit(TAG_RE.format(name=name)), 0)
+
+
 def hrefs(html="html") -> Column:
-    """Every href value of the page, in page order (an array)."""
-    return F.regexp_extract_all(_c(html), F.lit(HREF_RE), 1)
+    """Every href value of the page's tags, in page order (an array)."""
+    found = F.transform(tags(html, "[a-z][a-z0-9]*"), lambda t: attribute(t, "href"))
+    return F.filter(found, lambda h: h.isNotNull())
 
 
 def meta_content(prop: str, html="html") -> Column:
     """``content`` of the last ``<meta property=prop>`` tag; NULL if none."""
-    pat = rf'<meta[^>]*property="{prop}"[^>]*content="([^"]*)"'
-    found = F.regexp_extract_all(_c(html), F.lit(pat), 1)
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    found = F.filter(tags(html, "meta"), lambda t: attribute(t, "property") == F.lit(prop))
+    return F.when(F.size(found) > 0, attribute(F.element_at(found, -1), "content"))
 
 
 def row_labels(html="html") -> Column:
     """``label`` attributes of table rows that have one."""
-    return F.regexp_extract_all(_c(html), F.lit(TR_LABEL_RE), 1)
+    found = F.transform(tags(html, "tr"), lambda t: attribute(t, "label"))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def label_entries(label) -> Column:
@@ -61,21 +80,60 @@ def label_value(entries, key: str) -> Column:
     return F.when(F.size(hits) > 0, F.element_at(hits, -1)["value"])
 
 
-def container(html, test_id: str) -> Column:
-    """Inner markup of the element with ``data-testid=test_id`` (outermost
-    closing span)."""
-    pat = rf'<span[^>]*data-testid="{test_id}"[^>]*>(.*)</span>'
-    return F.regexp_extract(_c(html), pat, 1)
+def _name(token: Column) -> Column:
+    return F.regexp_extract(F.lower(token), r"^<(/?[a-z][a-z0-9]*)", 1)
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row: they pass a generator, so the optimizer
+    does not copy their expressions into each use and each filter."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_pinned")
+    return df.select("*", one).select(*df.columns, *[F.col(f"_pinned.{n}").alias(n) for n in columns])
+
+
+def _close(names: Column, name: Column, begin: Column) -> Column:
+    """The place (from 0) of the token that closes an element ``name`` opened just before
+    the place ``begin``; the end if none does."""
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.size(names).alias("end"))
+
+    def walk(a: Column, tag: Column) -> Column:
+        step = F.when(a["i"] < begin, 0).when(tag == name, 1).when(tag == F.concat(F.lit("/"), name), -1).otherwise(0)
+        end = F.when((step < 0) & (a["depth"] == 1) & (a["end"] == F.size(names)), a["i"]).otherwise(a["end"])
+        return F.struct((a["depth"] + step).alias("depth"), (a["i"] + 1).alias("i"), end.alias("end"))
+
+    return F.aggregate(names, start, walk)["end"]
+
+
+def with_element(df: DataFrame, out: str, name: str, value: str, html: str = "html") -> DataFrame:
+    """Add ``out`` (tokens: tags and texts) and ``out``_tags (their tag names, empty for
+    texts): what the first element holds whose attribute ``name`` is, or among blanks holds,
+    ``value``.  NULL if there is none."""
+    held = rf"""(?:"(?:[^"]*\s)?{value}(?:\s[^"]*)?"|'(?:[^']*\s)?{value}(?:\s[^']*)?')"""
+    pattern = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*?(?<![\w-]){name}\s*=\s*{held}[^>]*>(.*)$"
+    df = pinned(df, _tag=F.lower(F.regexp_extract(html, pattern, 1)), _tail=F.regexp_extract(html, pattern, 2))
+    df = pinned(df, _tokens=F.when(F.col("_tag") != "", F.regexp_extract_all("_tail", F.lit(TOKEN_RE), F.lit(0))))
+    df = pinned(df, _names=F.transform("_tokens", _name))
+    df = pinned(df, _end=_close(F.col("_names"), F.col("_tag"), F.lit(0)))
+    df = pinned(df, **{out: F.slice("_tokens", F.lit(1), F.col("_end")),
+                       f"{out}_tags": F.slice("_names", F.lit(1), F.col("_end"))})
+    return df.drop("_tag", "_tail", "_tokens", "_names", "_end")
 
 
-def nth_span(block, k: int) -> Column:
-    """Text of the k-th (zero-based) innermost span; NULL if absent."""
-    return F.get(F.regexp_extract_all(_c(block), F.lit(SPAN_RE), 1), k)
+def text_of(tokens: Column) -> Column:
+    """The text without tags, blanks collapsed."""
+    return squish(unescape(F.array_join(F.filter(tokens, lambda t: ~t.startswith("<")), "")))
 
 
-def size_from_page(html="html") -> Column:
-    """E13 + E14 + E15: digits of span 6 of the size block, as a number."""
-    return digits_only(squish(nth_span(container(html, SIZE_BLOCK), SIZE_SPAN)))
+def with_spans(df: DataFrame, block: str, spans: dict[str, int]) -> DataFrame:
+    """Add the texts of numbered (zero-based) spans of a ``with_element`` block; NULL
+    for a span that the block does not have."""
+    tags = F.col(f"{block}_tags")
+    df = pinned(df, _opens=F.filter(F.sequence(F.lit(0), F.size(tags)), lambda i: F.get(tags, i) == "span"))
+    df = pinned(df, **{f"_at_{c}": F.get("_opens", k) + 1 for c, k in spans.items()})
+    df = pinned(df, **{f"_to_{c}": _close(tags, F.lit("span"), F.col(f"_at_{c}")) for c in spans})
+    texts = {c: F.when(F.col(f"_at_{c}").isNotNull(), text_of(F.slice(
+        block, F.col(f"_at_{c}") + 1, F.col(f"_to_{c}") - F.col(f"_at_{c}")))) for c in spans}
+    return pinned(df, **texts).drop("_opens", *[f"_{x}_{c}" for x in ("at", "to") for c in spans])
 
 
 def base_url(url="url") -> Column:

@@ -41,19 +41,19 @@ def first_token(text) -> Column:
     return part(text, " ", 0)
 
 
-MDY = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
-MDY_SHORT = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"
+MDY = r"^\s*([0-9]{1,2})[-/. ,]+([0-9]{1,2})[-/. ,]+([0-9]{4}|[0-9]{2})\s*$"
 YMD = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+# Fixed value: two-digit years from here on are of the 1900s, smaller ones of the 2000s.
+CENTURY_FROM = 69
 
 
-def parse_mdy(text, allow_two_digit_year: bool = False) -> Column:
-    """C6 mdy(): 'M/d/yyyy' -> DATE; anything else NULL.  With
-    ``allow_two_digit_year`` a second pattern 'M/d/yy' is tried."""
+def parse_mdy(text) -> Column:
+    """C6 mdy(): month, day and year (four digits, or two) with '/', '-', '.', ',' or blanks
+    between them -> DATE; anything else NULL."""
     t = _c(text)
-    d = F.when(t.rlike(MDY), F.try_to_date(t, "M/d/yyyy"))
-    if allow_two_digit_year:
-        d = d.when(t.rlike(MDY_SHORT), F.try_to_date(t, "M/d/yy"))
-    return d
+    month, day, year = (F.regexp_extract(t, MDY, i) for i in (1, 2, 3))
+    century = F.when(F.length(year) == 4, "").when(year >= F.lit(str(CENTURY_FROM)), "19").otherwise("20")
+    return F.when(t.rlike(MDY), F.try_to_date(F.concat_ws("-", F.concat(century, year), month, day), "yyyy-M-d"))
 
 
 def parse_ymd(text) -> Column:
@@ -169,10 +169,3 @@ def as_factor(x) -> Column:
 def with_levels(x, levels) -> Column:
     """Factor with declared levels; other values -> NULL."""
     return F.when(_c(x).isin(list(levels)), _c(x))
-
-
-def split_once(text, sep: str = ":") -> list[Column]:
-    """C17: split at the first separator, strip both halves; no separator -> NULLs."""
-    parts = F.split(_c(text), sep, 2)
-    has = F.size(parts) == 2
-    return [F.when(has, strip(F.get(parts, 0))), F.when(has, strip(F.get(parts, 1)))]

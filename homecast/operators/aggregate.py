@@ -128,9 +128,7 @@ def price_per_sqft_series(si: DataFrame, outlier: float = PRICE_SQFT_OUTLIER) ->
 
 def cpi_adjusted(si: DataFrame, cpi: DataFrame) -> DataFrame:
     """J5 + C13: sales with ``price_adj``; CPI has one row per month."""
-    from .enrich import bounded_broadcast
-    return si.join(bounded_broadcast(cpi), "month", "left") \
-             .withColumn("price_adj", T.cpi_adjust("price", "Index"))
+    return si.join(cpi, "month", "left").withColumn("price_adj", T.cpi_adjust("price", "Index"))
 
 
 def nominal_and_adjusted(sales_adj: DataFrame) -> DataFrame:
@@ -180,6 +178,6 @@ def hierarchy_totals(si: DataFrame, levels=("Region", "County"), value: str = "p
     return g.filter(F.col("_gi") == 0).drop("_gi")
 
 
-def having(df: DataFrame, cond) -> DataFrame:
-    """F8."""
-    return df.filter(cond)
+def require_sales(selected: DataFrame) -> DataFrame:
+    """one row saying how many sales a selection has, and whether it has any."""
+    return selected.agg(F.count(F.lit(1)).alias("n_sales")).withColumn("has_sales", F.col("n_sales") > 0)

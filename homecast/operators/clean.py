@@ -18,21 +18,19 @@ def split_history(raw: DataFrame) -> DataFrame:
                       T.first_token("Price").alias("price"))
 
 
-def clean_history(raw: DataFrame, allow_two_digit_year: bool = False) -> DataFrame:
+def clean_history(raw: DataFrame) -> DataFrame:
     """B1: month, zip, street, city, state, Event, price (numeric)."""
     street, city, state, zip_ = T.split_address("address")
     return raw.select(
-        T.to_month(T.parse_mdy("Date", allow_two_digit_year)).alias("month"),
+        T.to_month(T.parse_mdy("Date")).alias("month"),
         zip_, street, city, state, "Event",
         T.money_to_double(T.first_token("Price")).alias("price"))
 
 
-def clean_info(raw: DataFrame, require_sqft: bool = True, keep_list_price: bool = False) -> DataFrame:
+def clean_info(raw: DataFrame, require_sqft: bool = True) -> DataFrame:
     """B2: link, street, city, state, zip, beds, baths, sqft of homes with
     positive attributes (F1; F2 when ``require_sqft`` is False)."""
     cols = ["link", *T.split_address("address")]
-    if keep_list_price and "list_price" in raw.columns:
-        cols.append("list_price")
     df = raw.select(*cols, F.col("beds").cast("int").alias("beds"),
                     F.col("baths").cast("double").alias("baths"),
                     F.col("sqft").cast("double").alias("sqft"))

@@ -9,7 +9,6 @@ Output columns: keys, index, y, trend, seasonal, remainder, season_adjust.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,112 +156,3 @@ def x11(df: DataFrame, value: str, keys=(), index: str = "month",
     out = d.select(*keys, index, "y", "trend", "seasonal",
                    (F.col("season_adjust") - F.col("trend")).alias("remainder"), "season_adjust")
     return out.drop("_k") if dummy else out
-
-
-# --------------------------------------------------------------------- STL (M3)
-def _next_odd(x: float) -> int:
-    k = int(np.ceil(x))
-    return k if k % 2 == 1 else k + 1
-
-
-def _loess(x, y, w, xq, span: int, degree: int) -> np.ndarray:
-    """Tricube-weighted local polynomial (degree 0 or 1) fitted to (x, y)
-    with robustness weights ``w`` and evaluated at ``xq``; ``span`` counts
-    points, widened beyond the data as in Cleveland et al. (1990)."""
-    n = len(x)
-    out = np.empty(len(xq))
-    for i, x0 in enumerate(xq):
-        dist = np.abs(x - x0)
-        if span <= n:
-            h = np.partition(dist, span - 1)[span - 1]
-        else:
-            h = dist.max() + (span - n) / 2.0
-        h = max(h, 1e-12)
-        r = dist / h
-        k = np.where(r < 1, (1 - r ** 3) ** 3, 0.0) * w
-        sk = k.sum()
-        if sk <= 0:
-            out[i] = np.nan
-            continue
-        mean = np.sum(k * y) / sk
-        if degree == 0:
-            out[i] = mean
-            continue
-        xm = np.sum(k * x) / sk
-        var = np.sum(k * (x - xm) ** 2)
-        slope = np.sum(k * (x - xm) * (y - mean)) / var if var > 1e-12 * (h * h) else 0.0
-        out[i] = mean + slope * (x0 - xm)
-    return out
-
-
-def stl_numpy(y, period: int = PERIOD, s_window: int = 11, s_degree: int = 0,
-              t_window: int | None = None, inner: int = 2, outer: int = 0) -> dict:
-    """STL decomposition of one series (Cleveland, Cleveland, McRae and
-    Terpenning 1990).  Series shorter than two periods have no seasonal part."""
-    y = np.asarray(y, dtype=float)
-    n = len(y)
-    t = np.arange(n, dtype=float)
-    if period < 2 or n < 2 * period:
-        nt = t_window or _next_odd(1.5 * n) if n > 2 else 1
-        trend = _loess(t, y, np.ones(n), t, max(nt, 3), 1) if n > 2 else y.copy()
-        return {"trend": trend, "seasonal": np.zeros(n), "remainder": y - trend}
-    ns = _next_odd(max(s_window, 3))
-    nt = t_window or _next_odd(1.5 * period / (1 - 1.5 / ns))
-    nl = _next_odd(period)
-    trend = np.zeros(n)
-    seasonal = np.zeros(n)
-    rw = np.ones(n)
-
-    def ma(a, k):
-        return np.convolve(a, np.ones(k) / k, mode="valid")
-
-    for it in range(outer + 1):
-        for _ in range(inner):
-            detr = y - trend
-            cyc = np.empty(n + 2 * period)
-            for p in range(period):
-                idx = np.arange(p, n, period)
-                m = len(idx)
-                js = np.arange(-1, m + 1, dtype=float)
-                sm = _loess(np.arange(m, dtype=float), detr[idx], rw[idx], js, ns, s_degree)
-                cyc[p + (np.arange(-1, m + 1) + 1) * period] = sm
-            low = _loess(t, ma(ma(ma(cyc, period), period), 3), np.ones(n), t, nl, 1)
-            seasonal = cyc[period:period + n] - low
-            trend = _loess(t, y - seasonal, rw, t, nt, 1)
-        if it < outer:
-            r = np.abs(y - trend - seasonal)
-            u = np.clip(r / max(6 * np.median(r), 1e-12), 0, 1)
-            rw = (1 - u ** 2) ** 2
-    return {"trend": trend, "seasonal": seasonal, "remainder": y - trend - seasonal}
-
-
-def _ddl(df: DataFrame, names) -> str:
-    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-
-
-def stl(df: DataFrame, value: str, keys=(), index: str = "month", period: int = PERIOD,
-        s_window: int = 11, robust: bool = False) -> DataFrame:
-    """M3: STL per key with ``applyInPandas``.  Each group is one aggregated
-    series (one row per period step), so its size is bounded by the calendar,
-    not by the data; keys are fitted in parallel."""
-    keys = list(keys)
-    d = df.select(*keys, index, F.col(value).cast("double").alias("y"))
-    schema = _ddl(d, [*keys, index]) + ", y double, trend double, seasonal double, " \
-        "remainder double, season_adjust double"
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        y = pdf["y"].to_numpy(dtype=float)
-        comp = stl_numpy(y, period, s_window, outer=5 if robust else 0)
-        out = pdf[[*keys, index, "y"]].copy()
-        out["trend"] = comp["trend"]
-        out["seasonal"] = comp["seasonal"]
-        out["remainder"] = comp["remainder"]
-        out["season_adjust"] = y - comp["seasonal"]
-        return out
-
-    if keys:
-        from .tsmodels import spread_groups
-        return spread_groups(d, keys).groupBy(*keys).applyInPandas(fn, schema)
-    # A single (statewide) series: one group of at most a few hundred months.
-    return d.groupBy(F.lit(0).alias("_k")).applyInPandas(fn, schema)

@@ -7,26 +7,6 @@ from pyspark.sql import functions as F
 
 from .clean import ADDRESS_KEYS, EVENT_SOLD, complete_rows
 
-# Dimension tables larger than this are joined with a shuffle instead of a broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-_SIZE_CHECKS: dict[tuple, bool] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the row count; beyond the bound the
-    plain DataFrame is returned and the planner (AQE) picks a shuffle join.
-    The check runs once per distinct plan (``semanticHash``) per session."""
-    from ..session import session_key
-    key = (session_key(df.sparkSession), df.semanticHash(), max_rows)
-    small = _SIZE_CHECKS.get(key)
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        _SIZE_CHECKS[key] = small
-    return F.broadcast(df) if small else df
-
-
 LOOKUP_MODES = ("first_zip", "zip_region", "all")
 
 
@@ -39,8 +19,7 @@ def zip_lookup(county_zips: DataFrame, county_regions: DataFrame, mode: str = "a
     """
     if mode not in LOOKUP_MODES:
         raise ValueError(mode)
-    regions = bounded_broadcast(county_regions)
-    zr = county_zips.join(regions, "County", "left")                      # J3
+    zr = county_zips.join(county_regions, "County", "left")                      # J3
     if mode == "all":
         return zr.select("zip", "County", "Region")
     if mode == "zip_region":
@@ -64,7 +43,7 @@ def with_home_info(h: DataFrame, i: DataFrame, how: str = "left") -> DataFrame:
 
 def with_zip_lookup(df: DataFrame, zr: DataFrame, how: str = "left") -> DataFrame:
     """ZIP -> County/Region; a ZIP in several counties fans the sale out."""
-    return df.join(bounded_broadcast(zr), "zip", how)
+    return df.join(zr, "zip", how)
 
 
 def sold_homes(h: DataFrame, i: DataFrame, zr: DataFrame, event: str = EVENT_SOLD,
@@ -126,9 +105,9 @@ def lookup_fanout(df: DataFrame, zr: DataFrame, key: str = "zip") -> DataFrame:
     """How much a lookup join multiplies rows: rows_in (rows with a key),
     rows_out (rows after the inner join = sum of matches per key), the
     fan-out factor and the rows whose key has no match.  One pass over
-    ``df``: the per-key match counts are a small, size-checked table."""
+    ``df``; the lookup brings one row of match counts per key."""
     matches = zr.groupBy(key).agg(F.count(F.lit(1)).alias("_m"))
-    j = df.filter(F.col(key).isNotNull()).select(key).join(bounded_broadcast(matches), key, "left")
+    j = df.filter(F.col(key).isNotNull()).select(key).join(matches, key, "left")
     m = F.coalesce(F.col("_m"), F.lit(0))
     out = j.agg(F.count(F.lit(1)).alias("rows_in"), F.sum(m).alias("rows_out"),
                 F.sum(F.when(m == 0, 1).otherwise(0)).alias("rows_unmatched"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pages as PG
+from ..functions.text import digits_only
 
 # The link predicates of the link-discovery steps.
 NEWEST = "/newest-homes"
@@ -63,10 +64,10 @@ def absolute(href: str = "href", base: Column | str | None = None) -> Column:
     return F.concat(b, F.col(href))
 
 
-def listing_history(pages: DataFrame) -> DataFrame:
+def listing_history(pages: DataFrame, address_prop: str = PG.ADDRESS_PROP) -> DataFrame:
     """One history row per labelled table row: page_id, address,
     Date, Event, Price.  Rows come out even when the page lacks other parts."""
-    lab = pages.select("page_id", PG.meta_content(PG.ADDRESS_PROP).alias("address"),
+    lab = pages.select("page_id", PG.meta_content(address_prop).alias("address"),
                        F.explode(PG.row_labels("html")).alias("label"))
     e = lab.select("page_id", "address", PG.label_entries("label").alias("kv"))
     return e.select("page_id", "address", PG.label_value("kv", "Date").alias("Date"),
@@ -74,19 +75,35 @@ def listing_history(pages: DataFrame) -> DataFrame:
                     PG.label_value("kv", "Price").alias("Price"))
 
 
-def listing_info(pages: DataFrame) -> DataFrame:
-    """Link, address, beds, baths, sqft per page (all parts
-    present), the info-table row of the reference scraper."""
-    d = pages.select(
-        "page_id", F.col("url").alias("link"),
-        PG.meta_content(PG.ADDRESS_PROP).alias("address"),
-        PG.meta_content(PG.BEDS_PROP).try_cast("int").alias("beds"),
-        PG.meta_content(PG.BATHS_PROP).try_cast("double").alias("baths"),
-        PG.size_from_page("html").alias("sqft"))
-    return d.filter(F.col("address").isNotNull())
+def listing_parts(pages: DataFrame, props=(PG.ADDRESS_PROP, PG.BEDS_PROP, PG.BATHS_PROP),
+                  block: str = PG.SIZE_BLOCK, span: int = PG.SIZE_SPAN) -> DataFrame:
+    """The parts of an info record as text (NULL: not on the page), and ``missing``, the
+    first part that is not there."""
+    d = PG.pinned(pages.select("page_id", "url", "html"), **{
+        c: PG.meta_content(p) for p, c in zip(props, ("address", "beds", "baths"))})
+    d = PG.with_spans(PG.with_element(d, "_block", "data-testid", block), "_block", {"sqft": span})
+    d = d.drop("_block", "_block_tags", "html")
+    return d.withColumn("missing", F.coalesce(*[
+        F.when(F.col(c).isNull(), F.lit(c)) for c in ("address", "beds", "baths", "sqft")]))
 
 
-def listing_rejects(pages: DataFrame) -> DataFrame:
-    """Pages whose address cannot be read (skipped by the scraper)."""
-    return pages.select("page_id", "url", PG.meta_content(PG.ADDRESS_PROP).alias("address")) \
-                .filter(F.col("address").isNull()).drop("address")
+def listing_info(pages: DataFrame, **names) -> DataFrame:
+    """Link, address, beds, baths, sqft of the pages that have all parts."""
+    return listing_parts(pages, **names).filter("missing IS NULL").select(
+        "page_id", F.col("url").alias("link"), "address", F.col("beds").try_cast("int").alias("beds"),
+        F.col("baths").try_cast("double").alias("baths"), digits_only("sqft").alias("sqft"))
+
+
+def listing_rejects(pages: DataFrame, **names) -> DataFrame:
+    """The other pages (the scraper skips them), with the first part they lack."""
+    return listing_parts(pages, **names).filter("missing IS NOT NULL").select("page_id", "url", "missing")
+
+
+def listing_summary(pages: DataFrame, row_class: str = PG.SUMMARY_CLASS, spans: dict | None = None,
+                    address_id: str = PG.ADDRESS_ID) -> DataFrame:
+    """E14 for the summary row: link, address (by element id) and the texts of numbered spans."""
+    spans = spans or PG.SUMMARY_SPANS
+    d = pages.select("page_id", F.col("url").alias("link"), "html")
+    d = PG.with_element(PG.with_element(d, "_title", "id", address_id), "_row", "class", row_class)
+    d = PG.with_spans(PG.pinned(d, address=PG.text_of(F.col("_title"))), "_row", spans)
+    return d.select("page_id", "link", "address", *spans)

@@ -31,3 +31,17 @@ def trend_forecast(fit: DataFrame, h, keys=(), index: str = "month") -> DataFram
     out = f.select(*keys, F.add_months(F.col("last_index"), F.col("step")).alias(index),
                    (F.col("intercept") + F.col("slope") * t0).alias("mean"), se.alias("sigma"))
     return with_bands(out)
+
+
+def trend_season_forecast(fit: DataFrame, h, keys=(), index: str = "month") -> DataFrame:
+    """M13 for ``trend_season_fit``: a step's level is its calendar month's, moved along
+    the trend; a month that the series has never had gives NULL."""
+    keys = list(keys)
+    f = fit.select(*keys, "n", "slope", "sxx", "sigma2", "last_index", "seasons",
+                   F.explode(F.sequence(F.lit(1), _h(h))).alias("step"))
+    f = f.withColumn("_at", F.add_months("last_index", F.col("step")))
+    f = f.withColumn("_s", F.get(F.filter("seasons", lambda s: s["pos"] == F.month("_at")), 0))
+    ahead = F.col("n") + F.col("step") - F.col("_s.tbar")
+    se = F.sqrt(F.col("sigma2") * (1 + 1 / F.col("_s.n") + F.try_divide(ahead * ahead, F.col("sxx"))))
+    return with_bands(f.select(*keys, F.col("_at").alias(index),
+                               (F.col("_s.ybar") + F.col("slope") * ahead).alias("mean"), se.alias("sigma")))

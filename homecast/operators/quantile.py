@@ -1,55 +1,43 @@
 """Exact quantiles (medians) per group without gathering a group in one task.
 
-Spark's ``percentile``/``median`` aggregate merges every distinct value of a
-group into a single buffer, so one hot month holding a third of 100 TB would
-land in one task.  Here an exact order statistic is found by iterative
-refinement, all steps being partial aggregates:
-
-1. per group: n, min, max (one pass);
-2. the targets are the ranks k1 = floor((n-1)q) and k2 = ceil((n-1)q);
-3. while a group's candidate range [lo, hi] holds more than ``band_max``
-   values, split it into ``buckets`` equal-width buckets, count per bucket
-   (map-side combined), and keep the bucket containing rank k1 - with its
-   exact min/max as the next range, the count of values below it and the
-   smallest value above it (for k2);
-4. once a range holds at most ``band_max`` values (or lo == hi), the band is
-   collected, sorted and indexed.  The band is bounded, so no task holds more
-   than ``band_max`` values of a group.
-
-The answer interpolates ``v[k1] + frac * (v[k2] - v[k1])`` like Spark's
-``percentile`` and DuckDB's ``quantile_cont``.  Each pass reads the projected
-(keys, value) input, persisted once; the small per-group state is
-checkpointed each pass so lineage stays short and survives executor loss.
+Spark's ``percentile``/``median`` aggregate merges every distinct value of a group into one
+buffer, so a hot month would land in one task.  Here the order statistic is found by
+narrowing a bracket, all steps being partial aggregates:
+
+1. per group, a bounded sketch gives ``GRID + 1`` evenly spaced approximate quantiles of the
+   values inside the bracket (at first: all values);
+2. the target rank lies between two of them, a step of the grid further out than its place
+   says (the sketch's error is a tenth of a step).  The values below, at, between and above
+   the two are counted exactly.  If the rank falls on one of the two, the group is done;
+   otherwise the values strictly between them are the new bracket.
+
+A bracket of up to ``GRID / 4`` values needs no second step: grid and sketch then tell single
+ranks apart, and the two targets are grid values.  Every round leaves about a 500th of a
+larger bracket and at least one value fewer, so the rounds end by themselves: two for a
+group of a million values, three for one of 10 ** 9.  Values are only compared, so
+infinities and denormals need no care.
+
+The answer interpolates ``v[k1] + frac * (v[k2] - v[k1])`` like Spark's ``percentile`` and
+DuckDB's ``quantile_cont``.  The (keys, value) projection is written once to the shared folder;
+groups meet it in a join on salted keys, so no group's values meet in one task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import written
 
-BUCKETS = 4096
-BAND_MAX = 200_000
-MAX_PASSES = 24
-BROADCAST_TARGETS_MAX = 250_000
-APPROX_ACCURACY = 100_000
+GRID = 2048
+#: The sketch's rank error is a share of 1 / ACCURACY of the bracket.
+ACCURACY = 20_000
+SALTS = 16
 
 
-def _ns_join(left: DataFrame, right: DataFrame, keys, broadcast_right: bool = False) -> DataFrame:
-    """Inner equi-join on ``keys`` where NULL keys match (grouping keys may be NULL)."""
-    r = right.select(*[F.col(k).alias("_r_" + k) for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    if broadcast_right:
-        r = F.broadcast(r)
-    cond = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys])
-    return left.join(r, cond).drop(*["_r_" + k for k in keys])
-
-
-def _value(col: str):
+def _value(col: str) -> Column:
     """The measure as a double; NaN counts as missing, like NULL."""
     v = F.col(col).cast("double")
     return F.when(~F.isnan(v), v)
@@ -65,103 +53,89 @@ def _long_input(df: DataFrame, keys, measures: dict) -> DataFrame:
     return df.select(*keys, s).select(*keys, "_s._m", "_s._v")
 
 
-def exact_quantile_long(x: DataFrame, keys, q: float = 0.5, buckets: int = BUCKETS,
-                        band_max: int = BAND_MAX) -> DataFrame:
-    """``x`` has columns keys + ``_v``; returns keys + ``_q`` (one row per group)."""
+def _inside(x: DataFrame, state: DataFrame, keys, *columns: str) -> DataFrame:
+    """Rows of ``x`` with the state of their group; NULL keys match."""
+    salted = state.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *columns,
+                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s2"))
+    on = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    on.append(F.pmod(F.xxhash64("_v"), F.lit(SALTS)) == F.col("_s2").cast("long"))
+    return x.join(salted, reduce(lambda a, b: a & b, on)).drop("_s2", *[f"_g{i}" for i in range(len(keys))])
+
+
+def _sketch(value: str) -> Column:
+    steps = ", ".join(f"{k / GRID}D" for k in range(GRID + 1))
+    return F.expr(f"percentile_approx({value}, array({steps}), {ACCURACY})").alias("grid")
+
+
+def exact_quantile_long(x: DataFrame, keys, q: float = 0.5) -> DataFrame:
+    """``x`` has columns keys + ``_v``; returns keys + ``_q`` (one row per group).  Runs one
+    job per round; ``x`` is read in each."""
     keys = list(keys)
-    stats = x.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("lo"),
-                                 F.max("_v").alias("hi"))
-    pos = (F.col("n") - 1) * F.lit(q)
-    stats = cut_lineage(stats.select(
-        *keys, "n", F.floor(pos).alias("k1"), F.ceil(pos).alias("k2"),
-        (pos - F.floor(pos)).alias("frac"), "lo", "hi",
-        F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"),
-        F.lit(None).cast("double").alias("above")))
-    empty = stats.filter("n = 0").select(*keys, F.lit(None).cast("double").alias("_q"))
-    results = [empty]
-    active = stats.filter("n > 0").drop("n")
-    n_active = active.count()
-
-    def pick(v1, v2):
-        return v1 + F.col("frac") * (v2 - v1)
-
-    for it in range(MAX_PASSES + 1):
-        if n_active == 0:
-            break
-        last = it == MAX_PASSES
-        # Ranges of a single value resolve without reading data.
-        trivial = active.filter("lo = hi").select(
-            *keys, pick(F.col("lo"), F.when(F.col("k2") - F.col("below") < F.col("cnt"),
-                                             F.col("lo")).otherwise(F.col("above"))).alias("_q"))
-        results.append(trivial)
-        todo = active.filter("lo < hi").withColumn(
-            "fin", F.lit(True) if last else (F.col("cnt") <= band_max))
-        xj = _ns_join(x, todo, keys, broadcast_right=n_active <= BROADCAST_TARGETS_MAX)
-        xj = xj.filter(F.col("_v").between(F.col("lo"), F.col("hi")))
-        # Halves keep hi - lo finite for any pair of finite doubles.
-        width = F.col("hi") * 0.5 - F.col("lo") * 0.5
-        rel = (F.col("_v") * 0.5 - F.col("lo") * 0.5) / width
-        b = F.when(F.col("fin"), F.lit(-1)).otherwise(
-            F.least(F.lit(buckets - 1), F.floor(rel * buckets).cast("int")))
-        agg = xj.groupBy(*keys, b.alias("b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"),
-            F.collect_list(F.when(F.col("fin"), F.col("_v"))).alias("vals"))
-        agg = cut_lineage(agg)
-        tj = todo.drop("fin")
-        # Finished targets: index the sorted band.
-        fin = _ns_join(agg.filter("b = -1"), tj, keys).select(
-            *keys, F.array_sort(F.col("vals")).alias("s"), "k1", "k2", "below", "frac", "above")
-        i1 = F.col("k1") - F.col("below")
-        i2 = F.col("k2") - F.col("below")
-        v1 = F.get(F.col("s"), i1.cast("int"))
-        v2 = F.when(i2 < F.size("s"), F.get(F.col("s"), i2.cast("int"))).otherwise(F.col("above"))
-        results.append(fin.select(*keys, pick(v1, v2).alias("_q")))
-        # Unfinished targets: keep the bucket holding rank k1.
-        go = _ns_join(agg.filter("b >= 0"), tj, keys).select(
-            *keys, "b", "c", "mn", "mx", "k1", "k2", "frac", "below",
-            F.col("above").alias("above_old"))
-        w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("b")
-        go = go.withColumn("before", F.coalesce(
-            F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        go = go.withColumn("next_mn", F.lead("mn").over(w))
-        r = F.col("k1") - F.col("below")
-        go = go.filter((F.col("before") <= r) & (r < F.col("before") + F.col("c")))
-        active = cut_lineage(go.select(
-            *keys, "k1", "k2", "frac", F.col("mn").alias("lo"), F.col("mx").alias("hi"),
-            (F.col("below") + F.col("before")).alias("below"), F.col("c").alias("cnt"),
-            F.coalesce("next_mn", "above_old").alias("above")))
-        n_active = active.count()
-    return reduce(lambda a, b: a.unionByName(b), results)
+    pos = (F.col("cnt") - 1) * F.lit(q)
+    none = F.lit(None).cast("double")
+    state = x.groupBy(*keys).agg(F.count("_v").alias("cnt"), F.min("_v").alias("first"),
+                                 F.max("_v").alias("last"), _sketch("_v"))
+    state = state.select(
+        *keys, "cnt", "first", "last", "grid", F.floor(pos).alias("k1"), F.ceil(pos).alias("k2"),
+        (pos - F.floor(pos)).alias("frac"), none.alias("above"), none.alias("v1"), none.alias("v2"))
+    done = []
+
+    def place(rank: Column) -> Column:
+        return F.floor((rank + 0.5) / F.col("cnt") * GRID).cast("int")
+
+    while True:
+        state = written(state)
+        few = (F.col("cnt") <= GRID // 4) | (F.col("first") == F.col("last"))
+        v1 = F.coalesce("v1", F.get("grid", place(F.col("k1")) + 1))
+        v2 = F.coalesce("v2", F.when(F.col("k2") < F.col("cnt"), F.get("grid", place(F.col("k2")) + 1))
+                        .otherwise(F.col("above")))
+        value = F.when((F.col("frac") == 0) | (v1 == v2), v1).otherwise(v1 + F.col("frac") * (v2 - v1))
+        ready = F.col("v1").isNotNull() | few
+        done.append(state.filter(ready).select(*keys, F.when(F.col("v1").isNotNull() | (F.col("cnt") > 0), value).alias("_q")))
+        state = state.filter(~ready)
+        if state.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), done)
+        bracket = state.select(
+            *keys, "k1", "k2", "frac", "first", "last", F.col("above").alias("next"),
+            F.get("grid", F.greatest(place(F.col("k1")) - 1, F.lit(0))).alias("lo"),
+            F.get("grid", F.least(place(F.col("k1")) + 3, F.lit(GRID))).alias("hi"))
+        known = ["k1", "k2", "frac", "next", "lo", "hi"]
+        v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+        rows = _inside(x, bracket, keys, *known, "first", "last").filter(v.between(F.col("first"), F.col("last")))
+        rows = rows.withColumn("_in", F.when((v > lo) & (v < hi), v))
+        counted = rows.groupBy(*keys, *known).agg(
+            F.count(F.when(v < lo, 1)).alias("n_below"), F.count(F.when(v == lo, 1)).alias("n_lo"),
+            F.count("_in").alias("cnt"), F.count(F.when((v == hi) & (hi > lo), 1)).alias("n_hi"),
+            F.min("_in").alias("first"), F.max("_in").alias("last"),
+            F.min(F.when(v > hi, v)).alias("over"), _sketch("_in"))
+        inner = F.col("n_below") + F.col("n_lo")
+        upper = inner + F.col("cnt")
+        top = upper + F.col("n_hi")
+
+        def at(rank: Column) -> Column:
+            """The value at ``rank`` if it is lo, hi or the one next above hi."""
+            return F.when(rank < F.col("n_below"), F.raise_error(F.lit("rank below the bracket")).cast("double")) \
+                .when(rank < inner, lo).when(rank < upper, F.lit(None)).when(rank < top, hi) \
+                .otherwise(F.coalesce("over", "next"))
+
+        k1, k2 = F.col("k1"), F.col("k2")
+        after = F.when((k1 < inner) & (k2 == inner) & (F.col("cnt") > 0), F.col("first")).otherwise(at(k2))
+        found = at(k1)
+        state = counted.select(
+            *keys, "cnt", "first", "last", "grid", (k1 - inner).alias("k1"), (k2 - inner).alias("k2"), "frac",
+            hi.alias("above"), found.alias("v1"), F.when(found.isNotNull(), after).alias("v2"))
 
 
 def median_by(df: DataFrame, keys, measures: dict, method: str = "exact",
               q: float = 0.5) -> DataFrame:
     """Quantile ``q`` (median by default) of each measure per group.
-    ``measures`` maps output name -> input column."""
+    ``measures`` maps output name -> input column.  ``builtin`` is Spark's aggregate (a
+    group per buffer), for comparison."""
     keys = list(keys)
-    if method == "approx":
-        return df.groupBy(*keys).agg(*[
-            F.percentile_approx(F.col(c).cast("double"), q, APPROX_ACCURACY).alias(n)
-            for n, c in measures.items()])
     if method == "builtin":
         return df.groupBy(*keys).agg(*[
             F.percentile(F.col(c).cast("double"), F.lit(q)).alias(n) for n, c in measures.items()])
-    # The (keys, measure, value) projection is read by every pass: persist it
-    # so the upstream plan (parsing, joins, de-duplication) runs once.
-    x = _long_input(df, keys, measures).persist(StorageLevel.MEMORY_AND_DISK)
-    g = keys + ["_m"]
-    # One pass for the largest group; when every group is within the band
-    # bound, a single exact percentile aggregate is already bounded per task.
-    largest = x.groupBy(*g).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] or 0
-    try:
-        if largest <= BAND_MAX:
-            # Small result (one row per group), written once so the persisted
-            # projection can be released before returning.
-            res = cut_lineage(x.groupBy(*g).agg(F.percentile("_v", F.lit(q)).alias("_q")))
-        else:
-            res = cut_lineage(exact_quantile_long(x, g, q))
-    finally:
-        x.unpersist()
+    res = exact_quantile_long(written(_long_input(df, keys, measures)), [*keys, "_m"], q)
     if len(measures) == 1:
         (name, _), = measures.items()
         return res.select(*keys, F.col("_q").alias(name))

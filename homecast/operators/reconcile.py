@@ -1,161 +1,40 @@
-"""Forecast reconciliation across a hierarchy (M15, with A23).
+"""Sums of forecasts across a hierarchy (M15, with A23).
 
-Nodes are the leaves (e.g. counties), every aggregate of them (regions) and
-the total.  Reconciliation needs additive quantities (sums or counts), never
-means.  Base forecasts and in-sample residuals come from any per-node model
-(ETS here).
-
-* node series: one ROLLUP over the levels (A23);
-* mapping: (node, leaf) for every leaf and each of its ancestors;
-* bottom-up: leaf forecasts joined to the mapping and summed per node, a
-  plain Spark join + aggregate;
-* OLS:  y~ = S (S'S)^-1 S' y^;
-* MinT: y~ = S (S'W^-1 S)^-1 S'W^-1 y^ with W the one-step residual
-  covariance shrunk toward its diagonal (Schafer and Strimmer 2005).
-  These two need the whole (small) hierarchy: nodes x horizon forecasts and
-  nodes x months residuals, one ``applyInPandas`` group per hierarchy.
+Nodes are the leaves (e.g. counties), every aggregate of them (regions) and the total; the
+quantities are additive (sums or counts), never means.  Base forecasts come from any per-node
+model.  A node is named by the array of its level values, so no name can be mistaken for a
+path; the root is the empty array.  Bottom-up: leaf forecasts joined to the mapping and summed
+per node, a plain join and aggregate.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOTAL = "<total>"
-SEP = "/"
-
-
-def _path(levels, upto: int):
-    return F.concat_ws(SEP, *[F.col(c) for c in levels[:upto]])
 
-
-def hierarchy_series(df: DataFrame, levels, value: str, index: str = "month",
-                     total: str = TOTAL) -> DataFrame:
-    """(node, index, value) for every node in one ROLLUP.  A node is
-    named by its path ('AFRICA/NATION_0'); the root is ``total``."""
-    levels = list(levels) if not isinstance(levels, str) else [levels]
+def hierarchy_series(df: DataFrame, levels, value: str, index: str = "month") -> DataFrame:
+    """(node, index, value) for every node in one ROLLUP."""
+    levels = [levels] if isinstance(levels, str) else list(levels)
     g = df.rollup(index, *levels).agg(F.sum(value).alias(value), F.grouping(index).alias("_gi"),
                                       *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(levels)])
-    g = g.filter(F.col("_gi") == 0)
-    node = F.lit(total)
+    node = F.array().cast("array<string>")
     for i in range(len(levels)):
-        node = F.when(F.col(f"_g{i}") == 0, _path(levels, i + 1)).otherwise(node)
-    return g.select(node.alias("node"), index, value)
-
+        path = F.array(*[F.col(c).cast("string") for c in levels[:i + 1]])
+        node = F.when(F.col(f"_g{i}") == 0, path).otherwise(node)
+    return g.filter("_gi = 0").select(node.alias("node"), index, value)
 
-def hierarchy_mapping(df: DataFrame, levels, total: str = TOTAL) -> DataFrame:
-    """(node, leaf) for each leaf path and each of its ancestors."""
-    levels = list(levels) if not isinstance(levels, str) else [levels]
-    leaves = df.select(*levels).dropna().distinct()
-    anc = F.array(F.lit(total), *[_path(levels, i + 1) for i in range(len(levels))])
-    return leaves.select(_path(levels, len(levels)).alias("leaf"),
-                         F.explode(anc).alias("node"))
 
-
-def mapping_from_nodes(nodes: DataFrame, depth: int, total: str = TOTAL) -> DataFrame:
-    """(node, leaf) from the node names of ``hierarchy_series``: the leaves are
-    the paths with ``depth`` parts, their ancestors the path prefixes.  Reads
-    only the (small) node series, not the facts."""
-    leaves = nodes.select("node").distinct().filter(
-        (F.col("node") != total) & (F.size(F.split("node", SEP)) == depth))
-    parts = F.split(F.col("node"), SEP)
-    anc = F.array(F.lit(total), *[F.array_join(F.slice(parts, 1, i), SEP)
-                                  for i in range(1, depth + 1)])
-    return leaves.select(F.col("node").alias("leaf"), F.explode(anc).alias("node"))
+def hierarchy_mapping(df: DataFrame, levels) -> DataFrame:
+    """(node, leaf) for each leaf and each of its ancestors, the leaf included."""
+    levels = [levels] if isinstance(levels, str) else list(levels)
+    leaf = F.array(*[F.col(c).cast("string") for c in levels])
+    return df.select(leaf.alias("leaf")).distinct().select(
+        "leaf", F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(levels))),
+                                      lambda k: F.slice("leaf", F.lit(1), k))).alias("node"))
 
 
 def bottom_up(forecasts: DataFrame, mapping: DataFrame, index: str = "month") -> DataFrame:
     """Every node = sum of its leaves' base forecasts (join + aggregate)."""
     leaf_fc = forecasts.select(F.col("node").alias("leaf"), index, "mean")
-    return leaf_fc.join(mapping, "leaf").groupBy("node", index).agg(
-        F.sum("mean").alias("mean")).withColumn("method", F.lit("bu"))
-
-
-def _shrunk_cov(res: np.ndarray) -> np.ndarray:
-    """Covariance of residual columns shrunk toward the diagonal."""
-    r = res[~np.isnan(res).any(axis=1)]
-    n = r.shape[0]
-    if n < 3:
-        return np.diag(np.nanvar(res, axis=0) + 1e-9)
-    x = r - r.mean(axis=0)
-    sd = x.std(axis=0, ddof=1)
-    sd[sd == 0] = 1e-9
-    z = x / sd
-    corr = z.T @ z / (n - 1)
-    w = np.einsum("ti,tj->tij", z, z)
-    var_corr = n / (n - 1) ** 3 * ((w - w.mean(axis=0)) ** 2).sum(axis=0)
-    off = ~np.eye(corr.shape[0], dtype=bool)
-    denom = (corr[off] ** 2).sum()
-    lam = float(np.clip(var_corr[off].sum() / denom, 0, 1)) if denom > 0 else 1.0
-    shrunk = lam * np.eye(len(sd)) + (1 - lam) * corr
-    np.fill_diagonal(shrunk, 1.0)
-    return shrunk * np.outer(sd, sd)
-
-
-def reconciliation_weights(resid: pd.DataFrame, mapping: pd.DataFrame) -> pd.DataFrame:
-    """Projection weights P (nodes x nodes) per method, y~ = P y^:
-    bu = S [0 I], ols = S (S'S)^-1 S', mint = S (S'W^-1 S)^-1 S'W^-1.
-    ``resid``: node, t, resid; ``mapping``: node, leaf.  Returns method,
-    node, src, weight (non-zero weights only)."""
-    leaves = sorted(mapping["leaf"].unique())
-    nodes = sorted(mapping["node"].unique())
-    S = np.zeros((len(nodes), len(leaves)))
-    ni = {n: i for i, n in enumerate(nodes)}
-    li = {x: j for j, x in enumerate(leaves)}
-    for r in mapping.itertuples(index=False):
-        S[ni[r.node], li[r.leaf]] = 1.0
-    J = np.zeros((len(leaves), len(nodes)))            # picks the leaves' own forecasts
-    for leaf, j in li.items():
-        J[j, ni[leaf]] = 1.0
-    R = resid.pivot(index="t", columns="node", values="resid").reindex(columns=nodes).to_numpy()
-    Wi = np.linalg.pinv(_shrunk_cov(R))
-    mats = {"base": np.eye(len(nodes)), "bu": S @ J,
-            "ols": S @ np.linalg.solve(S.T @ S, S.T),
-            "mint": S @ np.linalg.solve(S.T @ Wi @ S, S.T @ Wi)}
-    rows = [(m, nodes[i], nodes[j], float(P[i, j])) for m, P in mats.items()
-            for i in range(len(nodes)) for j in range(len(nodes)) if abs(P[i, j]) > 1e-15]
-    return pd.DataFrame(rows, columns=["method", "node", "src", "weight"])
-
-
-def reconcile_frame(fc: pd.DataFrame, resid: pd.DataFrame, mapping: pd.DataFrame,
-                    index: str = "month") -> pd.DataFrame:
-    """Local form of ``reconcile`` (used in tests): fc: node, month, mean."""
-    w = reconciliation_weights(resid, mapping)
-    j = w.merge(fc.rename(columns={"node": "src"}), on="src")
-    j["mean"] = j["weight"] * j["mean"]
-    out = j.groupby(["method", "node", index], as_index=False)["mean"].sum()
-    return out[["node", index, "method", "mean"]]
-
-
-def reconcile(forecasts: DataFrame, residuals: DataFrame, mapping: DataFrame,
-              index: str = "month") -> DataFrame:
-    """forecasts: node, month, mean; residuals: node, t, resid; mapping:
-    node, leaf (one hierarchy).  Returns node, month, method (base, bu, ols,
-    mint), mean.
-
-    Only the residuals and the mapping (hierarchy-sized) meet in one group to
-    build the weight matrices; the forecasts are reconciled by a join with
-    the (size-checked) weights and a grouped sum."""
-    from ..session import cut_lineage
-    from .enrich import bounded_broadcast
-    r = residuals.select(F.lit("r").alias("_kind"), "node", F.lit(None).cast("string").alias("leaf"),
-                         F.col("t").cast("long"), F.col("resid").cast("double").alias("v"))
-    m = mapping.select(F.lit("m").alias("_kind"), "node", "leaf", F.lit(None).cast("long").alias("t"),
-                       F.lit(None).cast("double").alias("v"))
-
-    def fn(pdf):
-        rs = pdf[pdf["_kind"] == "r"].rename(columns={"v": "resid"})
-        mp = pdf[pdf["_kind"] == "m"]
-        return reconciliation_weights(rs[["node", "t", "resid"]], mp[["node", "leaf"]])
-
-    # Small (methods x nodes^2); written once so the size check and the join
-    # read the same result.
-    weights = cut_lineage(r.unionByName(m).withColumn("_h", F.lit(0)).groupBy("_h").applyInPandas(
-        fn, "method string, node string, src string, weight double"))
-    # "base" is the identity matrix, so one join + grouped sum yields all methods.
-    fc = forecasts.select(F.col("node").alias("src"), index, "mean")
-    rec = fc.join(bounded_broadcast(weights), "src").groupBy("method", "node", index).agg(
-        F.sum(F.col("weight") * F.col("mean")).alias("mean"))
-    return rec.select("node", index, "method", "mean")
+    return leaf_fc.join(mapping, "leaf").groupBy("node", index).agg(F.sum("mean").alias("mean"))

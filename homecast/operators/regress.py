@@ -1,8 +1,8 @@
 """Linear models per key: M5-M10, M16-M18.
 
 Rows are reduced by Catalyst first: a trend model needs only the
-``regr_*`` aggregates; a general OLS needs one aggregate of centred Gram
-sums (k*(k+1)/2 + k + 2 numbers per key).  Python sees only those k x k
+``regr_*`` aggregates; a general OLS needs one partial aggregate of centred
+Gram sums (k*(k+1)/2 + k + 2 numbers per key).  Python sees only those k x k
 sums, one row per key, in ``mapInPandas``.
 """
 
@@ -108,20 +108,15 @@ def histogram(df: DataFrame, value: str, keys=(), bins: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------------ M8 OLS kernel
 def _gram(df: DataFrame, y: str, xs: list[str], keys: list[str]) -> DataFrame:
-    """Centred Gram sums per key in one aggregate after one mean pass."""
+    """Means and centred Gram sums per key: one aggregate, combined map-side, over the
+    complete rows.  ``covar_pop`` merges partial states stably, so no pass for the
+    means comes first and no key meets in one task."""
     cols = [y, *xs]
-    wk = Window.partitionBy(*keys)
-    # Means as window aggregates over the key: one pass, and the following
-    # aggregate on the same keys reuses the window's partitioning.
-    j = df.select(*keys, *cols, F.count(F.lit(1)).over(wk).alias("n"),
-                  *[F.avg(c).over(wk).alias("m_" + c) for c in cols])
-    cen = {c: F.col(c) - F.col("m_" + c) for c in cols}
-    sums = []
-    for a, b in itertools.combinations_with_replacement(range(len(cols)), 2):
-        sums.append(F.sum(cen[cols[a]] * cen[cols[b]]))
-    return j.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.array(*[F.first("m_" + c) for c in cols]).alias("means"),
-        F.array(*sums).alias("gram"))
+    pairs = itertools.combinations_with_replacement(cols, 2)
+    n = F.count(F.lit(1))
+    return df.dropna(subset=cols).groupBy(*keys).agg(
+        n.alias("n"), F.array(*[F.avg(c) for c in cols]).alias("means"),
+        F.array(*[F.covar_pop(a, b) * n for a, b in pairs]).alias("gram"))
 
 
 def _unpack(gram_row, k1: int) -> np.ndarray:
@@ -271,16 +266,13 @@ def best_subsets(df: DataFrame, y: str, terms: dict[str, Column], keys=()) -> Da
 def ols_augment(df: DataFrame, fit: DataFrame, y: str, terms: dict[str, Column] | list[str],
                 keys=(), index: str = "month") -> DataFrame:
     """M16 for an ``ols`` fit: fitted values and residuals per row.  The fit
-    has one row per key, so the join back is on the keys (broadcast when the
-    number of keys is small, a shuffle join otherwise)."""
+    has one row per key, so the join back is on the keys."""
     keys = list(keys)
     if not isinstance(terms, dict):
         terms = {t: F.col(t) for t in terms}
     xs = [c.cast("double") for c in terms.values()]
     if keys:
-        # One coefficient row per key, joined on the keys (size-checked broadcast).
-        from .enrich import bounded_broadcast
-        j = df.join(bounded_broadcast(fit.select(*keys, "coef")), keys)
+        j = df.join(fit.select(*keys, "coef"), keys)
         fitted = F.get(F.col("coef"), 0)
         for i, x in enumerate(xs, start=1):
             fitted = fitted + F.get(F.col("coef"), i) * x
@@ -293,3 +285,25 @@ def ols_augment(df: DataFrame, fit: DataFrame, y: str, terms: dict[str, Column]
             fitted = fitted + F.lit(float(c[i])) * x
     out = j.select(*keys, index, F.col(y).cast("double").alias("y"), fitted.alias("fitted"))
     return out.withColumn("resid", F.col("y") - F.col("fitted"))
+
+
+# ------------------------------------------------------------------ M6 as a forecastable fit
+def trend_season_fit(series: DataFrame, value: str, keys=(), index: str = "month") -> DataFrame:
+    """M6 in the form that M13 extends: the trend is the slope within calendar months (the
+    month dummies partialled out), a month's level its mean.  One row per key: n, slope,
+    sxx, sigma2, last_index and ``seasons`` (pos, n, ybar, tbar; at most 12)."""
+    keys = list(keys)
+    s = with_position(series, keys, index, "t")
+    y, t = F.col(value).cast("double"), F.col("t").cast("double")
+    per = s.groupBy(*keys, F.month(index).alias("pos")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("ybar"), F.avg(t).alias("tbar"),
+        F.regr_sxx(y, t).alias("sxx"), F.regr_sxy(y, t).alias("sxy"), F.regr_syy(y, t).alias("syy"),
+        F.max(index).alias("last_index"))
+    g = per.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("sxx").alias("sxx"), F.sum("sxy").alias("sxy"), F.sum("syy").alias("syy"),
+        F.count(F.lit(1)).alias("levels"), F.max("last_index").alias("last_index"),
+        F.collect_list(F.struct("pos", "n", "ybar", "tbar")).alias("seasons"))
+    slope = F.try_divide(F.col("sxy"), F.col("sxx"))
+    rss = F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0))
+    return g.select(*keys, "n", slope.alias("slope"), "sxx",
+                    F.try_divide(rss, F.col("n") - F.col("levels") - 1).alias("sigma2"), "last_index", "seasons")

@@ -103,8 +103,15 @@ def seeded_hash(column: str, seed: int = 42) -> Column:
 
 
 def shuffled(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
-    """W11 ``random.shuffle``: a repeatable random order."""
-    return df.orderBy(seeded_hash(column, seed), column)
+    """W11 ``random.shuffle``: a repeatable random order, as ``position`` (from 1).  The
+    rows are ranked within 256 classes of the hash, and the classes' sizes added up."""
+    df = df.withColumn("_h", seeded_hash(column, seed)).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", column, *[c for c in df.columns if c[0] != "_"]))
+    return df.withColumn("_rank", rank).join(sizes, "_b").withColumn(
+        "position", (F.col("_before") + F.col("_rank")).cast("long")).drop("_h", "_b", "_rank", "_before")
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, order_col: str,

@@ -150,12 +150,6 @@ def q_a9(spark, d):
     return rounded(A.median_series(P(spark, d).sold("viz")))
 
 
-@query("A9_approx")
-def q_a9_approx(spark, d):
-    # The bounded-memory sketch alternative to A9 (relative rank error 1e-5).
-    return rounded(A.median_series(P(spark, d).sold("viz"), method="approx"))
-
-
 @query("A10")
 def q_a10(spark, d):
     return rounded(A.median_series(P(spark, d).sold("viz"), keys=["Region"]))
@@ -259,8 +253,8 @@ def q_b7(spark, d):
 
 @query("W2")
 def q_w2(spark, d):
-    return S.series_duplicates(A.mean_series(P(spark, d).sold("viz"), keys=["Region"]),
-                               ["Region"])
+    # The sales themselves are no series: months and regions with several sales.
+    return S.series_duplicates(P(spark, d).sold("viz"), ["Region"])
 
 
 def _county_ts(spark, d):
@@ -333,24 +327,6 @@ def q_m2_psqft(spark, d):
                                kind="multiplicative"))
 
 
-@query("M3")
-def q_m3(spark, d):
-    return rounded(D.stl(P(spark, d).report_ts("mean_sale"), "mean_sale"))
-
-
-@query("M3_region")
-def q_m3_region(spark, d):
-    return rounded(D.stl(P(spark, d).region_ts(), "mean_sale", keys=["Region"]))
-
-
-@query("M3_yearly")
-def q_m3_yearly(spark, d):
-    # Annual totals have no season: trend + remainder only (STL on yearly data).
-    si = A.by_period(P(spark, d).sold_complete(), period="year")
-    y = S.fill_gaps(A.total_and_count(si, index="year"), index="year", step="year")
-    return rounded(D.stl(y, "total_sales", index="year", period=1))
-
-
 @query("M4")
 def q_m4(spark, d):
     return rounded(D.x11(P(spark, d).report_ts("mean_sale"), "mean_sale"))
@@ -373,7 +349,7 @@ def q_m18(spark, d):
 
 @query("M13")
 def q_m13(spark, d):
-    # forecast(h = "10 months"): the horizon text goes through C18.
+    # Ten months ahead; the horizon text goes through C18.
     fit = _trend(spark, d).withColumn("h", T.horizon_months(F.lit("10 months")))
     return rounded(FC.trend_forecast(fit, "h"))
 
@@ -395,14 +371,34 @@ def q_m17_hist(spark, d):
     return R.histogram(aug, "resid", bins=10)
 
 
+def significant(df: DataFrame, *columns: str) -> DataFrame:
+    """Seven significant digits, so that the comparison does not hang on the last bits of a
+    solve; NaN as NULL."""
+    def short(c):
+        v = F.col(c)
+        return F.when(v.isNotNull() & ~F.isnan(v), F.format_string("%.6e", v).cast("double")).alias(c)
+    return df.select(*[short(c) if c in columns else c for c in df.columns])
+
+
+COEFFICIENT = ("estimate", "std_error", "statistic")
+FIT = ("rss", "sigma2", "r2", "adj_r2", "loglik", "aic", "aicc", "bic", "cp")
+
+
 @query("M6")
 def q_m6(spark, d):
     ts = S.with_position(P(spark, d).statewide_ts(), name="t")
-    return R.coefficients(R.ols(ts, "mean_sale", R.trend_season_terms()))
+    return significant(R.coefficients(R.ols(ts, "mean_sale", R.trend_season_terms())), *COEFFICIENT)
+
+
+@query("M13_season")
+def q_m13_season(spark, d):
+    # The trend + season fit, a year ahead with bands.
+    fit = R.trend_season_fit(P(spark, d).statewide_ts(), "mean_sale")
+    return rounded(FC.trend_season_forecast(fit, 12))
 
 
 def model_best_terms():
-    """median_price ~ median_sqft + median_beds:median_baths + median_beds:median_sqft"""
+    """The chosen terms of the median price: size, and beds with baths and with size."""
     return {"median_sqft": F.col("median_sqft"),
             "median_beds:median_baths": T.interaction("median_beds", "median_baths"),
             "median_beds:median_sqft": T.interaction("median_beds", "median_sqft")}
@@ -419,25 +415,35 @@ def subset_terms():
 
 @query("M7")
 def q_m7(spark, d):
-    return R.coefficients(R.ols(P(spark, d).median_ts(), "median_price", model_best_terms()))
+    fit = R.ols(P(spark, d).median_ts(), "median_price", model_best_terms())
+    return significant(R.coefficients(fit), *COEFFICIENT)
 
 
 @query("M8")
 def q_m8(spark, d):
     # Keyed OLS: price on size, beds and baths per Region, straight from the sales.
-    return R.coefficients(R.ols(P(spark, d).sold("viz"), "price", ["sqft", "beds", "baths"],
-                                keys=["Region"]), keys=["Region"])
+    fit = R.ols(P(spark, d).sold("viz"), "price", ["sqft", "beds", "baths"], keys=["Region"])
+    return significant(R.coefficients(fit, keys=["Region"]), *COEFFICIENT)
 
 
 @query("M9")
 def q_m9(spark, d):
-    return R.best_subsets(P(spark, d).median_ts(), "median_price", subset_terms())
+    best = R.best_subsets(P(spark, d).median_ts(), "median_price", subset_terms())
+    return significant(best, *FIT)
 
 
 @query("M10")
 def q_m10(spark, d):
     fit = R.ols(P(spark, d).median_ts(), "median_price", model_best_terms())
-    return fit.select("n", "rss", "loglik", "aic", "aicc", "bic")
+    return significant(fit.select("n", "rss", "loglik", "aic", "aicc", "bic"), *FIT)
+
+
+@query("M18_ols")
+def q_m18_ols(spark, d):
+    # The report of the trend + season fit.
+    ts = S.with_position(P(spark, d).statewide_ts(), name="t")
+    fit = R.ols(ts, "mean_sale", R.trend_season_terms())
+    return significant(fit.select("n", "sigma2", "r2", "adj_r2", "loglik", "aic", "aicc", "bic"), *FIT)
 
 
 # ---------------------------------------------------------------- views Q1-Q7
@@ -476,18 +482,18 @@ def q_q5(spark, d):
     return _app(spark, d).history(VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT)
 
 
-@query("Q6")
+@query("Q6_trend")
 def q_q6(spark, d):
     return rounded(_app(spark, d).forecast("1 year"))
 
 
-@query("Q6_selection")
+@query("Q6_trend_selection")
 def q_q6_sel(spark, d):
     return rounded(_app(spark, d).forecast("3 years", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT,
                                            scope="selection"))
 
 
-@query("Q7")
+@query("Q7_trend")
 def q_q7(spark, d):
     return rounded(_app(spark, d).forecast_table("1 year", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT))
 
@@ -537,10 +543,24 @@ def q_e5(spark, d):
     return pages.filter(E.has_zip("url", E_URL_DIGITS))
 
 
+@query("E1_markup")
+def q_e1_markup(spark, d):
+    # Either quote, any case, entities, and no data-href.
+    return E.links(_listing_pages(spark, d)).select("page_id", "pos", "href")
+
+
 @query("E6")
 def q_e6(spark, d):
-    pages = _table(spark, d, "pages", "page_id", "url")
-    return pages.filter(E.address_link("url"))
+    # ZIP paths hold digits and slashes only; the county paths among them are left out.
+    z = P(spark, d).county_zips
+    paths = z.select(F.concat(F.lit("/"), "zip", F.lit("/")).alias("href")).union(
+        z.select(F.concat(F.lit("/"), F.lower("County"), F.lit("-county/"), "zip", F.lit("/"))))
+    return paths.filter(E.address_link("href"))
+
+
+@query("E14_summary")
+def q_e14_summary(spark, d):
+    return E.listing_summary(_listing_pages(spark, d))
 
 
 @query("E7")
@@ -581,87 +601,24 @@ def q_w12(spark, d):
                               "pos")
 
 
-# ---------------------------------------------------------------- ARIMA M11
-from ..operators import arima as AR  # noqa: E402
-
-
-@query("M11")
-def q_m11(spark, d):
-    # fit <- ts %>% model(ARIMA(mean_sale)) on the statewide series.
-    return rounded(AR.auto_arima(P(spark, d).statewide_ts(), "mean_sale"))
-
-
-@query("M11_region")
-def q_m11_region(spark, d):
-    return rounded(AR.auto_arima(P(spark, d).region_ts(), "mean_sale", keys=["Region"]))
-
-
-@query("M11_medians")
-def q_m11_medians(spark, d):
-    # fit_arima <- ts %>% model(ARIMA(median_price)) on the median series.
-    return rounded(AR.auto_arima(P(spark, d).median_ts(), "median_price"))
-
-
-@query("M13_arima")
-def q_m13_arima(spark, d):
-    ts = P(spark, d).statewide_ts()
-    return rounded(AR.arima_forecast(ts, AR.auto_arima(ts, "mean_sale"), "mean_sale", 12))
-
-
-@query("Q6_arima")
-def q_q6_arima(spark, d):
-    return rounded(_app(spark, d).forecast("3 years", model="arima"))
-
-
-@query("Q7_arima")
-def q_q7_arima(spark, d):
-    return rounded(_app(spark, d).forecast_table("1 year", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT,
-                                                 model="arima"))
-
-
-# ---------------------------------------------------------------- ETS M12, reconciliation M15
-from ..operators import ets as ETS  # noqa: E402
+# ---------------------------------------------------------------- hierarchy sums M15
 from ..operators import reconcile as REC  # noqa: E402
 
 
-@query("M12")
-def q_m12(spark, d):
-    # reg %>% model(base = ETS(mean_sale)) per Region.
-    return rounded(ETS.auto_ets(P(spark, d).region_ts(), "mean_sale", keys=["Region"])
-                   .drop("season", "resid"))
-
-
-@query("M12_forecast")
-def q_m12_fc(spark, d):
-    fit = ETS.auto_ets(P(spark, d).region_ts(), "mean_sale", keys=["Region"])
-    return rounded(ETS.ets_forecast(fit.withColumn("h", T.horizon_months(F.lit("5 months"))),
-                                    "h", keys=["Region"]))
-
-
 HIERARCHY = ["Region", "County"]
 
 
-def _hierarchy(spark, d):
-    si = P(spark, d).sold("all")
-    # Node series are small (nodes x months); persisting them lets the common
-    # calendar bounds and the gap fill share one computation.
-    nodes = REC.hierarchy_series(si, HIERARCHY, "price").persist()
-    bounds = tuple(nodes.agg(F.min("month"), F.max("month")).first())   # two scalars
-    mapping = REC.mapping_from_nodes(nodes, len(HIERARCHY))
-    nodes = S.fill_gaps(nodes, keys=["node"], fill={"price": 0.0}, bounds=bounds)
-    return nodes, mapping
-
-
 @query("M15")
 def q_m15(spark, d):
-    # Hierarchy total -> Region -> County of monthly sales totals; ETS base
-    # forecasts reconciled bottom-up, by OLS and by MinT-shrink, 5 months ahead.
-    # (bottom_up() is also available as a plain join + aggregate.)
-    nodes, mapping = _hierarchy(spark, d)
-    fit = ETS.auto_ets(nodes, "price", keys=["node"])
-    fc = ETS.ets_forecast(fit, 5, keys=["node"]).select("node", "month", "mean")
-    res = fit.select("node", F.posexplode("resid").alias("t", "resid"))
-    return rounded(REC.reconcile(fc, res, mapping))
+    # Monthly totals of the counties, each with its own linear trend, 5 months ahead, summed
+    # up the hierarchy county -> region -> all (M13 per leaf, then M15).
+    si = P(spark, d).sold("all")
+    leaves = si.groupBy("month", *HIERARCHY).agg(A.money_sum("price").alias("price"))
+    leaves = S.fill_gaps(leaves.select(F.array(*HIERARCHY).alias("node"), "month", "price"),
+                         keys=["node"], fill={"price": 0.0})
+    fc = FC.trend_forecast(R.trend_fit(leaves, "price", keys=["node"]), 5, keys=["node"])
+    out = REC.bottom_up(fc, REC.hierarchy_mapping(si, HIERARCHY))
+    return rounded(out.select(F.array_join("node", " > ").alias("node"), "month", "mean"))
 
 
 # ---------------------------------------------------------------- joins, set operations, sources
@@ -675,9 +632,9 @@ from ..streaming import ingest as ING  # noqa: E402
 
 @query("J4")
 def q_j4(spark, d):
-    # reg <- si %>% left_join(county_region, by = "County") %>% group_by(Date, Region)
+    # Sales of the report form with their region, monthly means per region.
     p = P(spark, d)
-    si = p.sold("report").join(EN.bounded_broadcast(p.county_regions), "County", "left")
+    si = p.sold("report").join(p.county_regions, "County", "left")
     m = A.mean_series(si, keys=["Region"], na_rm=False)
     return clean.complete_rows(m)
 
@@ -749,7 +706,7 @@ def q_u1(spark, d):
 # ---------------------------------------------------------------- residual diagnostics of the fits
 @query("M16_ols")
 def q_m16_ols(spark, d):
-    # augment(fit_nick): fitted and residuals of the best-subset regression.
+    # Fitted values and residuals of the regression with the chosen terms.
     ts = P(spark, d).median_ts()
     fit = R.ols(ts, "median_price", model_best_terms())
     return rounded(R.ols_augment(ts, fit, "median_price", model_best_terms()))
@@ -757,26 +714,12 @@ def q_m16_ols(spark, d):
 
 @query("M17_ols")
 def q_m17_ols(spark, d):
-    # gg_tsresiduals(fit_nick): residual ACF of the regression.
+    # Autocorrelation of that regression's residuals.
     ts = P(spark, d).median_ts()
     fit = R.ols(ts, "median_price", model_best_terms())
     return rounded(R.acf(R.ols_augment(ts, fit, "median_price", model_best_terms()), max_lag=24))
 
 
-@query("M16_arima")
-def q_m16_arima(spark, d):
-    # augment(fit_arima) on the median-price series.
-    ts = P(spark, d).median_ts()
-    return rounded(AR.arima_augment(ts, AR.auto_arima(ts, "median_price"), "median_price"))
-
-
-@query("M17_arima")
-def q_m17_arima(spark, d):
-    ts = P(spark, d).median_ts()
-    aug = AR.arima_augment(ts, AR.auto_arima(ts, "median_price"), "median_price")
-    return rounded(R.acf(aug.filter(F.col("resid").isNotNull()), max_lag=24))
-
-
 @query("B4_fanout")
 def q_b4_fanout(spark, d):
     # Fan-out of the ZIP lookup over cleaned sales with home info, per lookup mode.
@@ -810,3 +753,64 @@ def q_s6(spark, d):
     # sale_year=1998 partition (PartitionFilters in the plan).
     si = P(spark, d).materialized_sold("app")
     return A.mean_series(si.filter(F.col("sale_year") == 1998), keys=["Region"])
+
+
+# ---------------------------------------------------------------- readers, empty tables, replays
+def _folder(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("S3")
+def q_s3(spark, d):
+    # S7 then S3: a link list as pandas writes it (an index column, then column "0").
+    folder = _folder(spark, "links")
+    links = P(spark, d).info_raw.select(F.monotonically_increasing_id().alias("idx"), F.col("link").alias("0"))
+    FS.write_csv(links, folder)
+    return FS.read_link_list(spark, folder)
+
+
+@query("S4")
+def q_s4(spark, d):
+    # A space-delimited table of integers, written and read with its explicit schema.
+    from .. import schema as SC
+    folder, k = _folder(spark, "houses"), F.col("c_custkey")
+    cols = [(k * (i + 1) % 1009).cast("int").alias(f.name) for i, f in enumerate(SC.HOUSE_SAMPLE.fields)]
+    P(spark, d).customer.select(*cols).write.option("header", True).option("sep", " ").csv(folder)
+    return FS.read_house_sample(spark, folder)
+
+
+@query("S5")
+def q_s5(spark, d):
+    folder = _folder(spark, "cpi")
+    FS.write_csv(SI.cpi_raw(P(spark, d).orders), folder)
+    return FS.read_cpi(spark, folder).select(T.to_month(T.parse_ymd("Date")).alias("month"), "Index")
+
+
+@query("S9")
+def q_s9(spark, d):
+    # An empty table with its schema, to which scraped rows are appended.
+    from .. import schema as SC
+    return EN.append_rows(FS.empty_table(spark, SC.INFO_RAW), P(spark, d).info_raw).drop("list_price")
+
+
+@query("P5")
+def q_p5(spark, d):
+    return clean.rename_by_position(P(spark, d).county_regions, 2, "Area")
+
+
+@query("F11")
+def q_f11(spark, d):
+    # Whether a selection has sales: one with, one without (no home has 0 beds).
+    si = P(spark, d).sold("app")
+    rows = [A.require_sales(A.selection(si, county=VIEW_COUNTY, beds=b)).withColumn("beds", F.lit(b)) for b in (3, 0)]
+    return rows[0].unionByName(rows[1])
+
+
+@query("U1_replay")
+def q_u1_replay(spark, d):
+    # The same batch twice, some of its records without a time.
+    sink = _folder(spark, "replay")
+    batch = _table(spark, d, "events").withColumn("ts", F.when(F.col("user_id") % 7 != 0, F.col("ts")))
+    for _ in range(2):
+        ING.append_new(batch, sink)
+    return ING.read_sink(spark, sink)

@@ -7,12 +7,13 @@ final SELECT.  Column names and types match the Spark output.
 
 from __future__ import annotations
 
-_MDY = "'^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$'"
-
-
 def _month(col: str) -> str:
-    return (f"CASE WHEN regexp_matches({col}, {_MDY}) "
-            f"THEN date_trunc('month', try_strptime({col}, '%m/%d/%Y'))::DATE END")
+    """Parts between separators; two-digit years from 69 on are of the 1900s."""
+    p = f"string_split_regex(trim({col}), '[-/. ,]+')"
+    year = (f"CASE WHEN length({p}[3]) = 4 THEN TRY_CAST({p}[3] AS INTEGER) WHEN length({p}[3]) = 2 THEN "
+            f"TRY_CAST({p}[3] AS INTEGER) + CASE WHEN TRY_CAST({p}[3] AS INTEGER) < 69 THEN 2000 ELSE 1900 END END")
+    return (f"CASE WHEN len({p}) = 3 THEN date_trunc('month', TRY_CAST(({year}) || '-' || lpad({p}[1], 2, '0') || '-' "
+            f"|| lpad({p}[2], 2, '0') AS DATE))::DATE END")
 
 
 def _money(col: str) -> str:
@@ -39,6 +40,8 @@ history_raw AS (
                 THEN p.street || ', Apt 4, ' || p.city || ', ' || p.state || ' ' || p.zip
               ELSE p.street || ', ' || p.city || ', ' || p.state || ' ' || p.zip END AS address,
          CASE WHEN o.o_orderkey % 101 = 29 THEN strftime(o.o_orderdate, '%-m/%-d/%y')
+              WHEN o.o_orderkey % 101 = 53 THEN strftime(o.o_orderdate, '13/%-d/%Y')
+              WHEN o.o_orderkey % 101 = 59 THEN strftime(o.o_orderdate, '%m-%d-%Y')
               ELSE strftime(o.o_orderdate, '%-m/%-d/%Y') END AS "Date",
          CASE o.o_orderstatus WHEN 'F' THEN 'Sold' WHEN 'O' THEN 'Listed for sale'
               WHEN 'P' THEN 'Price change' END AS Event,
@@ -353,8 +356,7 @@ _AIC = f"(-2 * {_LL} + 6)"
 MODEL_FINAL = {
     "B7": ("", "SELECT month, mean_sale, round(mean_baths, 4) AS mean_baths, "
                "round(mean_beds, 4) AS mean_beds FROM ts_app"),
-    "W2": ("", "SELECT Region, month, count(*) AS count FROM (SELECT month, Region FROM si_viz "
-               "GROUP BY month, Region) GROUP BY month, Region HAVING count(*) > 1"),
+    "W2": ("", "SELECT Region, month, count(*) AS count FROM si_viz GROUP BY month, Region HAVING count(*) > 1"),
     "W4": ("", "SELECT County, month, mean_sale FROM ts_county"),
     "W5": ("", gapfill("y_county", ["County"], ["total_sales", "count_sales"], None, "year", "year")),
     "W8": ("", "SELECT month, mean_sale, round(mean_baths, 4) AS mean_baths, "
@@ -410,7 +412,7 @@ MODEL_FINAL = {
 def sql(name: str) -> str:  # noqa: F811 - extends the base definition
     if name in MODEL_FINAL:
         extra, final = MODEL_FINAL[name]
-        return ("WITH " + BASE.strip() + ",\n" + SERIES.strip() + extra + "\n"
+        return ("WITH RECURSIVE " + BASE.strip() + ",\n" + SERIES.strip() + extra + "\n"
                 + _decimal_round(final))
     return "WITH " + BASE.strip() + "\n" + _decimal_round(FINAL[name])
 
@@ -474,9 +476,9 @@ MODEL_FINAL.update({
     "Q4": (_VIEW, "SELECT min(sqft) AS mini, max(sqft) AS maxi FROM sel"),
     "Q5": (_VIEW, f"SELECT month, mean_sale, strftime(month, '%Y %b') AS \"Date\", "
                   f"{_dollar('mean_sale')} AS mean_sale_text FROM sel_m"),
-    "Q6": (_VIEW, f"SELECT {_FC_COLS} FROM ({_trend_fc('gfit', 12)})"),
-    "Q6_selection": (_VIEW, f"SELECT {_FC_COLS} FROM ({_trend_fc('sfit', 36)})"),
-    "Q7": (_VIEW, f"SELECT month, strftime(month, '%Y %b') AS \"Date\", "
+    "Q6_trend": (_VIEW, f"SELECT {_FC_COLS} FROM ({_trend_fc('gfit', 12)})"),
+    "Q6_trend_selection": (_VIEW, f"SELECT {_FC_COLS} FROM ({_trend_fc('sfit', 36)})"),
+    "Q7_trend": (_VIEW, f"SELECT month, strftime(month, '%Y %b') AS \"Date\", "
                   f"round(mean - last_sale, 4) AS price_diff, "
                   f"{_dollar('mean - last_sale')} AS price_diff_text, "
                   f"round(mean, 4) AS total_sale, {_dollar('mean')} AS total_sale_text, "
@@ -501,7 +503,9 @@ _LISTING = """
          CAST(p.c_custkey % 6 AS INTEGER) AS beds,
          CAST(p.c_custkey % 4 AS DOUBLE) * 0.5 + 1.0 AS baths,
          TRY_CAST(regexp_replace(format('{:,.0f}', abs(p.c_acctbal)), '[^0-9]', '', 'g') AS DOUBLE)
-           AS sqft
+           AS sqft, p.street || ', ' || p.city || ', ' || p.state || ' ' || p.zip AS place,
+         format('{:,.0f}', abs(p.c_acctbal)) || ' sqft' AS size, '$' || format('{:,.0f}', o.o_totalprice) AS list_price,
+         CASE o.o_orderkey % 101 WHEN 7 THEN 'address' WHEN 13 THEN 'beds' WHEN 41 THEN 'sqft' END AS missing
   FROM orders o JOIN props p ON o.o_custkey = p.c_custkey)"""
 
 MODEL_FINAL.update({
@@ -511,15 +515,18 @@ MODEL_FINAL.update({
     "E4": ("", f"SELECT page_id, pos, href FROM ({_LINKS}) WHERE NOT regexp_matches(href, '/the') "
                f"AND regexp_matches(href, '/[A-Z]')"),
     "E5": ("", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '[0-9]{3}')"),
-    "E6": ("", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '[0-9]/') "
-               "AND NOT regexp_matches(url, '[a-zA-Z]')"),
+    "E6": ("", "SELECT '/' || zip || '/' AS href FROM county_zips"),
+    "E1_markup": (_LISTING, "SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN '/a/' || k WHEN 1 "
+                            "THEN '/b?x=1&y=' || k ELSE '/c/' || k END AS href FROM (SELECT page_id, "
+                            "regexp_extract(url, '[0-9]+') AS k, unnest(range(3)) AS pos FROM lp)"),
+    "E14_summary": (_LISTING, "SELECT page_id, url AS link, place AS address, list_price, CAST(beds AS VARCHAR) AS beds, "
+                              "CAST(baths AS VARCHAR) AS baths, size AS sqft FROM lp"),
     "E7": (_LISTING, "SELECT page_id, url FROM lp WHERE regexp_matches(url, '/homedetails|/home\\-details/')"),
     "E8": ("", f"SELECT page_id, pos, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS link "
                f"FROM ({_LINKS}) WHERE regexp_matches(href, '/the')"),
     "E12": (_LISTING, "SELECT page_id, address, \"Date\", Event, Price FROM lp"),
-    "E16": (_LISTING, "SELECT page_id, url AS link, address, beds, baths, sqft FROM lp "
-                      "WHERE address IS NOT NULL"),
-    "E17": (_LISTING, "SELECT page_id, url FROM lp WHERE address IS NULL"),
+    "E16": (_LISTING, "SELECT page_id, url AS link, address, beds, baths, sqft FROM lp WHERE missing IS NULL"),
+    "E17": (_LISTING, "SELECT page_id, url, missing FROM lp WHERE missing IS NOT NULL"),
 })
 
 
@@ -548,11 +555,12 @@ MODEL_FINAL["J8"] = (MODEL_FINAL["E12"][0], "SELECT link FROM info_raw WHERE lin
 MODEL_FINAL["X2"] = (MODEL_FINAL["E12"][0],
                      "SELECT link, address, '$' || format('{:,.0f}', abs(sqft) * 100) AS list_price, "
                      "beds, baths, sqft FROM info_raw UNION ALL SELECT url AS link, address, "
-                     "NULL AS list_price, beds, baths, sqft FROM lp WHERE address IS NOT NULL")
+                     "NULL AS list_price, beds, baths, sqft FROM lp WHERE missing IS NULL")
 
 
 MODEL_FINAL.update({
-    "W11": ("", f"SELECT page_id, pos, href FROM ({_LINKS}) ORDER BY md5(href || '#42'), href"),
+    "W11": ("", f"SELECT page_id, pos, href, row_number() OVER (ORDER BY md5(href || '#42'), href, page_id, pos) "
+                f"AS position FROM ({_LINKS})"),
     "W12": ("", f"SELECT page_id, pos, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id "
                 f"ORDER BY md5(CAST(pos AS VARCHAR) || '#42'), pos) AS rn FROM ({_LINKS})) WHERE rn <= 3"),
 })
@@ -577,14 +585,24 @@ def _trunc_filter(col: str, weights, window: str) -> str:
     return f"CASE WHEN {col} IS NOT NULL AND ({den}) > 0.25 THEN ({num}) / ({den}) END"
 
 
+def _smoothest(terms: int) -> list[float]:
+    """The symmetric filter that keeps cubics and whose weights have the least sum of squared
+    third differences (zeros outside), from the conditions of the minimum."""
+    import numpy as np
+    at = np.arange(terms) - terms // 2
+    diff = np.diff(np.eye(terms + 6), n=3, axis=0)[:, 3:-3]
+    keep = np.array([at ** k for k in range(4)], dtype=float)
+    system = np.block([[2 * diff.T @ diff, keep.T], [keep, np.zeros((4, 4))]])
+    return list(np.linalg.solve(system, np.r_[np.zeros(terms), 1, 0, 0, 0])[:terms])
+
+
 def _x11_sql(src: str, value: str) -> tuple[str, str]:
-    from ..operators.decompose import henderson_weights
     w = "(ORDER BY month)"
     wp = "(PARTITION BY pos ORDER BY month)"
     ma = [0.5 / 12] + [1.0 / 12] * 11 + [0.5 / 12]
     s33 = [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9]
     s35 = [1 / 15, 2 / 15, 3 / 15, 3 / 15, 3 / 15, 2 / 15, 1 / 15]
-    h13 = henderson_weights(13)
+    h13 = _smoothest(13)
     ctes = f"""
 , x0 AS (SELECT month, CAST({value} AS DOUBLE) AS y, (row_number() OVER {w} - 1) % 12 AS pos FROM {src}),
 x1 AS (SELECT *, {_trunc_filter('y', ma, w)} AS t1 FROM x0),
@@ -627,3 +645,160 @@ MODEL_FINAL["B1_rejects"] = ("", "SELECT Event, count(*) AS rows, "
 MODEL_FINAL["S6"] = ("", "SELECT month, Region, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / "
                          "count(price) AS mean_sale FROM si_app WHERE year(month) = 1998 "
                          "GROUP BY month, Region")
+
+
+_LEAF = gapfill("leaf", ["Region", "County"], ["price"], "0.0")
+_UP = " UNION ALL ".join(
+    f"SELECT {node} AS node, month, round(sum(mean), 4) AS mean FROM ({{fc}}) GROUP BY ALL"
+    for node in ("''", "Region", "Region || ' > ' || County"))
+_LEAF_FC = """SELECT Region, County, (last_index + to_months(CAST(step AS INTEGER)))::DATE AS month,
+  intercept + slope * (n + step) AS mean FROM (SELECT *, unnest(generate_series(1, 5)) AS step FROM (
+  SELECT Region, County, count(*) AS n, regr_intercept(price, t) AS intercept, regr_slope(price, t) AS slope,
+    max(month) AS last_index FROM (SELECT *, row_number() OVER (PARTITION BY Region, County ORDER BY month) AS t
+    FROM leaf_ts) GROUP BY Region, County))"""
+MODEL_FINAL["M15"] = (f""",
+leaf AS (SELECT month, Region, County, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) AS price FROM si_all
+         GROUP BY month, Region, County),
+leaf_ts AS ({_LEAF})""", _UP.format(fc=_LEAF_FC))
+
+
+# ------------------------------------------------------------------ least squares
+def _sweep(src: str, keys, y: str, xs: list[str]) -> str:
+    """CTEs ``sw`` (keys, n, means, a): centred cross products of xs and y, swept on every
+    x in turn, so ``a`` holds the inverse, the slopes (last column) and the residual sum of
+    squares (last cell), row by row, counted from 0."""
+    cols, p = [*xs, y], len(xs) + 1
+    key, by = _k(keys), (f"GROUP BY {', '.join(keys)}" if keys else "")
+    centred = ", ".join(f"{c} - avg({c}) OVER ({_part_by(keys)}) AS c{i}" for i, c in enumerate(cols))
+    cells = ", ".join(f"sum(c{i} * c{j})" for i in range(p) for j in range(p))
+    cell = (f"CASE WHEN r = k AND c = k THEN 1 / a[k * {p} + k + 1] "
+            f"WHEN r = k THEN a[k * {p} + c + 1] / a[k * {p} + k + 1] "
+            f"WHEN c = k THEN -a[r * {p} + k + 1] / a[k * {p} + k + 1] "
+            f"ELSE a[r * {p} + c + 1] - a[r * {p} + k + 1] * a[k * {p} + c + 1] / a[k * {p} + k + 1] END")
+    cell = cell.replace("r = k", f"q // {p} = k").replace("c = k", f"q % {p} = k") \
+        .replace(f"r * {p}", f"(q // {p}) * {p}").replace("+ c +", f"+ q % {p} +")
+    return f"""
+gram AS (SELECT {key}count(*) AS n, [{', '.join(f'avg({c})' for c in cols)}] AS means, [{cells}] AS a
+         FROM (SELECT {key}{', '.join(cols)}, {centred} FROM {src}) {by}),
+steps AS (SELECT {key}n, means, 0 AS k, a FROM gram
+          UNION ALL SELECT {key}n, means, k + 1, list_transform(range({p * p}), lambda q: {cell})
+          FROM steps WHERE k < {p - 1}),
+sw AS (SELECT {key}n, means, a, a[{p * p}] AS rss, a[{p * p}] / (n - {p}) AS sigma2 FROM steps WHERE k = {p - 1}),
+syy AS (SELECT {key}a[{p * p}] AS syy FROM gram)"""
+
+
+def _s7(x: str, name: str) -> str:
+    return f"CAST(printf('%.6e', {x}) AS DOUBLE) AS {name}"
+
+
+def _coefficients(keys, xs: list[str], names: list[str]) -> str:
+    p, key = len(xs) + 1, _k(keys)
+    slope = [f"a[{i * p + p}]" for i in range(p - 1)]
+    intercept = f"means[{p}]" + "".join(f" - {b} * means[{i + 1}]" for i, b in enumerate(slope))
+    spread = " + ".join(f"means[{i + 1}] * means[{j + 1}] * a[{i * p + j + 1}]" for i in range(p - 1) for j in range(p - 1))
+    rows = [("(Intercept)", intercept, f"sqrt(sigma2 * (1.0 / n + {spread}))")]
+    rows += [(n, slope[i], f"sqrt(sigma2 * a[{i * p + i + 1}])") for i, n in enumerate(names)]
+    return " UNION ALL ".join(
+        f"SELECT {key}'{n}' AS term, {_s7(b, 'estimate')}, {_s7(e, 'std_error')}, "
+        f"{_s7(f'({b}) / ({e})', 'statistic')} FROM sw" for n, b, e in rows)
+
+
+def _fit_stats(p: int) -> dict[str, str]:
+    ll = "(-n / 2.0 * (ln(2 * pi()) + ln(rss / n) + 1))"
+    aic = f"(-2 * {ll} + {2 * (p + 1)})"
+    return {"rss": "rss", "sigma2": "sigma2", "r2": "1 - rss / syy",
+            "adj_r2": f"1 - (rss / (n - {p})) / (syy / (n - 1))", "loglik": ll, "aic": aic,
+            "aicc": f"{aic} + {2.0 * (p + 1) * (p + 2)} / (n - {p} - 2)", "bic": f"-2 * {ll} + ln(n) * {p + 1}"}
+
+
+def _report(p: int, *names: str) -> str:
+    stats = _fit_stats(p)
+    return f"SELECT n, {', '.join(_s7(stats[c], c) for c in names)} FROM sw, syy"
+
+
+_MEDIANS = f""",
+m_med AS (SELECT month, median(sqft) AS median_sqft, median(price) AS median_price, median(baths) AS median_baths,
+          median(beds::DOUBLE) AS median_beds FROM si_cc GROUP BY month),
+ts_med AS ({gapfill('m_med', [], ['median_sqft', 'median_price', 'median_baths', 'median_beds'], '0.0')}),
+md AS (SELECT month, median_price AS y, median_beds AS b, median_baths AS h, median_sqft AS s,
+         median_beds * median_baths AS bh, median_beds * median_sqft AS bs, median_baths * median_sqft AS hs FROM ts_med)"""
+_BEST = ["s", "bh", "bs"]
+_BEST_NAMES = ["median_sqft", "median_beds:median_baths", "median_beds:median_sqft"]
+_SEASON = [f"m{k}" for k in range(2, 13)]
+_SEASON_SRC = (", tsx AS (SELECT month, mean_sale AS y, CAST(row_number() OVER (ORDER BY month) AS DOUBLE) AS t, "
+               + ", ".join(f"CAST(month(month) = {k} AS INTEGER)::DOUBLE AS m{k}" for k in range(2, 13)) + " FROM ts_app)")
+_PER_REGION = (", rs AS (SELECT Region, price AS y, sqft AS x1, CAST(beds AS DOUBLE) AS x2, baths AS x3 FROM si_viz)")
+_FITTED = ("means[4] - a[4] * means[1] - a[8] * means[2] - a[12] * means[3] + a[4] * s + a[8] * bh + a[12] * bs")
+_AUG = f", au AS (SELECT month, y, {_FITTED} AS fitted, y - ({_FITTED}) AS resid FROM md, sw)"
+
+_SUBSETS = ["b", "h", "s", "bh", "bs", "hs"]
+_SUBSET_NAMES = ["median_beds", "median_baths", "median_sqft", "median_beds:median_baths",
+                 "median_beds:median_sqft", "median_baths:median_sqft"]
+
+
+def _best_subsets() -> tuple[str, str]:
+    """All 63 subsets: eliminating a term from the cross products leaves the partial ones;
+    the last cell is the residual sum of squares."""
+    cols, p = [*_SUBSETS, "y"], 7
+    cells = ", ".join(f"sum(c{i} * c{j})" for i in range(p) for j in range(p))
+    centred = ", ".join(f"{c} - avg({c}) OVER () AS c{i}" for i, c in enumerate(cols))
+    names = "[" + ", ".join(f"'{n}'" for n in _SUBSET_NAMES) + "]"
+    cell = f"a[q + 1] - a[(q // {p}) * {p} + v + 1] * a[v * {p} + q % {p} + 1] / a[v * {p} + v + 1]"
+    ctes = f"""{_MEDIANS},
+g0 AS (SELECT count(*) AS n, [{cells}] AS a FROM (SELECT {centred} FROM md)),
+sub AS (SELECT n, -1 AS top, [0][1:0] AS picked, a, a[{p * p}] AS syy FROM g0
+        UNION ALL SELECT n, v, list_append(picked, v), list_transform(range({p * p}), lambda q: {cell}), syy
+        FROM (SELECT *, unnest(range(top + 1, {p - 1}))::INTEGER AS v FROM sub)),
+r AS (SELECT n, len(picked) AS size, list_transform(picked, lambda i: {names}[i + 1]) AS terms, a[{p * p}] AS rss, syy FROM sub
+      WHERE len(picked) > 0),
+best AS (SELECT *, (SELECT rss FROM r WHERE size = 6) / (n - 7) AS s2 FROM (
+           SELECT *, row_number() OVER (PARTITION BY size ORDER BY rss) AS rn FROM r) WHERE rn = 1)"""
+    final = (f"SELECT CAST(size AS INTEGER) AS size, terms, {_s7('rss', 'rss')}, {_s7('1 - rss / syy', 'r2')}, "
+             f"{_s7('1 - (rss / (n - size - 1)) / (syy / (n - 1))', 'adj_r2')}, "
+             f"{_s7('rss / s2 - n + 2 * (size + 1)', 'cp')}, {_s7('n * ln(rss / n) + ln(n) * (size + 1)', 'bic')} FROM best")
+    return ctes, final
+
+
+_M6 = _SEASON_SRC + "," + _sweep("tsx", [], "y", ["t", *_SEASON])
+_M7 = _MEDIANS + "," + _sweep("md", [], "y", _BEST)
+MODEL_FINAL.update({
+    "M6": (_M6, _coefficients([], ["t", *_SEASON], ["trend()", *[f"season()year{k}" for k in range(2, 13)]])),
+    "M7": (_M7, _coefficients([], _BEST, _BEST_NAMES)),
+    "M8": (_PER_REGION + "," + _sweep("rs", ["Region"], "y", ["x1", "x2", "x3"]),
+           _coefficients(["Region"], ["x1", "x2", "x3"], ["sqft", "beds", "baths"])),
+    "M9": _best_subsets(),
+    "M10": (_M7, _report(4, "rss", "loglik", "aic", "aicc", "bic")),
+    "M18_ols": (_M6, _report(13, "sigma2", "r2", "adj_r2", "loglik", "aic", "aicc", "bic")),
+    "M16_ols": (_M7 + _AUG, "SELECT month, round(y, 4) AS y, round(fitted, 4) AS fitted, round(resid, 4) AS resid FROM au"),
+    "M17_ols": (_M7 + _AUG + ", rr AS (SELECT row_number() OVER (ORDER BY month) AS t, resid - avg(resid) OVER () AS d FROM au)",
+                "SELECT CAST(a.k AS INTEGER) AS lag, round(sum(a.d * b.d) / (SELECT sum(d * d) FROM rr), 4) AS acf FROM "
+                "(SELECT rr.*, unnest(generate_series(1, 24)) AS k FROM rr) a JOIN rr b ON a.t - a.k = b.t GROUP BY a.k"),
+})
+_AHEAD_MEAN = ("means[13] - " + " - ".join(f"a[{i * 13 + 13}] * means[{i + 1}]" for i in range(12)) + " + "
+               + " + ".join(f"a[{i * 13 + 13}] * x[{i + 1}]" for i in range(12)))
+_AHEAD_VAR = " + ".join(f"(x[{i + 1}] - means[{i + 1}]) * (x[{j + 1}] - means[{j + 1}]) * a[{i * 13 + j + 1}]"
+                        for i in range(12) for j in range(12))
+MODEL_FINAL["M13_season"] = (_M6 + f""",
+ah AS (SELECT *, [n + step, {', '.join(f'CAST(month(ahead) = {k} AS INTEGER)' for k in range(2, 13))}]::DOUBLE[] AS x FROM (
+  SELECT *, (last + to_months(CAST(step AS INTEGER)))::DATE AS ahead FROM (
+    SELECT sw.*, (SELECT max(month) FROM tsx) AS last, unnest(generate_series(1, 12)) AS step FROM sw))),
+fc AS (SELECT ahead AS month, {_AHEAD_MEAN} AS mean, sqrt(sigma2 * (1 + 1.0 / n + {_AHEAD_VAR})) AS sigma FROM ah)""",
+    "SELECT month, round(mean, 4) AS mean, round(sigma, 4) AS sigma, "
+    + ", ".join(f"round(mean {s} {z} * sigma, 4) AS {c}" for c, s, z in (
+        ("lo80", "-", 1.2815515655446004), ("hi80", "+", 1.2815515655446004),
+        ("lo95", "-", 1.959963984540054), ("hi95", "+", 1.959963984540054))) + " FROM fc")
+
+
+MODEL_FINAL.update({
+    "S3": ("", "SELECT link FROM info_raw"),
+    "S4": ("", "SELECT " + ", ".join(f"CAST(c_custkey * {i + 1} % 1009 AS INTEGER) AS {c}" for i, c in enumerate(
+        "ID Price Sqft Bedroom Bathroom Airconditioning Garage Pool YearBuild Quality Lot AdjHighway".split()))
+        + " FROM customer"),
+    "S5": ("", 'SELECT month, CAST("Index" AS DOUBLE) AS "Index" FROM cpi'),
+    "S9": ("", "SELECT link, address, beds, baths, sqft FROM info_raw"),
+    "P5": ("", "SELECT County, Region AS Area FROM county_regions"),
+    "F11": ("", "SELECT b AS beds, (SELECT count(*) FROM si_app WHERE County = 'NATION_3' AND beds = b) AS n_sales, "
+                "(SELECT count(*) FROM si_app WHERE County = 'NATION_3' AND beds = b) > 0 AS has_sales "
+                "FROM (SELECT unnest([3, 0])::INTEGER AS b)"),
+    "U1_replay": ("", "SELECT DISTINCT CASE WHEN user_id % 7 <> 0 THEN ts END AS ts, user_id, event_type, value, props FROM events"),
+})

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregate as A
-from ..operators import arima as AR
 from ..operators import forecast as FC
 from ..operators import regress as R
 from ..operators import series as S
@@ -68,35 +67,26 @@ class App:
         return m.select("month", "mean_sale", T.month_label("month").alias("Date"),
                         T.dollar_column("mean_sale").alias("mean_sale_text"))
 
-    def history_page(self, county, bdba, sqft_range=None, page_no=1, page_size=10):
-        """One page of the history table sorted by month."""
-        return S.page(self.history(county, bdba, sqft_range), ["month"], page_no, page_size)
-
     # Q6
     def forecast(self, horizon: str, county=None, bdba=None, sqft_range=None,
-                 scope: str = "global", model: str = "trend") -> DataFrame:
-        """Forecast of the mean sale price ``horizon`` ahead ('1 year' ...).
-        ``global`` fits the statewide series, as the app does; ``selection``
-        fits the selected series itself.  ``model`` is 'arima' (the app's
-        automatic ARIMA) or 'trend' (linear trend)."""
+                 scope: str = "global") -> DataFrame:
+        """Linear-trend forecast of the mean sale price ``horizon`` ahead ('1
+        year' ...).  ``global`` fits the statewide series; ``selection`` fits
+        the selected series itself."""
         if scope == "global":
             series = self.ts.select("month", "mean_sale")
         else:
             series = S.fill_gaps(A.mean_series(self.selected(county, bdba, sqft_range)),
                                  fill={"mean_sale": 0.0})
-        if model == "arima":
-            fit = AR.auto_arima(series, "mean_sale").withColumn(
-                "h", T.horizon_months(F.lit(horizon)))
-            return AR.arima_forecast(series, fit, "mean_sale", "h")
         fit = R.trend_fit(series, "mean_sale").withColumn("h", T.horizon_months(F.lit(horizon)))
         return FC.trend_forecast(fit, "h")
 
     # Q7
     def forecast_table(self, horizon: str, county: str, bdba: str, sqft_range=None,
-                       scope: str = "global", model: str = "trend") -> DataFrame:
+                       scope: str = "global") -> DataFrame:
         """Projected month, difference from the selection's last sale, price."""
         last = S.last_observation(A.mean_series(self.selected(county, bdba, sqft_range)))
-        fc = self.forecast(horizon, county, bdba, sqft_range, scope, model)
+        fc = self.forecast(horizon, county, bdba, sqft_range, scope)
         # The last sale (one row) reaches the forecast rows through a window
         # over the horizon-sized union, not a join.
         u = fc.select("month", "mean", F.lit(None).cast("date").alias("base_month"),

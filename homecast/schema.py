@@ -1,7 +1,6 @@
 """Explicit schemas of the inputs and derived tables (never inferred)."""
 
-from pyspark.sql.types import (DateType, DoubleType, IntegerType, MapType, StringType,
-                               StructField, StructType)
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 
 def _s(*fields):
@@ -23,13 +22,3 @@ LINK_LIST = _s(("idx", StringType()), ("0", StringType()))
 HOUSE_SAMPLE = _s(*[(c, IntegerType()) for c in (
     "ID", "Price", "Sqft", "Bedroom", "Bathroom", "Airconditioning", "Garage", "Pool",
     "YearBuild", "Quality", "Lot", "AdjHighway")])
-
-HISTORY = _s(("month", DateType()), ("zip", StringType()), ("street", StringType()),
-             ("city", StringType()), ("state", StringType()), ("Event", StringType()),
-             ("price", DoubleType()))
-
-INFO = _s(("link", StringType()), ("street", StringType()), ("city", StringType()),
-          ("state", StringType()), ("zip", StringType()), ("beds", IntegerType()),
-          ("baths", DoubleType()), ("sqft", DoubleType()))
-
-LABEL_MAP = MapType(StringType(), StringType())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,16 +38,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def parallelism(spark: SparkSession, default: int = 8) -> int:
-    """Task slots of the cluster (``defaultParallelism``; a session without a
-    local SparkContext, e.g. Spark Connect, reads the configuration)."""
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no SparkContext on this client
-        v = spark.conf.get("spark.default.parallelism", None)
-        return int(v) if v else default
-
-
 def session_key(spark: SparkSession) -> str:
     """Identifies the running application, for per-session memos."""
     try:
@@ -75,7 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: cuts the lineage,
+    and survives the loss of executors."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

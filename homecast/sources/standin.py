@@ -16,7 +16,10 @@ The stand-in mapping (one row of output per row of input, no sampling):
 
 Some history rows are broken on purpose, chosen by ``o_orderkey % 101``:
 7 drops the state/ZIP part, 13 gives price ``--``, 29 writes a two-digit
-year, 41 adds an extra comma part.
+year, 41 adds an extra comma part, 53 gives a month 13, 59 writes dashes.
+
+Listing pages vary by key too: attribute order, quotes, case, line breaks, child tags, and
+parts that are missing (no beds, a short size block).
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ ZIP_BASE = 46000
 ZIPS_PER_COUNTY = 5
 BREAK_MOD = 101
 BREAK_NO_ZIP, BREAK_NO_PRICE, BREAK_SHORT_YEAR, BREAK_EXTRA_PART = 7, 13, 29, 41
+BREAK_BAD_DATE, BREAK_DASHES = 53, 59
 
 
 def _zip(nationkey: Column, custkey: Column) -> Column:
@@ -70,6 +74,8 @@ def history_raw(orders: DataFrame, customer: DataFrame) -> DataFrame:
                                  F.concat_ws(" ", "state", "zip")))
                .otherwise(_address(F.col("street"), F.col("city"), F.col("state"), F.col("zip"))))
     date = F.when(brk == BREAK_SHORT_YEAR, F.date_format("o_orderdate", "M/d/yy")) \
+            .when(brk == BREAK_DASHES, F.date_format("o_orderdate", "MM-dd-yyyy")) \
+            .when(brk == BREAK_BAD_DATE, F.date_format("o_orderdate", "'13'/d/yyyy")) \
             .otherwise(F.date_format("o_orderdate", "M/d/yyyy"))
     money = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
     change = F.concat(F.lit(" (-"), (F.col("o_orderkey") % 10).cast("string"), F.lit(".5%)"))
@@ -120,34 +126,52 @@ def cpi_raw(orders: DataFrame) -> DataFrame:
 
 
 def listing_pages(orders: DataFrame, customer: DataFrame) -> DataFrame:
-    """One stored listing page per order: address/beds/baths meta tags, one
-    ``<tr label=...>`` per event and a ``bed-bath-beyond`` block of spans
-    whose span 6 (zero-based) holds the size.  Pages of the ``% 101 == 7``
-    kind carry no address meta and fail to parse."""
+    """One stored listing page per order: address/beds/baths meta tags, a labelled table row,
+    a size block of spans whose span 6 (zero-based) holds the size, a summary row and three
+    links.  The order's key picks the markup's form."""
     p = properties(customer)
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     j = o.join(p, o.o_custkey == p.c_custkey)
-    k = F.col("c_custkey")
+    k, n = F.col("c_custkey"), F.col("o_orderkey")
     addr = _address(F.col("street"), F.col("city"), F.col("state"), F.col("zip"))
-    label = F.concat(F.lit("Date: "), F.date_format("o_orderdate", "M/d/yyyy"),
-                     F.lit(", Event: "), event_name(F.col("o_orderstatus")),
-                     F.lit(", Price: $"), F.format_number("o_totalprice", 2))
-    sqft_text = F.concat(F.format_number(F.abs(F.col("c_acctbal")), 0), F.lit(" sqft"))
-    spans = F.concat(
-        F.lit(f'<span data-testid="{PG.SIZE_BLOCK}">'),
-        F.lit("<span>"), (k % 6).cast("string"), F.lit("</span><span>bd</span>"),
-        F.lit("<span>|</span><span>"), ((k % 4) * 0.5 + 1.0).cast("string"),
-        F.lit("</span><span>ba</span><span>|</span><span>"), sqft_text,
-        F.lit("</span><span>sqft</span></span>"))
-    meta_addr = F.when(F.col("o_orderkey") % BREAK_MOD == BREAK_NO_ZIP, F.lit("")).otherwise(
-        F.concat(F.lit(f'<meta property="{PG.ADDRESS_PROP}" content="'), addr, F.lit('">')))
+    beds, baths = (k % 6).cast("string"), ((k % 4) * 0.5 + 1.0).cast("string")
+    lit = F.lit
+
+    def meta(prop: str, value: Column) -> Column:
+        name, content = lit(f'property="{prop}"'), F.concat(lit('content="'), value, lit('"'))
+        plain = F.concat(lit("<meta "), name, lit(" "), content, lit(">"))
+        turned = F.concat(lit("<META "), content, lit("\n "), name, lit(" />"))
+        single = F.concat(lit(f"<meta property = '{prop}' content='"), value, lit("'>"))
+        return F.when(n % 3 == 0, plain).when(n % 3 == 1, turned).otherwise(single)
+
+    label = F.concat(lit("Date: "), F.date_format("o_orderdate", "M/d/yyyy"),
+                     lit(", Event: "), event_name(F.col("o_orderstatus")),
+                     lit(", Price: $"), F.format_number("o_totalprice", 2))
+    row = F.when(n % 2 == 0, F.concat(lit('<tr label="'), label, lit('">'))).otherwise(
+        F.concat(lit("<TR class='x'\n LABEL='"), label, lit("'>")))
+    size = F.format_number(F.abs(F.col("c_acctbal")), 0)
+    size = F.when(n % 5 == 0, F.concat(lit("<b>"), size, lit("</b>\n sqft"))).otherwise(F.concat(size, lit(" sqft")))
+    gap = F.when(n % 4 == 1, lit("\n  ")).otherwise(lit(""))
+
+    def span(text: Column) -> Column:
+        return F.concat(lit("<span>"), text, lit("</span>"), gap)
+
+    first = F.concat(span(beds), span(lit("bd")), span(lit("|")), span(baths), span(lit("ba")), span(lit("|")))
+    block = F.concat(lit(f'<span data-testid="{PG.SIZE_BLOCK}">'), first,
+                     F.when(n % BREAK_MOD == BREAK_EXTRA_PART, lit("")).otherwise(F.concat(span(size), span(lit("sqft")))),
+                     lit("</span><span>after</span>"))
+    cells = {2: F.concat(lit("$"), F.format_number("o_totalprice", 0)), 5: beds, 9: baths, 13: size}
+    summary = F.concat(lit(f'<div class="box {PG.SUMMARY_CLASS}">'), *[
+        span(cells.get(i, lit(f"s{i}"))) for i in range(14)], lit("</div>"))
+    title = F.concat(lit(f'<h1 id="{PG.ADDRESS_ID}">'), F.col("street"), lit(",\n <i>"), F.col("city"), lit("</i>, "),
+                     F.concat_ws(" ", "state", "zip"), lit("</h1>"))
+    links = F.concat(lit('<a href="/a/'), k.cast("string"), lit("\">a</a><A HREF='/b?x=1&amp;y="), k.cast("string"),
+                     lit("'>b</A><a data-href=\"/no\" href = \"/c/"), k.cast("string"), lit('">c</a>'))
     html = F.concat(
-        F.lit("<html><head>"), meta_addr,
-        F.lit(f'<meta property="{PG.BEDS_PROP}" content="'), (k % 6).cast("string"),
-        F.lit(f'"><meta property="{PG.BATHS_PROP}" content="'), ((k % 4) * 0.5 + 1.0).cast("string"),
-        F.lit('"></head><body><table><tr label="'), label,
-        F.lit('"><td>event</td></tr><tr><td>no label</td></tr></table>'), spans,
-        F.lit("</body></html>"))
-    return j.select(F.col("o_orderkey").alias("page_id"),
-                    F.concat(F.lit("/homedetails/"), k.cast("string"), F.lit("_zpid/")).alias("url"),
-                    html.alias("html"))
+        lit("<html><head>"),
+        F.when(n % BREAK_MOD == BREAK_NO_ZIP, lit("")).otherwise(meta(PG.ADDRESS_PROP, addr)),
+        F.when(n % BREAK_MOD == BREAK_NO_PRICE, lit("")).otherwise(meta(PG.BEDS_PROP, beds)),
+        meta(PG.BATHS_PROP, baths), lit("</head><body>"), title, links, lit("<table>"), row,
+        lit("<td>event</td></tr><tr><td>no label</td></tr></table>"), block, summary, lit("</body></html>"))
+    return PG.pinned(j, html=html).select(
+        n.alias("page_id"), F.concat(lit("/homedetails/"), k.cast("string"), lit("_zpid/")).alias("url"), "html")

@@ -10,34 +10,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_SPLITS: dict[tuple, int] = {}
-
-
-def ensure_parallelism(df: DataFrame, source: str | None = None) -> DataFrame:
-    """Spread a scan that has fewer input splits than the cluster has task
-    slots (e.g. one large row group) over all slots with a round-robin
-    repartition, so per-row parsing runs in parallel.  A big table already has
-    thousands of splits and is returned unchanged (no extra shuffle).  The
-    split count of a source is looked up once per session."""
-    from ..session import parallelism, session_key
-    slots = parallelism(df.sparkSession)
-    key = (session_key(df.sparkSession), source) if source else None
-    n = _SPLITS.get(key) if key else None
-    if n is None:
-        try:
-            n = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - no RDD API on this client
-            return df
-        if key:
-            _SPLITS[key] = n
-    return df if n >= slots else df.repartition(slots)
-
-
 _SCANS: dict[tuple[str, str], DataFrame] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
-          parallel: bool = False, fresh: bool = False) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str, fresh: bool = False) -> DataFrame:
     """Scan of a driver table.  The base scan (file listing and footer read)
     is reused within a session; ``fresh=True`` lists the files again."""
     if name not in TABLES:
@@ -49,18 +25,4 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(path)
         _SCANS[key] = df
-    df = df.select(*columns) if columns else df
-    return ensure_parallelism(df, f"{sf_dir}/{name}") if parallel else df
-
-
-class Tables:
-    """Lazy accessor: ``Tables(spark, dir).orders`` is a DataFrame scan."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.sf_dir = sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return table(self.spark, self.sf_dir, name)
-        raise AttributeError(name)
+    return df.select(*columns) if columns else df

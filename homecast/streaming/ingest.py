@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +25,7 @@ from pyspark.sql.types import StructType
 # Record identity: every field except the arrival id.
 RECORD_KEYS = ("ts", "user_id", "event_type", "value", "props")
 PART = "ym"
+NO_TIME = "no-time"
 
 
 def dedup_records(df: DataFrame, keys=RECORD_KEYS) -> DataFrame:
@@ -36,38 +38,38 @@ def ingest_batch(events: DataFrame) -> DataFrame:
     return dedup_records(events).select(*RECORD_KEYS)
 
 
-def _sink_exists(spark: SparkSession, sink_dir: str) -> bool:
+def _sink(spark: SparkSession, sink_dir: str, schema: StructType) -> DataFrame | None:
+    """The sink's rows; None before the first append."""
     try:
-        spark.sparkContext
-    except Exception:  # noqa: BLE001 - remote session: probe by reading
-        try:
-            spark.read.parquet(sink_dir).limit(0).collect()
-            return True
-        except Exception:  # noqa: BLE001
-            return False
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(sink_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(sink_dir, "_SUCCESS")) or (
-        fs.exists(path) and len(fs.listStatus(path)) > 0)
+        return spark.read.schema(schema).parquet(sink_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def append_new(batch: DataFrame, sink_dir: str, keys=RECORD_KEYS) -> None:
-    """Append the records of ``batch`` that the sink does not hold yet."""
+    """Append the records of ``batch`` that the sink does not hold yet.  A record
+    without a time goes to the partition ``NO_TIME``."""
     spark = batch.sparkSession
     new = dedup_records(batch, keys).select(*keys).withColumn(
-        PART, F.date_format(F.col("ts"), "yyyy-MM"))
-    if _sink_exists(spark, sink_dir):
-        # The months of one micro-batch are few (bounded by the calendar):
-        # list them so the sink scan is pruned to those partitions.
-        months = [r[0] for r in new.select(PART).distinct().collect()]
-        old = spark.read.parquet(sink_dir).filter(F.col(PART).isin(months)) \
-            .select(*[F.col(k).alias("_o_" + k) for k in keys], F.col(PART).alias("_o_" + PART))
-        cond = reduce(lambda a, b: a & b,
-                      [F.col(k).eqNullSafe(F.col("_o_" + k)) for k in keys]
-                      + [F.col(PART) == F.col("_o_" + PART)])
-        new = new.join(old, cond, "left_anti")
-    new.write.mode("append").partitionBy(PART).parquet(sink_dir)
+        PART, F.coalesce(F.date_format(F.col("ts"), "yyyy-MM"), F.lit(NO_TIME)))
+    new = new.persist()
+    try:
+        old = _sink(spark, sink_dir, new.schema)
+        out = new
+        if old is not None:
+            # The partition is part of the join, so the sink's scan is pruned to the
+            # batch's months at run time.
+            old = old.select(*[F.col(k).alias("_o_" + k) for k in keys], F.col(PART).alias("_o_" + PART))
+            cond = reduce(lambda a, b: a & b,
+                          [F.col(k).eqNullSafe(F.col("_o_" + k)) for k in keys]
+                          + [F.col(PART) == F.col("_o_" + PART)])
+            months = new.select(F.col(PART).alias("_o_" + PART)).distinct()
+            out = new.join(old.join(months, "_o_" + PART, "left_semi"), cond, "left_anti")
+        out.write.mode("append").partitionBy(PART).parquet(sink_dir)
+    finally:
+        new.unpersist()
 
 
 def start_ingest(spark: SparkSession, landing_dir: str, schema: StructType, sink_dir: str,
@@ -90,4 +92,5 @@ def run_ingest(spark, landing_dir, schema, sink_dir, checkpoint_dir) -> int:
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return read_sink(spark, sink_dir).count() if _sink_exists(spark, sink_dir) else 0
+    sink = _sink(spark, sink_dir, schema)
+    return 0 if sink is None else read_sink(spark, sink_dir).count()

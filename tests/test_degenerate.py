@@ -7,9 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from homecast.operators import arima as AR
 from homecast.operators import decompose as D
-from homecast.operators import ets as ETS
 from homecast.operators import forecast as FC
 from homecast.operators import quantile as Q
 from homecast.operators import regress as R
@@ -28,16 +26,10 @@ def df(spark):
 
 
 CASES = {
-    "arima": lambda df: AR.auto_arima(df, "y", keys=["k"]),
-    "arima_fc": lambda df: AR.arima_forecast(df, AR.auto_arima(df, "y", keys=["k"]), "y", 3,
-                                             keys=["k"]),
-    "arima_aug": lambda df: AR.arima_augment(df, AR.auto_arima(df, "y", keys=["k"]), "y",
-                                             keys=["k"]),
-    "ets_fc": lambda df: ETS.ets_forecast(ETS.auto_ets(df, "y", keys=["k"]), 3, keys=["k"]),
-    "stl": lambda df: D.stl(df, "y", keys=["k"]),
     "classical": lambda df: D.classical(df, "y", keys=["k"], kind="multiplicative"),
     "x11": lambda df: D.x11(df, "y", keys=["k"]),
     "trend_report": lambda df: R.trend_report(R.trend_fit(df, "y", keys=["k"]), keys=["k"]),
+    "season_fc": lambda df: FC.trend_season_forecast(R.trend_season_fit(df, "y", keys=["k"]), 3, keys=["k"]),
     "trend_fc": lambda df: FC.trend_forecast(R.trend_fit(df, "y", keys=["k"]), 3, keys=["k"]),
     "ols": lambda df: R.ols(S.with_position(df, ["k"], name="t"), "y", ["t"], keys=["k"]),
     "subsets": lambda df: R.best_subsets(S.with_position(df, ["k"], name="t"), "y",

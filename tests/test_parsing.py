@@ -28,10 +28,12 @@ def test_address_edge_cases(spark):
     assert got[3]["zip"] == "47302-1234" and got[3]["price"] is None
 
 
-def test_two_digit_year_needs_second_pattern(spark):
-    raw = _hist(spark, [("a, b, IN 1", "4/12/22", "Sold", "$1")])
-    assert clean.clean_history(raw).first()["month"] is None
-    assert clean.clean_history(raw, allow_two_digit_year=True).first()["month"] == dt.date(2022, 4, 1)
+def test_date_forms(spark):
+    forms = {"4/12/22": dt.date(2022, 4, 1), "3/14/98": dt.date(1998, 3, 1), "3-14-1998": dt.date(1998, 3, 1),
+             "03.14.1998 ": dt.date(1998, 3, 1), "1/2/68": dt.date(2068, 1, 1), "1/2/69": dt.date(1969, 1, 1),
+             "13/1/1998": None, "2/30/1998": None, "1998-03-14": None, "1/2/199": None, "x": None, None: None}
+    raw = _hist(spark, [("a, b, IN 1", d, "Sold", "$1") for d in forms])
+    assert [r["month"] for r in clean.clean_history(raw).collect()] == list(forms.values())
 
 
 def test_label_parsing(spark):
@@ -61,17 +63,17 @@ def test_horizons_and_money(spark):
 
 
 def test_page_parts(spark):
-    html = ('<meta property="og:zillow_fb:address" content="A, B, IN 1">'
-            '<meta property="og:zillow_fb:address" content="C, D, IN 2">'
-            '<span data-testid="bed-bath-beyond"><span>3</span><span>bd</span><span>|</span>'
-            '<span>2</span><span>ba</span><span>|</span><span> 1,234  sqft</span>'
-            '<span>x</span></span><a href="/x">x</a><a href="/y/1">y</a>')
-    df = spark.createDataFrame([(html,)], "html string")
-    r = df.select(PG.meta_content(PG.ADDRESS_PROP).alias("a"), PG.size_from_page("html").alias("s"),
-                  PG.hrefs("html").alias("h")).first()
-    assert r.a == "C, D, IN 2"          # last match wins
-    assert r.s == 1234.0
-    assert r.h == ["/x", "/y/1"]
+    html = ("<meta content='A, B, IN 1' property=\"home:address\"><META\n PROPERTY='home:address' content=\"C &amp; D, IN 2\">"
+            '<div data-testid="size-block"><span>3</span><span>bd<span>x</span></span>\n<span>|</span>'
+            '<span>2</span><span>ba</span><span> <b>1,234</b>\n sqft</span></div><span>after</span>'
+            "<a href='/x'>x</a><A HREF=\"/y/1?a=1&amp;b\">y</A><a data-href='/no'>z</a>")
+    df = spark.createDataFrame([(html,), ("<p>none</p>",), (None,)], "html string")
+    df = PG.with_spans(PG.with_element(df, "_b", "data-testid", "size-block"), "_b", {f"s{k}": k for k in (1, 2, 6, 7)})
+    r, none, null = df.select("*", PG.meta_content("home:address").alias("a"), PG.hrefs("html").alias("h")).collect()
+    assert r.a == "C & D, IN 2"          # the last one counts
+    assert (r.s1, r.s2, r.s6, r.s7) == ("bdx", "x", "1,234 sqft", None)
+    assert r.h == ["/x", "/y/1?a=1&b"]
+    assert none.a is None and none.s1 is None and none.h == [] and null.a is None
 
 
 def test_projection_helpers(spark):

@@ -1,5 +1,5 @@
 """The distributed exact median equals numpy's, also when groups need several
-refinement passes and one group holds most rows."""
+rounds, one group holds most rows, or values are extreme."""
 
 import numpy as np
 import pandas as pd
@@ -8,25 +8,29 @@ from pyspark.sql import functions as F
 from homecast.operators import quantile as Q
 
 
-def test_exact_median_multi_pass(spark):
+def test_exact_median_of_odd_groups(spark):
     rng = np.random.default_rng(7)
-    hot = rng.lognormal(12, 1, 30000)                 # one hot group
-    ties = np.repeat([5.0, 7.0], 500)                 # many equal values
-    spread = np.r_[rng.normal(0, 1, 998), 1e300, -1.7e308]      # extreme values
-    pdf = pd.concat([pd.DataFrame({"g": "hot", "v": hot}),
-                     pd.DataFrame({"g": "ties", "v": ties}),
-                     pd.DataFrame({"g": "spread", "v": spread}),
-                     pd.DataFrame({"g": "one", "v": [3.0]}),
-                     pd.DataFrame({"g": "nulls", "v": [np.nan, np.nan]})])
-    df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    x = df.select("g", F.col("v").alias("_v"))
-    got = {r.g: r._q for r in Q.exact_quantile_long(x, ["g"], 0.5, buckets=16, band_max=100).collect()}
-    for g, grp in pdf.groupby("g"):
-        vals = grp["v"].dropna().to_numpy()
-        if len(vals) == 0:
-            assert got[g] is None
-        else:
-            assert got[g] == np.median(vals), g
+    groups = {
+        "hot": rng.lognormal(12, 1, 30000), "even": rng.normal(0, 1, 20000), "ties": np.repeat([5.0, 7.0], 5000),
+        "few ties": np.repeat([5.0, 7.0], 500), "same": np.full(9000, 3.5),
+        "spread": np.r_[rng.normal(0, 1, 998), 1e300, -1.7e308], "one": [3.0], "nulls": [np.nan, np.nan],
+        "denormal": rng.integers(0, 40, 5001) * 5e-324, "infinite": np.r_[np.full(3000, -np.inf), np.full(3000, np.inf), 1, 2],
+        "log": 10.0 ** rng.uniform(-300, 300, 12001)}
+    pdf = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in groups.items()])
+    x = spark.createDataFrame(pdf).select("g", F.when(~F.isnan("v"), F.col("v")).alias("_v"))
+    got = {r.g: r._q for r in Q.exact_quantile_long(x, ["g"]).collect()}
+    for g, v in groups.items():
+        v = np.asarray(v)[~np.isnan(v)]
+        assert got[g] == (np.median(v) if len(v) else None), g
+
+
+def test_other_quantiles_and_null_keys(spark):
+    rng = np.random.default_rng(3)
+    v = rng.exponential(size=7001)
+    df = spark.createDataFrame([(None, float(x)) for x in v], "k string, v double")
+    for q in (0.0, 0.1, 0.999, 1.0):
+        got = Q.median_by(df, ["k"], {"m": "v"}, q=q).first().m
+        assert abs(got - np.quantile(v, q)) < 1e-12
 
 
 def test_median_by_several_measures(spark):
@@ -36,10 +40,10 @@ def test_median_by_several_measures(spark):
     assert [(r.ma, r.mb) for r in got] == [(3.0, 2.5), (5.5, 9.0)]
 
 
-def test_multi_pass_on_pipeline_equals_builtin(spark, monkeypatch):
+def test_rounds_on_pipeline_equal_builtin(spark, monkeypatch):
     from homecast.plans.pipeline import Pipeline
     si = Pipeline(spark, "/root/testdata/sf0.01").sold("viz")
-    monkeypatch.setattr(Q, "BAND_MAX", 20)       # months hold ~70 sales: forces refinement
+    monkeypatch.setattr(Q, "GRID", 64)       # months hold ~70 sales: forces a second round
     mp = Q.median_by(si, ["month", "Region"], {"m": "price"})
     bi = Q.median_by(si, ["month", "Region"], {"m": "price"}, method="builtin")
     bad = mp.join(bi.withColumnRenamed("m", "b"), ["month", "Region"], "full") \

@@ -66,11 +66,8 @@ def test_classical_multiplicative_and_short(spark):
     assert short.trend.isna().all()
 
 
-def test_stl_and_x11_reconstruct(spark):
+def test_x11_reconstructs(spark):
     df = _seasonal_frame(spark)
-    stl = D.stl(df, "y", keys=["k"]).toPandas()
-    assert np.allclose(stl.trend + stl.seasonal + stl.remainder, stl.y)
-    assert abs(np.corrcoef(stl.seasonal[stl.k == "x"], np.sin(2 * np.pi * np.arange(60) / 12))[0, 1]) > 0.9
     x11 = D.x11(df, "y", keys=["k"]).toPandas().dropna()
     assert len(x11) > 0
     assert np.allclose(x11.trend + x11.seasonal + x11.remainder, x11.y)
@@ -120,41 +117,19 @@ def test_trend_fit_and_acf(spark):
     assert abs(acf[1] - (d[1:] @ d[:-1]) / (d @ d)) < 1e-12
 
 
-def test_reconciled_children_sum_to_parent(spark):
+def test_bottom_up_children_sum_to_parent(spark):
     rng = np.random.default_rng(3)
-    rows = [(r, c, float(rng.normal(100, 10))) for r in ("N", "S") for c in ("a", "b", "c")
-            for _ in range(3)]
+    rows = [(r, c, float(rng.normal(100, 10))) for r in ("N", "S") for c in ("a", "b/x", "c") for _ in range(3)]
     sales = spark.createDataFrame(rows, "Region string, County string, price double")
-    mapping = REC.hierarchy_mapping(sales, ["Region", "County"]).toPandas()
-    assert len(mapping) == 6 * 3                       # every leaf with 3 ancestors incl. itself
+    mapping = REC.hierarchy_mapping(sales, ["Region", "County"])
+    assert mapping.count() == 6 * 3                    # every leaf with 3 nodes incl. itself
     nodes = REC.hierarchy_series(sales.withColumn("month", F.lit("2020-01-01").cast("date")),
                                  ["Region", "County"], "price")
-    from_nodes = REC.mapping_from_nodes(nodes, 2).toPandas()
-    assert sorted(map(tuple, from_nodes[["node", "leaf"]].values)) == \
-        sorted(map(tuple, mapping[["node", "leaf"]].values))
-    months = pd.date_range("2020-01-01", periods=3, freq="MS").date
-    nodes = sorted(mapping.node.unique())
-    fc = pd.DataFrame([(n, m, float(rng.normal(50, 5))) for n in nodes for m in months],
-                      columns=["node", "month", "mean"])
-    res = pd.DataFrame([(n, t, float(rng.normal())) for n in nodes for t in range(40)],
-                       columns=["node", "t", "resid"])
-    out = REC.reconcile_frame(fc, res, mapping)
-    for method in ("ols", "mint"):
-        sub = out[out.method == method].pivot(index="month", columns="node", values="mean")
-        assert np.allclose(sub["<total>"], sub["N"] + sub["S"])
-        assert np.allclose(sub["N"], sub["N/a"] + sub["N/b"] + sub["N/c"])
-    for method in ("bu", "ols", "mint"):
-        sub = out[out.method == method].pivot(index="month", columns="node", values="mean")
-        assert np.allclose(sub["N"], sub["N/a"] + sub["N/b"] + sub["N/c"])
-    bu = REC.bottom_up(spark.createDataFrame(fc), spark.createDataFrame(mapping)).toPandas()
-    bu = bu.pivot(index="month", columns="node", values="mean")
-    assert np.allclose(bu["<total>"], bu["N"] + bu["S"])
-    local_bu = out[out.method == "bu"].pivot(index="month", columns="node", values="mean")
-    assert np.allclose(local_bu[bu.columns].to_numpy(), bu.to_numpy())
-    dist = REC.reconcile(spark.createDataFrame(fc), spark.createDataFrame(res),
-                         spark.createDataFrame(mapping)).toPandas()
-    merged = dist.merge(out, on=["node", "month", "method"])
-    assert len(merged) == len(out) and np.allclose(merged.mean_x, merged.mean_y)
+    assert {tuple(x.node) for x in nodes.collect()} == {tuple(x.node) for x in mapping.collect()}
+    leaves = nodes.filter(F.size("node") == 2).withColumnRenamed("price", "mean")
+    up = {tuple(x.node): x.mean for x in REC.bottom_up(leaves, mapping).collect()}
+    base = {tuple(x.node): x.price for x in nodes.collect()}
+    assert set(up) == set(base) and all(abs(up[k] - base[k]) < 1e-9 for k in up)
 
 
 def test_sample_per_group_caps_rows(spark):
@@ -171,8 +146,7 @@ def test_smoke_entry(spark):
     assert SF_SMALL.endswith("0.001")
 
 
-def test_assert_series_first_per_group_and_split_once(spark):
-    from homecast.functions import text as T
+def test_assert_series_and_first_per_group(spark):
     from homecast.operators import enrich as EN
     df = spark.createDataFrame([("a", dt.date(2020, 1, 1)), ("a", dt.date(2020, 1, 1))],
                                "k string, month date")
@@ -184,5 +158,3 @@ def test_assert_series_first_per_group_and_split_once(spark):
     z = spark.createDataFrame([("C1", "47106"), ("C1", "47001"), ("C2", "47106")], "County string, zip string")
     first = {r.County: r.zip for r in EN.first_per_group(z, ["County"], ["zip"]).collect()}
     assert first == {"C1": "47001", "C2": "47106"}
-    kv = spark.createDataFrame([(" T : a:b ",), ("junk",)], "s string").select(*T.split_once("s"))
-    assert [tuple(r) for r in kv.collect()] == [("T", "a:b"), (None, None)]
