@@ -4,16 +4,19 @@
    words in the same order are one class, named by a 128-bit digest; from here on one
    representative, the smallest id, stands for the class.
 2. ``BANDS`` bands of ``ROWS`` minima put representatives into buckets.
-3. In rounds, each bucket's members meet a few pivots of the bucket: 1, then 8, 64, ... of
-   those not yet in the pivot's component.  A pivot that has met its bucket leaves it, so
-   every pair of a bucket meets unless it is connected already, and a bucket of copies is
-   done in its first round, with one pair per member.
+3. In rounds, each bucket's members meet a few pivots of the bucket (1, then 32, 1,024, ...),
+   unless they are in the pivot's component already.  A pivot that has met its bucket
+   leaves it, so every pair of a bucket meets unless it is connected already, and a bucket
+   of copies is done in its first round.  Pivots come from the bucket's largest components.
+   What the first round leaves open is narrowed exactly: pairs that share a shingle of at
+   most ``RARE`` documents are listed and verified; any other pair has only frequent
+   shingles in common, and does not meet if these are too few for the threshold.
 4. A pair is verified in sequence: batch by batch, further minima are compared, and the
    pair is dropped as soon as the posterior chance that its similarity reaches the
    threshold (uniform prior) is below ``MISS``.
 5. Survivors are confirmed on their full sets, read from the texts, and linked.
 
-At similarity 0.8 a pair meets in no band with a chance of 5e-6, and is dropped in step 4 with
+At similarity 0.8 a pair meets in no band with a chance of 7e-6, and is dropped in step 4 with
 one of at most ``MISS`` per batch.  No bucket or partner is capped.
 
 Defined cases: a null text counts as empty; a document without words has the empty set and
@@ -39,11 +42,13 @@ from .components import components
 WIDTH = 2
 #: Similarity in percent; bands, minima in a band; minima in a batch, batches; miss chance.
 PERCENT = 80
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 30, 5
 BATCH, BATCHES = 16, 4
 MISS = 1e-6
-#: The pivots of a bucket in a round are this many times those of the round before.
-PIVOT_GROWTH = 8
+#: A shingle in so many open documents or fewer is rare.
+RARE = 100
+#: Pivots of a bucket in the first round, and how many times more in each next one.
+FIRST_PIVOTS, PIVOT_GROWTH = 1, 32
 _KEPT_WORDS = 400_000
 
 
@@ -136,6 +141,32 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
         sign, "doc_id long, n_shingles long, key binary, bands array<long>, minima binary")
 
 
+def rare_shingles(texts: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """texts(id, text) -> (id, n shingles, common: those in more than ``RARE`` rows) and the
+    pairs a < b that share a rarer one.  A pair that is not among them has at most the
+    smaller ``common`` in its intersection.  By 64-bit hash: equal hashes of different
+    shingles could only make more pairs or a larger ``common``."""
+
+    def hashed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        table = WordHash()
+        for batch in batches:
+            sets = [shingle_hashes(split_words(s.as_py()), table, width).view(np.int64) for s in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "h"])
+
+    rows = materialize(texts.select("id", "text").mapInArrow(hashed, "id long, h array<long>"))
+    each = rows.select("id", F.explode("h").alias("h"))
+    few = each.groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") <= RARE)
+    rare = materialize(each.join(few, "h"))
+    counts = rows.select("id", F.size("h").cast("long").alias("n")).join(
+        rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").select(
+        "id", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common"))
+    shared = rare.filter("rows > 1").select("h", F.col("id").alias("a"))
+    pairs = shared.join(shared.withColumnRenamed("a", "b"), "h").filter("a < b").select("a", "b").distinct()
+    return materialize(counts), pairs
+
+
 def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
     """The least number of equal minima of ``n`` at which the similarity may still reach the
     threshold: with a uniform prior, P(similarity >= t | m of n) = P(Binomial(n + 1, t) <= m)."""
@@ -204,26 +235,43 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col:
         ids, "id", "left_semi")
     minima_of = signed.select(F.col("doc_id").alias("id"), "minima").join(ids, "id", "left_semi")
     known = materialize(texts.join(minima_of, "id").dropDuplicates(["id"]))
-    labels, pivots = None, 1
+    labels, counts, pivots = None, None, FIRST_PIVOTS
     while True:
         at = members.withColumn("label", F.col("id")) if labels is None else members.join(
             labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         open_bands = at.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
             .filter("lo <> hi").select("band")
         at = materialize(at.join(open_bands, "band", "left_semi"))
-        chosen = at.groupBy("band", F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots)).alias("_salt")) \
-            .agg(F.min(F.struct("id", "label")).alias("p")).select(
-                "band", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        chosen = materialize(chosen)
-        met = at.join(chosen, "band").filter("label <> pivot_label").select(
-            F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        met = materialize(met)
-        if met.isEmpty():
+        if at.isEmpty():
             break
+        pairs, may = None, F.lit(True)
+        if pivots > FIRST_PIVOTS:  # what the first round leaves open
+            if counts is None:
+                counts, pairs = rare_shingles(known.join(at.select("id").distinct(), "id", "left_semi"), width)
+                label = lambda c: at.select(F.col("id").alias(c), F.col("label").alias(f"_{c}")).distinct()
+                pairs = pairs.join(label("a"), "a").join(label("b"), "b").filter("_a <> _b").select("a", "b")
+            at = materialize(at.join(counts, "id"))
+            most = F.least("common", "pivot_common")
+            may = F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("pivot_n") - most)
+        else:
+            at = at.withColumns({"n": F.lit(0), "common": F.lit(0)})
+        # The salts' pivots come from the bucket's largest components: the rest of a large
+        # component need not meet them, and those outside it soon find a link into it.
+        size = at.groupBy("band", "label").agg(F.count("*").alias("size"))
+        rank = F.struct("size", "common", F.xxhash64("id").alias("h"), "id", "label", "n")
+        chosen = at.join(size, ["band", "label"]).groupBy(
+            "band", F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots)).alias("_salt")).agg(
+            F.max(rank).alias("p")).select(
+                F.col("band").alias("_band"), F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"),
+                F.col("p.n").alias("pivot_n"), F.col("p.common").alias("pivot_common"))
+        chosen = materialize(chosen)
+        met = at.join(chosen, (F.col("band") == F.col("_band")) & (F.col("label") != F.col("pivot_label")) & may).select(
+            F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+        met = (met if pairs is None else met.union(pairs)).distinct()
         side = lambda c, *cols: known.select(F.col("id").alias(c), *[
             F.col(x).alias(f"{x}_{c}") for x in cols])
-        left = materialize(plausible(met.join(side("a", "minima"), "a").join(side("b", "minima"), "b").select(
-            "a", "b", "minima_a", "minima_b")))
+        left = plausible(met.join(side("a", "minima"), "a").join(side("b", "minima"), "b").select(
+            "a", "b", "minima_a", "minima_b"))
         links = materialize(confirmed(left.join(side("b", "text"), "b").join(side("a", "text"), "a").select(
             "a", "b", "text_a", "text_b"), percent, width))
         if not links.isEmpty():
@@ -239,7 +287,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col:
                 fresh = moved.union(fresh.join(labels, "id", "left_anti"))
             labels = materialize(fresh)
         members = at.select("band", "id").join(
-            chosen.select("band", F.col("pivot").alias("id")), ["band", "id"], "left_anti")
+            chosen.select(F.col("_band").alias("band"), F.col("pivot").alias("id")), ["band", "id"], "left_anti")
         pivots *= PIVOT_GROWTH
     root = classes if labels is None else classes.join(
         labels.withColumnRenamed("id", "rep"), "rep", "left")
