@@ -178,9 +178,9 @@ def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
     return n
 
 
-def plausible(pairs: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs(a, b, minima_a, minima_b): those that no batch rules out."""
-    bounds = [least_matches(BATCH * k) for k in range(1, BATCHES + 1)]
+    bounds = [least_matches(BATCH * k, percent) for k in range(1, BATCHES + 1)]
 
     def prune(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -265,13 +265,19 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col:
                 F.col("band").alias("_band"), F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"),
                 F.col("p.n").alias("pivot_n"), F.col("p.common").alias("pivot_common"))
         chosen = materialize(chosen)
-        met = at.join(chosen, (F.col("band") == F.col("_band")) & (F.col("label") != F.col("pivot_label")) & may).select(
+        # A pair that shares several bands meets in the least of them in which its pivot is one.
+        bands = at.groupBy("id").agg(F.collect_set("band").alias("bands"))
+        pivot_bands = chosen.groupBy("pivot").agg(F.collect_set("_band").alias("pivot_bands"))
+        once = F.col("band") == F.array_min(F.array_intersect("bands", "pivot_bands"))
+        met = at.join(bands, "id").join(
+            chosen.join(pivot_bands, "pivot"),
+            (F.col("band") == F.col("_band")) & (F.col("label") != F.col("pivot_label")) & may & once).select(
             F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         met = (met if pairs is None else met.union(pairs)).distinct()
         side = lambda c, *cols: known.select(F.col("id").alias(c), *[
             F.col(x).alias(f"{x}_{c}") for x in cols])
         left = plausible(met.join(side("a", "minima"), "a").join(side("b", "minima"), "b").select(
-            "a", "b", "minima_a", "minima_b"))
+            "a", "b", "minima_a", "minima_b"), percent)
         links = materialize(confirmed(left.join(side("b", "text"), "b").join(side("a", "text"), "a").select(
             "a", "b", "text_a", "text_b"), percent, width))
         if not links.isEmpty():
