@@ -63,8 +63,9 @@ def template_terms(spark: SparkSession, templates) -> DataFrame:
 
 def document_frequency(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """term, df of the ``wanted`` terms, over all rows of ``texts(text)``."""
-    return texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(
-        wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+    counts = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(
+        F.count("*").alias("df"))
+    return counts.join(wanted, "term")
 
 
 def notices(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -76,9 +77,9 @@ def notices(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     vectors = template_terms(spark, templates)
     few = vectors.select("term").distinct().collect()  # the templates' own terms
     of_templates = F.array(*[F.lit(r["term"]) for r in few])
-    df = docs.select(F.explode(F.array_intersect(terms(F.col("text")), of_templates)).alias("term")) \
-        .groupBy("term").agg(F.count("*").alias("df"))
-    vectors = materialize(vectors.join(df, "term", "left").withColumn("w", F.col("tf") * idf).select(
+    template_df = materialize(docs.select(F.explode(F.array_intersect(terms(F.col("text")), of_templates)).alias("term"))
+                              .groupBy("term").agg(F.count("*").alias("df")))
+    vectors = materialize(vectors.join(template_df, "term", "left").withColumn("w", F.col("tf") * idf).select(
         "template", "licence", "term", "w"))
     weight: dict[int, dict[str, float]] = {}
     for r in vectors.collect():
@@ -103,8 +104,8 @@ def notices(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     lines = materialize(lines.select("rid", "line", F.sort_array("terms").alias("terms")))
     each = lines.select("terms").distinct().select("terms", F.explode("terms").alias("term")) \
         .groupBy("terms", "term").agg(F.count("*").alias("tf"))
-    wanted = materialize(each.select("term").distinct())
-    df = document_frequency(docs, wanted)
+    others = materialize(each.select("term").distinct().join(vectors.select("term"), "term", "left_anti"))
+    df = template_df.union(document_frequency(docs, others))
     each = each.join(df, "term", "left").withColumn("w", F.col("tf") * idf)
     norm = each.groupBy("terms").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     template_norm = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
