@@ -11,8 +11,9 @@ equal; long texts are not moved again.
 
 Defined cases: a null text counts as empty, and all texts without a non-white character
 are equal; of equal texts the row with the most code points stays, then the smallest id (a
-null id stands after all others); repeated rows are returned as often as they occur, and
-stay or go together; an empty table gives an empty result; other columns are ignored.
+null id stands after all others); ``duplicates`` returns repeated rows as often as they
+occur, with equal decisions, of which ``deduplicated`` keeps one row; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_RUN, materialize, rows_with_ids, text_or_empty
+from .common import WHITE_RUN, field, keyed, materialize, rows_with_keys, text_or_empty
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
 #: A boundary: a character of the first class and one of the second (about 1 pair in 100
@@ -99,7 +100,11 @@ def duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay (one row per distinct normalised text)."""
-    kept = duplicates(docs, **options).filter("kept").select(
-        F.col("doc_id").alias("_id")).distinct()
-    return rows_with_ids(docs, kept)
+    """The documents that stay: one row per distinct normalised text, of equal ids the first."""
+    rows = keyed(docs)
+    key = F.struct(field("doc_id").alias("id"), F.col("_row").alias("row")).alias("key")
+    r = recipes(rows.select(key, field("text").alias("text")), id_col="key", **options)
+    best = r.groupBy("recipe").agg(F.max(F.struct(
+        "n_points", F.col("doc_id.id").isNotNull().alias("named"), F.bitwise_not("doc_id.id").alias("rank"),
+        F.bitwise_not("doc_id.row").alias("row"))).alias("_best"))
+    return rows_with_keys(rows, best.select(F.bitwise_not("_best.row").alias("_key")), docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +101,34 @@ def unpacked(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame
     return df.select(*[replaced.get(c, field(c)).alias(c) for c in columns])
 
 
-def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids(_id)``, null ids included."""
-    return unpacked(packed(docs).join(ids, field(id_col).eqNullSafe(F.col("_id")), "left_semi"), docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """The packed rows with a key of their own (``_row``).  Decisions about rows go by this
+    key: ids may repeat or be null.  Rows of Parquet files are named by file and place in
+    it, which needs no copy of them; any others are written with a number."""
+    rows = _placed(docs)
+    return materialize(packed(docs).withColumn("_row", F.monotonically_increasing_id())) if rows is None else rows
+
+
+def _placed(docs: DataFrame) -> DataFrame | None:
+    """The rows keyed by their place, if ``docs`` is nothing but files that tell it."""
+    try:
+        if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+            return None
+        place = docs.metadataColumn("_metadata")
+        path, at = place["file_path"].alias("_path"), place["row_index"].alias("_at")
+        places = docs.select(path, at)
+    except (AnalysisException, AttributeError):
+        return None
+    files = places.groupBy("_path").agg(F.count("*").alias("n"), F.max("_at").alias("last")).orderBy("_path").collect()
+    if any(f["n"] != f["last"] + 1 for f in files):  # a file that is read twice
+        return None
+    numbers = docs.sparkSession.createDataFrame(
+        [(f["_path"], i << 33) for i, f in enumerate(files)], "_file string, _base long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), path, at)
+    return rows.join(F.broadcast(numbers), F.col("_path") == F.col("_file")).select(
+        "_doc", (F.col("_base") + F.col("_at")).alias("_row"))
+
+
+def rows_with_keys(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``keyed`` rows whose key is among ``keys(_key)``."""
+    return unpacked(rows.join(keys, F.col("_row") == F.col("_key"), "left_semi"), columns)

@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WHITE_RUN, field, materialize, packed, text_or_empty, unpacked, words
+from .common import WHITE, WHITE_RUN, field, keyed, materialize, text_or_empty, unpacked, words
 
 #: Fixed limits of the base rules.
 MIN_WORDS = 50
@@ -119,10 +119,12 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 
 def cleaned(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their common lines removed and n_chars to match."""
-    v = verdicts(docs, **options).filter("kept").select(
-        F.col("doc_id").alias("_id"), "removed_lines").dropDuplicates(["_id"])
-    out = packed(docs).join(v, field("doc_id").eqNullSafe(F.col("_id")))
+    """The documents that pass, with their common lines removed and n_chars to match; each
+    row by its own verdict, whatever its id."""
+    rows = keyed(docs)
+    v = verdicts(rows.select("_row", field("source").alias("source"), field("text").alias("text")),
+                 id_col="_row", **options).filter("kept").select(F.col("doc_id").alias("_key"), "removed_lines")
+    out = rows.join(v, F.col("_row") == F.col("_key"))
     out = out.withColumn("_text", without_lines(field("text"), F.col("removed_lines")))
     n_chars = F.when(F.col("removed_lines").isNotNull(), F.length("_text").cast("long")) \
         .otherwise(field("n_chars")) if "n_chars" in docs.columns else None

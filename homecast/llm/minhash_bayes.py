@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_with_ids
+from .common import field, keyed, materialize, rows_with_keys
 from .components import components
 
 #: Words of a shingle.
@@ -306,6 +306,12 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col:
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, the one with the smallest id."""
-    kept = linked(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return rows_with_ids(docs, kept)
+    """One row of each group: the one with the smallest id (null ids last), of equal ids the
+    first.  Rows are linked by keys of their own, so repeated ids and null ids are no case
+    apart; a row without words is a group of its own."""
+    rows = keyed(docs)
+    found = linked(rows.select("_row", field("text").alias("text")), id_col="_row", **options)
+    ids = rows.select(F.col("_row").alias("_r"), field("doc_id").alias("_i"))
+    best = found.join(ids, F.col("doc_id") == F.col("_r")).groupBy("component_id").agg(
+        F.min(F.struct(F.col("_i").isNull().alias("unnamed"), "_i", "_r")).alias("_best"))
+    return rows_with_keys(rows, best.select(F.col("_best._r").alias("_key")), docs.columns)

@@ -10,7 +10,7 @@ j-th slot of a source maps to a block by a pseudorandom permutation of the sourc
 indices, another one on each pass over the source; slots join blocks by index.
 
 Defined cases: a null text has no words and takes nothing; a null source is the last
-source; documents are told apart by id and text, so repeated rows stand in the source as
+source; documents are told apart by id, text and row, so repeated rows stand in the source as
 often as they occur and share its blocks; ties need no rule, as the order inside a source
 is by hash; an empty table gives an empty result; other columns are ignored.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
-    field, materialize, n_words, packed, running_start, text_or_empty, unit_interval, unpacked,
+    field, keyed, materialize, n_words, running_start, text_or_empty, unit_interval, unpacked,
 )
 
 BLOCK = 64
@@ -114,12 +114,13 @@ def shard_draws(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text",
-         block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 5, **target_options):
-    """(documents, sources, pieces).  documents: rid, doc_id, size, source_no; sources: one
+         block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 5, row: str | None = None,
+         **target_options):
+    """(documents, sources, pieces).  documents: rid (the column ``row``, if given), doc_id, size, source_no; sources: one
     row each with target; pieces: the words of one document in one block, with the number
     of times the mix takes the block (``times``, 0 to 2) and the shards it goes to."""
     rows = materialize(docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
+        (F.monotonically_increasing_id() if row is None else F.col(row)).alias("rid"), F.col(id_col).alias("doc_id"),
         F.col(source).alias("source"), n_words(text_or_empty(text)).alias("size"),
         F.xxhash64(text_or_empty(text)).alias("content")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -159,6 +160,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, pieces (the parts
     that are taken: first word, words, times)."""
+    return mix_rows(docs, **options).drop("rid")
+
+
+def mix_rows(docs: DataFrame, **options) -> DataFrame:
+    """``mix`` with the row's key (``rid``)."""
     rows, sources, pieces = plan(docs, **options)
     taken = pieces.groupBy("rid").agg(
         F.sum(F.col("n") * F.col("times")).cast("long").alias("taken"),
@@ -166,18 +172,21 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         .alias("pieces"))
     return rows.join(taken, "rid", "left").join(
         sources.select("source_no", "source_size", "target"), "source_no").select(
-        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
+        "rid", "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus in the columns of ``docs``: one row per document that the mix takes.
     Its text is the words taken on the first pass, then those of the second, each word with
-    the white space before it; a text taken whole stays as it is."""
-    m = mix(docs, **options).filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"),
-        F.col("pieces").alias("_pieces")).dropDuplicates(["_id"])
-    out = packed(docs).join(m, field("doc_id").eqNullSafe(F.col("_id")))
+    the white space before it; a text taken whole stays as it is.  Each row by its own
+    pieces, whatever its id."""
+    rows = keyed(docs)
+    m = mix_rows(rows.select("_row", *[field(c).alias(c) for c in ("doc_id", "source", "text")]),
+                 row="_row", **options).filter("taken > 0").select(
+        F.col("rid").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"),
+        F.col("pieces").alias("_pieces"))
+    out = rows.join(m, F.col("_row") == F.col("_key"))
     out = out.withColumn("_tokens", F.regexp_extract_all(
         field("text"), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)))
 

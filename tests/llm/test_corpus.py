@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from homecast.llm import (
-    best_fit, chunk_dedup, context_mixing, license_scan, line_quality, minhash_bayes, mixing, pii_crf,
+    best_fit, chunk_dedup, common, context_mixing, license_scan, line_quality, minhash_bayes, mixing, pii_crf,
     registry, secret_scan, token_ids, trie_tokens,
 )
 from homecast.llm.components import components
@@ -613,5 +613,43 @@ def test_pipeline_stages(spark, docs, rows):
     assert {x.doc_id for x in packed.collect()} == {x.doc_id for x in mix.collect()}
 
 
+def test_stages_go_by_row(spark):
+    """Repeated rows, one id with several texts, and null ids: each row has its own decision."""
+    r = random.Random(4)
+    a, b, c, d = (prose(r, 200) for _ in range(4))
+    near = a.replace(a.split()[50], "changed", 1)
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (None, near), (3, near + " "),
+            (3, "few words"), (None, "few words")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: Counter((x.doc_id, x.text) for x in df.collect())
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert ids(stages["quality rules"](spark, frame(rows), "")) == Counter(x[:2] for x in rows if base_of(x[1])[0] >= 50)
+    assert ids(stages["exact dedup"](spark, frame(rows), "")) == Counter(
+        [(1, a), (1, b), (None, c), (3, near + " "), (3, "few words")])
+    assert ids(stages["near-dedup"](spark, frame(rows), "")) == Counter([(1, a), (1, b), (None, c), (3, "few words")])
+    # The mix's plan and its texts agree, row by row.
+    twice = [(7, a, "en", "s", None), (7, a, "en", "s", None), (7, b, "en", "s", None), (None, c, "en", "t", None),
+             (None, d, "en", "t", None)]
+    at = frame(twice).cache()
+    at.count()
+    taken = Counter((x.doc_id, x.taken) for x in mixing.mix(at).collect() if x.taken)
+    assert Counter((x.doc_id, len(WORD.findall(x.text))) for x in stages["source mix"](spark, at, "").collect()) == taken
+
+
+def test_row_keys_are_unique_and_stand(spark, docs, tmp_path):
+    """Rows of files, of files read twice, of nothing, and rows that no file holds."""
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "t"))
+    path = str(tmp_path / "t")
+    at = spark.read.parquet(path)
+    assert common._placed(at) is not None and common._placed(at.union(at)) is None and common._placed(docs) is None
+    for df in (at, spark.read.parquet(path, path), at.union(at), docs, at.filter("doc_id > 3")):
+        size = df.count()
+        rows = common.keyed(df)
+        texts = {x["_row"]: x["t"] for x in rows.select("_row", F.col("_doc.text").alias("t")).collect()}
+        again = {x["_row"]: x["_doc"]["text"] for x in rows.repartition(3).collect()}
+        assert len(texts) == size and texts == again
+
+
 def test_pipeline_runs_on_a_table(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
