@@ -17,11 +17,15 @@ WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 BUCKET_ROWS = 20_000
 
 
-def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", *columns)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the
     lineage, and a lost executor costs nothing that is not in the folder."""

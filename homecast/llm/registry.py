@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    best_fit, chunk_dedup, context_mixing, license_scan, line_quality, minhash_bayes, mixing, pii_crf, secret_scan,
-    trie_tokens,
+    best_fit, chunk_dedup, context_mixing, filter_audit, license_scan, line_quality, minhash_bayes, mixing, pii_crf,
+    secret_scan, trie_tokens,
 )
-from .common import documents, tokenizer_path
+from .common import documents, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -205,3 +205,43 @@ def op3(spark, sf_dir):
     path = F.concat_ws("/", "source", part(1000), part(50), F.col("doc_id").cast("string"))
     docs = documents(spark, sf_dir, "doc_id", "source", "text")
     return license_scan.scan(docs, path, F.col("first_line") == 0)
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+lab AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+        FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+        len(ws) < 50,
+        100 * len(list_distinct(ws)) < 65 * len(ws),
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+        regexp_matches(t, '[#$%&*|]'),
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+      FROM d LEFT JOIN lab USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS seq FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT seq, array_to_string(list_transform(seq, lambda i: 'ABCDE'[i]), '') AS filter_order,
+        unnest([1, 2, 3, 4, 5]) AS step FROM o),
+c AS (SELECT part, filter_order, step, seq[step] AS f, n, good, toxic, fails[seq[step]] AS now,
+        len(list_filter(seq[1:step - 1], lambda i: fails[i])) > 0 AS earlier,
+        len(list_filter([1, 2, 3, 4, 5], lambda i: fails[i])) AS n_failed
+      FROM g, s),
+r AS (SELECT part, filter_order, step, f, sum(n) FILTER (NOT now AND NOT earlier) AS kept,
+        sum(n) FILTER (now AND NOT earlier) AS removed, sum(n) FILTER (now AND earlier) AS redundant,
+        sum(n) FILTER (now AND n_failed = 1) AS unique_fails, sum(good) FILTER (now AND NOT earlier) AS good_lost,
+        sum(toxic) FILTER (now AND NOT earlier) AS toxic_lost FROM c GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query("op12_filter_postings", OP12_SQL)
+def op12(spark, sf_dir):
+    return filter_audit.audit(documents(spark, sf_dir, "doc_id", "source", "text"), table(spark, sf_dir, "labels"))
