@@ -6,10 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
-    best_fit, chunk_dedup, context_mixing, filter_audit, license_scan, line_quality, minhash_bayes, mixing, pii_crf,
-    secret_scan, trie_tokens,
+    best_fit, chunk_dedup, context_mixing, filter_audit, learned_partitions, lexical_search, license_scan,
+    line_quality, minhash_bayes, mixing, pii_crf, secret_scan, trie_tokens,
 )
 from .common import documents, table, tokenizer_path
 
@@ -199,8 +200,6 @@ SELECT doc_id, path, own_licence, own_score, n_notices, inherited_licence, inher
 def op3(spark, sf_dir):
     """The documents have no path: it is derived as source/<id div 1000>/<id div 50>/<id>; a
     document that opens with a notice is its directory's licence file."""
-    from pyspark.sql import functions as F
-
     part = lambda n: F.expr(f"doc_id div {n}").cast("string")
     path = F.concat_ws("/", "source", part(1000), part(50), F.col("doc_id").cast("string"))
     docs = documents(spark, sf_dir, "doc_id", "source", "text")
@@ -245,3 +244,31 @@ FROM r
 @query("op12_filter_postings", OP12_SQL)
 def op12(spark, sf_dir):
     return filter_audit.audit(documents(spark, sf_dir, "doc_id", "source", "text"), table(spark, sf_dir, "labels"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP11_TERMS = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {OP11_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+st AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+tf AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+it AS (SELECT DISTINCT item_id, unnest({OP11_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL),
+sc AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT)
+         * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+       FROM it JOIN tf USING (term) JOIN df USING (term), st GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+@query("op11_shared_terms", OP11_SQL)
+def op11(spark, sf_dir):
+    return lexical_search.search(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_learned_partitions")
+def op13(spark, sf_dir):
+    return learned_partitions.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"),
+                                     lambda i: F.pmod(i, F.lit(50)) == 0)
