@@ -157,7 +157,7 @@ def prepared(vectors: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, i
     at = vectors.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{vector}`").alias("_v")).filter(
         "_id is not null and size(_v) > 0")
     length = at.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = length["n"] if length else 0
+    dims = length["n"] if length else 1
 
     def check(batches: Iterator) -> Iterator:
         import hashlib

@@ -1,14 +1,14 @@
-"""Decompositions M1-M4 of keyed, gap-free series.
+"""Decompositions M1, M2 and M4 of keyed, gap-free series (M3: ``loess``).
 
 Classical (M1, M2) and the X-11 filter cascade (M4) are pure window
-expressions partitioned by the series keys; STL (M3) runs per key in
-``applyInPandas`` on the monthly series only.
+expressions partitioned by the series keys.
 Output columns: keys, index, y, trend, seasonal, remainder, season_adjust.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,62 +97,111 @@ def henderson_weights(terms: int) -> list[float]:
     return out
 
 
-def _weighted(y: str, weights, w: Window, truncate: bool = False) -> Column:
-    """Centred weighted moving sum.  Without ``truncate`` it is NULL unless
-    every term exists; with it, missing terms at the ends are dropped and the
-    remaining weights renormalised (a simple asymmetric end filter)."""
-    h = (len(weights) - 1) // 2
-    terms = [F.lag(y, h - i).over(w) if i < h else
-             (F.col(y) if i == h else F.lead(y, i - h).over(w)) for i in range(len(weights))]
-    if not truncate:
-        acc = None
-        for wt, t in zip(weights, terms):
-            acc = t * wt if acc is None else acc + t * wt
-        return acc
-    num = sum((F.coalesce(t * wt, F.lit(0.0)) for wt, t in zip(weights, terms)), F.lit(0.0))
-    den = sum((F.when(t.isNotNull(), F.lit(wt)).otherwise(F.lit(0.0))
-               for wt, t in zip(weights, terms)), F.lit(0.0))
-    return F.when(F.col(y).isNotNull() & (den > 0.25), num / den)
-
-
-def _seasonal_ma(si: str, keys, index, weights) -> Column:
-    """Seasonal moving average across years at the same cycle position."""
-    w = Window.partitionBy(*keys, "_pos").orderBy(index)
-    return _weighted(si, weights, w, truncate=True)
-
-
-def _trend_ma(y: str, keys, index, period: int) -> Column:
-    """2x12 centred moving average with truncated ends (X-11 only)."""
-    h = period // 2
-    wts = [0.5 / period] + [1.0 / period] * (period - 1) + [0.5 / period]
-    assert len(wts) == 2 * h + 1
-    return _weighted(y, wts, _w(keys, index), truncate=True)
-
-
-def x11(df: DataFrame, value: str, keys=(), index: str = "month",
-        period: int = PERIOD) -> DataFrame:
-    """M4: the additive X-11 cascade without ARIMA end extension:
-    2x12 trend -> 3x3 seasonal -> Henderson-13 trend -> 3x5 seasonal ->
-    Henderson-13 trend.  At the ends every filter is truncated and its
-    weights renormalised instead of X-11's tabulated asymmetric weights."""
-    df, keys, dummy = _with_key(df, keys)
-    w = _w(keys, index)
-    s33 = [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9]
-    s35 = [1 / 15, 2 / 15, 3 / 15, 3 / 15, 3 / 15, 2 / 15, 1 / 15]
+#: Noise-to-signal ratio that the 13-term end filters assume.
+HENDERSON_RATIO = 3.5
+#: End weights of the 3x3 and 3x5 seasonal averages, by how many of the later
+#: values are missing (most first); oldest value first.
+ENDS_3X3 = {2: [5 / 27, 11 / 27, 11 / 27], 1: [3 / 27, 7 / 27, 10 / 27, 7 / 27]}
+ENDS_3X5 = {3: [9 / 60, 17 / 60, 17 / 60, 17 / 60], 2: [4 / 60, 11 / 60, 15 / 60, 15 / 60, 15 / 60],
+            1: [4 / 60, 8 / 60, 13 / 60, 13 / 60, 13 / 60, 9 / 60]}
+
+
+def end_weights(weights: list[float], missing: int, ratio: float = HENDERSON_RATIO) -> list[float]:
+    """The filter for a row with ``missing`` of the later values absent: the one whose
+    result is revised least once they arrive, for a straight line plus noise (Musgrave 1964)."""
+    m, n = len(weights) - missing, len(weights)
+    d = 4 / (math.pi * ratio * ratio)
+    lost = sum(weights[m:])
+    moment = sum((i - (m + 1) / 2) * weights[i - 1] for i in range(m + 1, n + 1))
+    scale = d / (1 + m * (m - 1) * (m + 1) / 12 * d)
+    return [weights[j - 1] + lost / m + (j - (m + 1) / 2) * scale * moment for j in range(1, m + 1)]
+
+
+def _filtered(y: str, weights: list[float], ends: dict[int, list[float]], w: Window, part: Window) -> Column:
+    """Centred weighted sum over the ordered rows (none of them NULL).  Rows near an end use
+    the filter in ``ends`` for the number of values that are missing there, mirrored at the
+    start; rows short of values on both sides use what there is of the centred weights."""
+    h = len(weights) // 2
+    before = F.row_number().over(w) - 1
+    after = F.count(F.lit(1)).over(part) - F.row_number().over(w)
+    terms, at = [], []
+    for k in range(-h, h + 1):
+        terms.append(F.lag(y, -k).over(w) if k < 0 else F.lead(y, k).over(w) if k else F.col(y))
+        weight = F.when((before >= h) & (after >= h), weights[k + h])
+        for gone, end in ends.items():
+            own, mirrored = k + h, h - k
+            weight = weight.when((before >= h) & (after == h - gone), end[own] if own < len(end) else 0.0)
+            weight = weight.when((after >= h) & (before == h - gone), end[mirrored] if mirrored < len(end) else 0.0)
+        at.append(weight.otherwise(None))
+    num = sum((F.coalesce(t, F.lit(0.0)) * a for t, a in zip(terms, at)), F.lit(0.0))
+    part_num = sum((F.coalesce(t * x, F.lit(0.0)) for t, x in zip(terms, weights)), F.lit(0.0))
+    part_den = sum((F.when(t.isNotNull(), F.lit(x)).otherwise(0.0) for t, x in zip(terms, weights)), F.lit(0.0))
+    return F.coalesce(num, part_num / part_den)
+
+
+def _nearest(c: str, w: Window) -> Column:
+    """The value, or the nearest one in order (earlier ones first) where it is NULL."""
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    return F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead))
+
+
+def _season(d: DataFrame, si: str, out: str, keys, index: str, weights, ends, period: int) -> DataFrame:
+    """Add the seasonal figure: ``si`` averaged across the years, centred by its moving average."""
+    cycle = Window.partitionBy(*keys, "_pos").orderBy(index)
+    known = Window.partitionBy(*keys, "_pos", F.isnull(si))
+    d = d.withColumn("_s", F.when(F.col(si).isNotNull(), _filtered(si, weights, ends, known.orderBy(index), known)))
+    d = d.withColumn("_s", _nearest("_s", cycle))
+    d = d.withColumn("_c", centred_ma("_s", keys, index, period))
+    return d.withColumn(out, F.col("_s") - _nearest("_c", _w(keys, index)))
+
+
+def _cascade(d: DataFrame, y: str, keys, index: str, period: int) -> DataFrame:
+    """Add _seasonal and _trend of ``y``: 2x12 trend, 3x3 season, Henderson trend, 3x5 season,
+    Henderson trend."""
+    w, wk = _w(keys, index), Window.partitionBy(*keys)
     h13 = henderson_weights(13)
+    ends13 = {gone: end_weights(h13, gone) for gone in range(1, 7)}
+    d = d.withColumn("_t1", centred_ma(y, keys, index, period)).withColumn("_si", F.col(y) - F.col("_t1"))
+    d = _season(d, "_si", "_s1", keys, index, [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9], ENDS_3X3, period)
+    d = d.withColumn("_a1", F.col(y) - F.col("_s1"))
+    d = d.withColumn("_t2", _filtered("_a1", h13, ends13, w, wk)).withColumn("_si", F.col(y) - F.col("_t2"))
+    d = _season(d, "_si", "_seasonal", keys, index, [1 / 15, 2 / 15, 3 / 15, 3 / 15, 3 / 15, 2 / 15, 1 / 15],
+                ENDS_3X5, period)
+    d = d.withColumn("_a2", F.col(y) - F.col("_seasonal"))
+    return d.withColumn("_trend", _filtered("_a2", h13, ends13, w, wk))
+
+
+def _extreme_weight(irregular: str, lower: float, upper: float) -> Column:
+    """1 up to ``lower`` moving sigmas, 0 from ``upper`` on, linear between."""
+    u = F.abs(irregular) / F.col("_sigma")
+    return F.when((F.col("_sigma") <= 0) | (u <= lower), 1.0).when(u >= upper, 0.0).otherwise((upper - u) / (upper - lower))
+
+
+def x11(df: DataFrame, value: str, keys=(), index: str = "month", period: int = PERIOD,
+        lower: float = 1.5, upper: float = 2.5, years: int = 5) -> DataFrame:
+    """M4: the additive X-11 cascade with its end filters and its treatment of extreme values;
+    no ARIMA extension.  A first cascade gives irregulars; those beyond ``lower`` sigmas (over
+    ``years`` centred years, recomputed without the ones beyond ``upper``) are drawn towards zero
+    in the series that the second cascade reads, whose seasonal figure and trend are the
+    result.  The remainder is what the values themselves leave.  Series shorter than three
+    periods, and those with a NULL value, get NULLs."""
+    df, keys, dummy = _with_key(df, keys)
+    w, wk = _w(keys, index), Window.partitionBy(*keys)
     d = df.select(*keys, index, F.col(value).cast("double").alias("y"))
     d = d.withColumn("_pos", (F.row_number().over(w) - 1) % period)
-    d = d.withColumn("_t1", _trend_ma("y", keys, index, period))
-    d = d.withColumn("_si1", F.col("y") - F.col("_t1"))
-    d = d.withColumn("_s1", _seasonal_ma("_si1", keys, index, s33))
-    d = d.withColumn("_s1", F.col("_s1") - _trend_ma("_s1", keys, index, period))
-    d = d.withColumn("_a1", F.col("y") - F.col("_s1"))
-    d = d.withColumn("_t2", _weighted("_a1", h13, w, truncate=True))
-    d = d.withColumn("_si2", F.col("y") - F.col("_t2"))
-    d = d.withColumn("_s2", _seasonal_ma("_si2", keys, index, s35))
-    d = d.withColumn("seasonal", F.col("_s2") - _trend_ma("_s2", keys, index, period))
-    d = d.withColumn("season_adjust", F.col("y") - F.col("seasonal"))
-    d = d.withColumn("trend", _weighted("season_adjust", h13, w, truncate=True))
-    out = d.select(*keys, index, "y", "trend", "seasonal",
-                   (F.col("season_adjust") - F.col("trend")).alias("remainder"), "season_adjust")
+    d = d.withColumn("_long", (F.count("y").over(wk) >= 3 * period) & (F.count("y").over(wk) == F.count(F.lit(1)).over(wk)))
+    d = _cascade(d, "y", keys, index, period)
+    d = d.withColumn("_i", F.col("_a2") - F.col("_trend"))
+    frame = w.rowsBetween(-years * period // 2, years * period // 2)
+    square = F.col("_i") * F.col("_i")
+    d = d.withColumn("_sigma", F.sqrt(F.avg(square).over(frame)))
+    d = d.withColumn("_kept", F.when(F.abs("_i") < upper * F.col("_sigma"), square))
+    d = d.withColumn("_sigma", F.coalesce(F.sqrt(F.avg("_kept").over(frame)), F.lit(0.0)))
+    d = d.withColumn("_w", _extreme_weight("_i", lower, upper))
+    d = d.withColumn("_mod", F.col("y") - (1 - F.col("_w")) * F.col("_i"))
+    d = _cascade(d, "_mod", keys, index, period)
+    part = lambda c: F.when(F.col("_long"), c)
+    d = d.select(*keys, index, "y", part(F.col("_trend")).alias("trend"), part(F.col("_seasonal")).alias("seasonal"))
+    out = d.select("*", (F.col("y") - F.col("seasonal") - F.col("trend")).alias("remainder"),
+                   (F.col("y") - F.col("seasonal")).alias("season_adjust"))
     return out.drop("_k") if dummy else out

@@ -566,25 +566,7 @@ MODEL_FINAL.update({
 })
 
 
-# ------------------------------------------------------------------ X-11 cascade (M4)
-def _trunc_filter(col: str, weights, window: str) -> str:
-    """Truncated, renormalised centred filter, summed in the Spark order."""
-    h = (len(weights) - 1) // 2
-    terms = []
-    for i, wt in enumerate(weights):
-        k = i - h
-        if k < 0:
-            t = f"lag({col}, {-k}) OVER {window}"
-        elif k == 0:
-            t = col
-        else:
-            t = f"lead({col}, {k}) OVER {window}"
-        terms.append((t, repr(float(wt))))
-    num = "0.0" + "".join(f" + coalesce({t} * {w}, 0.0)" for t, w in terms)
-    den = "0.0" + "".join(f" + CASE WHEN {t} IS NOT NULL THEN {w} ELSE 0.0 END" for t, w in terms)
-    return f"CASE WHEN {col} IS NOT NULL AND ({den}) > 0.25 THEN ({num}) / ({den}) END"
-
-
+# ------------------------------------------------------------------ Henderson weights (M4)
 def _smoothest(terms: int) -> list[float]:
     """The symmetric filter that keeps cubics and whose weights have the least sum of squared
     third differences (zeros outside), from the conditions of the minimum."""
@@ -596,30 +578,6 @@ def _smoothest(terms: int) -> list[float]:
     return list(np.linalg.solve(system, np.r_[np.zeros(terms), 1, 0, 0, 0])[:terms])
 
 
-def _x11_sql(src: str, value: str) -> tuple[str, str]:
-    w = "(ORDER BY month)"
-    wp = "(PARTITION BY pos ORDER BY month)"
-    ma = [0.5 / 12] + [1.0 / 12] * 11 + [0.5 / 12]
-    s33 = [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9]
-    s35 = [1 / 15, 2 / 15, 3 / 15, 3 / 15, 3 / 15, 2 / 15, 1 / 15]
-    h13 = _smoothest(13)
-    ctes = f"""
-, x0 AS (SELECT month, CAST({value} AS DOUBLE) AS y, (row_number() OVER {w} - 1) % 12 AS pos FROM {src}),
-x1 AS (SELECT *, {_trunc_filter('y', ma, w)} AS t1 FROM x0),
-x2 AS (SELECT *, {_trunc_filter('si1', s33, wp)} AS s1r FROM (SELECT *, y - t1 AS si1 FROM x1)),
-x3 AS (SELECT *, s1r - {_trunc_filter('s1r', ma, w)} AS s1 FROM x2),
-x4 AS (SELECT *, {_trunc_filter('a1', h13, w)} AS t2 FROM (SELECT *, y - s1 AS a1 FROM x3)),
-x5 AS (SELECT *, {_trunc_filter('si2', s35, wp)} AS s2r FROM (SELECT *, y - t2 AS si2 FROM x4)),
-x6 AS (SELECT *, s2r - {_trunc_filter('s2r', ma, w)} AS seasonal FROM x5),
-x7 AS (SELECT *, {_trunc_filter('sa', h13, w)} AS trend FROM (SELECT *, y - seasonal AS sa FROM x6))"""
-    final = ("SELECT month, round(y, 4) AS y, round(trend, 4) AS trend, round(seasonal, 4) AS "
-             "seasonal, round(sa - trend, 4) AS remainder, round(sa, 4) AS season_adjust FROM x7")
-    return ctes, final
-
-
-MODEL_FINAL["M4"] = _x11_sql("ts_mean", "mean_sale")
-
-
 def _fanout(zr: str, mode: str) -> str:
     return (f"SELECT count(*) AS rows_in, CAST(sum(coalesce(m, 0)) AS BIGINT) AS rows_out, "
             f"CAST(sum(CASE WHEN coalesce(m, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS rows_unmatched, "
@@ -802,3 +760,7 @@ MODEL_FINAL.update({
                 "FROM (SELECT unnest([3, 0])::INTEGER AS b)"),
     "U1_replay": ("", "SELECT DISTINCT CASE WHEN user_id % 7 <> 0 THEN ts END AS ts, user_id, event_type, value, props FROM events"),
 })
+
+from . import oracle_series  # noqa: E402
+
+MODEL_FINAL.update(oracle_series.QUERIES)
