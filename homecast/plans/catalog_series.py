@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import autoregress as AR
 from ..operators import loess as L
+from ..operators import reconcile as REC
+from ..operators import series as S
 from ..operators import smooth as SM
-from .catalog import query, rounded, significant
+from ..operators.aggregate import money_sum
+from ..session import written
+from .catalog import HIERARCHY, query, rounded, significant
 from .pipeline import Pipeline
 
 
@@ -54,3 +58,50 @@ def q_m3(spark, d):
 @query("M3_robust")
 def q_m3_robust(spark, d):
     return rounded(L.stl(Pipeline(spark, d).report_ts("mean_sale"), "mean_sale", outer=1))
+
+
+# ------------------------------------------------------------------ reconciliation M15
+def node_series(spark, d):
+    """Monthly totals of every node of the hierarchy over the same months, without gaps."""
+    leaves = Pipeline(spark, d).sold("all").groupBy("month", *HIERARCHY).agg(money_sum("price").alias("price"))
+    ts = written(REC.hierarchy_series(leaves, HIERARCHY, "price"))
+    bounds = [ts.select(f("month")).scalar() for f in (F.min, F.max)]
+    return S.fill_gaps(ts, keys=["node"], fill={"price": 0.0}, bounds=bounds)
+
+
+def named(df):
+    return df.withColumn("node", F.array_join("node", " > "))
+
+
+@query("M15_ols")
+def q_m15_ols(spark, d):
+    # Every node's own autoregression, made coherent by least squares.
+    fit = AR.ar_fit(node_series(spark, d), "price", keys=["node"])
+    out = REC.least_squares(AR.ar_forecast(fit, 5, keys=["node"]), len(HIERARCHY))
+    return significant(named(out), "mean")
+
+
+def _errors(spark, d):
+    ts = written(node_series(spark, d))
+    fit = written(AR.ar_fit(ts, "price", keys=["node"]))
+    return fit, AR.ar_augment(ts, fit, "price", keys=["node"])
+
+
+@query("M15_shrinkage")
+def q_m15_shrinkage(spark, d):
+    _, residuals = _errors(spark, d)
+    return significant(REC.shrinkage(REC.common_errors(residuals)), "intensity")
+
+
+@query("M15_gains")
+def q_m15_gains(spark, d):
+    _, residuals = _errors(spark, d)
+    out = named(REC.gains(REC.common_errors(residuals)))
+    return significant(out.withColumn("at", F.array_join("at", " > ")).withColumn("gain", F.round("gain", 6) + F.lit(0.0)), "gain")
+
+
+@query("M15_mint")
+def q_m15_mint(spark, d):
+    # The same forecasts under the shrunken covariance of their one-step errors.
+    fit, residuals = _errors(spark, d)
+    return significant(named(REC.min_trace(AR.ar_forecast(fit, 5, keys=["node"]), residuals)), "mean")

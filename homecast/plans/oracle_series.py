@@ -308,7 +308,69 @@ xm AS (SELECT month, y, pos, y - (1 - CASE WHEN s1 <= 0 OR abs(i) <= 1.5 * s1 TH
                   "round(y - s - tr, 4) AS remainder, round(y - s, 4) AS season_adjust FROM wz")
 
 
+# ------------------------------------------------------------------------------ M15
+def _node_ts() -> str:
+    """CTE ``node_ts``: totals per node ('' for all, region, region > county) and month."""
+    names = ("''", "Region", "Region || ' > ' || County")
+    sums = " UNION ALL ".join(f"SELECT {n} AS node, month, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) AS price "
+                              f"FROM si_all GROUP BY ALL" for n in names)
+    return f""",
+node_m AS ({sums}),
+node_ts AS (SELECT node, month, coalesce(price, 0.0) AS price FROM (SELECT DISTINCT node FROM node_m) CROSS JOIN (
+  SELECT unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS month FROM (
+    SELECT min(month) AS lo, max(month) AS hi FROM node_m)) LEFT JOIN node_m USING (node, month)),
+tree AS (SELECT node, CASE WHEN node = '' THEN NULL WHEN contains(node, ' > ') THEN string_split(node, ' > ')[1] ELSE '' END
+  AS up FROM (SELECT DISTINCT node FROM node_m))"""
+
+
+#: Least squares in closed form: with q = S' y, the leaves are q - (region sum) - (total).
+_OLS = """,
+y AS (SELECT node, up, month, mean FROM arfc JOIN tree USING (node)),
+q AS (SELECT l.node, l.up, l.month, l.mean + r.mean + a.mean AS q FROM y l JOIN y r ON r.node = l.up AND r.month = l.month
+  JOIN y a ON a.node = '' AND a.month = l.month WHERE contains(l.node, ' > ')),
+qr AS (SELECT up, month, sum(q) AS q, count(*) AS n FROM q GROUP BY up, month),
+qa AS (SELECT month, sum(q / (1 + n)) / (1 + sum(n / (1.0 + n))) AS total FROM qr GROUP BY month),
+br AS (SELECT up, month, (q - n * total) / (1 + n) AS b, total FROM qr JOIN qa USING (month)),
+leafs AS (SELECT node, month, q - b - total AS mean FROM q JOIN br USING (up, month)),
+coherent AS (SELECT node, month, mean FROM leafs UNION ALL SELECT up, month, b FROM br UNION ALL SELECT '', month, total FROM qa)"""
+
+#: One-step errors, and their covariance and intensity by pairs of nodes.
+_ERRORS = """,
+er AS (SELECT node, month, y - c - coalesce(list_sum(list_transform(range(1, size + 1), lambda j: a[j] * back[j])), 0.0) AS e
+  FROM (SELECT *, list(y) OVER (PARTITION BY node ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fwd,
+          list_reverse(fwd) AS back FROM ary) JOIN arm USING (node) WHERE size = 0 OR len(fwd) >= size),
+ef AS (SELECT * FROM er WHERE month IN (SELECT month FROM er GROUP BY month HAVING count(*) = (SELECT count(*) FROM tree))),
+sd AS (SELECT node, sqrt(avg(e * e)) AS sd, count(*) AS nt FROM ef GROUP BY node),
+cv AS (SELECT a.node AS i, b.node AS j, sum(a.e * b.e) / max(nt) AS c,
+    sum(a.e * b.e) / max(sa.sd) / max(sb.sd) AS r, sum(a.e * a.e * b.e * b.e) / max(sa.sd * sa.sd * sb.sd * sb.sd) AS r2,
+    max(nt) AS nt FROM ef a JOIN ef b USING (month) JOIN sd sa ON sa.node = a.node
+  JOIN (SELECT node, sd FROM sd) sb ON sb.node = b.node GROUP BY 1, 2),
+lam AS (SELECT least(1.0, greatest(0.0, sum((r2 - r * r / nt) / (nt * (nt - 1))) / sum(r * r / (nt * nt)))) AS shrink,
+    max(nt) AS nt FROM cv WHERE i <> j)"""
+
+_GAINS = """,
+w AS (SELECT i, j, CASE WHEN i = j THEN c ELSE (1 - shrink) * c END AS w FROM cv, lam),
+inr AS (SELECT up AS par, row_number() OVER (ORDER BY up) - 1 AS no FROM (SELECT DISTINCT up FROM tree WHERE up IS NOT NULL)),
+um AS (SELECT node, par, no, CASE WHEN node = par THEN 1.0 WHEN up = par THEN -1.0 END AS u FROM tree, inr WHERE node = par OR up = par),
+wu AS (SELECT i AS node, par, no, sum(w * u) AS wu FROM w JOIN um ON um.node = w.j GROUP BY 1, 2, 3),
+uwu AS (SELECT um.no AS r, wu.no AS c, sum(u * wu) AS v FROM um JOIN wu ON wu.node = um.node GROUP BY 1, 2),
+kn AS (SELECT count(*) AS k FROM inr),
+gj AS (SELECT 0::BIGINT AS step, k, list(v ORDER BY r, c) AS a FROM (
+    SELECT r, c, v FROM uwu UNION ALL SELECT x.no, y.no + k, CASE WHEN x.no = y.no THEN 1.0 ELSE 0.0 END FROM inr x, inr y, kn), kn GROUP BY k
+  UNION ALL SELECT step + 1, k, list_transform(range(k * 2 * k), lambda q: CASE WHEN q // (2 * k) = step
+    THEN a[q + 1] / a[step * 2 * k + step + 1] ELSE a[q + 1] - a[(q // (2 * k)) * 2 * k + step + 1]
+      * a[step * 2 * k + q % (2 * k) + 1] / a[step * 2 * k + step + 1] END) FROM gj WHERE step < k),
+inv AS (SELECT x.no AS r, y.no AS c, y.par, a[x.no * 2 * k + k + y.no + 1] AS v FROM gj, inr x, inr y WHERE step = k),
+gain AS (SELECT node, inv.par, -sum(wu * v) AS gain FROM wu JOIN inv ON inv.r = wu.no GROUP BY 1, 2)"""
+
+_MINT = """,
+gap AS (SELECT par, month, sum(u * mean) AS u FROM um JOIN arfc USING (node) GROUP BY 1, 2),
+minted AS (SELECT f.node, f.month, max(f.mean) + sum(gain * u) AS mean FROM arfc f JOIN gain g ON g.node = f.node
+  JOIN gap p ON p.par = g.par AND p.month = f.month GROUP BY 1, 2)"""
+
+
 _AR = "," + ar("ts_region", "Region", "mean_sale", steps="12")
+_NODES = _node_ts() + "," + ar("node_ts", "node", "price", steps="5")
 _ETS = "," + ets("ts_region", "Region", "mean_sale", horizon=24)
 QUERIES = {
     "M11_region": (_AR, ar_report("Region")),
@@ -318,4 +380,8 @@ QUERIES = {
     "M3": stl("ts_mean", "mean_sale", 0),
     "M3_robust": stl("ts_mean", "mean_sale", 1),
     "M4": x11("ts_mean", "mean_sale"),
+    "M15_ols": (_NODES + _OLS, f"SELECT node, month, {s7('mean', 'mean')} FROM coherent"),
+    "M15_shrinkage": (_NODES + _ERRORS, f"SELECT (SELECT count(*) FROM tree) AS nodes, nt AS months, {s7('shrink', 'intensity')} FROM lam"),
+    "M15_gains": (_NODES + _ERRORS + _GAINS, f"SELECT node, par AS \"at\", {s7('round(gain, 6) + 0.0', 'gain')} FROM gain"),
+    "M15_mint": (_NODES + _ERRORS + _GAINS + _MINT, f"SELECT node, month, {s7('mean', 'mean')} FROM minted"),
 }
