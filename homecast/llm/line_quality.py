@@ -74,9 +74,10 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def verdicts(docs: DataFrame, host: str = "source", id_col: str = "doc_id", text: str = "text",
-             min_docs: int = 8, host_share: float = 0.2, min_left: float = 0.3) -> DataFrame:
+             max_docs: int = 8, min_left: float = 0.3) -> DataFrame:
     """One row per document: id, base counts, base_failed, n_lines_removed,
-    removed_words, removed_lines (hashes), kept.
+    removed_words, removed_lines (hashes), kept.  A line that more than ``max_docs`` distinct
+    documents of a host hold is removed, whatever the host's size.
 
     One pass reads the texts and writes a small profile (counts and line hashes);
     everything else reads that."""
@@ -92,11 +93,7 @@ def verdicts(docs: DataFrame, host: str = "source", id_col: str = "doc_id", text
     lines = profile.select("rid", "host", "content", F.explode("lines").alias("l")).select(
         "rid", "host", "content", "l.h", "l.n")
     in_docs = lines.groupBy("host", "h").agg(F.count_distinct("content").alias("docs"))
-    hosts = profile.groupBy("host").agg(F.count_distinct("content").alias("host_docs")).select(
-        F.col("host").alias("_host"), "host_docs")
-    common = in_docs.filter(F.col("docs") > min_docs).join(
-        hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(
-        F.col("docs") > host_share * F.col("host_docs")).select("_host", F.col("h").alias("_h"))
+    common = in_docs.filter(F.col("docs") > max_docs).select(F.col("host").alias("_host"), F.col("h").alias("_h"))
     removed = lines.join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h"))) \
         .groupBy("rid").agg(F.count("*").alias("n_lines_removed"), F.sum("n").alias("removed_words"),
                             F.collect_set("h").alias("removed_lines"))

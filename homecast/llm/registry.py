@@ -43,10 +43,8 @@ wl AS (SELECT doc_id, host, t, l, len(regexp_extract_all(l, '{WORD}')) AS n,
            'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS k
        FROM ln WHERE regexp_matches(l, '{WORD}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM wl GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
 freq AS (SELECT host, k, count(DISTINCT t) AS docs FROM wl GROUP BY host, k),
-common AS (SELECT f.host, f.k FROM freq f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host
-           WHERE f.docs > 8 AND f.docs > 0.2 * h.host_docs),
+common AS (SELECT host, k FROM freq WHERE docs > 8),
 gone AS (SELECT wl.doc_id, count(*) AS n_lines_removed, sum(n) AS removed_words
          FROM wl JOIN common c ON wl.host IS NOT DISTINCT FROM c.host AND wl.k = c.k GROUP BY wl.doc_id),
 s AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
