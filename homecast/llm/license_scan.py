@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialize, text_or_empty
 
 THRESHOLD = 0.7
-TERM = "[a-z0-9]+(?:\\.[0-9]+)*"
+#: Possessive, so that a long dotted number takes no stack.
+TERM = "[a-z0-9]++(?:\\.[0-9]++)*+"
 #: Licence and the wording of its usual notice.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
