@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match starts where a run of digits does: inside a run it would have succeeded from its start.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\t-\r]+")
@@ -74,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in _mails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(int(x) <= 255 for x in m.group().split(".")):
+            if all(len(x) <= 3 and int(x) <= 255 for x in (y.lstrip("0") or "0" for y in m.group().split("."))):
                 found.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = re.sub("[^0-9]", "", m.group())
