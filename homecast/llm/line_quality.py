@@ -3,8 +3,8 @@
 Each worded line is normalised (A-Z lowered, digit runs to ``0``, white runs to one
 space, trimmed) and hashed.  Per host, the distinct documents that hold a line are
 counted; documents with the same text count as one, so copies of a page do not turn its
-own lines into boilerplate.  A line in more than ``max(min_docs, host_share * documents
-of the host)`` documents is removed.  A document that keeps less than ``min_left`` of its
+own lines into boilerplate.  A line in more than ``max_docs`` documents of a host is
+removed; the limit does not rise with the host.  A document that keeps less than ``min_left`` of its
 words is depleted and rejected, as is one that fails the base rules.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host
