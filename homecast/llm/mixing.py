@@ -26,6 +26,8 @@ from .common import (
 
 BLOCK = 64
 SHARD_SLOTS = 65_536
+#: Slots that one row stands for when a shard's slots are dealt out to tasks.
+CHUNK = 4_096
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE, MOST_PASSES = 1.5, 2
 #: Steps of a walk that leaves the index range: an index outside is permuted again until
@@ -137,8 +139,12 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text:
     slots = shard_draws(sources.filter("source_size > 0").select("source_no", "expected"),
                         shard_slots, seed).filter("drawn > 0")
     slots = slots.join(sources.select("source_no", "blocks"), "source_no").select(
-        "source_no", "blocks", F.explode(F.sequence(
-            F.col("first"), F.col("first") + F.col("drawn") - 1)).alias("j"))
+        "source_no", "blocks", (F.col("first") + F.col("drawn")).alias("_end"), F.explode(F.sequence(
+            F.col("first"), F.col("first") + F.col("drawn") - 1, F.lit(CHUNK).cast("long"))).alias("_from"))
+    # Runs of slots are dealt out before the slots are written down.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = slots.repartition(parts, "source_no", "_from").select("source_no", "blocks", F.explode(F.sequence(
+        F.col("_from"), F.least(F.col("_from") + CHUNK, F.col("_end")) - 1)).alias("j"))
     slots = slots.filter(F.col("j") < F.lit(MOST_PASSES) * F.col("blocks"))
     n_pass = F.floor(F.col("j") / F.col("blocks")).cast("long")
     slots = slots.select("source_no", permuted(
