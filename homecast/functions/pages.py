@@ -18,9 +18,13 @@ SIZE_BLOCK, SIZE_SPAN = "size-block", 6
 SUMMARY_CLASS, SUMMARY_SPANS = "summary-row", {"list_price": 2, "beds": 5, "baths": 9, "sqft": 13}
 ADDRESS_ID = "summary-address"
 BASE_RE = r"^(https?://[^/]+)"
-TAG_RE = r"""(?is)<{name}\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
-ATTRIBUTE_RE = r"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-TOKEN_RE = r"""(?s)<(?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+"""
+# Possessive runs, so that no page takes the matcher's stack, and none that stops at ``<``
+# reads on to the page's end: time is linear in the page however its markup is broken.
+_INSIDE = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+TAG_RE = r"(?is)<{name}\b" + _INSIDE
+ATTRIBUTE_RE = r"""(?is)(?<![\w-]){name}\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++)"""
+TOKEN_RE = r"(?s)<" + _INSIDE + r"|[^<]++"
+HIDDEN_RE = r"(?is)<!--(?:.*?-->|.*+)|<(script|style)\b[^>]*+>(?:.*?</\1\s*+>|.*+)"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
@@ -29,25 +33,33 @@ def _c(x) -> Column:
 
 
 def unescape(text: Column) -> Column:
+    plain = text
     for entity, character in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    return F.when(plain.contains("&"), text).otherwise(plain)
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """The attribute's value; NULL if the tag has none of this name."""
-    pattern = ATTRIBUTE_RE.format(name=name)
-    value = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
-    return F.when(tag.rlike(pattern), unescape(value))
+    """The attribute's value, quoted or not; NULL if the tag has none of this name."""
+    held = F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE_RE.format(name=name)), F.lit(0)), 0)
+    return unescape(F.regexp_replace(held, r"""^[^=]*+=\s*+["']?|["']$""", ""))
 
 
-def tags(html, name: str) -> Column:
-    return F.regexp_extract_all(_c(html), F.lit(TAG_RE.format(name=name)), 0)
+def visible(html) -> Column:
+    """The page without comments, scripts and styles (an unclosed one reaches to the end)."""
+    h = _c(html)
+    return F.when(h.rlike(r"(?i)<!--|<script|<style"), F.regexp_replace(h, HIDDEN_RE, "")).otherwise(h)
+
+
+def tags(html, name: str, having: str | None = None) -> Column:
+    """The page's tags of this name, in order; only those in which ``having`` occurs, if given."""
+    found = F.regexp_extract_all(visible(html), F.lit(TAG_RE.format(name=name)), 0)
+    return F.filter(found, lambda t: F.lower(t).contains(having)) if having else found
 
 
 def hrefs(html="html") -> Column:
     """Every href value of the page's tags, in page order (an array)."""
-    found = F.transform(tags(html, "[a-z][a-z0-9]*"), lambda t: attribute(t, "href"))
+    found = F.transform(tags(html, "[a-z][a-z0-9]*+", "href"), lambda t: attribute(t, "href"))
     return F.filter(found, lambda h: h.isNotNull())
 
 
@@ -59,7 +71,7 @@ def meta_content(prop: str, html="html") -> Column:
 
 def row_labels(html="html") -> Column:
     """``label`` attributes of table rows that have one."""
-    found = F.transform(tags(html, "tr"), lambda t: attribute(t, "label"))
+    found = F.transform(tags(html, "tr", "label"), lambda t: attribute(t, "label"))
     return F.filter(found, lambda x: x.isNotNull())
 
 
@@ -109,14 +121,16 @@ def with_element(df: DataFrame, out: str, name: str, value: str, html: str = "ht
     texts): what the first element holds whose attribute ``name`` is, or among blanks holds,
     ``value``.  NULL if there is none."""
     held = rf"""(?:"(?:[^"]*\s)?{value}(?:\s[^"]*)?"|'(?:[^']*\s)?{value}(?:\s[^']*)?')"""
-    pattern = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*?(?<![\w-]){name}\s*=\s*{held}[^>]*>(.*)$"
+    pattern = rf"(?is)<([a-z][a-z0-9]*+)\b[^<>]*?(?<![\w-]){name}\s*+=\s*+{held}[^<>]*+>(.*+)$"
+    df = pinned(df, _shown=visible(html))
+    html = "_shown"
     df = pinned(df, _tag=F.lower(F.regexp_extract(html, pattern, 1)), _tail=F.regexp_extract(html, pattern, 2))
     df = pinned(df, _tokens=F.when(F.col("_tag") != "", F.regexp_extract_all("_tail", F.lit(TOKEN_RE), F.lit(0))))
     df = pinned(df, _names=F.transform("_tokens", _name))
     df = pinned(df, _end=_close(F.col("_names"), F.col("_tag"), F.lit(0)))
     df = pinned(df, **{out: F.slice("_tokens", F.lit(1), F.col("_end")),
                        f"{out}_tags": F.slice("_names", F.lit(1), F.col("_end"))})
-    return df.drop("_tag", "_tail", "_tokens", "_names", "_end")
+    return df.drop("_shown", "_tag", "_tail", "_tokens", "_names", "_end")
 
 
 def text_of(tokens: Column) -> Column:

@@ -141,7 +141,7 @@ def digits_only(text) -> Column:
 
 def strip(text) -> Column:
     """Python's ``str.strip``: remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(text), r"^\s++|(?<!\s)\s++$", "")
 
 
 def squish(text) -> Column:
