@@ -26,9 +26,15 @@ def part(text, sep: str, i: int) -> Column:
 
 def split_address(address="address") -> list[Column]:
     """C1 + C2: 'street, city, ST zip' -> street, city, state, zip."""
-    statezip = part(address, ", ", 2)
-    return [part(address, ", ", 0).alias("street"), part(address, ", ", 1).alias("city"),
-            part(statezip, " ", 0).alias("state"), part(statezip, " ", 1).alias("zip")]
+    return address_parts(F.split(_c(address), ", "))
+
+
+def address_parts(pieces) -> list[Column]:
+    """street, city, state, zip from the address split at ', '."""
+    p = _c(pieces)
+    statezip = F.split(F.get(p, 2), " ")
+    return [F.get(p, 0).alias("street"), F.get(p, 1).alias("city"),
+            F.get(statezip, 0).alias("state"), F.get(statezip, 1).alias("zip")]
 
 
 def money_to_double(text) -> Column:
@@ -47,13 +53,26 @@ YMD = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 CENTURY_FROM = 69
 
 
+def mdy_text(text) -> Column:
+    """The date as ``#year-month-day`` text by one match; text that is no such date stays
+    without the mark."""
+    return F.regexp_replace(_c(text), MDY, "#$3-$1-$2")
+
+
+def mdy_date(marked) -> Column:
+    """DATE from ``mdy_text``; NULL where the mark is missing or the day does not exist."""
+    t = _c(marked)
+    short = t.like("#__-%")
+    date = F.try_to_date(F.when(t.like("#%"), F.when(short, F.concat(
+        F.when(t >= F.lit(f"#{CENTURY_FROM}"), "19").otherwise("20"), F.substring(t, 2, 99))).otherwise(F.substring(t, 2, 99))),
+        "yyyy-M-d")
+    return date
+
+
 def parse_mdy(text) -> Column:
     """C6 mdy(): month, day and year (four digits, or two) with '/', '-', '.', ',' or blanks
     between them -> DATE; anything else NULL."""
-    t = _c(text)
-    month, day, year = (F.regexp_extract(t, MDY, i) for i in (1, 2, 3))
-    century = F.when(F.length(year) == 4, "").when(year >= F.lit(str(CENTURY_FROM)), "19").otherwise("20")
-    return F.when(t.rlike(MDY), F.try_to_date(F.concat_ws("-", F.concat(century, year), month, day), "yyyy-M-d"))
+    return mdy_date(mdy_text(text))
 
 
 def parse_ymd(text) -> Column:

@@ -23,12 +23,12 @@ MIN_MONTHS_PER_OPTION = 3
 MONEY = "decimal(20,2)"
 
 
-def money_sum(c: str) -> Column:
+def money_sum(c: str | Column) -> Column:
     """Sum of a money column, exact in cents (order-independent)."""
-    return F.sum(F.col(c).cast(MONEY)).cast("double")
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast(MONEY)).cast("double")
 
 
-def money_mean(c: str) -> Column:
+def money_mean(c: str | Column) -> Column:
     """Mean of a money column from the exact cent sum: bit-identical however
     the rows are partitioned or ordered."""
     return money_sum(c) / F.count(c)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.pages import pinned
 
 ADDRESS_KEYS = ["zip", "street", "city", "state"]
 EVENT_SOLD, EVENT_LISTED, EVENT_CHANGE = "Sold", "Listed for sale", "Price change"
@@ -19,12 +20,14 @@ def split_history(raw: DataFrame) -> DataFrame:
 
 
 def clean_history(raw: DataFrame) -> DataFrame:
-    """B1: month, zip, street, city, state, Event, price (numeric)."""
-    street, city, state, zip_ = T.split_address("address")
-    return raw.select(
-        T.to_month(T.parse_mdy("Date")).alias("month"),
-        zip_, street, city, state, "Event",
-        T.money_to_double(T.first_token("Price")).alias("price"))
+    """B1: month, zip, street, city, state, Event, price (numeric).  Each text is matched
+    once per row, whatever filters follow."""
+    d = pinned(raw, _pieces=F.split("address", ", "), _mdy=T.mdy_text("Date"), _money=T.first_token("Price")) \
+        .select("Event", "_pieces", "_mdy", "_money")
+    street, city, state, zip_ = T.address_parts("_pieces")
+    d = pinned(d, month=T.to_month(T.mdy_date("_mdy")), zip=zip_, street=street, city=city, state=state,
+               price=T.money_to_double("_money"))
+    return d.select("month", "zip", "street", "city", "state", "Event", "price")
 
 
 def clean_info(raw: DataFrame, require_sqft: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +53,20 @@ def sold_homes(h: DataFrame, i: DataFrame, zr: DataFrame, event: str = EVENT_SOL
     """B4 (app and visualisation form): h ⟕ i ⟕ zr, complete rows, no
     duplicates, one event type.  Column order follows the reference:
     month, zip, street, city, state, Event, price, link, beds, baths, sqft,
-    then the lookup columns."""
-    hi = with_zip_lookup(with_home_info(h, i), zr)
+    then the lookup columns.
+
+    Joins of tables without duplicates have none when all columns are kept, so each side is
+    de-duplicated before the joins: the sales on the address keys, whose hash partitioning
+    the de-duplication and the join share, and nothing is shuffled after the lookup's fan-out."""
+    h = complete_rows(h).filter(F.col("Event") == event)                   # F3, F4
+    i = complete_rows(i)
+    if dedup:                                                              # X1
+        h = h.repartition(*ADDRESS_KEYS).dropDuplicates()
+        i, zr = i.dropDuplicates(), zr.dropDuplicates()
+    hi = with_zip_lookup(with_home_info(h, i, "inner"), complete_rows(zr), "inner")
     cols = ["month", "zip", "street", "city", "state", "Event", "price",
             "link", "beds", "baths", "sqft"] + [c for c in zr.columns if c != "zip"]
-    hi = complete_rows(hi.select(*cols))
-    if dedup:
-        hi = hi.dropDuplicates()                                           # X1
-    return hi.filter(F.col("Event") == event)                              # F3
+    return hi.select(*cols)
 
 
 def sold_homes_report(h_text: DataFrame, i: DataFrame, county_zips: DataFrame,
@@ -101,15 +109,20 @@ def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b)
 
 
-def lookup_fanout(df: DataFrame, zr: DataFrame, key: str = "zip") -> DataFrame:
-    """How much a lookup join multiplies rows: rows_in (rows with a key),
-    rows_out (rows after the inner join = sum of matches per key), the
-    fan-out factor and the rows whose key has no match.  One pass over
-    ``df``; the lookup brings one row of match counts per key."""
-    matches = zr.groupBy(key).agg(F.count(F.lit(1)).alias("_m"))
+def lookup_fanout(df: DataFrame, lookups: dict[str, DataFrame], key: str = "zip") -> DataFrame:
+    """How much each lookup join multiplies rows, one row per lookup (``mode``): rows_in (rows
+    with a key), rows_out (rows after the inner join = sum of matches per key), the fan-out
+    factor and the rows whose key has no match.  One pass over ``df``: the lookups bring one row
+    of match counts per key together."""
+    tagged = [zr.select(key, F.lit(i).alias("_mode")) for i, zr in enumerate(lookups.values())]
+    n = range(len(tagged))
+    matches = reduce(DataFrame.unionByName, tagged).groupBy(key).agg(
+        *[F.count(F.when(F.col("_mode") == i, 1)).alias(f"_m{i}") for i in n])
     j = df.filter(F.col(key).isNotNull()).select(key).join(matches, key, "left")
-    m = F.coalesce(F.col("_m"), F.lit(0))
-    out = j.agg(F.count(F.lit(1)).alias("rows_in"), F.sum(m).alias("rows_out"),
-                F.sum(F.when(m == 0, 1).otherwise(0)).alias("rows_unmatched"))
-    return out.withColumn("fanout", F.try_divide(F.col("rows_out").cast("double"),
-                                                 F.col("rows_in")))
+    m = [F.coalesce(F.col(f"_m{i}"), F.lit(0)) for i in n]
+    one = j.agg(F.count(F.lit(1)).alias("rows_in"), *[F.sum(m[i]).alias(f"_o{i}") for i in n],
+                *[F.sum(F.when(m[i] == 0, 1).otherwise(0)).alias(f"_u{i}") for i in n])
+    rows = F.explode(F.array(*[F.struct(F.lit(mode).alias("mode"), F.col(f"_o{i}").alias("rows_out"),
+                                        F.col(f"_u{i}").alias("rows_unmatched")) for i, mode in enumerate(lookups)]))
+    out = one.select("rows_in", rows.alias("_r")).select("rows_in", "_r.rows_out", "_r.rows_unmatched", "_r.mode")
+    return out.withColumn("fanout", F.try_divide(F.col("rows_out").cast("double"), F.col("rows_in")))

@@ -725,9 +725,7 @@ def q_b4_fanout(spark, d):
     # Fan-out of the ZIP lookup over cleaned sales with home info, per lookup mode.
     p = P(spark, d)
     base = clean.complete_rows(EN.with_home_info(p.h, p.i(), "inner"))
-    outs = [EN.lookup_fanout(base, p.zr(m)).withColumn("mode", F.lit(m))
-            for m in EN.LOOKUP_MODES]
-    return rounded(outs[0].unionByName(outs[1]).unionByName(outs[2]))
+    return rounded(EN.lookup_fanout(base, {m: p.zr(m) for m in EN.LOOKUP_MODES}))
 
 
 @query("U1_stream")

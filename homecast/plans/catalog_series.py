@@ -11,7 +11,7 @@ from ..operators import series as S
 from ..operators import smooth as SM
 from ..operators.aggregate import money_sum
 from ..session import written
-from .catalog import HIERARCHY, query, rounded, significant
+from .catalog import HIERARCHY, VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT, _app, query, rounded, significant
 from .pipeline import Pipeline
 
 
@@ -105,3 +105,25 @@ def q_m15_mint(spark, d):
     # The same forecasts under the shrunken covariance of their one-step errors.
     fit, residuals = _errors(spark, d)
     return significant(named(REC.min_trace(AR.ar_forecast(fit, 5, keys=["node"]), residuals)), "mean")
+
+
+# ------------------------------------------------------------------ views Q6, Q7
+@query("Q6_ar")
+def q_q6_ar(spark, d):
+    return rounded(_app(spark, d).forecast("1 year", model="ar"))
+
+
+@query("Q6_ar_selection")
+def q_q6_ar_selection(spark, d):
+    return rounded(_app(spark, d).forecast("3 years", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT, scope="selection", model="ar"))
+
+
+@query("Q6_ar_menu")
+def q_q6_ar_menu(spark, d):
+    # Every menu entry's own series, a year ahead, in one job.
+    return rounded(_app(spark, d).forecast_menu("1 year"))
+
+
+@query("Q7_ar")
+def q_q7_ar(spark, d):
+    return rounded(_app(spark, d).forecast_table("1 year", VIEW_COUNTY, VIEW_LABEL, VIEW_SQFT, model="ar"))

@@ -46,14 +46,15 @@ def ar(src: str, key: str, value: str, p: str = "ar", steps: str | None = None)
 {p}s AS (SELECT {key}, d, max(n) AS n, max(mean) AS mean, sum(s * s) AS ss FROM (
   SELECT *, sum(e) OVER (PARTITION BY {key}, d ORDER BY t) AS s FROM {p}e) GROUP BY {key}, d),
 {p}g AS (SELECT {key}, d, list(g ORDER BY k) AS g FROM (
-  SELECT {key}, d, a.k, sum(a.e * b.e) / max(a.n) AS g FROM (SELECT *, unnest(range(0, 13)) AS k FROM {p}e) a
-  JOIN (SELECT {key}, d, t + 0 AS u, e FROM {p}e) b USING ({key}, d) WHERE a.t = b.u + a.k GROUP BY {key}, d, a.k)
+  SELECT {key}, d, k, coalesce(sum(e * f), 0.0) / max(n) AS g FROM (
+    SELECT *, t - k AS u FROM (SELECT *, unnest(range(0, 13)) AS k FROM {p}e)) LEFT JOIN (
+    SELECT {key}, d, t AS u, e AS f FROM {p}e) USING ({key}, d, u) GROUP BY {key}, d, k)
   GROUP BY {key}, d),
-{p}k AS (SELECT *, ss / (n * n * (g[1] + 2 * {total(
-    "greatest(0.0, 1 - j / (floor(4 * pow(n / 100.0, 0.25)) + 1.0)) * g[j + 1]", "12")})) AS kpss
+{p}k AS (SELECT *, ss / nullif(n * n * (g[1] + 2 * {total(
+    "greatest(0.0, 1 - j / (floor(4 * pow(n / 100.0, 0.25)) + 1.0)) * g[j + 1]", "12")}), 0) AS kpss
   FROM {p}s JOIN {p}g USING ({key}, d)),
-{p}pick AS (SELECT {key}, max(kpss) FILTER (d = 0) AS kpss, CASE WHEN max(kpss) FILTER (d = 0) < 0.463 THEN 0
-  WHEN max(kpss) FILTER (d = 1) < 0.463 THEN 1 ELSE 2 END AS d FROM {p}k GROUP BY {key}),
+{p}pick AS (SELECT {key}, max(kpss) FILTER (d = 0) AS kpss, CASE WHEN coalesce(max(kpss) FILTER (d = 0), 0) < 0.463
+  THEN 0 WHEN coalesce(max(kpss) FILTER (d = 1), 0) < 0.463 THEN 1 ELSE 2 END AS d FROM {p}k GROUP BY {key}),
 {p}c AS (SELECT {key}, d, n, mean, g, q.kpss FROM {p}k JOIN {p}pick q USING ({key}, d)),
 {p}j AS (SELECT {key}, p, 0 AS k, list_transform(range(p * (p + 1)), lambda q: CASE WHEN q % (p + 1) = p
     THEN g[q // (p + 1) + 2] ELSE g[abs(q // (p + 1) - q % (p + 1)) + 1] END) AS a
@@ -65,9 +66,10 @@ def ar(src: str, key: str, value: str, p: str = "ar", steps: str | None = None)
 {p}o AS (SELECT {key}, 0 AS p, []::DOUBLE[] AS phi FROM {p}c UNION ALL
   SELECT {key}, p, list_transform(range(1, p + 1), lambda i: a[i * (p + 1)]) FROM {p}j WHERE k = p),
 {p}v AS (SELECT *, g[1] - {total("phi[j] * g[j + 1]", "p")} AS v FROM {p}o JOIN {p}c USING ({key})),
-{p}a AS (SELECT *, n * ln(v) + 2 * (p + 2) + 2.0 * (p + 2) * (p + 3) / (n - p - 3) AS aicc,
-    v * n / (n - p - 1) AS sigma2 FROM {p}v),
-{p}best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY aicc, p) AS rn FROM {p}a) WHERE rn = 1)"""
+{p}a AS (SELECT *, CASE WHEN v > 0 AND n > p + 3 THEN n * ln(v) + 2 * (p + 2) + 2.0 * (p + 2) * (p + 3) / (n - p - 3) END
+    AS aicc, CASE WHEN n > p + 1 THEN v * n / (n - p - 1) END AS sigma2 FROM {p}v),
+{p}best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY coalesce(aicc, 'inf'::DOUBLE), p) AS rn
+  FROM {p}a WHERE p = 0 OR aicc IS NOT NULL) WHERE rn = 1)"""
     if steps is None:
         return out
     phi = lambda i: (f"(CASE WHEN {i} = 0 THEN 1.0 WHEN {i} < 0 OR {i} > p THEN 0.0 ELSE -phi[{i}] END)")
@@ -369,6 +371,32 @@ minted AS (SELECT f.node, f.month, max(f.mean) + sum(gain * u) AS mean FROM arfc
   JOIN gap p ON p.par = g.par AND p.month = f.month GROUP BY 1, 2)"""
 
 
+#: The series of every menu entry: sales of one county, beds and baths in three months or more.
+_MENU = """
+, menu_m AS (SELECT County, beds, baths, month, mean_sale FROM (
+  SELECT County, beds, baths, month, CAST(sum(CAST(price AS DECIMAL(20,2))) AS DOUBLE) / count(price) AS mean_sale,
+    count(*) OVER (PARTITION BY County, beds, baths) AS months FROM si_app GROUP BY County, beds, baths, month) WHERE months >= 3),
+menu_ts AS ({gaps})"""
+
+
+def _views() -> dict[str, tuple[str, str]]:
+    from .oracle import _VIEW, _dollar, gapfill
+
+    state = _VIEW + "," + ar("(SELECT 1 AS one, * FROM ts_app)", "one", "mean_sale", steps="12")
+    chosen = _VIEW + "," + ar("(SELECT 1 AS one, * FROM sel_ts)", "one", "mean_sale", steps="36")
+    menu = _MENU.replace("{gaps}", gapfill("menu_m", ["County", "beds", "baths"], ["mean_sale"], "0.0")) + "," + ar(
+        "menu_ts", "County, beds, baths", "mean_sale", steps="12")
+    label = " || ".join(f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '') || ' {c}'" for c in ("beds", "baths")).replace(
+        "' beds' || ", "' beds, ' || ")
+    table = (f"SELECT month, strftime(month, '%Y %b') AS \"Date\", round(mean - last_sale, 4) AS price_diff, "
+             f"{_dollar('mean - last_sale')} AS price_diff_text, round(mean, 4) AS total_sale, {_dollar('mean')} AS total_sale_text, "
+             f"strftime(base_month, '%Y %b') AS base_month FROM arfc, last_sale")
+    return {"Q6_ar": (state, f"SELECT {forecast_columns()} FROM arfc"),
+            "Q6_ar_selection": (chosen, f"SELECT {forecast_columns()} FROM arfc"),
+            "Q6_ar_menu": (menu, f"SELECT {forecast_columns('County, ' + label + ' AS bdba, ')} FROM arfc"),
+            "Q7_ar": (state, table)}
+
+
 _AR = "," + ar("ts_region", "Region", "mean_sale", steps="12")
 _NODES = _node_ts() + "," + ar("node_ts", "node", "price", steps="5")
 _ETS = "," + ets("ts_region", "Region", "mean_sale", horizon=24)
@@ -385,3 +413,6 @@ QUERIES = {
     "M15_gains": (_NODES + _ERRORS + _GAINS, f"SELECT node, par AS \"at\", {s7('round(gain, 6) + 0.0', 'gain')} FROM gain"),
     "M15_mint": (_NODES + _ERRORS + _GAINS + _MINT, f"SELECT node, month, {s7('mean', 'mean')} FROM minted"),
 }
+
+
+QUERIES.update(_views())

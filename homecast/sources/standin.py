@@ -65,7 +65,9 @@ def event_name(status: Column) -> Column:
 def history_raw(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """address, Date, Event, Price as text, like the scraped history table."""
     p = properties(customer)
-    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    # Dealt out by the join's key while the rows are narrow: the texts are made and parsed
+    # by all tasks, and a shuffled join uses the same exchange.
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate").repartition("o_custkey")
     j = o.join(p, o.o_custkey == p.c_custkey)
     brk = F.col("o_orderkey") % BREAK_MOD
     address = (F.when(brk == BREAK_NO_ZIP, F.concat_ws(", ", "street", "city"))
