@@ -4,7 +4,9 @@ Every aggregate is a declarative ``groupBy().agg()`` so Spark plans a partial
 (map-side) aggregate, one hash exchange on the grouping keys and a final
 aggregate: a hot month or region is pre-reduced in every task before the
 shuffle, so no task ever holds a whole group.  Exact medians go through
-``quantile.exact_median`` which also never gathers a group in one task.
+``quantile.median_by`` which also never gathers a group in one task.
+
+Money columns, named by the argument ``money``, are summed exactly in cents.
 """
 
 from __future__ import annotations
@@ -34,11 +36,11 @@ def money_mean(c: str | Column) -> Column:
     return money_sum(c) / F.count(c)
 
 
-MONEY_COLUMNS = {"price"}
+MONEY_COLUMNS = ("price",)
 
 
-def _mean(c: str) -> Column:
-    return money_mean(c) if c in MONEY_COLUMNS else F.avg(c)
+def _mean(c: str, money) -> Column:
+    return money_mean(c) if c in money else F.avg(c)
 
 
 def by_period(df: DataFrame, keys=(), period: str = "month", index: str = "month") -> DataFrame:
@@ -50,31 +52,30 @@ def by_period(df: DataFrame, keys=(), period: str = "month", index: str = "month
 
 
 def mean_series(df: DataFrame, keys=(), value: str = "price", name: str = "mean_sale",
-                index: str = "month", na_rm: bool = True) -> DataFrame:
+                index: str = "month", na_rm: bool = True, money=MONEY_COLUMNS) -> DataFrame:
     """Mean of ``value`` per (index, keys).  With
     ``na_rm=False`` a group holding a NULL gets a NULL mean, as R's ``mean``."""
-    m = _mean(value)
+    m = _mean(value, money)
     if not na_rm:
         m = F.when(F.count(F.lit(1)) == F.count(value), m)
     return df.groupBy(index, *keys).agg(m.alias(name))
 
 
-def means(df: DataFrame, measures: dict[str, str], keys=(), index: str = "month") -> DataFrame:
+def means(df: DataFrame, measures: dict[str, str], keys=(), index: str = "month", money=MONEY_COLUMNS) -> DataFrame:
     """Several means in one pass; ``measures`` maps output -> input column."""
-    return df.groupBy(index, *keys).agg(*[_mean(c).alias(n) for n, c in measures.items()])
+    return df.groupBy(index, *keys).agg(*[_mean(c, money).alias(n) for n, c in measures.items()])
 
 
-def r_sum(c: str) -> Column:
+def r_sum(c: str, money=MONEY_COLUMNS) -> Column:
     """R's ``sum`` without ``na.rm``: NULL as soon as one input is NULL."""
-    total = money_sum(c) if c in MONEY_COLUMNS else F.sum(c)
+    total = money_sum(c) if c in money else F.sum(c)
     return F.when(F.count(F.lit(1)) == F.count(c), total)
 
 
 def total_and_count(df: DataFrame, keys=(), value: str = "price", index: str = "month",
-                    na_rm: bool = True) -> DataFrame:
+                    na_rm: bool = True, money=MONEY_COLUMNS) -> DataFrame:
     """total_sales and count_sales per (index, keys)."""
-    total = (money_sum(value) if value in MONEY_COLUMNS else F.sum(value)) if na_rm \
-        else r_sum(value)
+    total = (money_sum(value) if value in money else F.sum(value)) if na_rm else r_sum(value, money)
     return df.groupBy(index, *keys).agg(total.alias("total_sales"),
                                         F.count(F.lit(1)).alias("count_sales"))
 
@@ -87,7 +88,7 @@ def count_series(df: DataFrame, keys=(), index: str = "month") -> DataFrame:
 def median_series(df: DataFrame, keys=(), value: str = "price", name: str = "median_sale",
                   index: str = "month", method: str = "exact") -> DataFrame:
     """Median per (index, keys).  ``exact`` interpolates
-    between the two middle values; ``approx`` uses a bounded-memory sketch."""
+    between the two middle values; ``builtin`` is Spark's aggregate."""
     return quantile.median_by(df, [index, *keys], {name: value}, method=method)
 
 

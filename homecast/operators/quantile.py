@@ -116,7 +116,8 @@ def exact_quantile_long(x: DataFrame, keys, q: float = 0.5) -> DataFrame:
             """The value at ``rank`` if it is lo, hi or the one next above hi."""
             return F.when(rank < F.col("n_below"), F.raise_error(F.lit("rank below the bracket")).cast("double")) \
                 .when(rank < inner, lo).when(rank < upper, F.lit(None)).when(rank < top, hi) \
-                .otherwise(F.coalesce("over", "next"))
+                .when(rank == top, F.coalesce("over", "next")) \
+                .otherwise(F.raise_error(F.lit("rank above the bracket")).cast("double"))
 
         k1, k2 = F.col("k1"), F.col("k2")
         after = F.when((k1 < inner) & (k2 == inner) & (F.col("cnt") > 0), F.col("first")).otherwise(at(k2))
@@ -131,6 +132,8 @@ def median_by(df: DataFrame, keys, measures: dict, method: str = "exact",
     """Quantile ``q`` (median by default) of each measure per group.
     ``measures`` maps output name -> input column.  ``builtin`` is Spark's aggregate (a
     group per buffer), for comparison."""
+    if method not in ("exact", "builtin"):
+        raise ValueError(f"unknown method {method}: exact or builtin")
     keys = list(keys)
     if method == "builtin":
         return df.groupBy(*keys).agg(*[

@@ -271,18 +271,11 @@ def ols_augment(df: DataFrame, fit: DataFrame, y: str, terms: dict[str, Column]
     if not isinstance(terms, dict):
         terms = {t: F.col(t) for t in terms}
     xs = [c.cast("double") for c in terms.values()]
-    if keys:
-        j = df.join(fit.select(*keys, "coef"), keys)
-        fitted = F.get(F.col("coef"), 0)
-        for i, x in enumerate(xs, start=1):
-            fitted = fitted + F.get(F.col("coef"), i) * x
-    else:
-        # A single fit is k + 1 numbers: they enter the plan as literals.
-        c = fit.select("coef").first()[0]
-        j = df
-        fitted = F.lit(float(c[0]))
-        for i, x in enumerate(xs, start=1):
-            fitted = fitted + F.lit(float(c[i])) * x
+    # A keyless fit is one row (a scalar subquery); without a row the fitted values are NULL.
+    j = df.join(fit.select(*keys, "coef"), keys) if keys else df.withColumn("coef", fit.select("coef").scalar())
+    fitted = F.get(F.col("coef"), 0)
+    for i, x in enumerate(xs, start=1):
+        fitted = fitted + F.get(F.col("coef"), i) * x
     out = j.select(*keys, index, F.col(y).cast("double").alias("y"), fitted.alias("fitted"))
     return out.withColumn("resid", F.col("y") - F.col("fitted"))
 

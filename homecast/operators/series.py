@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 STEPS = {"month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS"}
 
 
@@ -103,15 +105,19 @@ def seeded_hash(column: str, seed: int = 42) -> Column:
 
 
 def shuffled(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
-    """W11 ``random.shuffle``: a repeatable random order, as ``position`` (from 1).  The
-    rows are ranked within 256 classes of the hash, and the classes' sizes added up."""
-    df = df.withColumn("_h", seeded_hash(column, seed)).withColumn("_b", F.substring("_h", 1, 2))
-    sizes = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", column, *[c for c in df.columns if c[0] != "_"]))
-    return df.withColumn("_rank", rank).join(sizes, "_b").withColumn(
-        "position", (F.col("_before") + F.col("_rank")).cast("long")).drop("_h", "_b", "_rank", "_before")
+    """W11 ``random.shuffle``: a repeatable random order, as ``position`` (from 1).  The global
+    sort takes its splits from a sample of the rows themselves (hash, then the values), so
+    there are as many splits as the table needs and rows of equal hash are divided too.  The
+    sorted rows are written once; a split's rows are counted on from those of the splits
+    before it."""
+    order = df.withColumn("_h", seeded_hash(column, seed)).orderBy("_h", column, *df.columns)
+    rows = written(order.select(*df.columns, F.monotonically_increasing_id().alias("_id")))
+    split, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(split.alias("_split")).agg(F.count(F.lit(1)).alias("_n")).select(  # a row per split
+        "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.withColumn("_split", split).join(starts, "_split").select(
+        *df.columns, (F.col("_before") + place + 1).alias("position"))
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, order_col: str,

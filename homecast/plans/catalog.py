@@ -812,3 +812,27 @@ def q_u1_replay(spark, d):
     for _ in range(2):
         ING.append_new(batch, sink)
     return ING.read_sink(spark, sink)
+
+
+@query("U1_state")
+def q_u1_state(spark, d):
+    # The ingest with state and ledger over several deliveries and two runs: every delivery
+    # repeats a part of the one before, the last ones bring late records, some records have no
+    # time, and the second run comes after a restart.
+    root = _folder(spark, "state")
+    events = _table(spark, d, "events").withColumn("ts", F.when(F.col("user_id") % 7 != 0, F.col("ts")))
+    k = F.pmod(F.xxhash64("event_type", "value", "user_id", "props"), F.lit(10))
+    spans = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    third = events.withColumn("_s", spans.select(F.struct("lo", "hi")).scalar()).withColumn(
+        "_third", F.coalesce(F.width_bucket(F.unix_micros(F.col("ts").cast("timestamp")),
+                                            F.unix_micros(F.col("_s.lo").cast("timestamp")),
+                                            F.unix_micros(F.col("_s.hi").cast("timestamp")) + 1, F.lit(3)), F.lit(1))).drop("_s")
+    for delivery, run_after in ((1, False), (2, False), (3, True), (4, True)):
+        on_time = (F.col("_third") == delivery) & (k > 0)
+        again = (F.col("_third") == delivery - 1) & (k == 5)
+        late = F.lit(delivery == 4) & (k <= 1)
+        third.filter(on_time | again | late).drop("_third").write.parquet(f"{root}/landing/d={delivery}")
+        if run_after:
+            ING.run_stateful_ingest(spark, f"{root}/landing/*", events.schema, f"{root}/sink", f"{root}/checkpoint",
+                                    delay="1 hour", max_files_per_trigger=1)
+    return ING.read_committed(spark, f"{root}/sink", events.schema).select(*ING.RECORD_KEYS)

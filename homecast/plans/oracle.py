@@ -761,6 +761,8 @@ MODEL_FINAL.update({
     "U1_replay": ("", "SELECT DISTINCT CASE WHEN user_id % 7 <> 0 THEN ts END AS ts, user_id, event_type, value, props FROM events"),
 })
 
+MODEL_FINAL["U1_state"] = MODEL_FINAL["U1_replay"]
+
 from . import oracle_series  # noqa: E402
 
 MODEL_FINAL.update(oracle_series.QUERIES)

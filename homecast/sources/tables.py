@@ -10,19 +10,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_SCANS: dict[tuple[str, str], DataFrame] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str, fresh: bool = False) -> DataFrame:
-    """Scan of a driver table.  The base scan (file listing and footer read)
-    is reused within a session; ``fresh=True`` lists the files again."""
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Scan of a driver table."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    from ..session import session_key
-    key = (session_key(spark), path)
-    df = None if fresh else _SCANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _SCANS[key] = df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
