@@ -65,7 +65,7 @@ def lagged_products(series: DataFrame, value: str, keys=(), index: str = "month"
         e, n = F.col(f"_e{d}"), F.count(f"_e{d}")
         g = [F.coalesce(F.sum(x), F.lit(0.0)) for x in (e * e, *[F.col(f"_p{d}_{k}") for k in range(1, lags + 1)])]
         sums += [n.alias(f"_n{d}"), F.max(f"_m{d}").alias(f"_mean{d}"),
-                 F.sum(F.col(f"_s{d}") * F.col(f"_s{d}")).alias(f"_ss{d}"), F.array(*[x / n for x in g]).alias(f"_g{d}")]
+                 F.sum(F.col(f"_s{d}") * F.col(f"_s{d}")).alias(f"_ss{d}"), F.array(*[F.try_divide(x, n) for x in g]).alias(f"_g{d}")]
     out = s.groupBy(*keys).agg(*sums)
 
     def kpss(d: int) -> Column:

@@ -7,6 +7,7 @@ Output columns: keys, index, y, trend, seasonal, remainder, season_adjust.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,26 +118,33 @@ def end_weights(weights: list[float], missing: int, ratio: float = HENDERSON_RAT
     return [weights[j - 1] + lost / m + (j - (m + 1) / 2) * scale * moment for j in range(1, m + 1)]
 
 
+def filter_table(weights: list[float], ends: dict[int, list[float]]) -> list[list[float]]:
+    """The weights for a row by how many values stand before and after it (up to half the
+    length each): place before * (half + 1) + after."""
+    h, out = len(weights) // 2, []
+    for before in range(h + 1):
+        for after in range(h + 1):
+            if before == h:
+                out.append(ends[h - after] if after < h else weights)
+            elif after == h:
+                out.append(ends[h - before][::-1])
+            else:
+                short = weights[h - before:h + after + 1]
+                out.append([x / sum(short) for x in short])
+    return out
+
+
 def _filtered(y: str, weights: list[float], ends: dict[int, list[float]], w: Window, part: Window) -> Column:
     """Centred weighted sum over the ordered rows (none of them NULL).  Rows near an end use
     the filter in ``ends`` for the number of values that are missing there, mirrored at the
     start; rows short of values on both sides use what there is of the centred weights."""
     h = len(weights) // 2
-    before = F.row_number().over(w) - 1
-    after = F.count(F.lit(1)).over(part) - F.row_number().over(w)
-    terms, at = [], []
-    for k in range(-h, h + 1):
-        terms.append(F.lag(y, -k).over(w) if k < 0 else F.lead(y, k).over(w) if k else F.col(y))
-        weight = F.when((before >= h) & (after >= h), weights[k + h])
-        for gone, end in ends.items():
-            own, mirrored = k + h, h - k
-            weight = weight.when((before >= h) & (after == h - gone), end[own] if own < len(end) else 0.0)
-            weight = weight.when((after >= h) & (before == h - gone), end[mirrored] if mirrored < len(end) else 0.0)
-        at.append(weight.otherwise(None))
-    num = sum((F.coalesce(t, F.lit(0.0)) * a for t, a in zip(terms, at)), F.lit(0.0))
-    part_num = sum((F.coalesce(t * x, F.lit(0.0)) for t, x in zip(terms, weights)), F.lit(0.0))
-    part_den = sum((F.when(t.isNotNull(), F.lit(x)).otherwise(0.0) for t, x in zip(terms, weights)), F.lit(0.0))
-    return F.coalesce(num, part_num / part_den)
+    place = F.row_number().over(w)
+    before, after = F.least(place - 1, F.lit(h)), F.least(F.count(F.lit(1)).over(part) - place, F.lit(h))
+    table = F.from_json(F.lit(json.dumps(filter_table(weights, ends))), "array<array<double>>")
+    at = F.get(table, (before * (h + 1) + after).cast("int"))
+    terms = F.zip_with(F.collect_list(y).over(w.rowsBetween(-h, h)), at, lambda v, x: v * x)
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
 def _nearest(c: str, w: Window) -> Column:
@@ -171,35 +179,49 @@ def _cascade(d: DataFrame, y: str, keys, index: str, period: int) -> DataFrame:
     return d.withColumn("_trend", _filtered("_a2", h13, ends13, w, wk))
 
 
+def _median_of(values: Column) -> Column:
+    v, n = F.sort_array(values), F.size(values)
+    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+
+
 def _extreme_weight(irregular: str, lower: float, upper: float) -> Column:
     """1 up to ``lower`` moving sigmas, 0 from ``upper`` on, linear between."""
-    u = F.abs(irregular) / F.col("_sigma")
+    u = F.try_divide(F.abs(irregular), F.col("_sigma"))
     return F.when((F.col("_sigma") <= 0) | (u <= lower), 1.0).when(u >= upper, 0.0).otherwise((upper - u) / (upper - lower))
 
 
 def x11(df: DataFrame, value: str, keys=(), index: str = "month", period: int = PERIOD,
-        lower: float = 1.5, upper: float = 2.5, years: int = 5) -> DataFrame:
+        lower: float = 1.5, upper: float = 2.5, years: int = 5, passes: int = 2) -> DataFrame:
     """M4: the additive X-11 cascade with its end filters and its treatment of extreme values;
-    no ARIMA extension.  A first cascade gives irregulars; those beyond ``lower`` sigmas (over
-    ``years`` centred years, recomputed without the ones beyond ``upper``) are drawn towards zero
-    in the series that the second cascade reads, whose seasonal figure and trend are the
-    result.  The remainder is what the values themselves leave.  Series shorter than three
+    no ARIMA extension.  Irregulars beyond ``lower`` sigmas (over ``years`` centred years,
+    recomputed without the ones beyond ``upper``) are drawn towards zero in the series that the
+    next pass reads.  The first irregulars come from running medians, as an outlier in averages
+    would put the values around it out too.  The last pass's seasonal figure and trend are the
+    result, the remainder is what the values themselves leave.  Series shorter than three
     periods, and those with a NULL value, get NULLs."""
     df, keys, dummy = _with_key(df, keys)
     w, wk = _w(keys, index), Window.partitionBy(*keys)
     d = df.select(*keys, index, F.col(value).cast("double").alias("y"))
     d = d.withColumn("_pos", (F.row_number().over(w) - 1) % period)
     d = d.withColumn("_long", (F.count("y").over(wk) >= 3 * period) & (F.count("y").over(wk) == F.count(F.lit(1)).over(wk)))
-    d = _cascade(d, "y", keys, index, period)
-    d = d.withColumn("_i", F.col("_a2") - F.col("_trend"))
     frame = w.rowsBetween(-years * period // 2, years * period // 2)
-    square = F.col("_i") * F.col("_i")
-    d = d.withColumn("_sigma", F.sqrt(F.avg(square).over(frame)))
-    d = d.withColumn("_kept", F.when(F.abs("_i") < upper * F.col("_sigma"), square))
-    d = d.withColumn("_sigma", F.coalesce(F.sqrt(F.avg("_kept").over(frame)), F.lit(0.0)))
-    d = d.withColumn("_w", _extreme_weight("_i", lower, upper))
-    d = d.withColumn("_mod", F.col("y") - (1 - F.col("_w")) * F.col("_i"))
-    d = _cascade(d, "_mod", keys, index, period)
+    keep = [*keys, index, "y", "_pos", "_long", "_i"]
+    d = d.withColumn("_si", F.col("y") - centred_ma("y", keys, index, period))
+    known = Window.partitionBy(*keys, "_pos", F.isnull("_si")).orderBy(index)
+    d = d.withColumn("_s", F.when(F.col("_si").isNotNull(), _median_of(F.collect_list("_si").over(known.rowsBetween(-2, 2)))))
+    d = d.withColumn("_a", F.col("y") - _nearest("_s", Window.partitionBy(*keys, "_pos").orderBy(index)))
+    half = period // 2
+    d = d.withColumn("_i", F.col("_a") - _median_of(F.collect_list("_a").over(w.rowsBetween(-half, half)))).select(*keep)
+    for n in range(passes):
+        square = F.col("_i") * F.col("_i")
+        d = d.withColumn("_sigma", F.sqrt(F.avg(square).over(frame)))
+        d = d.withColumn("_kept", F.when(F.abs("_i") < upper * F.col("_sigma"), square))
+        d = d.withColumn("_sigma", F.coalesce(F.sqrt(F.avg("_kept").over(frame)), F.lit(0.0)))
+        d = d.withColumn("_w", _extreme_weight("_i", lower, upper))
+        d = d.withColumn("_read", F.col("y") - (1 - F.col("_w")) * F.col("_i"))
+        d = _cascade(d, "_read", keys, index, period)
+        if n < passes - 1:
+            d = d.withColumn("_i", F.col("y") - F.col("_seasonal") - F.col("_trend")).select(*keep)
     part = lambda c: F.when(F.col("_long"), c)
     d = d.select(*keys, index, "y", part(F.col("_trend")).alias("trend"), part(F.col("_seasonal")).alias("seasonal"))
     out = d.select("*", (F.col("y") - F.col("seasonal") - F.col("trend")).alias("remainder"),

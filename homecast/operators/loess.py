@@ -44,7 +44,7 @@ def local_fit(value: str, at: str, n: Column, span: int, degree: int, w, weight:
 
     def add(s: Column, p: Column) -> Column:
         x = (p["j"] - t).cast("double")
-        u = F.abs(x) / reach
+        u = F.try_divide(F.abs(x), reach.cast("double"))
         tri = F.when(F.abs(x) <= 0.001 * reach, 1.0).when(u <= 0.999, F.pow(1 - u * u * u, F.lit(3.0))).otherwise(0.0)
         g = tri * p["r"]
         terms = (g, g * x, g * x * x, g * p["y"], g * x * p["y"])
@@ -99,9 +99,10 @@ def stl(df: DataFrame, value: str, keys=(), index: str = "month", period: int =
             d = d.withColumn("trend", F.when(F.col("_real"), local_fit("_v", "_t", F.col("_n"), trend_window, 1, w, "_rho")))
         if turn < outer:
             d = d.withColumn("_r", F.abs(F.col("y") - F.col("seasonal") - F.col("trend")))
-            u = F.col("_r") / (6 * F.median("_r").over(wk))
-            bisquare = F.when(u <= 0.001, 1.0).when(u <= 0.999, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0)
-            d = d.withColumn("_rho", F.coalesce(bisquare, F.lit(1.0)))
+            d = d.withColumn("_far", 6 * F.median("_r").over(wk))
+            u = F.try_divide("_r", "_far")
+            d = d.withColumn("_rho", F.when(F.col("_r").isNull() | (F.col("_r") <= 0.001 * F.col("_far")), 1.0).when(
+                u <= 0.999, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0))
     part = lambda c: F.when(F.col("_n") >= 2 * period, c)
     d = d.filter("_real").select(*keys, index, "y", part(F.col("trend")).alias("trend"), part(F.col("seasonal")).alias("seasonal"))
     out = d.select("*", (F.col("y") - F.col("trend") - F.col("seasonal")).alias("remainder"),

@@ -98,7 +98,9 @@ def ets_states(series: DataFrame, value: str, keys=(), index: str = "month", per
         .otherwise(F.when(trending, F.col("_line")).otherwise(F.col("_mean")))
     trend = F.when(trending, F.when(seasonal, F.col("_rise")).otherwise(F.col("_slope"))).otherwise(0.0)
     season = F.when(seasonal, F.col("_season")).otherwise(F.array().cast("array<double>"))
-    first = F.struct(level.alias("l"), trend.alias("b"), season.alias("s"), F.lit(0.0).alias("sse"))
+    # Nullable from the start: a NULL value makes all that follows NULL.
+    some = lambda c: F.when(F.col("n") > 0, c)
+    first = F.struct(some(level).alias("l"), some(trend).alias("b"), some(season).alias("s"), some(F.lit(0.0)).alias("sse"))
 
     def step(a: Column, y: Column) -> Column:
         at = F.coalesce(F.get(a["s"], 0), F.lit(0.0))

@@ -297,17 +297,24 @@ def _x11_pass(src: str, y: str, p: str) -> str:
             + f",\n{p}z AS (SELECT * EXCLUDE (f), f AS tr FROM {p}h)")
 
 
-def x11(src: str, value: str) -> tuple[str, str]:
+def x11(src: str, value: str, passes: int = 2) -> tuple[str, str]:
     around = "OVER (ORDER BY month ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING)"
     ctes = f""",
-x0 AS (SELECT month, CAST({value} AS DOUBLE) AS y, (row_number() OVER (ORDER BY month) - 1) % 12 AS pos FROM {src}),""" \
-        + _x11_pass("x0", "y", "x") + f""",
-xs AS (SELECT *, a - tr AS i, sqrt(avg((a - tr) * (a - tr)) {around}) AS s0 FROM xz),
-xt AS (SELECT *, coalesce(sqrt(avg(CASE WHEN abs(i) < 2.5 * s0 THEN i * i END) {around}), 0.0) AS s1 FROM xs),
-xm AS (SELECT month, y, pos, y - (1 - CASE WHEN s1 <= 0 OR abs(i) <= 1.5 * s1 THEN 1.0 WHEN abs(i) >= 2.5 * s1 THEN 0.0
-    ELSE 2.5 - abs(i) / s1 END) * i AS ym FROM xt),""" + _x11_pass("xm", "ym", "w")
-    return ctes, ("SELECT month, round(y, 4) AS y, round(tr, 4) AS trend, round(s, 4) AS seasonal, "
-                  "round(y - s - tr, 4) AS remainder, round(y - s, 4) AS season_adjust FROM wz")
+xb0 AS (SELECT month, CAST({value} AS DOUBLE) AS y, (row_number() OVER (ORDER BY month) - 1) % 12 AS pos FROM {src}),
+xb1 AS (SELECT *, y - {_centred('y')} AS si FROM xb0),
+xb2 AS (SELECT *, CASE WHEN si IS NOT NULL THEN median(si) OVER (PARTITION BY pos, si IS NULL ORDER BY month
+    ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END AS f FROM xb1),
+xb3 AS (SELECT month, y, pos, y - {_near('f', 'PARTITION BY pos')} AS a FROM xb2),
+xi0 AS (SELECT month, y, pos, a - median(a) OVER (ORDER BY month ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS i FROM xb3)"""
+    for n in range(passes):
+        ctes += f""",
+xs{n} AS (SELECT *, sqrt(avg(i * i) {around}) AS s0 FROM xi{n}),
+xt{n} AS (SELECT *, coalesce(sqrt(avg(CASE WHEN abs(i) < 2.5 * s0 THEN i * i END) {around}), 0.0) AS s1 FROM xs{n}),
+xm{n} AS (SELECT month, y, pos, y - (1 - CASE WHEN s1 <= 0 OR abs(i) <= 1.5 * s1 THEN 1.0
+    WHEN abs(i) >= 2.5 * s1 THEN 0.0 ELSE 2.5 - abs(i) / s1 END) * i AS ym FROM xt{n}),""" + _x11_pass(f"xm{n}", "ym", f"x{n}") + f""",
+xi{n + 1} AS (SELECT month, y, pos, y - s - tr AS i, s, tr FROM x{n}z)"""
+    return ctes, (f"SELECT month, round(y, 4) AS y, round(tr, 4) AS trend, round(s, 4) AS seasonal, "
+                  f"round(y - s - tr, 4) AS remainder, round(y - s, 4) AS season_adjust FROM xi{passes}")
 
 
 # ------------------------------------------------------------------------------ M15

@@ -90,3 +90,33 @@ def test_dollar_column_rule(spark):
         df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
         got = [r[1] for r in df.select("i", T.dollar_column("x")).orderBy("i").collect()]
         assert got == want, (vals, got)
+
+
+# ------------------------------------------------------------------ broken and very long pages
+LONG = 1_000_000
+BROKEN = ["<a " + "x" * LONG, "a<b " + "y" * LONG, "<a<a" * (LONG // 4), '<a "' * (LONG // 4), "<" * LONG,
+          "<script>" * (LONG // 8), "<!--" * (LONG // 4), "<span class='" + "q " * (LONG // 2), "<a\n" * (LONG // 3),
+          '<div id="summary-address">' + "<span>" * (LONG // 6), "<meta property='home:beds' content=" + "9" * LONG + ">"]
+
+
+def test_broken_pages_of_a_megabyte_are_only_rejected(spark):
+    """Each within the stack and in linear time: all of them together in some seconds."""
+    from homecast.operators import extract as E
+    good = "<A title='a > b' href = /un><a href=\"/q&amp;r\">x</a><!-- <a href='/no'> --><script>'<a href=\"/js\">'</script>"
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate([*BROKEN, good])],
+                                  "page_id long, url string, html string").repartition(6).cache()
+    assert {(x.page_id, x.href) for x in E.links(pages).collect()} == {(len(BROKEN), "/un"), (len(BROKEN), "/q&r")}
+    assert E.listing_history(pages).count() == 0
+    assert E.listing_rejects(pages).count() == len(BROKEN) + 1
+    E.listing_summary(pages).collect()
+    E.listing_info(pages).collect()
+
+
+def test_dates_are_matched_once_and_strictly(spark):
+    from homecast.functions import text as T
+    texts = ["1/2/1995", "01-02-95", " 3. 4, 2001 ", "2/30/2000", "1995-1-2", "13/1/2000", "1/2/69", "1/2/68", "", None,
+             "#1995-1-2", "1/2/1995x", "1/2/995"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [None if x.d is None else str(x.d) for x in df.select(T.parse_mdy("t").alias("d")).collect()]
+    assert got == ["1995-01-02", "1995-01-02", "2001-03-04", None, None, None, "1969-01-02", "2068-01-02", None, None,
+                   None, None, None]

@@ -37,7 +37,18 @@ def test_materialized_fact_prunes_partitions(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*sale_year#\d+ = 1998", plan)
 
 
-@pytest.mark.parametrize("name", ["J7", "M15", "Q7_trend", "B4_fanout"])
+@pytest.mark.parametrize("name", ["Q4", "Q5", "B4_fanout", "Q6_ar_menu"])
+def test_views_scan_the_raw_table_once(spark, name):
+    assert _plan(spark, name).count("orders.parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["M11_region", "M12_region", "M3", "M13_ar", "M13_ets", "Q6_ar_menu"])
+def test_series_models_run_no_python(spark, name):
+    plan = _plan(spark, name)
+    assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["J7", "M15", "M15_ols", "Q7_trend", "Q7_ar", "B4_fanout"])
 def test_no_cartesian_products(spark, name):
     plan = _plan(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
