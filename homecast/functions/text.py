@@ -47,16 +47,16 @@ def first_token(text) -> Column:
     return part(text, " ", 0)
 
 
-MDY = r"^\s*([0-9]{1,2})[-/. ,]+([0-9]{1,2})[-/. ,]+([0-9]{4}|[0-9]{2})\s*$"
+MDY = r"^=\s*([0-9]{1,2})[-/. ,]+([0-9]{1,2})[-/. ,]+([0-9]{4}|[0-9]{2})\s*$"
 YMD = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 # Fixed value: two-digit years from here on are of the 1900s, smaller ones of the 2000s.
 CENTURY_FROM = 69
 
 
 def mdy_text(text) -> Column:
-    """The date as ``#year-month-day`` text by one match; text that is no such date stays
-    without the mark."""
-    return F.regexp_replace(_c(text), MDY, "#$3-$1-$2")
+    """The date as ``#year-month-day`` text by one match; any other text comes back with ``=``
+    in front."""
+    return F.regexp_replace(F.concat(F.lit("="), _c(text)), MDY, "#$3-$1-$2")
 
 
 def mdy_date(marked) -> Column:
