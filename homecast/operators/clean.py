@@ -15,8 +15,10 @@ EVENT_SOLD, EVENT_LISTED, EVENT_CHANGE = "Sold", "Listed for sale", "Price chang
 def split_history(raw: DataFrame) -> DataFrame:
     """History with the address split and the price token kept as text
     (the report form: street, city, state, zip, Date, Event, price)."""
-    return raw.select(*T.split_address("address"), "Date", "Event",
-                      T.first_token("Price").alias("price"))
+    d = pinned(raw, _pieces=F.split("address", ", "), _price=T.first_token("Price"))
+    street, city, state, zip_ = T.address_parts("_pieces")
+    d = pinned(d.select("_pieces", "_price", "Date", "Event"), street=street, city=city, state=state, zip=zip_)
+    return d.select("street", "city", "state", "zip", "Date", "Event", F.col("_price").alias("price"))
 
 
 def clean_history(raw: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pages import pinned
 from .clean import ADDRESS_KEYS, EVENT_SOLD, complete_rows
 
 LOOKUP_MODES = ("first_zip", "zip_region", "all")
@@ -71,14 +72,16 @@ def sold_homes(h: DataFrame, i: DataFrame, zr: DataFrame, event: str = EVENT_SOL
 
 def sold_homes_report(h_text: DataFrame, i: DataFrame, county_zips: DataFrame,
                       parse_month, parse_price) -> DataFrame:
-    """B5 (report form): the event filter first, the info join, complete rows,
-    then the ZIP join (County may stay NULL) and only then parsing, so a
-    price or date that fails to parse stays NULL.  No de-duplication."""
+    """B5 (report form): the event filter first, the info join, complete rows of
+    text, then parsing (a price or date that fails to parse stays NULL) and the
+    ZIP join (County may stay NULL).  Parsing is by row, so it comes before the
+    lookup multiplies the rows.  No de-duplication."""
     sold = h_text.filter(F.col("Event") == EVENT_SOLD)
-    si = complete_rows(with_home_info(sold, i))
+    si = complete_rows(with_home_info(complete_rows(sold), complete_rows(i), "inner"))
+    si = pinned(si.withColumnRenamed("price", "_price"), month=parse_month(F.col("Date")),
+                price=parse_price(F.col("_price"))).drop("_price")
     si = with_zip_lookup(si, county_zips.select("zip", "County"))
-    return si.select(parse_month(F.col("Date")).alias("month"), "County", "street", "city",
-                     "state", "zip", "Event", parse_price(F.col("price")).alias("price"),
+    return si.select("month", "County", "street", "city", "state", "zip", "Event", "price",
                      "link", "beds", "baths", "sqft")
 
 
