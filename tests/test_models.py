@@ -175,7 +175,7 @@ def seasonal_series(n=96, outlier=None):
     return y
 
 
-@pytest.mark.parametrize("decompose", [L.stl, lambda *a, **k: L.stl(*a, outer=2, **k), D.x11])
+@pytest.mark.parametrize("decompose", [L.stl, lambda *a, **k: L.stl(*a, outer=1, **k), D.x11])
 def test_parts_add_up_and_keys_do_not_mix(spark, decompose):
     a, b = seasonal_series(), autoregression([0.5], 70, 3, mean=40)
     both = decompose(frame(spark, {"a": a, "b": b, "short": [1.0] * 20}), "y", keys=["k"]).toPandas()
@@ -188,7 +188,7 @@ def test_parts_add_up_and_keys_do_not_mix(spark, decompose):
     assert np.allclose(season, [5, -3, 0, 8, -10, 2, 4, -6, 1, 3, -2, -2], atol=0.5)
 
 
-@pytest.mark.parametrize("decompose", [lambda *a, **k: L.stl(*a, outer=6, **k), D.x11])
+@pytest.mark.parametrize("decompose", [lambda *a, **k: L.stl(*a, outer=2, **k), D.x11])
 def test_an_outlier_does_not_move_the_season(spark, decompose):
     plain = decompose(frame(spark, {"a": seasonal_series()}), "y", keys=["k"]).orderBy("month").toPandas()
     hit = decompose(frame(spark, {"a": seasonal_series(outlier=50)}), "y", keys=["k"]).orderBy("month").toPandas()
