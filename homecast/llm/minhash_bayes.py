@@ -8,9 +8,10 @@
    unless they are in the pivot's component already.  A pivot that has met its bucket
    leaves it, so every pair of a bucket meets unless it is connected already, and a bucket
    of copies is done in its first round.  Pivots come from the bucket's largest components.
-   What the first round leaves open is narrowed exactly: pairs that share a shingle of at
-   most ``RARE`` documents are listed and verified; any other pair has only frequent
-   shingles in common, and does not meet if these are too few for the threshold.
+   What the first round leaves open is narrowed exactly: pairs whose first shared shingle, in
+   order of frequency, may be one of at most ``RARE`` documents are listed and verified
+   (prefix filter); any other pair has only frequent shingles in common, and does not meet if
+   these are too few for the threshold.
 4. A pair is verified in sequence: batch by batch, further minima are compared, and the
    pair is dropped as soon as the posterior chance that its similarity reaches the
    threshold (uniform prior) is below ``MISS``.
@@ -141,11 +142,16 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
         sign, "doc_id long, n_shingles long, key binary, bands array<long>, minima binary")
 
 
-def rare_shingles(texts: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def rare_shingles(texts: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """texts(id, text) -> (id, n shingles, common: those in more than ``RARE`` rows) and the
-    pairs a < b that share a rarer one.  A pair that is not among them has at most the
-    smaller ``common`` in its intersection.  By 64-bit hash: equal hashes of different
-    shingles could only make more pairs or a larger ``common``."""
+    pairs a < b whose first shared shingle may be a rarer one.
+
+    Shingles are in order of rows, then hash.  A pair at the threshold shares one among the
+    first n - ceil(percent * n) + 1 of either side, the first that it shares at all.  If that
+    one is rare the pair is listed here; if not, all that the pair shares is frequent, so its
+    intersection is at most the smaller ``common``.  Neither are pairs listed whose sizes alone
+    keep them below the threshold.  By 64-bit hash: equal hashes of different shingles could
+    only make more pairs or a larger ``common``."""
 
     def hashed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -162,9 +168,15 @@ def rare_shingles(texts: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     counts = rows.select("id", F.size("h").cast("long").alias("n")).join(
         rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").select(
         "id", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common"))
-    shared = rare.filter("rows > 1").select("h", F.col("id").alias("a"))
-    pairs = shared.join(shared.withColumnRenamed("a", "b"), "h").filter("a < b").select("a", "b").distinct()
-    return materialize(counts), pairs
+    counts = materialize(counts)
+    first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    # The first ones by document: rare shingles come before all others.
+    heads = rare.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rows", "h"))).alias("l")).join(
+        counts, "id").select("id", "n", F.explode(F.slice("l", F.lit(1), first.cast("int"))).alias("s"))
+    shared = heads.filter("s.rows > 1").select(F.col("s.h").alias("h"), F.col("id").alias("a"), F.col("n").alias("n_a"))
+    other = shared.select("h", F.col("a").alias("b"), F.col("n_a").alias("n_b"))
+    near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    return counts, shared.join(other, "h").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
@@ -247,7 +259,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col:
         pairs, may = None, F.lit(True)
         if pivots > FIRST_PIVOTS:  # what the first round leaves open
             if counts is None:
-                counts, pairs = rare_shingles(known.join(at.select("id").distinct(), "id", "left_semi"), width)
+                counts, pairs = rare_shingles(known.join(at.select("id").distinct(), "id", "left_semi"), percent, width)
                 label = lambda c: at.select(F.col("id").alias(c), F.col("label").alias(f"_{c}")).distinct()
                 pairs = pairs.join(label("a"), "a").join(label("b"), "b").filter("_a <> _b").select("a", "b")
             at = materialize(at.join(counts, "id"))
