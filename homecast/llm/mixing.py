@@ -159,7 +159,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text:
     lo = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     hi = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
     pieces = pieces.select("rid", "source_no", "block", lo.alias("word"), (hi - lo).alias("n"))
-    return rows, sources, pieces.join(times, ["source_no", "block"], "left").select(
+    # The planner cannot see how many slots the few source rows become: no broadcast.
+    return rows, sources, pieces.join(times.hint("merge"), ["source_no", "block"], "left").select(
         "rid", "word", "n", F.coalesce("times", F.lit(0)).alias("times"))
 
 
