@@ -32,11 +32,19 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
-    plain = text
-    for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return F.when(plain.contains("&"), text).otherwise(plain)
+    def plain(t: Column) -> Column:
+        out = t
+        for entity, character in ENTITIES.items():
+            out = F.replace(out, F.lit(entity), F.lit(character))
+        return F.when(t.contains("&"), out).otherwise(t)
+
+    return _once(text, plain)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -48,30 +56,40 @@ def attribute(tag: Column, name: str) -> Column:
 def visible(html) -> Column:
     """The page without comments, scripts and styles (an unclosed one reaches to the end)."""
     h = _c(html)
-    return F.when(h.rlike(r"(?i)<!--|<script|<style"), F.regexp_replace(h, HIDDEN_RE, "")).otherwise(h)
+    return F.when(h.rlike(r"(?i)<(?:!--|script|style)"), F.regexp_replace(h, HIDDEN_RE, "")).otherwise(h)
 
 
-def tags(html, name: str, having: str | None = None) -> Column:
-    """The page's tags of this name, in order; only those in which ``having`` occurs, if given."""
-    found = F.regexp_extract_all(visible(html), F.lit(TAG_RE.format(name=name)), 0)
+def tags(shown, name: str, having: str | None = None) -> Column:
+    """The tags of this name in a ``visible`` page, in order; only those in which ``having``
+    occurs, if given."""
+    found = F.regexp_extract_all(_c(shown), F.lit(TAG_RE.format(name=name)), 0)
     return F.filter(found, lambda t: F.lower(t).contains(having)) if having else found
 
 
 def hrefs(html="html") -> Column:
     """Every href value of the page's tags, in page order (an array)."""
-    found = F.transform(tags(html, "[a-z][a-z0-9]*+", "href"), lambda t: attribute(t, "href"))
+    found = F.transform(tags(visible(html), "[a-z][a-z0-9]*+", "href"), lambda t: attribute(t, "href"))
     return F.filter(found, lambda h: h.isNotNull())
 
 
-def meta_content(prop: str, html="html") -> Column:
-    """``content`` of the last ``<meta property=prop>`` tag; NULL if none."""
-    found = F.filter(tags(html, "meta"), lambda t: attribute(t, "property") == F.lit(prop))
-    return F.when(F.size(found) > 0, attribute(F.element_at(found, -1), "content"))
+def metas(shown) -> Column:
+    """property and content of every meta tag of a ``visible`` page, in page order."""
+    return F.transform(tags(shown, "meta"), lambda t: F.struct(
+        attribute(t, "property").alias("property"), attribute(t, "content").alias("content")))
 
 
-def row_labels(html="html") -> Column:
-    """``label`` attributes of table rows that have one."""
-    found = F.transform(tags(html, "tr", "label"), lambda t: attribute(t, "label"))
+def meta_content(prop: str, html="html", found=None) -> Column:
+    """``content`` of the last ``<meta property=prop>`` tag; NULL if none.  ``found``: the
+    page's ``metas``, if they are at hand."""
+    held = F.filter(metas(visible(html)) if found is None else _c(found), lambda m: m["property"] == F.lit(prop))
+    return F.try_element_at(held, F.lit(-1))["content"]
+
+
+def row_labels(html="html", shown=None) -> Column:
+    """``label`` attributes of table rows that have one.  ``shown``: the ``visible`` page,
+    if it is at hand."""
+    page = visible(html) if shown is None else _c(shown)
+    found = F.transform(tags(page, "tr", "label"), lambda t: attribute(t, "label"))
     return F.filter(found, lambda x: x.isNotNull())
 
 
@@ -93,7 +111,7 @@ def label_value(entries, key: str) -> Column:
 
 
 def _name(token: Column) -> Column:
-    return F.regexp_extract(F.lower(token), r"^<(/?[a-z][a-z0-9]*)", 1)
+    return F.when(token.startswith("<"), F.regexp_extract(F.lower(token), r"^<(/?[a-z][a-z0-9]*)", 1)).otherwise("")
 
 
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
@@ -103,34 +121,43 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", one).select(*df.columns, *[F.col(f"_pinned.{n}").alias(n) for n in columns])
 
 
-def _close(names: Column, name: Column, begin: Column) -> Column:
-    """The place (from 0) of the token that closes an element ``name`` opened just before
-    the place ``begin``; the end if none does."""
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.size(names).alias("end"))
+def _marks(names: Column, name: Column) -> Column:
+    """The places (from 1) of the tokens that open an element ``name`` and, negative, of those
+    that close one, in page order."""
+    places = F.transform(names, lambda tag, i: F.when(tag == name, i + 1).when(
+        tag == F.concat(F.lit("/"), name), -(i + 1)).otherwise(0))
+    return F.filter(places, lambda m: m != 0)
+
 
-    def walk(a: Column, tag: Column) -> Column:
-        step = F.when(a["i"] < begin, 0).when(tag == name, 1).when(tag == F.concat(F.lit("/"), name), -1).otherwise(0)
-        end = F.when((step < 0) & (a["depth"] == 1) & (a["end"] == F.size(names)), a["i"]).otherwise(a["end"])
-        return F.struct((a["depth"] + step).alias("depth"), (a["i"] + 1).alias("i"), end.alias("end"))
+def _close(names: Column, marks: Column, begin: Column) -> Column:
+    """The place (from 0) of the token that closes an element opened just before the place
+    ``begin``; the end if none does."""
+    def walk(depth: Column, mark: Column) -> Column:  # the closing mark, once it is found
+        return F.when((depth < 0) | (F.abs(mark) <= begin), depth).when(mark > 0, depth + 1).when(
+            depth > 1, depth - 1).otherwise(mark)
 
-    return F.aggregate(names, start, walk)["end"]
+    return F.aggregate(marks, F.lit(1), walk, lambda at: F.when(at < 0, -at - 1).otherwise(F.size(names)))
 
 
-def with_element(df: DataFrame, out: str, name: str, value: str, html: str = "html") -> DataFrame:
+def with_element(df: DataFrame, out: str, name: str, value: str, html: str = "html",
+                 shown: str | None = None) -> DataFrame:
     """Add ``out`` (tokens: tags and texts) and ``out``_tags (their tag names, empty for
     texts): what the first element holds whose attribute ``name`` is, or among blanks holds,
-    ``value``.  NULL if there is none."""
+    ``value``.  NULL if there is none.  ``shown``: the column of the ``visible`` page, if there
+    is one."""
     held = rf"""(?:"(?:[^"]*\s)?{value}(?:\s[^"]*)?"|'(?:[^']*\s)?{value}(?:\s[^']*)?')"""
-    pattern = rf"(?is)<([a-z][a-z0-9]*+)\b[^<>]*?(?<![\w-]){name}\s*+=\s*+{held}[^<>]*+>(.*+)$"
-    df = pinned(df, _shown=visible(html))
-    html = "_shown"
-    df = pinned(df, _tag=F.lower(F.regexp_extract(html, pattern, 1)), _tail=F.regexp_extract(html, pattern, 2))
-    df = pinned(df, _tokens=F.when(F.col("_tag") != "", F.regexp_extract_all("_tail", F.lit(TOKEN_RE), F.lit(0))))
+    pattern = rf"(?is)<[a-z][a-z0-9]*+\b[^<>]*?(?<![\w-]){name}\s*+=\s*+{held}[^<>]*+>"
+    if shown is None:
+        return with_element(pinned(df, _shown=visible(html)), out, name, value, shown="_shown").drop("_shown")
+    df = pinned(df, _open=F.regexp_extract(shown, pattern, 0))
+    tail = F.substr(F.col(shown), F.instr(F.col(shown), F.col("_open")) + F.length("_open"))
+    df = pinned(df, _tag=F.lower(F.regexp_extract("_open", r"(?i)^<([a-z][a-z0-9]*)", 1)), _tokens=F.when(
+        F.col("_open") != "", F.regexp_extract_all(tail, F.lit(TOKEN_RE), F.lit(0))))
     df = pinned(df, _names=F.transform("_tokens", _name))
-    df = pinned(df, _end=_close(F.col("_names"), F.col("_tag"), F.lit(0)))
+    df = pinned(df, _end=_close(F.col("_names"), _marks(F.col("_names"), F.col("_tag")), F.lit(0)))
     df = pinned(df, **{out: F.slice("_tokens", F.lit(1), F.col("_end")),
                        f"{out}_tags": F.slice("_names", F.lit(1), F.col("_end"))})
-    return df.drop("_shown", "_tag", "_tail", "_tokens", "_names", "_end")
+    return df.drop("_open", "_tag", "_tokens", "_names", "_end")
 
 
 def text_of(tokens: Column) -> Column:
@@ -142,12 +169,13 @@ def with_spans(df: DataFrame, block: str, spans: dict[str, int]) -> DataFrame:
     """Add the texts of numbered (zero-based) spans of a ``with_element`` block; NULL
     for a span that the block does not have."""
     tags = F.col(f"{block}_tags")
-    df = pinned(df, _opens=F.filter(F.sequence(F.lit(0), F.size(tags)), lambda i: F.get(tags, i) == "span"))
-    df = pinned(df, **{f"_at_{c}": F.get("_opens", k) + 1 for c, k in spans.items()})
-    df = pinned(df, **{f"_to_{c}": _close(tags, F.lit("span"), F.col(f"_at_{c}")) for c in spans})
+    df = pinned(df, _marks=_marks(tags, F.lit("span")))
+    df = pinned(df, _opens=F.filter("_marks", lambda m: m > 0))
+    df = pinned(df, **{f"_at_{c}": F.get("_opens", F.lit(k)) for c, k in spans.items()})
+    df = pinned(df, **{f"_to_{c}": _close(tags, F.col("_marks"), F.col(f"_at_{c}")) for c in spans})
     texts = {c: F.when(F.col(f"_at_{c}").isNotNull(), text_of(F.slice(
         block, F.col(f"_at_{c}") + 1, F.col(f"_to_{c}") - F.col(f"_at_{c}")))) for c in spans}
-    return pinned(df, **texts).drop("_opens", *[f"_{x}_{c}" for x in ("at", "to") for c in spans])
+    return pinned(df, **texts).drop("_marks", "_opens", *[f"_{x}_{c}" for x in ("at", "to") for c in spans])
 
 
 def base_url(url="url") -> Column:

@@ -67,8 +67,9 @@ def absolute(href: str = "href", base: Column | str | None = None) -> Column:
 def listing_history(pages: DataFrame, address_prop: str = PG.ADDRESS_PROP) -> DataFrame:
     """One history row per labelled table row: page_id, address,
     Date, Event, Price.  Rows come out even when the page lacks other parts."""
-    lab = pages.select("page_id", PG.meta_content(address_prop).alias("address"),
-                       F.explode(PG.row_labels("html")).alias("label"))
+    d = PG.pinned(pages.select("page_id", "html"), _shown=PG.visible("html")).drop("html")
+    d = PG.pinned(d, _metas=PG.metas("_shown"), _labels=PG.row_labels(shown="_shown"))
+    lab = d.select("page_id", PG.meta_content(address_prop, found="_metas").alias("address"), F.explode("_labels").alias("label"))
     e = lab.select("page_id", "address", PG.label_entries("label").alias("kv"))
     return e.select("page_id", "address", PG.label_value("kv", "Date").alias("Date"),
                     PG.label_value("kv", "Event").alias("Event"),
@@ -79,10 +80,11 @@ def listing_parts(pages: DataFrame, props=(PG.ADDRESS_PROP, PG.BEDS_PROP, PG.BAT
                   block: str = PG.SIZE_BLOCK, span: int = PG.SIZE_SPAN) -> DataFrame:
     """The parts of an info record as text (NULL: not on the page), and ``missing``, the
     first part that is not there."""
-    d = PG.pinned(pages.select("page_id", "url", "html"), **{
-        c: PG.meta_content(p) for p, c in zip(props, ("address", "beds", "baths"))})
-    d = PG.with_spans(PG.with_element(d, "_block", "data-testid", block), "_block", {"sqft": span})
-    d = d.drop("_block", "_block_tags", "html")
+    d = PG.pinned(pages.select("page_id", "url", "html"), _shown=PG.visible("html")).drop("html")
+    d = PG.pinned(d, _metas=PG.metas("_shown"))
+    d = PG.pinned(d, **{c: PG.meta_content(p, found="_metas") for p, c in zip(props, ("address", "beds", "baths"))}).drop("_metas")
+    d = PG.with_element(d, "_block", "data-testid", block, shown="_shown").drop("_shown")
+    d = PG.with_spans(d, "_block", {"sqft": span}).drop("_block", "_block_tags")
     return d.withColumn("missing", F.coalesce(*[
         F.when(F.col(c).isNull(), F.lit(c)) for c in ("address", "beds", "baths", "sqft")]))
 
@@ -103,7 +105,9 @@ def listing_summary(pages: DataFrame, row_class: str = PG.SUMMARY_CLASS, spans:
                     address_id: str = PG.ADDRESS_ID) -> DataFrame:
     """E14 for the summary row: link, address (by element id) and the texts of numbered spans."""
     spans = spans or PG.SUMMARY_SPANS
-    d = pages.select("page_id", F.col("url").alias("link"), "html")
-    d = PG.with_element(PG.with_element(d, "_title", "id", address_id), "_row", "class", row_class)
-    d = PG.with_spans(PG.pinned(d, address=PG.text_of(F.col("_title"))), "_row", spans)
+    d = PG.pinned(pages.select("page_id", F.col("url").alias("link"), "html"), _shown=PG.visible("html")).drop("html")
+    d = PG.with_element(d, "_title", "id", address_id, shown="_shown")
+    d = PG.pinned(d, address=PG.text_of(F.col("_title"))).drop("_title", "_title_tags")
+    d = PG.with_element(d, "_row", "class", row_class, shown="_shown").drop("_shown")
+    d = PG.with_spans(d, "_row", spans)
     return d.select("page_id", "link", "address", *spans)

@@ -133,7 +133,10 @@ def listing_pages(orders: DataFrame, customer: DataFrame) -> DataFrame:
     links.  The order's key picks the markup's form."""
     p = properties(customer)
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    j = o.join(p, o.o_custkey == p.c_custkey)
+    # Dealt out by the order while the rows are narrow, into a set number of parts: a page is
+    # many times wider than its row, so parts merged by the rows' bytes would be few.
+    parts = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = o.join(p, o.o_custkey == p.c_custkey).repartition(parts, "o_orderkey", "o_custkey", "o_totalprice")
     k, n = F.col("c_custkey"), F.col("o_orderkey")
     addr = _address(F.col("street"), F.col("city"), F.col("state"), F.col("zip"))
     beds, baths = (k % 6).cast("string"), ((k % 4) * 0.5 + 1.0).cast("string")

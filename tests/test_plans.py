@@ -65,3 +65,13 @@ def test_keyed_regression_is_a_partial_aggregate(spark):
     d = Pipeline(spark, SF).sold("viz").select("Region", "price", "sqft", "baths")
     plan = R._gram(d, "price", ["sqft", "baths"], ["Region"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_covar_pop" in plan
+
+
+@pytest.mark.parametrize("name", ["E12", "E14_summary", "E16", "E17", "X2"])
+def test_pages_are_dealt_out_and_read_once(spark, name):
+    # The pages' rows go to a set number of tasks before the markup is made, and no tag is looked for twice.
+    plan = _plan(spark, name)
+    dealt = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]
+    assert any("o_orderkey" in x for x in dealt)
+    assert len(re.findall(r"regexp_extract_all\([^\n]{0,80}?<meta", plan)) <= 1
+    assert plan.count("(?i)<(?:!--") == 1
