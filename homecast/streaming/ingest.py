@@ -56,6 +56,19 @@ def _sink(spark: SparkSession, sink_dir: str, schema: StructType) -> DataFrame |
         return None
 
 
+def _months(rows: DataFrame) -> list[str]:
+    """The months of the rows; the calendar bounds them."""
+    return [r[PART] for r in rows.select(PART).distinct().collect()]
+
+
+def _not_held(rows: DataFrame, held: DataFrame, keys) -> DataFrame:
+    """The rows that ``held`` does not have (null-safe on ``keys``).  Both sides are shuffled:
+    what a sink holds grows with it and must not go through the driver."""
+    held = held.select(*[F.col(k).alias("_o_" + k) for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_o_" + k)) for k in keys])
+    return rows.join(held.hint("merge"), same, "left_anti")
+
+
 def append_new(batch: DataFrame, sink_dir: str, keys=RECORD_KEYS) -> None:
     """Append the records of ``batch`` that the sink does not hold yet.  A record
     without a time goes to the partition ``NO_TIME``."""
@@ -67,14 +80,8 @@ def append_new(batch: DataFrame, sink_dir: str, keys=RECORD_KEYS) -> None:
         old = _sink(spark, sink_dir, new.schema)
         out = new
         if old is not None:
-            # The partition is part of the join, so the sink's scan is pruned to the
-            # batch's months at run time.
-            old = old.select(*[F.col(k).alias("_o_" + k) for k in keys], F.col(PART).alias("_o_" + PART))
-            cond = reduce(lambda a, b: a & b,
-                          [F.col(k).eqNullSafe(F.col("_o_" + k)) for k in keys]
-                          + [F.col(PART) == F.col("_o_" + PART)])
-            months = new.select(F.col(PART).alias("_o_" + PART)).distinct()
-            out = new.join(old.join(months, "_o_" + PART, "left_semi"), cond, "left_anti")
+            # The sink's scan is pruned to the batch's months.
+            out = _not_held(new, old.filter(F.col(PART).isin(_months(new))), (*keys, PART))
         out.write.mode("append").partitionBy(PART).parquet(sink_dir)
     finally:
         new.unpersist()
@@ -161,14 +168,12 @@ def write_batch(batch: DataFrame, batch_id: int, sink_dir: str, schema: StructTy
         late = dedup_records(raw.filter(late), keys).select(*keys, month.alias(PART))
         if not late.isEmpty():
             # What the sink or this batch's state path has already; only the late months are read.
-            months = late.select(F.col(PART).alias("_m")).distinct()
-            held = read_committed(spark, sink_dir, schema, keys).join(months, F.col(PART) == F.col("_m"), "left_semi")
+            held = read_committed(spark, sink_dir, schema, keys).filter(F.col(PART).isin(_months(late)))
             held = held.select(*keys, PART).unionByName(state)
-            held = held.select(*[F.col(c).alias("_o_" + c) for c in (*keys, PART)])
-            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_o_" + c)) for c in (*keys, PART)])
-            state = state.unionByName(late.join(held, same, "left_anti"))
+            state = state.unionByName(_not_held(late, held, (*keys, PART)))
         path = f"{sink_dir.rstrip('/')}/data/_batch={batch_id}"
-        state.write.mode("overwrite").partitionBy(PART).parquet(path)
+        # Files by size, not one a task and month: every later batch lists them.
+        state.hint("rebalance", PART).write.mode("overwrite").partitionBy(PART).parquet(path)
         _commit(spark, sink_dir, batch_id, state.count(), raw.agg(F.max("_event").alias("m")).first()["m"])
     finally:
         batch.unpersist()

@@ -94,3 +94,31 @@ def test_a_batch_that_dies_leaves_nothing_and_comes_again(spark, tmp_path, few_p
     run(spark, folder)
     assert committed(spark, folder) == sorted([*rows, record(8, at(8))], key=repr)
     assert ING.read_ledger(spark, f"{folder}/sink").groupBy("batch_id").count().filter("count > 1").count() == 0
+
+
+def test_what_the_sink_holds_is_not_broadcast(spark, tmp_path, few_partitions, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    plans, join = [], DataFrame.join
+
+    def seen(left, right, on=None, how=None):
+        out = join(left, right, on, how)
+        if how == "left_anti":
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(DataFrame, "join", seen)
+    folder = str(tmp_path)
+    rows = [record(1, at(1)), record(2, at(9)), record(3, None)]
+    deliver(spark, folder, 1, rows)
+    run(spark, folder)
+    deliver(spark, folder, 2, [record(4, at(2)), *rows])                      # late, known and untimed
+    run(spark, folder)
+    batch = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    for _ in range(2):
+        ING.append_new(batch, f"{folder}/plain")
+    assert len(plans) >= 3
+    for plan in plans:
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan
+        assert not any("BroadcastHashJoin" in x and "LeftAnti" in x for x in plan.splitlines())
+    assert committed(spark, folder) == sorted([*rows, record(4, at(2))], key=repr)
+    assert ING.read_sink(spark, f"{folder}/plain").count() == 3
