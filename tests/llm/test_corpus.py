@@ -408,6 +408,36 @@ def test_held_out_text_of_a_group_scores_better_than_the_base(spark):
     assert x[0] > x[1]
 
 
+def test_mixer_and_shares_are_learned_from_all_words(spark, monkeypatch):
+    """Every learned word takes part: as many bits are counted as the words have, and the shares
+    are those of all occurrences; in one part, the weights are those of all words in turn."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(30_000)]
+    rows = [(i, " ".join(vocabulary[i * 100:(i + 1) * 100] + r.choices(vocabulary[:50], k=20))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = {}
+    mixers, shares = context_mixing.learned_mixer, context_mixing.learned_shares
+
+    def mixer(words, counts):
+        seen.update(words=words.select("word", "learned").collect(), counts=counts.value, mixer=mixers(words, counts))
+        return seen["mixer"]
+
+    monkeypatch.setattr(context_mixing, "learned_mixer", mixer)
+    monkeypatch.setattr(context_mixing, "learned_shares", lambda *a: seen.setdefault("shares", shares(*a)))
+    context_mixing.score(df)
+    words = [bytes(x["word"]) for x in seen["words"]]
+    assert len(words) > 20_000
+    added = seen["mixer"].hits.sum() - context_mixing.Mixer().hits.sum()
+    assert added == pytest.approx(8 * sum(len(w) + 1 for w in words))
+    one = context_mixing.fit_mixer(sorted(words), seen["counts"])
+    assert np.allclose(seen["mixer"].weights[one.seen > 0], one.weights[one.seen > 0])
+    c = np.array([sum(x["learned"]) for x in seen["words"]], float)
+    spelled = 10 ** context_mixing.spelling(words, seen["counts"], seen["mixer"], True)
+    n = c.sum() + sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)  # with the ends
+    want = context_mixing.fit_share(np.maximum(c - 1, 0) / (n - 1) / spelled, c)
+    assert seen["shares"][0] == pytest.approx(want, rel=0.01) and 0 < want < 1
+
+
 # ------------------------------------------------------------------------------ 8 PII
 def pii_in(text):
     text, out = text or "", []
