@@ -438,6 +438,44 @@ def test_mixer_and_shares_are_learned_from_all_words(spark, monkeypatch):
     assert seen["shares"][0] == pytest.approx(want, rel=0.01) and 0 < want < 1
 
 
+def test_learning_works_out_each_case_once(monkeypatch):
+    """The inputs of a run of learning steps are worked out once per distinct case, and the
+    weights and cells are those of learning bit by bit from each step's own counts."""
+    r = random.Random(13)
+    words = sorted({"".join(r.choice("abcd") for _ in range(r.randint(1, 8))).encode() for _ in range(6_000)})
+    s = context_mixing.Spelled(words)
+    counts = np.zeros((len(context_mixing.ORDERS), context_mixing.SLOTS, 2), np.float32)
+    for o in range(len(context_mixing.ORDERS)):
+        for k in range(8):
+            np.add.at(counts[o], (s.slots(o, k), s.bit(k)), s.times)
+    want, order = context_mixing.Mixer(), np.random.default_rng(7)
+    for _ in range(context_mixing.PASSES):
+        turn = order.permutation(len(words))
+        for i in range(0, len(turn), 512):
+            step = context_mixing.Spelled([words[j] for j in turn[i:i + 512]])
+            for k in range(8):
+                bit = step.bit(k)
+                c = np.stack([counts[o, step.slots(o, k)] for o in range(len(context_mixing.ORDERS))], axis=1)
+                c = np.maximum(c - np.stack([1 - bit, bit], axis=1)[:, None, :], 0)
+                x, gate = want.inputs(c[..., 0], c[..., 1], k)
+                p, _, cell = want.combine(x, gate)
+                off, n = (bit - p) * step.times, np.bincount(gate, step.times, len(want.weights))
+                total = np.zeros(want.weights.shape)
+                np.add.at(total, gate, off[:, None] * x)
+                want.weights += context_mixing.RATE * total / np.sqrt(np.maximum(n, 1))[:, None]
+                want.count(gate, bit, cell, step.times)
+    hashed, mixed = [], context_mixing._mixed
+    monkeypatch.setattr(context_mixing, "_mixed", lambda x: hashed.append(len(x)) or mixed(x))
+    got = context_mixing.fit_mixer(words, counts)
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.hits, want.hits)
+    contexts = len(context_mixing.ORDERS)
+    assert sum(hashed) <= context_mixing.PASSES * 9 * contexts * len(s.case)
+    monkeypatch.setattr(context_mixing, "HELD_BYTES", 1)  # as for very long words: every step alone, in blocks
+    monkeypatch.setattr(context_mixing, "BLOCK", 100)
+    got = context_mixing.fit_mixer(words, counts)
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.hits, want.hits)
+
+
 # ------------------------------------------------------------------------------ 8 PII
 def pii_in(text):
     text, out = text or "", []
