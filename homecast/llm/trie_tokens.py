@@ -24,17 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .word_table import add_up, count_words
+from .word_table import add_up, count_words, split
 
 MARK = "▁"
 #: Distinct words of one task.
 TASK_WORDS = 100_000
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 @functools.lru_cache(maxsize=2)
 def pieces(path: str) -> dict[str, float]:
     import sentencepiece

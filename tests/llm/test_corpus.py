@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from homecast.llm import (
     best_fit, chunk_dedup, common, context_mixing, license_scan, line_quality, minhash_bayes, mixing, pii_crf,
-    registry, secret_scan, token_ids, trie_tokens,
+    registry, secret_scan, token_ids, trie_tokens, word_table,
 )
 from homecast.llm.components import components
 
@@ -476,6 +477,50 @@ def test_learning_works_out_each_case_once(monkeypatch):
     assert np.allclose(got.weights, want.weights) and np.allclose(got.hits, want.hits)
 
 
+def test_words_are_split_counted_and_added_up_by_column(spark, monkeypatch):
+    """The words of a column of texts are those of each text, without work in Python for each
+    of them; pieces and batches do not change counts and sums."""
+    import pyarrow as pa
+
+    r = random.Random(21)
+    odd = [None, "", " ", "\t a\x0bb\x1cc\x85d\u2003É \n", "x" * 70 + " y " + "x" * 70, "Ab aB ÀB\r\nab", "é" * 40 + " "]
+    texts = odd + [prose(r, r.randint(0, 60)) + r.choice(["", " ", "\n"]) for _ in range(300)]
+    calls = []
+    context_mixing.column_tokens(pa.array(odd))  # imports
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        words, rows = context_mixing.column_tokens(pa.array(texts))
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 250 < len(texts) < len(words)
+    found = {i: [] for i in range(len(texts))}
+    for w, i in zip(words.to_pylist(), rows.tolist()):
+        found[i].append(w)
+    assert [found[i] for i in range(len(texts))] == [context_mixing.tokens(t) for t in texts]
+    words, rows = word_table.split(pa.array(texts))
+    assert words.to_pylist() == [w for t in texts for w in (t or "").encode().split()]
+    monkeypatch.setattr(word_table, "PIECE_BYTES", 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["text", "n"])
+    parts = list(word_table.pieces(iter([batch, batch.slice(0, 0), batch.slice(5, 3)]), 0))
+    assert len(parts) > 20
+    assert [x for p in parts for x in p.column(1).to_pylist()] == [*range(len(texts)), 5, 6, 7]
+
+    df = spark.createDataFrame([(i, t, i % 4 - 1) for i, t in enumerate(texts * 2)], "id int, text string, g int").coalesce(2)
+    small = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(small, 7)
+    try:
+        counted = word_table.count_words(df, "text", context_mixing.column_tokens, F.col("g"), 3)
+        got = {bytes(x.word): (x.total, x.learned) for x in counted.collect()}
+        values = counted.select("word", "total", F.length("word").cast("double").alias("a"), F.lit(0.5).alias("b"))
+        summed = word_table.add_up(df, "text", context_mixing.column_tokens, values, ["a", "b"], ["id"]).collect()
+    finally:
+        spark.conf.unset(small)
+    want = [Counter(w for i, t in enumerate(texts * 2) if i % 4 == k for w in context_mixing.tokens(t)) for k in range(4)]
+    assert got == {w: (sum(c[w] for c in want), [c[w] for c in want[1:]]) for w in set().union(*want)}
+    each = [context_mixing.tokens(t) for t in texts * 2]
+    assert sorted(tuple(x) for x in summed) == [(i, len(w), float(sum(map(len, w))), len(w) / 2) for i, w in enumerate(each)]
+
+
 # ------------------------------------------------------------------------------ 8 PII
 def pii_in(text):
     text, out = text or "", []
