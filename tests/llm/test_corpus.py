@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from homecast.llm import (
     best_fit, chunk_dedup, common, context_mixing, license_scan, line_quality, minhash_bayes, mixing, pii_crf,
-    registry, secret_scan, token_ids, trie_tokens, word_table,
+    registry, secret_scan, token_ids, trie_tokens, word_contexts, word_table,
 )
 from homecast.llm.components import components
 
@@ -439,6 +439,107 @@ def test_mixer_and_shares_are_learned_from_all_words(spark, monkeypatch):
     assert seen["shares"][0] == pytest.approx(want, rel=0.01) and 0 < want < 1
 
 
+def test_words_before_take_part_in_the_score(spark):
+    """The order of the words counts, and a text that occurs twice is told apart."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    after = {w: r.sample(vocabulary, 3) for w in vocabulary}
+
+    def text(n):
+        out = [r.choice(vocabulary)]
+        while len(out) < n:
+            out.append(r.choice(after[out[-1]]) if r.random() < 0.9 else r.choice(vocabulary))
+        return out
+
+    texts = [text(100) for _ in range(300)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join(r.sample(t, len(t)))) for i, t in enumerate(texts[:20])]
+    rows += [(2000 + i, " ".join(t)) for i, t in enumerate(texts[20:30])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in context_mixing.score(df).collect()}
+    held = [got[1000 + i]["held_out"] or got[i]["held_out"] for i in range(20)]
+    for i in range(20):
+        if not held[i]:
+            assert got[1000 + i]["base_score"] == pytest.approx(got[i]["base_score"])
+            assert got[1000 + i]["score"] < 1.3 * got[i]["score"] < 0
+    once = min(got[i]["bits_per_byte"] for i in range(30, 300) if not got[i]["held_out"])
+    twice = [got[i]["bits_per_byte"] for i in range(20, 30) if not (got[i]["held_out"] or got[1980 + i]["held_out"])]
+    assert len(twice) > 3 and max(twice) < once
+
+
+def test_scores_match_brute_force(spark, docs, rows, monkeypatch):
+    """Counts of words, pairs and triples by dictionary, each occurrence of a learned document left
+    out of its contexts; many parts and several pieces."""
+    monkeypatch.setattr(word_contexts, "PART_TOKENS", 1000)
+    monkeypatch.setattr(word_contexts, "TASK_TOKENS", 2000)
+    seen = {}
+
+    def held(name):
+        f = getattr(context_mixing, name)
+
+        def kept(first, second, *rest):
+            seen[name] = f(first, second, *rest)
+            seen["counts"] = getattr(second, "value", seen.get("counts"))
+            return seen[name]
+
+        monkeypatch.setattr(context_mixing, name, kept)
+
+    for name in ("learned_mixer", "learned_shares", "learned_contexts"):
+        held(name)
+    got = by_id(context_mixing.score(docs, group="lang"))
+    weights, shares, size = seen["learned_contexts"], seen["learned_shares"], context_mixing.SIZES
+    assert np.allclose(weights.sum(axis=1), 1)
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    toks = [(x[0], x[2], [context_mixing.END, *context_mixing.tokens(x[1])]) for x in rows]
+    learned = [(g, t) for i, g, t in toks if not out(i)]
+    names = sorted(Counter(g for g, _ in learned), key=lambda g: (-sum(x == g for x, _ in learned), g is not None, g))
+    c = [Counter(w for g, t in learned if g == name for w in t[1:]) for name in names] + [Counter()]
+    n_of = [sum(x.values()) for x in c]
+    word, pair, triple = Counter(), Counter(), Counter()
+    for _, t in learned:
+        word.update(t[1:])
+        pair.update(zip(t, t[1:]))
+        triple.update(zip(t, t[1:], t[2:]))
+    every = sorted({w for _, _, t in toks for w in t})
+    spelled = dict(zip(every, 10 ** context_mixing.spelling(every, seen["counts"], seen["learned_mixer"])))
+    gates = set()
+    for i, _, t in toks:
+        own, logs = int(not out(i)), [math.log((n + 1) / (sum(n_of) + len(c))) for n in n_of]
+        for k in range(1, len(t)):
+            u, v, w = t[k - 2] if k > 1 else None, t[k - 1], t[k]
+            one, two = word[v] - own, pair[u, v] - own if k > 1 else 0
+            parts = [(pair[v, w] - own) / one if one else 0, (triple[u, v, w] - own) / two if k > 1 and two else 0]
+            gates.add((one.bit_length(), two.bit_length()))
+            a = weights[one.bit_length() * size + two.bit_length()]
+            for g, x in enumerate(c):
+                alone = shares[g] * x[w] / max(n_of[g], 1) + (1 - shares[g]) * spelled[w]
+                logs[g] += math.log(a[0] * alone + a[1] * parts[0] + a[2] * parts[1])
+        want = (max(logs) + math.log(sum(math.exp(x - max(logs)) for x in logs))) / math.log(10)
+        assert any(x["score"] == pytest.approx(want, rel=1e-5) for x in got[i]), (i, len(t), want, got[i])
+    assert len(gates) > 20
+
+
+def test_word_keys_are_exact():
+    """Keys go through their packed form unchanged, a part holds its own, and words of any bytes
+    and lengths differ."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    words = sorted({r.bytes(n) for n in r.integers(1, 9, 20_000)} | {b"x" * n for n in (1, 255, 256, 257, 5000)})
+    h = word_contexts.hashes(pa.array(words, pa.binary()))
+    assert len(set(h.tolist())) == len(words)
+    assert (word_contexts.hashes(pa.array(words[::-1], pa.binary()).slice(3, 500)) == h[::-1][3:503]).all()
+    for tokens in (0, 1, 100, 1 << 20, 1 << 25, 1 << 40):
+        deal = word_contexts.Deal(tokens)
+        for context in range(word_contexts.CONTEXTS):
+            keys = np.unique(deal.key(context, h))
+            parts = list(deal.dealt(context, keys))
+            assert len({p for p, _, _ in parts}) == len(parts) and max(p for p, _, _ in parts) < deal.parts
+            assert (np.concatenate([deal.keys(context, p, data) for p, _, data in parts]) == keys).all()
+    for x in ([], [0], [0] * 9, [255, 256, 1 << 63]):
+        assert word_contexts.unpack(word_contexts.pack(np.array(x, np.uint64))).tolist() == x
+
+
 def test_learning_works_out_each_case_once(monkeypatch):
     """The inputs of a run of learning steps are worked out once per distinct case, and the
     weights and cells are those of learning bit by bit from each step's own counts."""
